@@ -71,3 +71,13 @@ def array_of_sums(array: Column, size: int, weight: Column | None = None) -> Col
         return F.sum(item if weight is None else weight * item)
 
     return F.array(*[term(i) for i in range(size)])
+
+
+def cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str]):
+    """Cogroup two tables that may stem from one source.
+
+    Renaming the right side's columns through aliases gives them an identity of their own,
+    without which a table cogrouped with itself is ambiguous.
+    """
+    fresh = right.select(*[F.col(c).alias(c, metadata={"side": "right"}) for c in right.columns])
+    return left.groupBy(*keys).cogroup(fresh.groupBy(*keys))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.columns import join_null_safe
+from cytoframe.functions.lineage import cut
 
 
 def exact_percentiles(
@@ -102,16 +103,19 @@ def with_running(
     descending: bool = False,
     spread: Column | None = None,
     bins: int = 256,
+    stored: bool = False,
 ) -> DataFrame:
     """Add running sums / minima in the order of (by, ties) within each key.
 
     ``by`` (never NULL) is cut into equal-width ranges per key. Ranges are totalled first;
     their running total, at most ``bins`` rows per key, is the offset each range starts
     from, so no task sorts more than one range. ``spread`` is an optional monotone
-    transform of ``by`` used only to cut the ranges evenly.
+    transform of ``by`` used only to cut the ranges evenly. The input is read three times,
+    so it is written out first unless it is ``stored`` already.
     """
     keys = list(keys)
     sums, mins = sums or {}, mins or {}
+    df = df if stored else cut(df)
     bin_on = F.col(by).cast("double") if spread is None else spread
     rows = df.withColumns({**{f"_s_{k}": c for k, c in sums.items()}, **{f"_m_{k}": c for k, c in mins.items()}})
     rows = rows.withColumn("_on", bin_on)
@@ -142,17 +146,38 @@ def with_running(
     )
 
 
-def bh_adjust(df: DataFrame, keys: Sequence[str], p: str = "p_value", out: str = "p_adj") -> DataFrame:
+def bh_adjust(
+    df: DataFrame, keys: Sequence[str], p: str = "p_value", out: str = "p_adj", bins: int = 256
+) -> DataFrame:
     """Benjamini-Hochberg adjustment within ``keys``; a NULL p stays NULL and is not counted.
 
-    Tied p values share one adjusted value, so the work runs on distinct p values.
+    Tied p values share one adjusted value, so the work runs on distinct p values. They are
+    cut into ranges of p^(1/4), which spreads small values: a range starts from the rank
+    before it and ends at the least value after it. The input is stored first, so that
+    joining the result back on p meets the very same doubles.
     """
     keys = list(keys)
-    distinct = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
-    tests = distinct.groupBy(*keys).agg(F.sum("_c").alias("_tests"))
-    ranked = with_running(distinct, keys, p, sums={"_rank": F.col("_c")}, spread=F.sqrt(F.sqrt(F.col(p))))
-    raw = join_null_safe(ranked, tests, keys).withColumn("_raw", F.col(p) * F.col("_tests") / F.col("_rank"))
-    adjusted = with_running(
-        raw, keys, p, mins={"_adj": F.col("_raw")}, descending=True, spread=F.sqrt(F.sqrt(F.col(p)))
-    ).select(*keys, p, F.least(F.lit(1.0), F.col("_adj")).alias(out))
+    df = cut(df)
+    slot = F.least(F.lit(bins - 1), F.floor(F.sqrt(F.sqrt(F.greatest(F.col(p), F.lit(0.0)))) * bins)).cast("int")
+    distinct = cut(
+        df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c")).withColumn("_slot", slot)
+    )
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "_slot")
+    upto = inside.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onwards = inside.orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    offsets = distinct.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_n")).select(
+        *keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_tests")
+    )
+    raw = join_null_safe(distinct, offsets, [*keys, "_slot"]).withColumn(
+        "_raw", F.col(p) * F.col("_tests") / (F.col("_before") + F.sum("_c").over(upto))
+    )
+    later = raw.groupBy(*keys, "_slot").agg(F.min("_raw").alias("_least")).select(
+        *keys, "_slot", F.min("_least").over(after).alias("_after")
+    )
+    adjusted = join_null_safe(raw, later, [*keys, "_slot"]).select(
+        *keys, p, F.least(F.lit(1.0), F.col("_after"), F.min("_raw").over(onwards)).alias(out)
+    )
     return join_null_safe(df, adjusted, [*keys, p], "left")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoframe.functions.lineage import cut
 from cytoframe.functions.ordered import bh_adjust
 from cytoframe.functions.tails import (
     digamma_udf,
@@ -35,12 +36,13 @@ def samples_in_several_groups(cells: DataFrame, keys: Sequence[str] = ("contrast
 def sample_proportions(cells: DataFrame, keys: Sequence[str] = ("contrast",)) -> DataFrame:
     """n, sample total and proportion for every sample x label, absent pairs 0.
 
-    One shuffle counts (sample, label); the label list of each contrast is an array joined
-    to its samples, and everything after the count is samples x labels in size.
+    One shuffle counts (sample, label) and the counts are stored: the cells are read once,
+    and everything after is samples x labels in size. The label list of each contrast is
+    an array joined to its samples.
     """
     keys = list(keys)
-    counts = cells.where(F.col("label").isNotNull()).groupBy(*keys, "sample", "grp", "label").agg(
-        F.count(F.lit(1)).alias("n")
+    counts = cut(
+        cells.where(F.col("label").isNotNull()).groupBy(*keys, "sample", "grp", "label").agg(F.count(F.lit(1)).alias("n"))
     )
     samples = counts.groupBy(*keys, "sample", "grp").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("_seen")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoframe.functions.columns import cogrouped
+
 BLOCK_ROWS = 4096
 QUERIES_PER_TASK = 4096
 MAX_PIVOTS = 1024
@@ -79,11 +81,8 @@ def _probe(visits: DataFrame, blocks: DataFrame, k: int, skip_same: bool, schema
         return _block_candidates(queries, block, k, skip_same)
 
     key = ["cell", "sub", "salt"]
-    return (
-        salted.select(*key, "query_id", "v")
-        .groupBy(*key)
-        .cogroup(copied.select(*key, "ref_id", "v").groupBy(*key))
-        .applyInPandas(meet, schema)
+    return cogrouped(salted.select(*key, "query_id", "v"), copied.select(*key, "ref_id", "v"), key).applyInPandas(
+        meet, schema
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoframe.functions.columns import cogrouped
 from cytoframe.functions.lineage import cut
 from cytoframe.functions.ordered import bh_adjust, exact_percentiles
 from cytoframe.functions.tails import chisq1_upper_p
@@ -115,7 +116,7 @@ def gene_products(expr: DataFrame) -> DataFrame:
         out[np.searchsorted(genes, filled["gene"]), cells.get_indexer(filled["cell_id"])] = filled["value"]
         return genes, out
 
-    def multiply(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         net, b1, b2, _ = key
         if a.empty or b.empty:
             return pd.DataFrame({"net": [], "g1": [], "g2": [], "_part": []})
@@ -130,7 +131,7 @@ def gene_products(expr: DataFrame) -> DataFrame:
         )
 
     key = ["net", "b1", "b2", "cb"]
-    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(multiply, schema)
+    parts = cogrouped(left, right, key).applyInPandas(multiply, schema)
     return parts.groupBy("net", "g1", "g2").agg(F.sum("_part").alias("sxy"))
 
 
@@ -277,12 +278,12 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
     )
     gram_row = T.StructType([net, T.StructField("i", T.IntegerType()), T.StructField("row", array)])
 
-    def partial_gram(key, block: pd.DataFrame) -> pd.DataFrame:
+    def partial_gram(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(block["x"].to_numpy())
         g = x.T @ x
         return pd.DataFrame({"net": key[0], "i": np.arange(len(g), dtype="int32"), "row": list(g)})
 
-    def add_rows(key, parts: pd.DataFrame) -> pd.DataFrame:
+    def add_rows(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"net": [key[0]], "i": [key[1]], "row": [np.sum(np.stack(parts["row"].to_numpy()), axis=0)]})
 
     gram = (
@@ -294,7 +295,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
     )
     solved = T.StructType([net, T.StructField("gene", T.StringType()), T.StructField("z", array)])
 
-    def solve(key, block: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, block: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
         if block.empty:
             return pd.DataFrame({"net": [], "gene": [], "z": []})
         g = np.stack(matrix.sort_values("i")["row"].to_numpy())
@@ -302,7 +303,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
         return pd.DataFrame({"net": key[0], "gene": block["gene"].to_numpy(), "z": list(z)})
 
     targets = (
-        genes.groupBy("net", "gb").cogroup(gram.groupBy("net", "gb")).applyInPandas(solve, solved)
+        cogrouped(genes, gram, ["net", "gb"]).applyInPandas(solve, solved)
         .withColumn("b2", F.pmod(F.xxhash64("gene"), blocks).cast("int"))
         .withColumn("b1", F.explode(F.sequence(F.lit(0), blocks - 1)))
     )
@@ -311,7 +312,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
         [net, T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("w", T.DoubleType())]
     )
 
-    def products(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def products(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"net": [], "src": [], "dst": [], "w": []})
         w = np.stack(a["x"].to_numpy()) @ np.stack(b["z"].to_numpy()).T
@@ -320,7 +321,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
         return pd.DataFrame({"net": key[0], "src": src[other], "dst": dst[other], "w": w.ravel()[other]})
 
     pair = ["net", "b1", "b2"]
-    edges = cut(sources.groupBy(*pair).cogroup(targets.groupBy(*pair)).applyInPandas(products, edge))
+    edges = cut(cogrouped(sources, targets, pair).applyInPandas(products, edge))
     largest = edges.groupBy("net").agg(F.max(F.abs("w")).alias("_max"))
     return edges.join(largest, "net").select(
         "net", "src", "dst", F.when(F.col("_max") > 0, F.col("w") / F.col("_max")).otherwise(0.0).alias("w")

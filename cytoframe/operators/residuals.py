@@ -165,4 +165,5 @@ def project(expr: DataFrame, model: DataFrame, loadings: DataFrame, dims: int, c
         return out
     out = cut(out)
     means = out.select(F.array(*[F.avg(F.element_at("v", d + 1)) for d in range(dims)])).scalar()
-    return out.select("cell_id", F.zip_with("v", means, lambda a, b: a - b).alias("v"))
+    centred = [F.element_at("v", d + 1) - F.element_at(means, d + 1) for d in range(dims)]
+    return out.select("cell_id", F.array(*centred).alias("v"))

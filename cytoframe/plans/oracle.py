@@ -86,7 +86,7 @@ def knn(queries: str, references: str, k: int, skip_same: bool = False) -> str:
     return f"""(
   SELECT * FROM (
     SELECT a.id AS query_id, b.id AS ref_id, list_distance(a.v, b.v) AS dist,
-           row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank
+           CAST(row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS INTEGER) AS rank
     FROM {queries} a CROSS JOIN {references} b {where}) WHERE rank <= {k})"""
 
 
@@ -296,7 +296,7 @@ props AS (
   LEFT JOIN cnt c ON c.contrast = s.contrast AND c.sample = s.sample AND c.grp = s.grp AND c.label = l.label),
 groups AS (SELECT contrast, label, grp, count(*) AS m, avg(y) AS mean_y, coalesce(var_samp(y) * (count(*) - 1), 0) AS ss, avg(prop) AS mean_prop, sum(n) AS cells
            FROM props GROUP BY ALL),
-base AS (SELECT contrast, label, sum(cells) / sum(sum(cells)) OVER (PARTITION BY contrast) AS baseline_prop FROM groups GROUP BY ALL)"""
+base AS (SELECT contrast, label, sum(cells) / sum(sum(cells)) OVER (PARTITION BY contrast) AS baseline_prop FROM groups GROUP BY contrast, label)"""
 ORACLE["sample_proportions"] = f"WITH {ALL_GROUPS}, {PROPS} SELECT contrast, sample, grp, label, n, total, {six('prop')} AS prop FROM props"
 ORACLE["logit_proportions"] = f"""WITH {CONTRASTS}, {PROPS}
 SELECT contrast, sample, grp, label, n, total, {six('prop')} AS prop, {six('y')} AS y FROM props"""
@@ -448,10 +448,10 @@ FROM {running('hits', 'dataset, collection, set_name')}"""
 LEADING = f"""curve AS (SELECT * FROM {running('hits', 'dataset, collection, set_name')}),
 tops AS (SELECT *, max(round(score, 9)) OVER (PARTITION BY dataset, collection, set_name) AS top FROM curve),
 peaks AS (SELECT dataset, collection, set_name, min(rank) FILTER (round(score, 9) = top) AS at FROM tops GROUP BY 1, 2, 3),
-leading AS (
+edge_genes AS (
   SELECT dataset, collection, set_name, string_agg(gene, '|' ORDER BY rank) AS leading_edge_text
   FROM curve JOIN peaks USING (dataset, collection, set_name) WHERE rank <= at GROUP BY 1, 2, 3)"""
-ORACLE["leading_edge"] = f"WITH {RANKS}, {LEADING} SELECT * FROM leading"
+ORACLE["leading_edge"] = f"WITH {RANKS}, {LEADING} SELECT * FROM edge_genes"
 GSEA = f"""{RANKS},
 es AS (SELECT dataset, collection, set_name, size, round(max(score), 9) AS es FROM {running('hits', 'dataset, collection, set_name')} GROUP BY ALL),
 draws AS (
@@ -470,7 +470,7 @@ gsea AS (
 ORACLE["gsea_permutation"] = f"WITH {GSEA} SELECT * FROM gsea"
 ORACLE["gsea_table"] = f"""WITH {GSEA}, {LEADING}
 SELECT gsea.*, leading_edge_text, CAST(row_number() OVER (PARTITION BY dataset ORDER BY p_adj ASC NULLS LAST, abs(nes) DESC NULLS LAST, collection, set_name) AS INTEGER) AS place
-FROM gsea LEFT JOIN leading USING (dataset, collection, set_name)"""
+FROM gsea LEFT JOIN edge_genes USING (dataset, collection, set_name)"""
 ORACLE["top_sets_with_ties"] = f"""WITH {GSEA} SELECT dataset, collection, set_name, p_adj FROM (
   SELECT *, rank() OVER (PARTITION BY dataset ORDER BY p_adj NULLS FIRST) AS place FROM gsea) WHERE place <= 9"""
 ORACLE["top_sets_limit"] = f"""WITH {GSEA} SELECT dataset, collection, set_name, p_adj, nes FROM gsea
