@@ -26,30 +26,36 @@ from cytoframe.functions.lineage import cut
 ARRAY = T.ArrayType(T.DoubleType())
 
 
-def _symmetric(edges: DataFrame, side: int) -> DataFrame:
-    """Mean of both directions, listed from both ends: (side, src, dst, w)."""
-    half = edges.where("src <> dst").select("src", "dst", (F.col("w") / 2).alias("w"))
+def _joined_edges(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Both networks in one table, each edge the mean of its directions and listed from both ends.
+
+    (src, dst, wx, wy): one row serves both networks, so a product reads the edges once.
+    """
+    def sided(edges: DataFrame, own: str, other: str) -> DataFrame:
+        return edges.where("src <> dst").select("src", "dst", (F.col("w") / 2).alias(own), F.lit(0.0).alias(other))
+
+    both = sided(x, "wx", "wy").unionByName(sided(y, "wy", "wx"))
     return (
-        half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+        both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "wx", "wy"))
         .groupBy("src", "dst")
-        .agg(F.sum("w").alias("w"))
-        .withColumn("side", F.lit(side))
+        .agg(F.sum("wx").alias("wx"), F.sum("wy").alias("wy"))
     )
 
 
 def _inner_products(vectors: DataFrame, size: int) -> np.ndarray:
-    """v'v over all rows for a fixed-size array column."""
+    """vx'vx + vy'vy over all rows; size x size numbers come to the driver."""
     schema = T.StructType([T.StructField("part", ARRAY)])
 
     def partial(batches):
         total = np.zeros((size, size))
         for batch in batches:
-            v = np.stack(batch["v"].to_numpy()).astype(float)
-            total += v.T @ v
+            for name in ("vx", "vy"):
+                v = np.stack(batch[name].to_numpy()).astype(float)
+                total += v.T @ v
         yield pd.DataFrame({"part": [total.ravel()]})
 
     rows = (
-        vectors.select("v").mapInPandas(partial, schema)
+        vectors.select("vx", "vy").mapInPandas(partial, schema)
         .select(F.posexplode("part").alias("i", "x"))
         .groupBy("i")
         .agg(F.sum("x").alias("x"))
@@ -62,16 +68,15 @@ def _inner_products(vectors: DataFrame, size: int) -> np.ndarray:
 
 
 def _combine(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """Replace each row's array by its product with a driver-side matrix."""
-    schema = T.StructType([*[f for f in vectors.schema.fields if f.name != "v"], T.StructField("v", ARRAY)])
-    others = [f.name for f in vectors.schema.fields if f.name != "v"]
+    """Each row's two arrays times a driver-side matrix."""
+    schema = T.StructType([vectors.schema["gene"], T.StructField("vx", ARRAY), T.StructField("vy", ARRAY)])
 
     def multiply(batches):
         for batch in batches:
-            v = np.stack(batch["v"].to_numpy()).astype(float) @ matrix
-            yield batch[others].assign(v=list(v))
+            done = {n: list(np.stack(batch[n].to_numpy()).astype(float) @ matrix) for n in ("vx", "vy")}
+            yield batch[["gene"]].assign(**done)
 
-    return vectors.mapInPandas(multiply, schema)
+    return vectors.select("gene", "vx", "vy").mapInPandas(multiply, schema)
 
 
 def manifold_align(
@@ -80,106 +85,99 @@ def manifold_align(
     """Positions (gene, x, y) of every gene in both networks, eigenvalues, residual norms.
 
     ``x`` and ``y`` are edge tables (src, dst, w) over the same genes; a gene missing from
-    one of them takes part there without edges.
+    one of them takes part there without edges. The space is restarted from its best
+    vectors until the residuals fall below ``tolerance`` times the largest eigenvalue met.
     """
-    edges = cut(_symmetric(x, 0).unionByName(_symmetric(y, 1)))
-    genes = cut(edges.select(F.col("src").alias("gene")).distinct())
-    facts = edges.groupBy("side").agg(F.sum("w").alias("w")).collect()
-    count = genes.count()
-    link = 0.9 * (sum(row.w for row in facts) + 2.0 * count * count) / (2.0 * count)
-    degrees = edges.groupBy("side", "src").agg(F.sum("w").alias("degree"))
-    nodes = cut(
-        genes.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .join(degrees.withColumnRenamed("src", "gene"), ["side", "gene"], "left")
-        .select("side", "gene", (F.coalesce("degree", F.lit(0.0)) + count + link).alias("diagonal"))
-    )
+    edges = cut(_joined_edges(x, y))
+    degrees = cut(edges.groupBy("src").agg(F.sum("wx").alias("dx"), F.sum("wy").alias("dy")))
+    facts = degrees.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dx") + F.col("dy")).alias("w")).first()
+    count = facts.n
+    link = 0.9 * (facts.w + 2.0 * count * count) / (2.0 * count)
+    nodes = cut(degrees.select(F.col("src").alias("gene"), F.col("dx") + count + link, F.col("dy") + count + link).toDF("gene", "dx", "dy"))
     width = dims + 2
 
-    def laplacian(current: DataFrame) -> DataFrame:
-        """(side, gene, y): Laplacian times the block ``v`` of width ``width``."""
-        names = current.select("side", F.col("gene").alias("dst"), F.col("v").alias("_v"))
+    def laplacian(basis: DataFrame, size: int) -> DataFrame:
+        """Append to each row the Laplacian times the last ``width`` columns of the basis."""
+        first = size - width + 1
+        last = basis.select(
+            F.col("gene").alias("dst"), F.slice("vx", first, width).alias("_x"), F.slice("vy", first, width).alias("_y")
+        )
         reached = (
-            edges.join(names, ["side", "dst"])
-            .groupBy("side", "src")
-            .agg(array_of_sums(F.col("_v"), width, F.col("w")).alias("_wv"))
-            .withColumnRenamed("src", "gene")
+            edges.join(last, "dst")
+            .groupBy(F.col("src").alias("gene"))
+            .agg(array_of_sums(F.col("_x"), width, F.col("wx")).alias("_wx"), array_of_sums(F.col("_y"), width, F.col("wy")).alias("_wy"))
         )
-        sums = current.groupBy("side").agg(array_of_sums(F.col("v"), width).alias("_sum"))
-        twin = current.select((1 - F.col("side")).alias("side"), "gene", F.col("v").alias("_twin"))
-        joined = (
-            current.join(nodes, ["side", "gene"]).join(reached, ["side", "gene"], "left").join(sums, "side").join(twin, ["side", "gene"])
+        totals = last.agg(array_of_sums(F.col("_x"), width).alias("_sx"), array_of_sums(F.col("_y"), width).alias("_sy"))
+        sum_x, sum_y = totals.select("_sx").scalar(), totals.select("_sy").scalar()
+        rows = basis.join(nodes, "gene").join(reached, "gene")
+
+        def product(own: str, twin: str, diagonal: str, pulled: str, total):
+            return [
+                F.col(diagonal) * F.element_at(own, i + first)
+                - F.element_at(pulled, i + 1)
+                - F.element_at(total, i + 1)
+                - link * F.element_at(twin, i + first)
+                for i in range(width)
+            ]
+
+        return rows.select(
+            "gene",
+            F.concat("vx", F.array(*product("vx", "vy", "dx", "_wx", sum_x))).alias("vx"),
+            F.concat("vy", F.array(*product("vy", "vx", "dy", "_wy", sum_y))).alias("vy"),
         )
-        item = [
-            F.col("diagonal") * F.element_at("v", i + 1)
-            - F.coalesce(F.element_at("_wv", i + 1), F.lit(0.0))
-            - F.element_at("_sum", i + 1)
-            - link * F.element_at("_twin", i + 1)
-            for i in range(width)
-        ]
-        return joined.select("side", "gene", F.array(*item).alias("y"))
-
-    def orthonormal(basis: DataFrame | None, block: DataFrame, held: int) -> tuple[DataFrame, np.ndarray]:
-        """Append ``block`` (side, gene, y) made orthonormal to the constant vector and the basis.
-
-        Returns the basis with the new columns and the coefficients of the block in it.
+
+    def orthonormal(rows: DataFrame, fixed: int) -> tuple[DataFrame, np.ndarray]:
+        """Make the last ``width`` columns orthonormal to the constant vector and the first ``fixed``.
+
+        Returns the rows and the coefficients of the old columns in all new ones.
         """
-        one = F.lit(1.0 / np.sqrt(2.0 * count))
-        joined = block if basis is None else basis.join(block, ["side", "gene"])
-        head = F.array(one) if basis is None else F.concat(F.array(one), F.col("v"))
-        work = joined.select("side", "gene", F.concat(head, F.col("y")).alias("v"))
-        fixed, total = 1 + held, 1 + held + width
-        change = np.eye(total)
-        for _ in range(2):
-            work = cut(work)
-            g = _inner_products(work, total)
-            step = np.eye(total)
-            step[:fixed, fixed:] = -g[:fixed, fixed:]
-            left = g[fixed:, fixed:] - g[fixed:, :fixed] @ g[:fixed, fixed:]
-            values, rotation = np.linalg.eigh((left + left.T) / 2)
-            safe = values > 1e-26 * max(values.max(), 1e-300)
-            scale = np.where(safe, 1 / np.sqrt(np.where(safe, values, 1)), 0.0)
-            step[:, fixed:] = step[:, fixed:] @ (rotation * scale)
-            work = _combine(work, step)
-            change = change @ step
-        # block = new columns * core + basis * old, by inverting the accumulated change
-        core = np.linalg.pinv(change[fixed:, fixed:])
-        old = -change[:fixed, fixed:] @ core
-        coefficients = np.vstack([old, core])[1:]
-        return work.select("side", "gene", F.slice("v", 2, total - 1).alias("v")), coefficients
-
-    noise = F.array(
-        *[F.pmod(F.xxhash64(F.lit(k), F.col("side"), F.col("gene")), F.lit(20011)) / 20011.0 - 0.5 for k in range(width)]
-    )
-    block = nodes.select("side", "gene", noise.alias("y"))
-    eigenvalues, errors = np.zeros(dims), np.full(dims, np.inf)
-    for _ in range(restarts):
-        basis, _ = orthonormal(None, block, 0)
-        size = width
-        projected = np.zeros((0, 0))
-        for step in range(steps):
-            basis = cut(basis)
-            last = basis.select("side", "gene", F.slice("v", size - width + 1, width).alias("v"))
-            basis, coefficients = orthonormal(basis, laplacian(last), size)
-            grown = np.zeros((size + width, size))
-            grown[: projected.shape[0], : projected.shape[1]] = projected
-            grown[:, size - width :] = coefficients
-            projected, size = grown, size + width
-        square = projected[: size - width, :]
-        values, vectors = np.linalg.eigh((square + square.T) / 2)
-        tail = projected[size - width :, :] @ vectors
-        eigenvalues, errors = values[:dims], np.linalg.norm(tail[:, :dims], axis=0)
-        ritz = cut(
-            _combine(
-                basis.select("side", "gene", F.slice("v", 1, size - width).alias("v")), np.ascontiguousarray(vectors[:, :width])
-            )
+        one = F.array(F.lit(1.0 / np.sqrt(2.0 * count)))
+        rows = cut(rows.select("gene", F.concat(one, "vx").alias("vx"), F.concat(one, "vy").alias("vy")))
+        held, total = fixed + 1, fixed + 1 + width
+        g = _inner_products(rows, total)
+        old = np.linalg.solve(g[:held, :held], g[:held, held:])
+        left = g[held:, held:] - g[held:, :held] @ old
+        values, rotation = np.linalg.eigh((left + left.T) / 2)
+        usable = values > 1e-20 * max(values.max(), 1e-300)
+        scale = np.where(usable, 1 / np.sqrt(np.where(usable, values, 1)), 0.0)
+        step = np.zeros((total, total))
+        step[:held, :held] = np.eye(held)
+        step[:held, held:] = -old @ (rotation * scale)
+        step[held:, held:] = rotation * scale
+        back = np.where(usable, np.sqrt(np.where(usable, values, 0)), 0.0)[:, None] * rotation.T
+        return _combine(rows, step[:, 1:]), np.vstack([old[1:], back])
+
+    def noise(side: int):
+        return F.array(
+            *[F.pmod(F.xxhash64(F.lit(k), F.lit(side), F.col("gene")), F.lit(20011)) / 20011.0 - 0.5 for k in range(width)]
         )
+
+    block = nodes.select("gene", noise(0).alias("vx"), noise(1).alias("vy"))
+    for _ in range(restarts):
+        basis, _ = orthonormal(block, 0)
+        size, image = width, np.zeros((width, 0))
+        for _ in range(steps):
+            basis, coefficients = orthonormal(laplacian(cut(basis), size), size)
+            size += width
+            image = np.hstack([np.vstack([image, np.zeros((size - image.shape[0], image.shape[1]))]), coefficients])
+        # the Laplacian of the first ``inner`` columns is the whole basis times ``image``; the
+        # basis loses some orthogonality on the way, so its own products enter the problem
+        inner = size - width
+        basis = cut(basis.select("gene", F.slice("vx", 1, inner).alias("vx"), F.slice("vy", 1, inner).alias("vy")))
+        mass = _inner_products(basis, inner)
+        roots, turn = np.linalg.eigh((mass + mass.T) / 2)
+        good = roots > 1e-10 * roots.max()
+        white = turn[:, good] / np.sqrt(roots[good])
+        stiff = mass @ image[:inner]
+        values, vectors = np.linalg.eigh(white.T @ ((stiff + stiff.T) / 2) @ white)
+        chosen = white @ vectors[:, :width]
+        eigenvalues = values[:dims]
+        errors = np.linalg.norm(image[inner:] @ chosen[:, :dims], axis=0)
+        block = cut(_combine(basis, np.ascontiguousarray(chosen)))
         if errors.max() <= tolerance * max(abs(values[-1]), 1.0):
             break
-        block = ritz.select("side", "gene", F.col("v").alias("y"))
-    at = ritz.select("side", "gene", F.slice("v", 1, dims).alias("v"))
-    left = at.where("side = 0").select("gene", F.col("v").alias("x"))
-    right = at.where("side = 1").select("gene", F.col("v").alias("y"))
-    return left.join(right, "gene"), eigenvalues, errors
+    positions = block.select("gene", F.slice("vx", 1, dims).alias("x"), F.slice("vy", 1, dims).alias("y"))
+    return positions, eigenvalues, errors
 
 
 def align_several(pairs: dict[str, tuple[DataFrame, DataFrame]], **options) -> DataFrame:

@@ -447,10 +447,10 @@ SELECT dataset, collection, set_name, gene, rank, {six('before')} AS before, {si
 FROM {running('hits', 'dataset, collection, set_name')}"""
 LEADING = f"""curve AS (SELECT * FROM {running('hits', 'dataset, collection, set_name')}),
 tops AS (SELECT *, max(round(score, 9)) OVER (PARTITION BY dataset, collection, set_name) AS top FROM curve),
-peaks AS (SELECT dataset, collection, set_name, min(rank) FILTER (round(score, 9) = top) AS at FROM tops GROUP BY 1, 2, 3),
+peaks AS (SELECT dataset, collection, set_name, min(rank) FILTER (round(score, 9) = top) AS peak_rank FROM tops GROUP BY 1, 2, 3),
 edge_genes AS (
   SELECT dataset, collection, set_name, string_agg(gene, '|' ORDER BY rank) AS leading_edge_text
-  FROM curve JOIN peaks USING (dataset, collection, set_name) WHERE rank <= at GROUP BY 1, 2, 3)"""
+  FROM curve JOIN peaks USING (dataset, collection, set_name) WHERE rank <= peak_rank GROUP BY 1, 2, 3)"""
 ORACLE["leading_edge"] = f"WITH {RANKS}, {LEADING} SELECT * FROM edge_genes"
 GSEA = f"""{RANKS},
 es AS (SELECT dataset, collection, set_name, size, round(max(score), 9) AS es FROM {running('hits', 'dataset, collection, set_name')} GROUP BY ALL),
