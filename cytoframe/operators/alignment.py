@@ -135,10 +135,11 @@ def manifold_align(
         rows = cut(rows.select("gene", F.concat(one, "vx").alias("vx"), F.concat(one, "vy").alias("vy")))
         held, total = fixed + 1, fixed + 1 + width
         g = _inner_products(rows, total)
-        old = np.linalg.solve(g[:held, :held], g[:held, held:])
+        old = np.linalg.pinv(g[:held, :held], rcond=1e-12, hermitian=True) @ g[:held, held:]
         left = g[held:, held:] - g[held:, :held] @ old
         values, rotation = np.linalg.eigh((left + left.T) / 2)
-        usable = values > 1e-20 * max(values.max(), 1e-300)
+        # directions the earlier columns already span are rounding noise: leave them empty
+        usable = values > 1e-13 * max(np.diag(g)[held:].max(), 1e-300)
         scale = np.where(usable, 1 / np.sqrt(np.where(usable, values, 1)), 0.0)
         step = np.zeros((total, total))
         step[:held, :held] = np.eye(held)

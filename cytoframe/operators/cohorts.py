@@ -121,8 +121,8 @@ def depletion_dims(expr: DataFrame, members: DataFrame, cohorts: Sequence[str])
     Genes stay those of the full matrix: depletion reuses its gene list.
     """
     present = expr.select("cell_id").distinct()
-    dims = matrix_dims(expr)
-    genes, cells = dims.select("genes").scalar(), dims.select("cells").scalar()
+    dims = matrix_dims(expr).select(F.struct("genes", "cells")).scalar()
+    genes, cells = dims["genes"], dims["cells"]
     listed = expr.sparkSession.createDataFrame([(c,) for c in cohorts], "cohort string")
     removed = (
         members.where(F.col("cohort").isin(list(cohorts)))

@@ -30,11 +30,13 @@ def rank_genes(diffreg: DataFrame) -> DataFrame:
 
 
 def ranked(ranks: DataFrame) -> DataFrame:
-    """Add ``rank`` (1 = greatest stat) and ``universe`` (genes of the dataset)."""
+    """Add ``rank`` (1 = greatest stat) and ``universe`` (genes of the dataset); the result is stored."""
+    ranks = cut(ranks)
     sizes = ranks.groupBy("dataset").agg(F.count(F.lit(1)).alias("universe"))
-    return with_running(ranks, ["dataset"], "stat", ties=["gene"], sums={"rank": F.lit(1)}, descending=True).join(
-        sizes, "dataset"
+    placed = with_running(
+        ranks, ["dataset"], "stat", ties=["gene"], sums={"rank": F.lit(1)}, descending=True, stored=True
     )
+    return cut(placed.join(sizes, "dataset"))
 
 
 def set_sizes(ranks: DataFrame, gene_sets: DataFrame, min_size: int = 1, max_size: int = 500) -> DataFrame:
@@ -139,7 +141,7 @@ def gsea(
     max_size: int = 500,
 ) -> DataFrame:
     """(dataset, collection, set_name, size, es, nes, p_value, p_adj) against random sets of equal size."""
-    ordered = cut(ranked(ranks))
+    ordered = ranked(ranks)
     scores = enrichment_scores(set_hits(ordered, gene_sets, min_size, max_size)).drop("universe")
     sizes = scores.select("dataset", "size").distinct()
     null = null_scores(ordered, sizes, permutations, seed, max_size)
@@ -184,7 +186,7 @@ def conditional_enrichment(
     among A's genes inside. Null sets come from the same hashed order, restricted to the
     universe, and are shared by all B of one size.
     """
-    ordered = cut(ranked(ranks))
+    ordered = ranked(ranks)
     hits = cut(set_hits(ordered, gene_sets, 1, max_size).select("dataset", "set_name", "gene", "stat", "rank", "universe", "size"))
     a = hits.select(
         "dataset", F.col("set_name").alias("set_a"), "gene", F.col("rank"), F.col("size").alias("size_a")

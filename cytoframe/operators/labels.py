@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.columns import join_null_safe, strict_mean
+from cytoframe.functions.lineage import cut
 from cytoframe.functions.ordered import percentile_columns
 
 UNCERTAIN = "uncertain"
@@ -62,6 +63,7 @@ def score_order(cells: DataFrame, label: str, score: str) -> DataFrame:
 
 def box_stats(cells: DataFrame, label: str, score: str) -> DataFrame:
     """Quartiles and whisker ends (most extreme values within 1.5 IQR) per label."""
+    cells = cut(cells.select(label, score))
     quartiles = percentile_columns(cells, [label], score, {"q1": 0.25, "med": 0.5, "q3": 0.75})
     fences = quartiles.withColumns(
         {
@@ -136,8 +138,10 @@ def attach_metadata(layout: DataFrame, metadata: DataFrame, key: str = "cell_id"
 def marker_by_label(expr: DataFrame, cells: DataFrame, gene: str, label: str) -> DataFrame:
     """Distribution of one gene per label over all cells; an absent entry counts as zero."""
     levels = expr.where(F.col("gene") == gene).select("cell_id", "value")
-    filled = cells.select("cell_id", label).join(levels, "cell_id", "left").withColumn(
-        "value", F.coalesce("value", F.lit(0.0))
+    filled = cut(
+        cells.select("cell_id", label)
+        .join(levels, "cell_id", "left")
+        .select(label, F.coalesce("value", F.lit(0.0)).alias("value"))
     )
     quartiles = percentile_columns(filled, [label], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75})
     totals = filled.groupBy(label).agg(

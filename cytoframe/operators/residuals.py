@@ -36,13 +36,13 @@ def analytic_model(expr: DataFrame, theta: float = 100.0) -> DataFrame:
     )
 
 
-def _tiles(expr: DataFrame, model: DataFrame, reduce_tile, schema: T.StructType) -> DataFrame:
+def _tiles(expr: DataFrame, depths: DataFrame, model: DataFrame, reduce_tile, schema: T.StructType) -> DataFrame:
     """Run ``reduce_tile(genes, cells, residuals)`` on every tile.
 
     ``genes`` are the tile's model rows, ``cells`` its (cell_id, depth) rows; ``residuals``
     is the dense genes x cells array, clipped at the square root of the number of cells.
+    ``depths`` and ``model`` are read several times and should be stored tables.
     """
-    depths = cell_depths(expr)
     cells = depths.select(F.count(F.lit(1))).scalar()
     genes = model.select(F.count(F.lit(1))).scalar()
     gene_blocks = F.greatest(F.lit(1), F.ceil(genes / GENE_BLOCK))
@@ -78,7 +78,7 @@ def _tiles(expr: DataFrame, model: DataFrame, reduce_tile, schema: T.StructType)
     return tagged.groupBy("gb", "cb").applyInPandas(run, schema)
 
 
-def gene_residual_moments(expr: DataFrame, model: DataFrame) -> DataFrame:
+def gene_residual_moments(expr: DataFrame, model: DataFrame, depths: DataFrame | None = None) -> DataFrame:
     """Per gene: number of cells, mean and sample variance of the residuals."""
     schema = T.StructType(
         [
@@ -94,7 +94,9 @@ def gene_residual_moments(expr: DataFrame, model: DataFrame) -> DataFrame:
             {"gene": genes["gene"], "_n": len(cells), "_s": residuals.sum(1), "_ss": (residuals * residuals).sum(1)}
         )
 
-    summed = _tiles(expr, model.select("gene", "b0", "b1", "theta"), moments, schema).groupBy("gene").agg(
+    stored = cut(model.select("gene", "b0", "b1", "theta"))
+    depths = cut(cell_depths(expr)) if depths is None else depths
+    summed = _tiles(expr, depths, stored, moments, schema).groupBy("gene").agg(
         F.sum("_n").alias("n"), F.sum("_s").alias("_s"), F.sum("_ss").alias("_ss")
     )
     mean = F.col("_s") / F.col("n")
@@ -111,9 +113,12 @@ def pearson_residuals(expr: DataFrame, model: DataFrame, center: bool = True) ->
 
     Centring takes a second pass over the tiles instead of storing the dense matrix.
     """
-    model = model.select("gene", "b0", "b1", "theta")
-    means = gene_residual_moments(expr, model).select("gene", F.col("mean").alias("shift"))
-    shifted = model.join(means, "gene") if center else model.withColumn("shift", F.lit(0.0))
+    model, depths = cut(model.select("gene", "b0", "b1", "theta")), cut(cell_depths(expr))
+    if center:
+        means = gene_residual_moments(expr, model, depths).select("gene", F.col("mean").alias("shift"))
+        shifted = cut(model.join(means, "gene"))
+    else:
+        shifted = model.withColumn("shift", F.lit(0.0))
     schema = T.StructType(
         [T.StructField("gene", T.StringType()), expr.schema["cell_id"], T.StructField("residual", T.DoubleType())]
     )
@@ -128,7 +133,7 @@ def pearson_residuals(expr: DataFrame, model: DataFrame, center: bool = True) ->
             }
         )
 
-    return _tiles(expr, shifted, flatten, schema)
+    return _tiles(expr, depths, shifted, flatten, schema)
 
 
 def variable_features(expr: DataFrame, model: DataFrame, reference_genes: DataFrame, n: int = 3000) -> DataFrame:
@@ -159,8 +164,8 @@ def project(expr: DataFrame, model: DataFrame, loadings: DataFrame, dims: int, c
             {"cell_id": cells["cell_id"], "part": list(residuals.T @ np.stack(genes["loading"].to_numpy()).astype(float))}
         )
 
-    weighted = model.select("gene", "b0", "b1", "theta").join(per_gene, "gene")
-    out = _tiles(expr, weighted, multiply, schema).groupBy("cell_id").agg(array_of_sums(F.col("part"), dims).alias("v"))
+    weighted = cut(model.select("gene", "b0", "b1", "theta").join(per_gene, "gene"))
+    out = _tiles(expr, cut(cell_depths(expr)), weighted, multiply, schema).groupBy("cell_id").agg(array_of_sums(F.col("part"), dims).alias("v"))
     if not center:
         return out
     out = cut(out)

@@ -603,8 +603,8 @@ def cell_subsamples(spark, sf_dir):
 
 
 def _whole_moments(spark, sf_dir):
-    expr = _stored_expr(spark, sf_dir).withColumn("net", F.lit("ALL"))
-    return network.pair_moments(expr, fx.cells(spark, sf_dir).select(F.lit("ALL").alias("net"), "cell_id"))
+    expr = cut(fx.expr(spark, sf_dir).withColumn("net", F.lit("ALL")))
+    return network.pair_moments(expr, cut(fx.cells(spark, sf_dir).select(F.lit("ALL").alias("net"), "cell_id")))
 
 
 @query
@@ -681,11 +681,13 @@ def depletion_contrasts(spark, sf_dir):
 
 def _positions(spark, sf_dir) -> DataFrame:
     vectors = fx.vectors(spark, sf_dir)
-    return vectors.select(
-        F.lit("vectors").alias("dataset"),
-        F.col("cell_id").cast("string").alias("gene"),
-        F.slice("v", 1, 32).alias("x"),
-        F.slice("v", 33, 32).alias("y"),
+    return cut(
+        vectors.select(
+            F.lit("vectors").alias("dataset"),
+            F.col("cell_id").cast("string").alias("gene"),
+            F.slice("v", 1, 32).alias("x"),
+            F.slice("v", 33, 32).alias("y"),
+        )
     )
 
 

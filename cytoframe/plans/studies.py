@@ -90,10 +90,10 @@ def depletion_study(
     expr: DataFrame, cells: DataFrame, members: DataFrame, cohorts: Sequence[str], quantile: float = 0.95
 ) -> DataFrame:
     """Correlation networks of all cells against each depleted matrix: (net, gene, distance, edges)."""
-    whole_expr = expr.withColumn("net", F.lit("ALL"))
-    whole = cut(network.pair_moments(whole_expr, cells.select(F.lit("ALL").alias("net"), "cell_id")))
+    whole_expr = cut(expr.withColumn("net", F.lit("ALL")))
+    whole = cut(network.pair_moments(whole_expr, cut(cells.select(F.lit("ALL").alias("net"), "cell_id"))))
     listed = members.where(F.col("cohort").isin(list(cohorts))).select(F.col("cohort").alias("net"), "cell_id").distinct()
-    listed = listed.join(cells.select("cell_id"), "cell_id", "left_semi")
+    listed = cut(listed.join(cells.select("cell_id"), "cell_id", "left_semi"))
     removed = cut(network.pair_moments(expr.join(listed, "cell_id"), listed))
     depleted = network.correlation(network.without_cohorts(whole, removed, cohorts))
     full = network.strongest_edges(network.correlation(whole), quantile)
