@@ -8,6 +8,7 @@ pair and cell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -82,23 +83,28 @@ def cell_subsamples(cells: DataFrame, replicates: int = 10, size: int = 500, see
 # ---- second moments -------------------------------------------------------------------
 
 
-def _blocks(expr: DataFrame, column: str, size: int):
-    # an estimate is enough: it only sizes the tiles
-    return F.greatest(F.lit(1), expr.select(F.ceil(F.approx_count_distinct(column) / size).cast("int")).scalar())
+def _grid(expr: DataFrame) -> tuple[int, int]:
+    """Numbers of gene and cell blocks. Two estimated counts are enough, they only size the tiles.
+
+    Cells of a small table are cut finer, so that every core gets a tile.
+    """
+    genes, cells = expr.agg(F.approx_count_distinct("gene"), F.approx_count_distinct("cell_id")).first()
+    cores = expr.sparkSession.sparkContext.defaultParallelism
+    finer = min(cores, math.ceil(16 * cells / CELL_BLOCK))
+    return max(1, math.ceil(genes / GENE_BLOCK)), max(1, finer, math.ceil(cells / CELL_BLOCK))
 
 
 def gene_products(expr: DataFrame) -> DataFrame:
     """(net, g1, g2, sxy) with sxy = sum over cells of value1 * value2, every pair g1 <= g2 of a net."""
-    gene_blocks = _blocks(expr, "gene", GENE_BLOCK)
-    cell_blocks = _blocks(expr, "cell_id", CELL_BLOCK)
-    gb = F.pmod(F.xxhash64("gene"), gene_blocks).cast("int")
+    gene_blocks, cell_blocks = _grid(expr)
+    gb = F.pmod(F.xxhash64("gene"), F.lit(gene_blocks)).cast("int")
     entries = expr.select("net", "gene", "cell_id", "value").withColumns(
-        {"gb": gb, "cb": F.pmod(F.xxhash64("cell_id"), cell_blocks).cast("int")}
+        {"gb": gb, "cb": F.pmod(F.xxhash64("cell_id"), F.lit(cell_blocks)).cast("int")}
     )
     # every gene shows up in the first cell block, so pairs that never meet are kept with sum 0
     present = expr.select("net", "gene").distinct().withColumns({"gb": gb, "cb": F.lit(0)})
     rows = entries.unionByName(present, allowMissingColumns=True)
-    left = rows.withColumn("b2", F.explode(F.sequence(F.col("gb"), gene_blocks - 1))).withColumnRenamed("gb", "b1")
+    left = rows.withColumn("b2", F.explode(F.sequence(F.col("gb"), F.lit(gene_blocks - 1)))).withColumnRenamed("gb", "b1")
     right = rows.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("gb")))).withColumnRenamed("gb", "b2")
     schema = T.StructType(
         [
@@ -251,7 +257,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
     """
     net = samples.schema["net"]
     sizes = samples.groupBy("net").agg(F.count(F.lit(1)).alias("n"))
-    blocks = _blocks(expr, "gene", GENE_BLOCK)
+    blocks, _ = _grid(expr)
     sparse = (
         expr.join(samples, "cell_id")
         .groupBy("net", "gene")
@@ -274,7 +280,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
             yield out[out["x"].notna()]
 
     genes = cut(
-        sparse.mapInPandas(standardise, profile).withColumn("gb", F.pmod(F.xxhash64("gene"), blocks).cast("int"))
+        sparse.mapInPandas(standardise, profile).withColumn("gb", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"))
     )
     gram_row = T.StructType([net, T.StructField("i", T.IntegerType()), T.StructField("row", array)])
 
@@ -291,7 +297,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
         .applyInPandas(partial_gram, gram_row)
         .groupBy("net", "i")
         .applyInPandas(add_rows, gram_row)
-        .withColumn("gb", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
     solved = T.StructType([net, T.StructField("gene", T.StringType()), T.StructField("z", array)])
 
@@ -304,10 +310,10 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
 
     targets = (
         cogrouped(genes, gram, ["net", "gb"]).applyInPandas(solve, solved)
-        .withColumn("b2", F.pmod(F.xxhash64("gene"), blocks).cast("int"))
-        .withColumn("b1", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("b2", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"))
+        .withColumn("b1", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
-    sources = genes.withColumnRenamed("gb", "b1").withColumn("b2", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sources = genes.withColumnRenamed("gb", "b1").withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     edge = T.StructType(
         [net, T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("w", T.DoubleType())]
     )

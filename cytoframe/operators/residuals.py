@@ -10,6 +10,8 @@ mu + mu^2 / theta.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,20 +45,18 @@ def _tiles(expr: DataFrame, depths: DataFrame, model: DataFrame, reduce_tile, sc
     is the dense genes x cells array, clipped at the square root of the number of cells.
     ``depths`` and ``model`` are read several times and should be stored tables.
     """
-    cells = depths.select(F.count(F.lit(1))).scalar()
-    genes = model.select(F.count(F.lit(1))).scalar()
-    gene_blocks = F.greatest(F.lit(1), F.ceil(genes / GENE_BLOCK))
-    cell_blocks = F.greatest(F.lit(1), F.ceil(cells / CELL_BLOCK))
-    gb = F.pmod(F.xxhash64("gene"), gene_blocks).cast("int")
-    cb = F.pmod(F.xxhash64("cell_id"), cell_blocks).cast("int")
-    every_gb = F.explode(F.sequence(F.lit(0), (gene_blocks - 1).cast("int")))
-    every_cb = F.explode(F.sequence(F.lit(0), (cell_blocks - 1).cast("int")))
+    cells, genes = depths.count(), model.count()
+    gene_blocks, cell_blocks = max(1, math.ceil(genes / GENE_BLOCK)), max(1, math.ceil(cells / CELL_BLOCK))
+    gb = F.pmod(F.xxhash64("gene"), F.lit(gene_blocks)).cast("int")
+    cb = F.pmod(F.xxhash64("cell_id"), F.lit(cell_blocks)).cast("int")
+    every_gb = F.explode(F.sequence(F.lit(0), F.lit(gene_blocks - 1)))
+    every_cb = F.explode(F.sequence(F.lit(0), F.lit(cell_blocks - 1)))
     extra = [c for c in model.columns if c not in ("gene", "b0", "b1", "theta")]
     entries = expr.join(model.select("gene"), "gene", "left_semi").select(
         gb.alias("gb"), cb.alias("cb"), "gene", "cell_id", "value"
     )
     model_rows = model.select(
-        gb.alias("gb"), every_cb.alias("cb"), "gene", "b0", "b1", "theta", F.sqrt(cells.cast("double")).alias("clip"), *extra
+        gb.alias("gb"), every_cb.alias("cb"), "gene", "b0", "b1", "theta", F.lit(math.sqrt(cells)).alias("clip"), *extra
     )
     cell_rows = depths.select(every_gb.alias("gb"), cb.alias("cb"), "cell_id", "depth")
     tagged = entries.unionByName(cell_rows, allowMissingColumns=True).unionByName(model_rows, allowMissingColumns=True)
