@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cytoframe.functions.columns import not_in_keep_null, remove_first, replace_first, rounded
 from cytoframe.functions.lineage import cut, scratch_path
-from cytoframe.functions.ordered import bh_adjust
+from cytoframe.functions.ordered import bh_adjust, with_running
 from cytoframe.operators import (
     cohorts,
     composition,
@@ -175,9 +175,8 @@ def knn_partitioned(spark, sf_dir):
 def remap_neighbors(spark, sf_dir):
     query_side, reference = _query_and_reference(spark, sf_dir)
     # positions as a neighbour index would return them, with the original ids in the metadata
-    spots = reference.select("ref_id", "v", F.lit(1).alias("one"))
-    placed = spots.withColumn("position", F.row_number().over(Window.partitionBy("one").orderBy("ref_id")))
-    placed = cut(placed.select("position", "ref_id", "v"))
+    spots = reference.withColumn("table", F.lit(1))
+    placed = cut(with_running(spots, ["table"], "ref_id", sums={"position": F.lit(1)}).select("position", "ref_id", "v"))
     near = neighbors.knn(query_side, placed.select(F.col("position").alias("ref_id"), "v"), 20)
     return _six(neighbors.remap_neighbors(near, placed.withColumnRenamed("ref_id", "original"), "position", "original"))
 
@@ -435,8 +434,8 @@ def mapping_score(spark, sf_dir):
 def reference_mapping(spark, sf_dir):
     expr = _stored_expr(spark, sf_dir)
     cells = fx.cells(spark, sf_dir)
-    is_query = F.col("cluster") % 5 == 0
-    # one fifth of the clusters is mapped onto the other four fifths
+    # the cells of one region are mapped onto the cells of all others
+    is_query = F.col("disease") == "ASIA"
     side = cells.select("cell_id", is_query.alias("q"))
     query_expr = reshape.keep_cells(expr, side.where("q"))
     reference_expr = reshape.keep_cells(expr, side.where("NOT q"))

@@ -158,3 +158,8 @@ def test_differential_regulation_p(spark):
     rows = network.differential_regulation(spark.createDataFrame(d)).toPandas().sort_values("distance")
     assert abs(rows["z"].mean()) < 1e-9 and rows["z"].std() == pytest.approx(1) and rows["z"].is_monotonic_increasing
     assert (rows["p_adj"] >= rows["p_value"] - 1e-12).all() and rows["p_value"].is_monotonic_decreasing
+
+
+def test_knockout_removes_outgoing_edges_only(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), ("b", "c", 3.0)], "src string, dst string, w double")
+    assert {(r.src, r.dst) for r in network.virtual_knockout(edges, ["a"]).collect()} == {("b", "a"), ("b", "c")}

@@ -51,7 +51,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["composition_ttest", "gene_correlation", "gsea_permutation", "score_box_stats", "transfer_labels"])
+@pytest.mark.parametrize("name", ["composition_ttest", "gene_correlation", "score_box_stats"])
 def test_partition_count_does_not_matter(spark, sf_dir, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     seen = []
