@@ -65,7 +65,7 @@ def _members(spark, sf_dir, expr: DataFrame | None = None) -> DataFrame:
     )
     expr = fx.expr(spark, sf_dir) if expr is None else expr
     markers = cohorts.marker_positive(expr, {"CD20": fx.MARKER, "CD69": fx.SECOND_MARKER}).select("cohort", "cell_id")
-    base = clusters.unionByName(markers)
+    base = cut(clusters.unionByName(markers))
     return (
         base.unionByName(cohorts.combine_cohorts(base, "B_minus_CD20", "B", "CD20", "minus"))
         .unionByName(cohorts.combine_cohorts(base, "T_and_CD69", "T", "CD69", "and"))
@@ -130,7 +130,7 @@ def prefix_cohorts(spark, sf_dir):
 
 @query
 def select_cells(spark, sf_dir):
-    expr = fx.expr(spark, sf_dir)
+    expr = _stored_expr(spark, sf_dir)
     chosen = fx.cells(spark, sf_dir).where(F.col("condition") == "BUILDING")
     layers = reshape.stack({"counts": expr, "data": network.cpm_normalize(expr)}, "layer")
     return _six(reshape.keep_cells(layers, chosen))
