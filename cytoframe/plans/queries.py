@@ -705,7 +705,7 @@ def differential_regulation_p(spark, sf_dir):
 def manifold_align(spark, sf_dir):
     edges = cut(network.strongest_edges(network.correlation(_whole_moments(spark, sf_dir)), EDGE_QUANTILE))
     changed = network.virtual_knockout(edges, [fx.MARKER])
-    positions = align_several({"knockout": (edges, changed)}, steps=8, restarts=1)
+    positions = align_several({"knockout": (edges, changed)})
     return _six(network.position_distance(positions, [fx.MARKER]))
 
 
