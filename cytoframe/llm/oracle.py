@@ -43,9 +43,9 @@ WITH RECURSIVE step AS (
 ), d AS (
   SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
 ), b AS (
-  SELECT n, list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' ')[1:octet_length(encode(text))], x -> CAST('0x' || x AS BIGINT)) AS bytes FROM d
+  SELECT n, list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' ')[1:octet_length(encode(text))], lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d
 ), c AS (
-  SELECT n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), (a, x) -> xor(t[1 + (xor(a, x) & 255)], a >> 8)), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM b, crc
+  SELECT n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(t[1 + (xor(a, x) & 255)], a >> 8)), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM b, crc
 ), r AS (
   SELECT n, doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, md5(text) AS key,
     sum(octet_length(encode(text)) + 1) OVER (ORDER BY md5(text), doc_id, n ROWS UNBOUNDED PRECEDING) AS till,
