@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import mixing, sharding
+from cytoframe.llm import mixing, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def vocabulary() -> str:
+    """The ranks file of the vocabulary of byte_bpe_50k.json."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op2_vector_best_fit(spark, sf_dir):
+    """All documents packed into sequences of 1024 tokens."""
+    packed = packing.pack_documents(_documents(spark, sf_dir), vocabulary())
+    return packed.drop("row")
+
+
 @query
 def op9_sampled_splitters(spark, sf_dir):
     """All documents in eight shards of near-equal bytes; equal texts lie side by side."""
