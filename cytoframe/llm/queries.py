@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import mixing, packing, sharding
+from cytoframe.llm import language, mixing, packing, repetition, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def crc_of(column: str) -> Column:
+    """crc32 of a value as text; a null counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+@query
+def op1_suffix_repetition(spark, sf_dir):
+    """Repetition measures and verdict of every document."""
+    ruled = repetition.repetition_rules(_documents(spark, sf_dir).select("doc_id", "text"))
+    return ruled.select("doc_id", "repetition.*")
+
+
 def vocabulary() -> str:
     """The ranks file of the vocabulary of byte_bpe_50k.json."""
     import public_tokenizers
@@ -41,6 +53,16 @@ def op2_vector_best_fit(spark, sf_dir):
     return packed.drop("row")
 
 
+@query
+def op8_compression(spark, sf_dir):
+    """Language of every document, learned from three quarters of them."""
+    docs = _documents(spark, sf_dir).withColumn("held_out", crc_of("doc_id") % 4 == 2)
+    labelled = docs.where(~F.col("held_out")).select("text", "lang", "doc_id")
+    dictionaries = language.learn_dictionaries(labelled, F.xxhash64("doc_id"))
+    found = language.identify(docs.select("doc_id", "held_out", "text"), dictionaries)
+    return found.select("doc_id", "held_out", "language.*")
+
+
 @query
 def op9_sampled_splitters(spark, sf_dir):
     """All documents in eight shards of near-equal bytes; equal texts lie side by side."""

@@ -48,8 +48,11 @@ def _part_of(cuts: Column) -> Column:
 
 
 def range_partition(rows: DataFrame, limit: int) -> DataFrame:
-    """Add ``_range``: numbers in key order, each range at most ``limit`` load or a single row."""
-    ranged = rows.withColumn("_range", F.lit(0).cast("long"))
+    """Split ``_range``, one stored number for all rows, into numbers in key order.
+
+    Each range is then at most ``limit`` load or a single row.
+    """
+    ranged = rows
     while True:
         loads = ranged.groupBy("_range").agg(F.sum("load").alias("_load"), F.count(F.lit(1)).alias("_n"))
         parts = F.least(F.lit(FAN), F.ceil(F.col("_load") / (limit / 2)))
@@ -81,7 +84,7 @@ def shard_by_size(
     if taken:
         raise ValueError(f"column names already in use: {sorted(taken)}")
     rows = records.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_key"), record_id.alias("_id"), size.alias("_size"))
-    rows = cut(rows.withColumns({"_tie": F.monotonically_increasing_id(), "load": F.col("_size") + ROW_LOAD}))
+    rows = cut(rows.withColumns({"_tie": F.monotonically_increasing_id(), "load": F.col("_size") + ROW_LOAD, "_range": F.lit(0).cast("long")}))
     whole = rows.agg(F.sum("_size").alias("size"), F.sum("load").alias("load")).first()
     total = whole["size"] or 1
     limit = max(1, min(range_load, (whole["load"] or 1) // (4 * shards)))

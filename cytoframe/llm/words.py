@@ -78,15 +78,8 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def find_words(column: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; ``lower`` folds A-Z in the hashes."""
-    data, offsets = text_buffers(column)
-    solid = ~_SPACE[data]
-    after, before = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    after[1:], before[:-1] = solid[:-1], solid[1:]
-    after[offsets[:-1][offsets[:-1] < len(data)]] = False
-    before[offsets[1:][offsets[1:] > 0] - 1] = False
-    start, end = np.flatnonzero(solid & ~after), np.flatnonzero(solid & ~before) + 1
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each byte range; ranges are in order and don't overlap. An empty range hashes to one value."""
     hashes = np.empty(len(start), np.uint64)
     done = 0
     while done < len(start):
@@ -97,8 +90,21 @@ def find_words(column: pa.Array, lower: bool = False) -> Words:
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(value, out=total[1:])
         first, last = start[done:till] - low, end[done:till] - low
-        hashes[done:till] = mix((total[last] - total[first]) * _power_table("down", _INVERSE, len(part))[first])
+        hashes[done:till] = mix((total[last] - total[first]) * _power_table("down", _INVERSE, len(part) + 1)[first])
         done = till
+    return hashes
+
+
+def find_words(column: pa.Array, lower: bool = False) -> Words:
+    """Words of each text; ``lower`` folds A-Z in the hashes."""
+    data, offsets = text_buffers(column)
+    solid = ~_SPACE[data]
+    after, before = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    after[1:], before[:-1] = solid[:-1], solid[1:]
+    after[offsets[:-1][offsets[:-1] < len(data)]] = False
+    before[offsets[1:][offsets[1:] > 0] - 1] = False
+    start, end = np.flatnonzero(solid & ~after), np.flatnonzero(solid & ~before) + 1
+    hashes = hash_ranges(data, start, end, lower)
     return Words(hashes, start, end, np.searchsorted(start, offsets), data, offsets)
 
 
