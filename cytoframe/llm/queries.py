@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import language, mixing, packing, repetition, sharding
+from cytoframe.llm import language, mixing, packing, pii, repetition, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,20 @@ def op2_vector_best_fit(spark, sf_dir):
     return packed.drop("row")
 
 
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op6_contextual_pii(spark, sf_dir):
+    """Personal data in every document."""
+    found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"))
+    fixed = F.col("pii.fixed")
+    kinds = F.transform(fixed, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed(fixed), 256).alias("base_sha256"), _listed(F.col("pii.all")).alias("spans"))
+
+
 @query
 def op8_compression(spark, sf_dir):
     """Language of every document, learned from three quarters of them."""
