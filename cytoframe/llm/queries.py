@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import language, mixing, packing, pii, repetition, sharding
+from cytoframe.llm import language, mixing, ngram_lm, packing, pii, repetition, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +67,15 @@ def op6_contextual_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(_listed(fixed), 256).alias("base_sha256"), _listed(F.col("pii.all")).alias("spans"))
 
 
+@query
+def op7_kneser_ney(spark, sf_dir):
+    """Model and base score of every document, learned from nine tenths of them."""
+    docs = _documents(spark, sf_dir).withColumn("held_out", crc_of("doc_id") % 10 == 0)
+    model = ngram_lm.train(docs.where(~F.col("held_out")), F.col("text"))
+    scored = ngram_lm.perplexity(docs.select("doc_id", "held_out", "text"), model)
+    return scored.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.total).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
 @query
 def op8_compression(spark, sf_dir):
     """Language of every document, learned from three quarters of them."""
