@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import language, mixing, ngram_lm, packing, pii, repetition, sharding
+from cytoframe.llm import language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,12 @@ def op2_vector_best_fit(spark, sf_dir):
     return packed.drop("row")
 
 
+@query
+def op5_adaptive_prefix_join(spark, sf_dir):
+    """Groups of documents whose 4-word shingles are alike by 0.85 or more."""
+    return ngram_join.link_documents(_documents(spark, sf_dir))
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
