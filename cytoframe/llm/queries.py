@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding
+from cytoframe.llm import hashing, language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,28 @@ def op2_vector_best_fit(spark, sf_dir):
     return packed.drop("row")
 
 
+@query
+def op3_multi_index_hashing(spark, sf_dir):
+    """Twenty nearest of every twentieth vector."""
+    return hashing.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def learned_toxicity(spark: SparkSession, sf_dir: str) -> dict:
+    """The network, trained on labelled documents of the learning part."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    docs = _documents(spark, sf_dir).select("doc_id", "text").where(crc_of("doc_id") % 3 != 1)
+    return toxicity.learn(docs.join(labels, "doc_id"), F.xxhash64("doc_id"))
+
+
+@query
+def op4_recurrent_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from two thirds of the labels."""
+    docs = _documents(spark, sf_dir).select("doc_id", (crc_of("doc_id") % 3 == 1).alias("held_out"), "text")
+    scored = toxicity.score_toxicity(docs, learned_toxicity(spark, sf_dir))
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.col("toxicity.window").alias("window"))
+
+
 @query
 def op5_adaptive_prefix_join(spark, sf_dir):
     """Groups of documents whose 4-word shingles are alike by 0.85 or more."""
