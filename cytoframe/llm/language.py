@@ -90,7 +90,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
     Each whole text, in pieces of at most ``PIECE_CHARS`` so that the dictionary weighs more than what a text
     repeats of itself, is encoded with each dictionary. The smallest sum wins, ties by name. A text that is null
     or has no letter is ``und``, as is everything if nothing was learned. ``rejected`` marks margins
-    below ``margin``; the best guess stays in ``lang_pred``.
+    below ``margin``; the best guess stays in ``lang_pred``. A column named language is replaced.
     """
     detail = T.StructType([T.StructField(n, t) for n, t in [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType()), ("rejected", T.BooleanType())]])
 

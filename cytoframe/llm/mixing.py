@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.lineage import cut
+from cytoframe.llm.columns import without
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -56,7 +57,7 @@ def mix(docs: DataFrame, source: Column, size: Column, doc_id: Column, seed: int
     ``copies`` is the whole part of the source's rate plus one more with the fraction as its
     probability, by a coin fixed by seed and doc_id: reruns agree, rows that share an id share
     the coin. A null source is a source of its own; rows of size 0 get copies by the same rule.
-    Sources are few beside rows: their table is one row per source, aggregated before it moves.
+    A column named mixing is replaced. Sources are few beside rows: their table is one row per source, aggregated before it moves.
     """
     key = F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name"))
     sizes = docs.groupBy(source.alias("source")).agg(F.sum(size).cast("long").alias("source_size"))
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, source: Column, size: Column, doc_id: Column, seed: int
         "target",
         "rate",
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_source"), size.cast("long").alias("size"), coin(seed, doc_id).alias("_coin"))
+    own = [F.col(f"`{c}`") for c in without(docs, "mixing").columns]
+    rows = docs.select(F.struct(*own).alias("_row"), key.alias("_source"), size.cast("long").alias("size"), coin(seed, doc_id).alias("_coin"))
     extra = (F.col("_coin") < F.col("rate") - F.floor("rate")).cast("long")
     mixed = rows.join(lookup, "_source").withColumn("copies", F.floor("rate") + extra)
     return mixed.select("_row.*", F.struct("size", "source_size", "target", "rate", "copies").alias("mixing"))
@@ -75,5 +77,6 @@ def mix(docs: DataFrame, source: Column, size: Column, doc_id: Column, seed: int
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row as many times as its ``mixing.copies`` says."""
-    times = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mixing.copies").cast("int"))))
-    return times.drop("_copy", "mixing")
+    own = without(mixed, "mixing").columns
+    copy = F.explode(F.array_repeat(F.lit(0), F.col("mixing.copies").cast("int")))
+    return mixed.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), copy).select("_row.*")

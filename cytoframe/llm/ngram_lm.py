@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.lineage import scratch_path
+from cytoframe.llm.columns import without
 from cytoframe.llm.words import find_words, mix, slices
 
 BITS = 48
@@ -397,14 +398,13 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` (with ``text``) and struct ``lm``: n_tokens, n_known, base_score, score, perplexity.
 
     Scores are log10 probabilities of a text's words and its end; a null or empty text is its end alone.
-    A model of no documents spreads evenly over its one unknown token. Files are mapped, so pages are
+    A column named lm is replaced. A model of no documents spreads evenly over its one unknown token. Files are mapped, so pages are
     shared between a machine's workers and need no memory of their own.
     """
+    docs = without(docs, "lm")
     names = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
     kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([*docs.schema.fields, T.StructField("lm", T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))])
-    if "lm" in docs.columns:
-        raise ValueError("column lm is already in use")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

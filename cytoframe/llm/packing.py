@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.lineage import cut
+from cytoframe.llm.columns import fresh, without
 from cytoframe.llm.words import slices
 
 CACHED_WORDS = 300_000
@@ -179,8 +180,10 @@ def pack(pieces: DataFrame, bins: Bins = Bins(), group_pieces: int = GROUP_PIECE
     ``pieces`` is a stored table with ``row`` and ``piece`` telling its rows apart. A piece as long as
     a sequence is one by itself and doesn't move. The others are dealt by hash into groups of about
     ``group_pieces``, which may not be one per document or source, so none grows with the data; each group
-    leaves a few sequences open. An empty table gives an empty result; other columns pass through.
+    leaves a few sequences open. An empty table gives an empty result; other columns pass through, but a ``sequence_id`` or ``offset`` of theirs is replaced.
     """
+    pieces = without(pieces, "sequence_id", "offset")
+    deal = fresh(pieces, "_group")
     added = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     full = pieces.where(F.col("length") == bins.tokens).withColumns(
         {"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
@@ -191,10 +194,10 @@ def pack(pieces: DataFrame, bins: Bins = Bins(), group_pieces: int = GROUP_PIECE
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["row", "piece"], ignore_index=True)
         number, offset = best_fit(group["length"].to_numpy(), bins)
-        return group.assign(sequence_id=(int(key[0]) << 32) + number, offset=offset).drop(columns="_group")
+        return group.assign(sequence_id=(int(key[0]) << 32) + number, offset=offset).drop(columns=deal)
 
-    dealt = short.withColumn("_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("long"))
-    packed = dealt.groupBy("_group").applyInPandas(fill, added)
+    dealt = short.withColumn(deal, F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("long"))
+    packed = dealt.groupBy(deal).applyInPandas(fill, added)
     return full.select(*added.names).unionByName(packed)
 
 

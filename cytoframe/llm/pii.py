@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.lineage import cut
+from cytoframe.llm.columns import fresh, without
 from cytoframe.llm.words import find_words, mix, slices
 
 SLICE_BYTES = 4 << 20
@@ -137,25 +138,23 @@ _ARROW_MENTION = pa.list_(pa.struct([*_ARROW_SPAN.value_type, ("value", pa.strin
 
 
 def _scan(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """Rows with a row number, their fixed spans and their mentions."""
-    clash = {c.lower() for c in docs.columns} & {"_row", "_fixed", "_mentions", "pii"}
-    if clash:
-        raise ValueError(f"column names already in use: {sorted(clash)}")
-    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("_row", T.LongType()), T.StructField("_fixed", SPAN), T.StructField("_mentions", MENTION)])
+    """Each row as a struct, with a row number, its fixed spans and its mentions."""
+    kept = [F.col(f"`{c}`") for c in without(docs, "pii").columns if keep_text or c != "text"]
+    nested = docs.select(F.struct(F.lit(0).alias(fresh(docs, "_")), *kept).alias("_doc"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    schema = T.StructType([nested.schema["_doc"], T.StructField("_row", T.LongType()), T.StructField("_fixed", SPAN), T.StructField("_mentions", MENTION)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
+            for batch in slices(whole, "_text", SLICE_BYTES):
                 fixed, seen = [], []
-                for text in batch.column("text").to_pylist():
+                for text in batch.column("_text").to_pylist():
                     spans = fixed_spans(text or "")
                     fixed.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                     seen.append(mentions(text or "", spans))
-                columns = [batch.column(f.name) for f in kept] + [batch.column("_row"), pa.array(fixed, _ARROW_SPAN), pa.array(seen, _ARROW_MENTION)]
+                columns = [batch.column("_doc"), batch.column("_row"), pa.array(fixed, _ARROW_SPAN), pa.array(seen, _ARROW_MENTION)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(scan, schema)
+    return nested.mapInArrow(scan, schema)
 
 
 def _key(one: np.ndarray, two: np.ndarray | None) -> np.ndarray:
@@ -255,7 +254,8 @@ def find_pii(
     (or values already given away) must be ``min_confidence`` of all words that stand after it in the corpus. An
     identifier is a word with three digits or more outside the fixed spans; it takes the kind of its
     surest pattern. A null or empty text has no spans. Patterns are counted before they move, so
-    a frequent word is one row. Equal values share a score; repeated rows are found each by itself.
+    a frequent word is one row. Equal values share a score; repeated rows are found each by itself. A column
+    named pii is replaced.
     """
     found = cut(_scan(docs, keep_text))
     each = found.select("_row", F.explode("_mentions").alias("m")).select("_row", "m.*")
@@ -278,7 +278,7 @@ def find_pii(
     )
     everything = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     joined = found.drop("_mentions").join(given, "_row", "left")
-    return joined.withColumn("pii", F.struct(F.col("_fixed").alias("fixed"), everything.alias("all"))).drop("_row", "_fixed", "_given")
+    return joined.select("_doc.*", F.struct(F.col("_fixed").alias("fixed"), everything.alias("all")).alias("pii")).drop(fresh(docs, "_"))
 
 
 def redact(found: DataFrame) -> DataFrame:

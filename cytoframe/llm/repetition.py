@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cytoframe.llm.columns import without
 from cytoframe.llm.words import Words, find_words, hash_ranges, slices
 
 SLICE_BYTES = 2 << 20
@@ -166,13 +167,12 @@ def repetition_rules(
     prefixes in the text's suffix array; the union of their spans is ``repeat_covered`` (a share of the words), the
     longest is ``longest_repeat`` (0 if none). A text is kept if the base rules hold (50 words, at most half
     of them in repeated 3-word windows) and neither limit is exceeded. A null or empty text has zeros
-    everywhere and fails the base rule. Words are compared by 64-bit hashes. Rows stay where they
+    everywhere and fails the base rule. Words are compared by 64-bit hashes. A column named repetition is replaced. Rows stay where they
     are; texts are worked on in slices of ``SLICE_BYTES``, a longer one by itself.
     """
+    docs = without(docs, "repetition")
     detail = T.StructType([T.StructField(*f) for f in FIELDS])
     schema = T.StructType([*docs.schema.fields, T.StructField("repetition", detail)])
-    if "repetition" in docs.columns:
-        raise ValueError("column repetition is already in use")
 
     def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.lineage import cut
+from cytoframe.llm.columns import without
 
 FAN = 64
 PER_RANGE = 32
@@ -76,13 +77,10 @@ def shard_by_size(
     the records whose middle byte falls into the k-th equal share of all bytes, so two shards
     differ by no more than about one record, and records of one key stay together unless a share
     ends among them. ``size`` is a positive long. Nulls sort first; no row is lost; an empty table
-    gives an empty result; other columns pass through. Pass only the columns to keep: they move
+    gives an empty result; other columns pass through, but a ``shard`` or ``slot`` of theirs is replaced. Pass only the columns to keep: they move
     with the rows. One key with any share of the rows is cut by id and a row number of its own.
     """
-    names = records.columns
-    taken = {c.lower() for c in names} & {"shard", "slot"}
-    if taken:
-        raise ValueError(f"column names already in use: {sorted(taken)}")
+    names = without(records, "shard", "slot").columns
     rows = records.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_key"), record_id.alias("_id"), size.alias("_size"))
     rows = cut(rows.withColumns({"_tie": F.monotonically_increasing_id(), "load": F.col("_size") + ROW_LOAD, "_range": F.lit(0).cast("long")}))
     whole = rows.agg(F.sum("_size").alias("size"), F.sum("load").alias("load")).first()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoframe.llm.columns import without
 from cytoframe.llm.words import Words, find_words, mix, runs, slices
 
 WINDOW, STRIDE = 48, 36
@@ -306,12 +307,11 @@ def score_toxicity(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame
     """Rows of ``docs`` (with ``text``) and struct ``toxicity``: score (0 to 1, five places) and window (its first word).
 
     Every window of ``WINDOW`` words, ``STRIDE`` apart, is scored; the highest counts. A null text or one
-    without words gets what the network gives no evidence. Rows stay where they are.
+    without words gets what the network gives no evidence. A column named toxicity is replaced. Rows stay where they are.
     """
+    docs = without(docs, "toxicity")
     detail = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("window", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", detail)])
-    if "toxicity" in docs.columns:
-        raise ValueError("column toxicity is already in use")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
