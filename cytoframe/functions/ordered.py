@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoframe.functions.columns import join_null_safe
+from cytoframe.functions.columns import join_null_safe, nan_to_null
 from cytoframe.functions.lineage import cut
 
 
@@ -27,13 +27,13 @@ def exact_percentiles(
     """Linear-interpolated percentiles: one row (keys, prob, quantile, n) per prob.
 
     A bounded-size sketch brackets each target rank; the rows inside the bracket are then
-    counted per distinct value and the exact rank is read off. The sketch's rank error is
+    counted per distinct value and the exact rank is read off. NULL and NaN values don't count. The sketch's rank error is
     at most n / accuracy, the bracket is four times that wide, so the target is always
     inside. Groups of at most ``accuracy`` rows take the bracket (-inf, inf).
     """
     keys = list(keys)
     slack = 4.0 / accuracy
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    rows = df.select(*keys, nan_to_null(F.col(value).cast("double")).alias("_value")).where(F.col("_value").isNotNull())
     lows = [max(p - slack, 0.0) for p in probs]
     highs = [min(p + slack, 1.0) for p in probs]
     sketch = rows.groupBy(*keys).agg(
@@ -149,7 +149,7 @@ def with_running(
 def bh_adjust(
     df: DataFrame, keys: Sequence[str], p: str = "p_value", out: str = "p_adj", bins: int = 256
 ) -> DataFrame:
-    """Benjamini-Hochberg adjustment within ``keys``; a NULL p stays NULL and is not counted.
+    """Benjamini-Hochberg adjustment within ``keys``; a NULL or NaN p comes out NULL and is not counted.
 
     Tied p values share one adjusted value, so the work runs on distinct p values. They are
     cut into ranges of p^(1/4), which spreads small values: a range starts from the rank
@@ -157,7 +157,7 @@ def bh_adjust(
     joining the result back on p meets the very same doubles.
     """
     keys = list(keys)
-    df = cut(df)
+    df = cut(df.withColumn(p, nan_to_null(p)))
     slot = F.least(F.lit(bins - 1), F.floor(F.sqrt(F.sqrt(F.greatest(F.col(p), F.lit(0.0)))) * bins)).cast("int")
     distinct = cut(
         df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c")).withColumn("_slot", slot)

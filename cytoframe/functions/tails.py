@@ -47,10 +47,46 @@ def t_two_sided(t, df):
     )
 
 
+def gamma_upper(a, x):
+    """Regularised upper incomplete gamma Q(a, x): series below a + 1, continued fraction above."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    z = np.maximum(x, 1e-300)
+    front = np.exp(-z + a * np.log(z) - _lgamma(a))
+    term = total = 1 / a
+    for n in range(1, 2000):
+        term = term * np.where(z < a + 1, z, 0.0) / (a + n)
+        total = total + term
+        if not (term > 1e-17 * total).any():
+            break
+    tiny = 1e-300
+    b = np.where(z < a + 1, a + 2, z) + 1 - a
+    c, d = np.full_like(b, 1 / tiny), 1 / b
+    h = d.copy()
+    for n in range(1, 2000):
+        step = n * (a - n)
+        b = b + 2
+        d = step * d + b
+        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+        c = b + step / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        h = h * d * c
+        if not (np.abs(d * c - 1) > 1e-15).any():
+            break
+    out = np.where(z < a + 1, 1 - front * total, front * h)
+    return np.clip(np.where(x <= 0, 1.0, out), 0.0, 1.0)
+
+
+def chisq1_upper(x):
+    """Upper tail of chi-square with one degree of freedom."""
+    return _erfc(np.sqrt(np.asarray(x, float) / 2))
+
+
 def f_upper(f, df1, df2):
-    f, df1, df2 = (np.asarray(v, float) for v in (f, df1, df2))
-    bounded = np.where(np.isfinite(df2), df2, 1e8)
-    return beta_tail(bounded / 2, df1 / 2, bounded / (bounded + df1 * f))
+    """Upper tail of F; infinite second degrees of freedom give the chi-square limit."""
+    f, df1, df2 = np.broadcast_arrays(*(np.asarray(v, float) for v in (f, df1, df2)))
+    finite = np.isfinite(df2)
+    bounded = np.where(finite, df2, 1.0)
+    return np.where(finite, beta_tail(bounded / 2, df1 / 2, bounded / (bounded + df1 * f)), gamma_upper(df1 / 2, df1 * f / 2))
 
 
 def digamma(x):
@@ -103,8 +139,7 @@ def f_upper_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def chisq1_upper_p(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom."""
-    return _nullable(_erfc(np.sqrt(x.fillna(0).to_numpy() / 2)), x)
+    return _nullable(chisq1_upper(x.fillna(0)), x)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -122,20 +157,24 @@ def trigamma_inverse_udf(y: pd.Series) -> pd.Series:
     return _nullable(trigamma_inverse(y.fillna(1)), y)
 
 
-def hypergeometric_upper(k: int, size: int, drawn: int, universe: int) -> float:
-    """P(overlap >= k) when ``drawn`` genes are taken from ``universe`` holding ``size`` marked ones."""
+def hypergeometric_upper(k, size, drawn, universe):
+    """P(overlap >= k) when ``drawn`` genes are taken from ``universe`` holding ``size`` marked ones, for whole columns."""
+    k, size, drawn, universe = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, np.int64)) for v in (k, size, drawn, universe)))
+    if not len(k):
+        return np.zeros(0)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, universe.max() + 1)))])
+
     def ln_choose(n, r):
-        return math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
+        return log_factorial[n] - log_factorial[r] - log_factorial[n - r]
 
-    low, high = max(k, drawn - (universe - size), 0), min(size, drawn)
-    whole = ln_choose(universe, drawn)
-    terms = [ln_choose(size, i) + ln_choose(universe - size, drawn - i) - whole for i in range(low, high + 1)]
-    return min(1.0, math.fsum(math.exp(t) for t in terms))
+    low = np.maximum.reduce([k, drawn - (universe - size), np.zeros_like(k)])
+    terms = np.maximum(0, np.minimum(size, drawn) - low + 1)
+    row = np.repeat(np.arange(len(k)), terms)
+    overlap = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(terms) - terms, terms)
+    ln = ln_choose(size[row], overlap) + ln_choose((universe - size)[row], drawn[row] - overlap) - ln_choose(universe[row], drawn[row])
+    return np.minimum(1.0, np.bincount(row, np.exp(ln), len(k)))
 
 
 @F.pandas_udf(T.DoubleType())
 def hypergeometric_upper_p(k: pd.Series, size: pd.Series, drawn: pd.Series, universe: pd.Series) -> pd.Series:
-    return pd.Series(
-        [hypergeometric_upper(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, size, drawn, universe)],
-        dtype=float,
-    )
+    return pd.Series(hypergeometric_upper(k, size, drawn, universe), dtype=float)

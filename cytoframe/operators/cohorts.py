@@ -96,9 +96,11 @@ def marker_prevalence(members: DataFrame, cells: DataFrame, by: str) -> DataFram
 
 
 def panel_coexpression(expr: DataFrame, members: DataFrame, panel: Sequence[str]) -> DataFrame:
-    """Per panel gene: how many member cells are positive for it."""
+    """Per panel gene: how many member cells are positive for it, 0 for a gene that none is."""
     rows = expr.where(F.col("gene").isin(list(panel))).join(members.select("cell_id"), "cell_id", "left_semi")
-    return rows.groupBy("gene").agg(F.sum((F.col("value") > 0).cast("long")).alias("positive_cells"))
+    found = rows.groupBy("gene").agg(F.sum((F.col("value") > 0).cast("long")).alias("positive_cells"))
+    listed = expr.sparkSession.createDataFrame([(g,) for g in dict.fromkeys(panel)], "gene string")
+    return listed.join(found, "gene", "left").select("gene", F.coalesce("positive_cells", F.lit(0).cast("long")).alias("positive_cells"))
 
 
 def deplete(expr: DataFrame, members: DataFrame, cohorts: Sequence[str]) -> DataFrame:

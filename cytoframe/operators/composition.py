@@ -90,11 +90,13 @@ def _baseline(groups: DataFrame, keys: list[str]) -> DataFrame:
 def two_group_test(transformed: DataFrame, keys: Sequence[str] = ("contrast",)) -> DataFrame:
     """Ordinary two-sample t per label; groups compared in name order (first minus second).
 
-    Statistics are NULL where the pooled variance is zero or undefined.
+    Statistics are NULL where the pooled variance is zero or undefined. More than two groups are an error.
     """
     keys = list(keys)
     groups = _label_groups(transformed, keys)
-    names = groups.groupBy(*keys).agg(F.min("grp").alias("group_1"), F.max("grp").alias("group_2"))
+    three = F.raise_error(F.lit("a two-group test met three groups or more; use the many-group test")).cast("string")
+    last = F.when(F.count_distinct("grp") > 2, three).otherwise(F.max("grp"))
+    names = groups.groupBy(*keys).agg(F.min("grp").alias("group_1"), last.alias("group_2"))
     sided = groups.join(names, keys)
 
     def of(side: int, name: str):

@@ -272,14 +272,14 @@ def conditional_enrichment(
     )
 
 
-def collapse_sets(table: DataFrame, pairs: DataFrame, max_p: float = 0.05, max_rounds: int | None = None) -> DataFrame:
+def collapse_sets(table: DataFrame, pairs: DataFrame, max_p: float = 0.05) -> DataFrame:
     """Main sets of each dataset and the parent of the others: (dataset, set_name, is_main, parent).
 
     Sets are walked in table order. A set that has no parent yet becomes the parent of
     every parentless set that loses its enrichment next to it, i.e. whose p values inside
     and outside it both exceed ``max_p`` (a missing p counts as 1). A set that is not
     enriched on its own (p > max_p) has nothing left outside a set it shares no gene with,
-    so it goes to the first set of its dataset.
+    so it goes to the first set of its dataset if the two share none.
 
     The walk runs as rounds over edge tables: a set whose earlier absorbers are all
     settled is settled in the same round; rounds are as many as the longest chain of
@@ -293,6 +293,7 @@ def collapse_sets(table: DataFrame, pairs: DataFrame, max_p: float = 0.05, max_r
     absorbs = pairs.where(gone).select("dataset", "set_a", F.col("set_b").alias("set_name"))
     first = placed.where("place = 1").select("dataset", F.col("set_name").alias("set_a"))
     weak = placed.where((F.coalesce("p_value", one) > max_p) & (F.col("place") > 1)).select(*key).join(first, "dataset")
+    weak = weak.join(pairs.select("dataset", "set_a", F.col("set_b").alias("set_name")), ["dataset", "set_a", "set_name"], "left_anti")
     absorbers = placed.select("dataset", F.col("set_name").alias("set_a"), F.col("place").alias("place_a"))
     edges = cut(
         absorbs.unionByName(weak.select("dataset", "set_a", "set_name")).distinct()
@@ -301,8 +302,7 @@ def collapse_sets(table: DataFrame, pairs: DataFrame, max_p: float = 0.05, max_r
     )
     earlier = edges.where("place_a < place")
     state = cut(placed.select(*key, F.lit(None).cast("boolean").alias("walks")))
-    rounds = 0
-    while state.where("walks IS NULL").limit(1).count() and (max_rounds is None or rounds < max_rounds):
+    while not state.where("walks IS NULL").isEmpty():
         known = state.select("dataset", F.col("set_name").alias("set_a"), F.col("walks").alias("_a_walks"))
         seen = earlier.join(known, ["dataset", "set_a"]).groupBy(*key).agg(
             F.max(F.coalesce("_a_walks", F.lit(False))).alias("_absorbed"),
@@ -311,7 +311,6 @@ def collapse_sets(table: DataFrame, pairs: DataFrame, max_p: float = 0.05, max_r
         absorbed, still_open = F.coalesce("_absorbed", F.lit(False)), F.coalesce("_open", F.lit(False))
         verdict = F.when(absorbed, False).when(still_open, F.lit(None)).otherwise(True)
         state = cut(state.join(seen, key, "left").select(*key, F.coalesce("walks", verdict).alias("walks")))
-        rounds += 1
     walkers = state.where("walks").select("dataset", F.col("set_name").alias("set_a"))
     parents = edges.join(walkers, ["dataset", "set_a"]).groupBy(*key).agg(F.min_by("set_a", "place_a").alias("parent"))
     return placed.join(parents, key, "left").select(*key, F.col("parent").isNull().alias("is_main"), "parent")

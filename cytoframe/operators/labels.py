@@ -50,7 +50,10 @@ def share_within(cells: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def share_matrix(shares: DataFrame, row: str, column: str, columns: Sequence, prefix: str = "") -> DataFrame:
-    """Long shares to one column per named value, absent pairs 0."""
+    """Long shares to one column per named value, absent pairs 0. A value that isn't named is an error."""
+    known = F.col(column).isin(list(columns))
+    text = F.concat(F.lit(f"{column} has a value without a column: "), F.coalesce(F.col(column).cast("string"), F.lit("NULL")))
+    shares = shares.withColumn(column, F.when(known, F.col(column)).otherwise(F.raise_error(text).cast(shares.schema[column].dataType)))
     wide = shares.groupBy(row).pivot(column, list(columns)).agg(F.first("prop")).fillna(0.0)
     return wide.toDF(row, *[f"{prefix}{c}" for c in columns])
 
@@ -97,10 +100,10 @@ def score_density(
 
     Scores are binned first (``bins`` counts per label); the kernel is summed over bins, so
     the work after one aggregation depends on labels, bins and grid only. Bandwidth:
-    0.9 * sd * n^(-1/5).
+    0.9 * sd * n^(-1/5). Scores outside of ``low`` to ``high`` get bins of the same width there.
     """
     width = (high - low) / bins
-    slot = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(score) - low) / width)))
+    slot = F.when(F.col(score) == high, F.lit(bins - 1)).otherwise(F.floor((F.col(score) - low) / width))
     scored = cells.where(F.col(score).isNotNull())
     counts = scored.groupBy(label, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("c"))
     spread = scored.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(score).alias("_sd"))

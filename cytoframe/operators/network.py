@@ -41,7 +41,8 @@ def qc_filter(
         .where((F.col("depth") >= min_depth) & (F.col("mito") <= max_mito_share * F.col("depth")))
         .select("cell_id")
     )
-    rows = expr.join(kept, "cell_id", "left_semi")
+    kept = cut(kept)
+    rows = cut(expr.join(kept, "cell_id", "left_semi"))
     cells = kept.select(F.count(F.lit(1))).scalar()
     genes = (
         rows.groupBy("gene")

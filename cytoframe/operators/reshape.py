@@ -18,7 +18,10 @@ def stack(frames: dict[str, DataFrame], source: str = "dataset") -> DataFrame:
 
 
 def contingency_table(df: DataFrame, row: str, column: str, columns: Sequence, prefix: str = "") -> DataFrame:
-    """Two-way counts, one column per named value, absent pairs 0."""
+    """Two-way counts, one column per named value, absent pairs 0. A value that isn't named is an error."""
+    known = F.col(column).isin(list(columns))
+    text = F.concat(F.lit(f"{column} has a value without a column: "), F.coalesce(F.col(column).cast("string"), F.lit("NULL")))
+    df = df.withColumn(column, F.when(known, F.col(column)).otherwise(F.raise_error(text).cast(df.schema[column].dataType)))
     wide = df.groupBy(row).pivot(column, list(columns)).agg(F.count(F.lit(1))).fillna(0)
     return wide.toDF(row, *[f"{prefix}{c}" for c in columns])
 

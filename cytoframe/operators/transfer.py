@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.columns import array_of_sums
-from cytoframe.functions.ordered import percentile_columns
+from cytoframe.functions.lineage import cut
 from cytoframe.operators.neighbors import knn
 
 
@@ -59,18 +60,27 @@ def score_anchors(
         .groupBy("query_id", "ref_id")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    counted = (
+    # at most 2 * k + 1 different overlaps: their counts, in one row each, hold both quantiles
+    counted = cut(
         anchors.select("query_id", "ref_id")
         .join(overlap, ["query_id", "ref_id"], "left")
         .withColumn("shared", F.coalesce("shared", F.lit(0)))
-        .withColumn("_all", F.lit(1))
     )
-    cuts = percentile_columns(counted, ["_all"], "shared", {"_low": low, "_high": high})
-    width = F.col("_high") - F.col("_low")
-    scaled = F.when(width > 0, (F.col("shared") - F.col("_low")) / width).otherwise(
-        (F.col("shared") >= F.col("_high")).cast("double")
-    )
-    return counted.join(cuts, "_all").select(
+    tally = counted.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).orderBy("shared").collect()
+    held = np.array([(row.shared, row.n) for row in tally], dtype=np.int64).reshape(-1, 2)
+
+    def quantile(prob: float) -> float:
+        upto = np.cumsum(held[:, 1])
+        place = (upto[-1] - 1) * prob
+        below, above = (float(held[np.searchsorted(upto, int(i), "right"), 0]) for i in (np.floor(place), np.ceil(place)))
+        return below + (above - below) * (place - np.floor(place))
+
+    least, most = (quantile(low), quantile(high)) if len(held) else (0.0, 0.0)
+    if most > least:
+        scaled = (F.col("shared") - F.lit(least)) / F.lit(most - least)
+    else:
+        scaled = (F.col("shared") >= F.lit(most)).cast("double")
+    return counted.select(
         "query_id", "ref_id", "shared", F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)).alias("score")
     )
 

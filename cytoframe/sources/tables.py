@@ -33,8 +33,8 @@ DIFFREG = T.StructType(
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tab-delimited table with a header; ``NA`` is missing, a NaN is missing too."""
-    df = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="NA", quote='"', escape='"')
+    """Tab-delimited table with a header; ``NA`` is missing, a NaN is missing too. A header unlike the schema is an error."""
+    df = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="NA", quote='"', escape='"', enforceSchema=False)
     doubles = [f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles}) if doubles else df
 
