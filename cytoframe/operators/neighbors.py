@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.columns import cogrouped
+from cytoframe.functions.lineage import cut
 
 BLOCK_ROWS = 4096
 QUERIES_PER_TASK = 4096
-MAX_PIVOTS = 1024
 
 
 def l2_normalised(df: DataFrame, vector: str = "v") -> DataFrame:
@@ -103,7 +103,10 @@ def knn(
 
     ``query`` is (query_id, v), ``reference`` is (ref_id, v) with ``v`` array<double>; the
     distance is Euclidean, ties go to the smaller id. ``exclude_self`` skips equal ids for
-    a table joined with itself.
+    a table joined with itself. The plan is the same at every size: about the root of the reference's rows
+    serve as pivots, so a cell holds about as many rows, and cells above ``block_rows`` are cut. How many cells a query
+    visits depends on the data: in clustered or low-dimensional data few, in many dimensions without
+    clusters the bounds rule out little and most cells are visited; the result is exact either way.
     """
     query, reference = query.select("query_id", "v"), reference.select("ref_id", "v")
     schema = T.StructType(
@@ -113,19 +116,13 @@ def knn(
             T.StructField("dist", T.DoubleType()),
         ]
     )
-    size = reference.count()
-    many = pivots or (1 if size <= block_rows else min(MAX_PIVOTS, math.isqrt(size)))
-    if many == 1:
-        subs = max(1, math.ceil(size / block_rows))
-        sub = F.pmod(F.xxhash64("ref_id"), F.lit(subs)).cast("int")
-        blocks = reference.withColumns({"cell": F.lit(0), "sub": sub})
-        visits = query.withColumns({"cell": F.lit(0), "sub": F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))})
-        return _nearest(_probe(visits, blocks, k, exclude_self, schema), k)
-
-    # at most MAX_PIVOTS vectors and one statistics row per pivot come to the driver
+    many = pivots or max(1, math.isqrt(reference.count()))
+
+    # pivots, as many as the root of the reference's rows, and one statistics row of each come to the driver
     chosen = reference.orderBy(F.md5(F.col("ref_id").cast("string")), "ref_id").limit(many).select("v").collect()
+    if not chosen:
+        return query.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
     centers = np.unique(np.array([row.v for row in chosen], dtype=float), axis=0)
-    gaps = _distances(centers, centers)
 
     def assign(batches):
         for batch in batches:
@@ -133,16 +130,18 @@ def knn(
             cell = apart.argmin(1)
             yield batch.assign(cell=cell.astype("int32"), away=apart[np.arange(len(batch)), cell])
 
-    placed = reference.mapInPandas(
-        assign, T.StructType([*reference.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    placed = cut(
+        reference.mapInPandas(
+            assign, T.StructType([*reference.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+        )
     )
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi"))
     counts, inner, outer = np.zeros(len(centers), int), np.full(len(centers), np.inf), np.full(len(centers), -np.inf)
     for row in stats.collect():
         counts[row.cell], inner[row.cell], outer[row.cell] = row.n, row.lo, row.hi
     subs = np.maximum(1, np.ceil(counts / block_rows).astype(int))
-    subs_of = F.element_at(F.array(*[F.lit(int(s)) for s in subs]), F.col("cell") + 1)
-    blocks = placed.withColumn("sub", F.pmod(F.xxhash64("ref_id"), subs_of).cast("int")).select("ref_id", "v", "cell", "sub")
+    cells = query.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(subs)], "cell int, subs int")
+    blocks = placed.join(cells, "cell").withColumn("sub", F.pmod(F.xxhash64("ref_id"), F.col("subs")).cast("int")).select("ref_id", "v", "cell", "sub")
     need = k + (1 if exclude_self else 0)
 
     def first_cells(apart: np.ndarray) -> np.ndarray:
@@ -168,7 +167,7 @@ def knn(
             apart = _distances(_stack(batch["v"]), centers)
             own = apart.argmin(1)
             ring = np.maximum(apart - outer[None, :], inner[None, :] - apart)
-            between = gaps[own]
+            between = _distances(centers[own], centers)
             plane = np.where(
                 between > 0, (apart**2 - apart[np.arange(len(apart)), own][:, None] ** 2) / np.where(between > 0, 2 * between, 1), 0
             )
@@ -179,9 +178,10 @@ def knn(
     visited = T.StructType([*query.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def spread(visits: DataFrame) -> DataFrame:
-        return visits.withColumn("sub", F.explode(F.sequence(F.lit(0), subs_of - 1)))
+        parts = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
+        return cut(visits.join(cells, "cell").withColumn("sub", parts).drop("subs"))
 
-    near = _nearest(_probe(spread(query.mapInPandas(near_round, visited)), blocks, k, exclude_self, schema), k)
+    near = cut(_nearest(_probe(spread(query.mapInPandas(near_round, visited)), blocks, k, exclude_self, schema), k))
     reach = near.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(float("inf")).alias("reach")
     )

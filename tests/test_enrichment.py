@@ -75,7 +75,7 @@ def test_collapse_equals_a_sequential_walk(spark):
     pairs = {(a, b): (float(rng.random() * 0.4), float(rng.random() * 0.4)) for a in names for b in names if a != b and rng.random() < 0.5}
     frame = spark.createDataFrame([("d", a, b, i, o) for (a, b), (i, o) in pairs.items()], "dataset string, set_a string, set_b string, p_inside double, p_outside double")
     cut_off = 0.1
-    absorbs = {k for k, v in pairs.items() if min(v) > cut_off} | {(names[0], s) for s in names[1:] if p[s] > cut_off}
+    absorbs = {k for k, v in pairs.items() if min(v) > cut_off} | {(names[0], s) for s in names[1:] if p[s] > cut_off and (names[0], s) not in pairs}
     parent = dict.fromkeys(names)
     for a in names:
         if parent[a] is None:
