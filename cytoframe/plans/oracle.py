@@ -464,17 +464,19 @@ tests AS (
   SELECT dataset, collection, set_name, size, es, CASE WHEN avg(null_es) FILTER (null_es >= 0) > 0 THEN es / avg(null_es) FILTER (null_es >= 0) END AS nes,
          CASE WHEN es IS NOT NULL THEN (1 + count(*) FILTER (null_es >= es)) / (1 + count(null_es)) END AS p_value
   FROM es JOIN nulls USING (dataset, size) GROUP BY dataset, collection, set_name, size, es),
-gsea AS (
-  SELECT dataset, collection, set_name, size, {six('es')} AS es, {six('nes')} AS nes, {six('p_value')} AS p_value, {six('p_adj')} AS p_adj
-  FROM {adjusted('tests', 'dataset')})"""
+placed AS (
+  SELECT dataset, collection, set_name, size, {six('es')} AS es, {six('nes')} AS nes, {six('p_value')} AS p_value, {six('p_adj')} AS p_adj,
+         round(p_adj, 12) AS by_p, round(abs(nes), 9) AS by_nes
+  FROM {adjusted('tests', 'dataset')}),
+gsea AS (SELECT * EXCLUDE (by_p, by_nes) FROM placed)"""
 ORACLE["gsea_permutation"] = f"WITH {GSEA} SELECT * FROM gsea"
 ORACLE["gsea_table"] = f"""WITH {GSEA}, {LEADING}
-SELECT gsea.*, leading_edge_text, CAST(row_number() OVER (PARTITION BY dataset ORDER BY p_adj ASC NULLS LAST, abs(nes) DESC NULLS LAST, collection, set_name) AS INTEGER) AS place
-FROM gsea LEFT JOIN edge_genes USING (dataset, collection, set_name)"""
+SELECT placed.* EXCLUDE (by_p, by_nes), leading_edge_text, CAST(row_number() OVER (PARTITION BY dataset ORDER BY by_p ASC NULLS LAST, by_nes DESC NULLS LAST, collection, set_name) AS INTEGER) AS place
+FROM placed LEFT JOIN edge_genes USING (dataset, collection, set_name)"""
 ORACLE["top_sets_with_ties"] = f"""WITH {GSEA} SELECT dataset, collection, set_name, p_adj FROM (
-  SELECT *, rank() OVER (PARTITION BY dataset ORDER BY p_adj NULLS FIRST) AS place FROM gsea) WHERE place <= 9"""
-ORACLE["top_sets_limit"] = f"""WITH {GSEA} SELECT dataset, collection, set_name, p_adj, nes FROM gsea
-ORDER BY p_adj ASC NULLS LAST, abs(nes) DESC NULLS LAST, collection, set_name, dataset LIMIT 9"""
+  SELECT *, rank() OVER (PARTITION BY dataset ORDER BY by_p NULLS FIRST) AS place FROM placed) WHERE place <= 9"""
+ORACLE["top_sets_limit"] = f"""WITH {GSEA} SELECT dataset, collection, set_name, p_adj, nes FROM placed
+ORDER BY by_p ASC NULLS LAST, by_nes DESC NULLS LAST, collection, set_name, dataset LIMIT 9"""
 ORACLE["conditional_enrichment"] = f"""WITH {RANKS},
 h AS (SELECT set_name, gene, stat, rank, universe, size FROM hits WHERE dataset = 'ALL'),
 a AS (SELECT set_name AS set_a, gene, stat, rank, universe, size AS size_a, row_number() OVER (PARTITION BY set_name ORDER BY rank) AS pos FROM h),
@@ -528,12 +530,14 @@ tests AS (
   SELECT dataset, collection, set_name, k AS overlap, m AS set_size, n AS drawn, u AS universe, least(1.0, p) AS p_value,
          CASE WHEN (n - k) * (m - k) > 0 THEN k * (u - m - n + k) / ((n - k) * (m - k)) END AS odds_ratio
   FROM o JOIN tail USING (dataset, collection, set_name)),
-ora AS (
+listed AS (
   SELECT dataset, collection, set_name, overlap, set_size, drawn, universe, {six('p_value')} AS p_value, {six('odds_ratio')} AS odds_ratio,
-         {six('odds_ratio * -ln(p_value)')} AS combined_score, {six('p_adj')} AS p_adj
-  FROM {adjusted('tests', 'dataset, collection')})"""
+         {six('odds_ratio * -ln(p_value)')} AS combined_score, {six('p_adj')} AS p_adj,
+         round(ln(p_value), 9) AS by_p, round(odds_ratio * -ln(p_value), 9) AS by_score
+  FROM {adjusted('tests', 'dataset, collection')}),
+ora AS (SELECT * EXCLUDE (by_p, by_score) FROM listed)"""
 ORACLE["over_representation"] = f"WITH {ORA} SELECT * FROM ora"
 ORACLE["ora_top_terms"] = f"""WITH {ORA},
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, collection ORDER BY p_value, set_name) AS place FROM ora) WHERE place <= 20)
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, collection ORDER BY by_p, set_name) AS place FROM listed) WHERE place <= 20)
 SELECT dataset, collection, substr(set_name, 1, 30) AS term, p_value, combined_score,
-  CAST(row_number() OVER (PARTITION BY dataset, collection ORDER BY combined_score DESC NULLS LAST, set_name) AS INTEGER) AS position FROM top"""
+  CAST(row_number() OVER (PARTITION BY dataset, collection ORDER BY by_score DESC NULLS LAST, set_name) AS INTEGER) AS position FROM top"""

@@ -785,24 +785,21 @@ def gsea_table(spark, sf_dir):
     ranks = cut(fx.gene_ranks(spark, sf_dir))
     sets = fx.gene_sets(spark, sf_dir)
     genes = enrichment.leading_edges(enrichment.ranked(ranks), sets).drop("leading_edge")
-    table = _six(enrichment.gsea(ranks, sets, PERMUTATIONS)).join(genes, ["dataset", *enrichment.SET], "left")
+    table = enrichment.gsea(ranks, sets, PERMUTATIONS).join(genes, ["dataset", *enrichment.SET], "left")
     place = F.row_number().over(Window.partitionBy("dataset").orderBy(*enrichment.table_order()))
-    return table.withColumn("place", place)
+    return _six(table.withColumn("place", place))
 
 
 @query
 def top_sets_with_ties(spark, sf_dir):
-    return reshape.top_with_ties(_six(_gsea(spark, sf_dir)), ["dataset"], [F.asc("p_adj")], 9).select(
-        "dataset", "collection", "set_name", "p_adj"
-    )
+    top = reshape.top_with_ties(_gsea(spark, sf_dir), ["dataset"], [F.asc(F.round("p_adj", 12))], 9)
+    return _six(top.select("dataset", "collection", "set_name", "p_adj"))
 
 
 @query
 def top_sets_limit(spark, sf_dir):
-    table = _six(_gsea(spark, sf_dir))
-    return table.orderBy(*enrichment.table_order()[:2], "collection", "set_name", "dataset").limit(9).select(
-        "dataset", "collection", "set_name", "p_adj", "nes"
-    )
+    first = _gsea(spark, sf_dir).orderBy(*enrichment.table_order(), "dataset").limit(9)
+    return _six(first.select("dataset", "collection", "set_name", "p_adj", "nes"))
 
 
 def _conditional(spark, sf_dir):
@@ -838,10 +835,11 @@ def over_representation(spark, sf_dir):
 
 @query
 def ora_top_terms(spark, sf_dir):
-    scored = cut(_six(_over_represented(spark, sf_dir)))
-    top = reshape.first_per_group(scored, ["dataset", "collection"], [F.asc("p_value"), F.asc("set_name")], 20)
-    by_score = Window.partitionBy("dataset", "collection").orderBy(F.desc_nulls_last("combined_score"), "set_name")
-    return top.select(
+    scored = cut(_over_represented(spark, sf_dir))
+    smallest = [F.asc(F.round(F.log("p_value"), 9)), F.asc("set_name")]
+    top = reshape.first_per_group(scored, ["dataset", "collection"], smallest, 20)
+    by_score = Window.partitionBy("dataset", "collection").orderBy(F.desc_nulls_last(F.round("combined_score", 9)), "set_name")
+    return _six(top.select(
         "dataset", "collection", F.substring("set_name", 1, 30).alias("term"), "p_value", "combined_score",
         F.row_number().over(by_score).alias("position"),
-    )
+    ))
