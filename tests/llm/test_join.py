@@ -57,6 +57,22 @@ def test_groups_equal_all_pairs(spark, seed, percent):
     assert sorted(map(tuple, got)) == sorted(_plain(rows, percent))
 
 
+@pytest.mark.parametrize(("few", "block"), [(1, 4), (3, 2), (6, 1000)])
+def test_frequent_shingles_meet_in_blocks(spark, monkeypatch, few, block):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(few)
+    base, texts = [f"w{i}" for i in range(90)], []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(90)] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts)) + [(100 + i, t) for i, t in _corpus(9)]
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(_plain(rows, 85))
+
+
 def test_null_and_repeated_ids_and_no_rows(spark):
     same = "one two three four five six"
     docs = spark.createDataFrame([(3, same), (3, same), (None, same), (2, same), (None, None), (None, "alone here we are now")], "doc_id long, text string")

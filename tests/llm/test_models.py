@@ -94,20 +94,22 @@ def test_toxic_words_are_learned_and_odd_texts_scored(spark):
             words[rng.randrange(n)] = "gruk" + rng.choice(["", "er", "ish", "an", "zot"])
         return " ".join(words)
 
-    rows = [(i, text(i % 2, rng.randint(5, 150)), i % 2) for i in range(400)] + [(900, None, 1), (901, "x", None)]
+    rows = [(i, text(i % 2, rng.randint(5, 150)), i % 2) for i in range(400)] + [(900, None, 1), (901, "x", None), (3, "again", 1), (None, "y", 0)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    weights = toxicity.learn(labelled, F.xxhash64("doc_id"), sample_docs=300)
+    docs, labels = labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic")
+    weights = toxicity.learn(docs, labels, F.xxhash64("doc_id"), sample_docs=300)
     asked = [(i, text(i % 2, rng.choice([3, 60, 900]))) for i in range(200)] + [(900, None), (901, ""), (902, "\n")]
     out = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score_toxicity(spark.createDataFrame(asked, "doc_id long, text string"), weights).collect()}
     right = [(out[i] >= 0.7) == bool(i % 2) for i in range(200)]
     assert np.mean(right) > 0.95 and out[900] == out[901] == out[902] < 0.7 and all(0 <= s <= 1 for s in out.values())
-    assert toxicity.learn(labelled.limit(0), F.xxhash64("doc_id"))["word"].shape[0] == 1
+    assert toxicity.learn(docs.limit(0), labels, F.xxhash64("doc_id"))["word"].shape[0] == 1
 
 
 def test_radius_search_finds_every_code_within():
     rng = np.random.default_rng(5)
-    codes = rng.integers(0, 1 << 16, (600, 4), dtype=np.uint16)
-    codes[300:] = codes[:300] ^ (np.uint16(1) << rng.integers(0, 16, (300, 4)).astype(np.uint16))
+    codes = rng.integers(0, 1 << 32, (600, 4), dtype=np.uint32)
+    codes[300:] = codes[:300] ^ (np.uint32(1) << rng.integers(0, 32, (300, 4)).astype(np.uint32))
+    codes[100:200, 0] = 7
     index = hashing.MultiIndex(codes)
     for code in codes[::50]:
         apart = np.bitwise_count(codes ^ code).sum(1)
