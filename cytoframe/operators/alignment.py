@@ -12,6 +12,7 @@ products, of which only matrices of the size of the space come to the driver.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 import numpy as np
@@ -80,13 +81,14 @@ def _combine(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
 
 
 def manifold_align(
-    x: DataFrame, y: DataFrame, dims: int = 2, steps: int = 12, restarts: int = 3, tolerance: float = 1e-6
+    x: DataFrame, y: DataFrame, dims: int = 2, steps: int = 12, restarts: int | None = None, tolerance: float = 1e-6
 ) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Positions (gene, x, y) of every gene in both networks, eigenvalues, residual norms.
 
     ``x`` and ``y`` are edge tables (src, dst, w) over the same genes; a gene missing from
     one of them takes part there without edges. The space is restarted from its best
-    vectors until the residuals fall below ``tolerance`` times the largest eigenvalue met.
+    vectors until the residuals fall below ``tolerance`` times the largest eigenvalue met. A limit of
+    ``restarts`` that is reached before is an error, which names the residuals.
     """
     edges = cut(_joined_edges(x, y))
     degrees = cut(edges.groupBy("src").agg(F.sum("wx").alias("dx"), F.sum("wy").alias("dy")))
@@ -154,7 +156,7 @@ def manifold_align(
         )
 
     block = nodes.select("gene", noise(0).alias("vx"), noise(1).alias("vy"))
-    for _ in range(restarts):
+    for turn in itertools.count(1):
         basis, _ = orthonormal(block, 0)
         size, image = width, np.zeros((width, 0))
         for _ in range(steps):
@@ -177,6 +179,8 @@ def manifold_align(
         block = cut(_combine(basis, np.ascontiguousarray(chosen)))
         if errors.max() <= tolerance * max(abs(values[-1]), 1.0):
             break
+        if restarts is not None and turn >= restarts:
+            raise RuntimeError(f"residuals {errors.tolist()} after {restarts} restarts, eigenvalues {eigenvalues.tolist()}")
     positions = block.select("gene", F.slice("vx", 1, dims).alias("x"), F.slice("vy", 1, dims).alias("y"))
     return positions, eigenvalues, errors
 
