@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.lineage import cut
+from cytoframe.llm.words import runs
 
 ROTATIONS = 4
 SAMPLE = 4096
 STEPS = 30
-SUBSTRING = 16
+SUBSTRING = 32
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 2_048
 LEAST_FOUND = 400
-SHARE_FOUND = 0.03
-_ONES = np.bitwise_count(np.arange(1 << SUBSTRING, dtype=np.uint16)).astype(np.uint8)
+SHARE_FOUND = 0.025
 
 
 def _rotation(centred: np.ndarray, rng: np.random.Generator, steps: int) -> np.ndarray:
@@ -56,54 +56,58 @@ class Coder:
         return np.hstack([scaled, np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(1, keepdims=True)))])
 
     def codes(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
-        """Substrings of 16 bits, one row for each vector; the last is filled up with zeros."""
+        """Substrings of 32 bits, one row for each vector; bits that fill no substring are left out."""
         if query:
             lifted = np.hstack([vectors / np.linalg.norm(vectors, axis=1, keepdims=True), np.zeros((len(vectors), 1))])
         else:
             lifted = self._lift(vectors)
         bits = (lifted - self.middle) @ self.turns >= 0
-        short = -bits.shape[1] % SUBSTRING
-        packed = np.packbits(np.pad(bits, ((0, 0), (0, short))), axis=1)
-        return np.ascontiguousarray(packed).view(np.uint16)
+        whole = bits.shape[1] // SUBSTRING * SUBSTRING
+        if not whole:
+            bits, whole = np.pad(bits, ((0, 0), (0, SUBSTRING - bits.shape[1]))), SUBSTRING
+        return np.ascontiguousarray(np.packbits(bits[:, :whole], axis=1)).view(np.uint32)
 
 
 class MultiIndex:
     """Buckets of each substring over a block of codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.radius = codes, 0
+        self.columns = [np.ascontiguousarray(column) for column in codes.T]
         self.tables = []
         for column in codes.T:
             order = np.argsort(column, kind="stable")
-            values, first = np.unique(column[order], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
+            values, first, many = np.unique(column[order], return_index=True, return_counts=True)
+            self.tables.append((values, first, many, order))
 
     def within(self, code: np.ndarray, least: int) -> np.ndarray:
         """Every row within the smallest Hamming radius that holds at least ``least`` rows (all rows, if fewer).
 
-        Substring radii grow by one at a time. After radius r all codes within m * (r + 1) - 1 are
-        known; the search ends when enough of the found lie within that.
+        Probing all substrings to radius r retrieves every code within m * (r + 1) - 1; r grows until that
+        radius holds enough. It starts from what the query before needed, which changes no result.
         """
         n, m = self.codes.shape
         least = min(least, n)
         if not least:
             return np.zeros(0, np.int64)
-        apart = [_ONES[values ^ part] for (values, _, _), part in zip(self.tables, code, strict=True)]
-        distance = np.full(n, -1, np.int32)
-        for radius in range(SUBSTRING + 1):
-            for (_, first, order), away in zip(self.tables, apart, strict=True):
-                hit = np.flatnonzero(away == radius)
-                if len(hit):
-                    low, many = first[hit], first[hit + 1] - first[hit]
-                    at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    rows = order[at]
-                    rows = rows[distance[rows] < 0]
-                    distance[rows] = _ONES[self.codes[rows] ^ code].sum(1, dtype=np.int32)
-            known = distance[distance >= 0]
-            if (known <= m * (radius + 1) - 1).sum() >= least:
-                edge = np.partition(known, least - 1)[least - 1]
-                return np.flatnonzero((distance >= 0) & (distance <= edge))
-        return np.arange(n)
+        apart = [np.bitwise_count(table[0] ^ part) for table, part in zip(self.tables, code, strict=True)]
+        radius = self.radius
+        while True:
+            met = np.zeros(n, bool)
+            for (_, first, many, order), away in zip(self.tables, apart, strict=True):
+                hit = np.flatnonzero(away <= radius)
+                met[order[hit if len(first) == n else runs(first[hit], many[hit])]] = True
+            rows = np.flatnonzero(met)
+            distance = np.zeros(len(rows), np.uint16)
+            for column, part in zip(self.columns, code, strict=True):
+                distance += np.bitwise_count(column[rows] ^ part)
+            sure = distance <= m * (radius + 1) - 1
+            if radius == SUBSTRING or sure.sum() >= least:
+                break
+            radius += 1
+        self.radius = max(0, radius - (int(sure.sum()) > 4 * least))
+        edge = np.partition(distance[sure], least - 1)[least - 1]
+        return rows[sure & (distance <= edge)]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
