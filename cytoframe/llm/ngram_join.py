@@ -9,7 +9,7 @@ one class per shared shingle, and pairs already in one component need no further
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,15 @@ from cytoframe.llm.words import find_words, mix, slices
 
 WIDTH = 4
 PERCENT = 85
-DEEPEST = 4
+DEEPEST = 12
 SLICE_BYTES = 2 << 20
 FLUSH_SHINGLES = 2_000_000
 SEEN_IN_TASK = 4
 FREQUENT = 200_000
 PART_BYTES = 8 << 20
-CHECK_COST = 8.0
+BROADCAST_ROWS = 500_000
+FEW = 32
+BLOCK = 512
 _LOW = np.uint64((1 << 58) - 1)
 
 
@@ -112,6 +114,127 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _few(entries: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share enough prefix shingles, where few classes hold each of these."""
+    x, y = entries.alias("x"), entries.alias("y")
+    depth = F.least("x.depth", "y.depth")
+    pairs = (
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")))
+        .where((F.col("x.level") <= depth) & (F.col("y.level") <= depth))
+        .where((100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")))
+        .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), depth.alias("depth"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") >= F.col("depth"))
+        .select("a", "b")
+    )
+    return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+def _shared(mine: tuple[np.ndarray, np.ndarray], all_: tuple[np.ndarray, np.ndarray], row: int, seen: np.ndarray) -> np.ndarray:
+    """How many numbers of list ``row`` each list of ``all_`` holds; lists are flat values and bounds."""
+    values, ptr = mine
+    seen[values[ptr[row] : ptr[row + 1]]] = True
+    hits = np.concatenate([[0], np.cumsum(seen[all_[0]])])
+    seen[values[ptr[row] : ptr[row + 1]]] = False
+    return hits[all_[1][1:]] - hits[all_[1][:-1]]
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A column of lists as flat dense numbers, their bounds, and how many numbers there are."""
+    rows = column.combine_chunks()
+    flat = rows.flatten().to_numpy()
+    known, dense = np.unique(flat, return_inverse=True)
+    return dense, np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())]).astype(np.int64), len(known)
+
+
+def _meet(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links that join components among the classes of two blocks, no more than there are classes."""
+    side, names, n = (table.column(c).to_numpy() for c in ("side", "class", "n"))
+    depth, component = table.column("depth").to_numpy(), table.column("component").to_numpy()
+    members, bounds, many = _lists(table.column("members"))
+    prefix, prefix_bounds, tokens = _lists(table.column("prefix"))
+    level = table.column("levels").combine_chunks().flatten().to_numpy()
+    parent = {int(c): int(c) for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    across = bool((side == 1).any())
+    links, seen, seen_token = [], np.zeros(many, bool), np.zeros(tokens, bool)
+    deepest = np.repeat(depth, np.diff(prefix_bounds))
+    for i in np.flatnonzero(side == 0):
+        # counts at the depth of both: the row's own prefix at depth l against the others' at depth l
+        shared = np.zeros(len(names), np.int64)
+        for l in np.unique(np.minimum(depth, depth[i])):
+            own = slice(prefix_bounds[i], prefix_bounds[i + 1])
+            seen_token[prefix[own][level[own] <= l]] = True
+            hits = np.concatenate([[0], np.cumsum(seen_token[prefix] & (level <= np.minimum(deepest, l)))])
+            seen_token[prefix[own]] = False
+            at = np.minimum(depth, depth[i]) == l
+            shared[at] = (hits[prefix_bounds[1:]] - hits[prefix_bounds[:-1]])[at]
+        near = (shared >= np.minimum(depth, depth[i])) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+        near &= (component != component[i]) & ((side == 1) if across else (names > names[i]))
+        if near.any():
+            both = _shared((members, bounds), (members, bounds), i, seen)
+            near &= 100 * both >= percent * (n + n[i] - both)
+            for j in np.flatnonzero(near):
+                one, two = root(int(component[i])), root(int(component[j]))
+                if one != two:
+                    parent[max(one, two)] = min(one, two)
+                    links.append((int(names[i]), int(names[j])))
+    return links
+
+
+def _many(entries: DataFrame, hot: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) among classes that meet in shingles which many classes hold.
+
+    Classes tied by such shingles form families. Small families share blocks; one of more than ``BLOCK`` classes is cut,
+    by the leading class of a class's most frequent shingle and then by hash. Blocks that share a frequent shingle, which
+    only blocks of one family do, meet in one task, to which a set moves once for a pair of blocks instead of once for a
+    pair of classes. All candidates between the two are checked there, and only links that join components leave it.
+    """
+    lead = hot.groupBy("class").agg(F.max(F.struct("df", "token", "lead"))["lead"].alias("lead"))
+    family = components(hot.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct())
+    known = lead.join(family.select(F.col("node").alias("class"), F.col("component").alias("family")), "class", "left")
+    known = cut(known.withColumn("family", F.coalesce("family", "class")))
+    blocks = max(1, -(-known.count() // BLOCK))
+    size = known.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
+    led = known.groupBy("family", "lead").agg(F.count(F.lit(1)).alias("led"))
+    parts = F.ceil(F.col("many") / BLOCK)
+    own = F.when(F.col("led") > BLOCK, F.xxhash64("family", "lead", F.pmod(F.xxhash64("class"), F.ceil(F.col("led") / BLOCK))))
+    own = own.otherwise(F.xxhash64("family", F.pmod(F.xxhash64("lead"), parts)))
+    shared = F.pmod(F.xxhash64("family"), F.lit(blocks))
+    placed = known.join(size, "family").join(led, ["family", "lead"])
+    placed = cut(placed.select("class", F.when(F.col("many") > BLOCK, own).otherwise(shared).alias("block")))
+    at = hot.select("token", "class").join(placed, "class").select("token", "block").distinct()
+    pairs = (
+        at.alias("x").join(at.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")))
+        .select(F.col("x.block").alias("one"), F.col("y.block").alias("two")).distinct()
+    )
+    pairs = cut(pairs)
+    sets = sets_of(placed.select(F.col("class").alias("a"), F.col("class").alias("b")))
+    facts = entries.join(placed, "class", "left_semi").groupBy("class").agg(
+        F.first("n").alias("n"), F.first("depth").cast("long").alias("depth"), F.first("component").alias("component"),
+        F.collect_list(F.struct("token", "level")).alias("_prefix"),
+    )
+    rows = cut(
+        facts.join(placed, "class").join(sets, "class")
+        .select("block", "class", "n", "depth", "component", F.col("_prefix.token").alias("prefix"), F.col("_prefix.level").alias("levels"), "members")
+    )
+    first = pairs.select("one", "two", F.col("one").alias("block"), F.lit(0).alias("side"))
+    second = pairs.where("one <> two").select("one", "two", F.col("two").alias("block"), F.lit(1).alias("side"))
+    met = first.unionByName(second).join(rows, "block").drop("block")
+
+    def meet(table: pa.Table) -> pa.Table:
+        links = _meet(table, percent)
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    return met.groupBy("one", "two").applyInArrow(meet, "a long, b long")
+
+
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, deepest: int = DEEPEST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -208,21 +331,15 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         docs.select("text").mapInArrow(prefixes, blob).groupBy("part").applyInArrow(shared, "token long, class long, n long, level int, df long")
     )
 
-    # each class takes the number of matches that costs least: lists read, and candidates checked
+    # each class takes the number of matches that costs least: entries read, and candidates that can have so many
     costs = []
     for depth in range(1, deepest + 1):
         read = F.sum(F.when(F.col("level") <= depth, F.col("df") - 1).otherwise(0))
-        costs.append(F.when(F.lit(depth) <= F.ceil(F.max("n") * percent / 100), F.struct((read + read * CHECK_COST / depth).alias("cost"), F.lit(depth).alias("depth"))))
+        possible = F.lit(depth) <= F.ceil(F.max("n") * percent / 100)
+        costs.append(F.when(possible, F.struct((read + read / depth * F.max("n")).alias("cost"), F.lit(depth).alias("depth"))))
     depth = entries.groupBy("class").agg(F.least(*costs)["depth"].alias("depth"))
     prefix = cut(entries.join(depth, "class").where(F.col("level") <= F.col("depth")))
 
-    # sets of the classes that share a prefix shingle with another, read anew from one document of each
-    busy = prefix.select("class").distinct()
-    chosen = described.join(busy, "class", "left_semi").groupBy("class").agg(F.min(F.struct("content", "doc_id")).alias("one"))
-    texts = keyed.alias("d").join(
-        chosen.alias("c"), (F.col("d.content") == F.col("c.one.content")) & F.col("d.doc_id").eqNullSafe(F.col("c.one.doc_id"))
-    )
-
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
@@ -231,42 +348,46 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                 members = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column("class"), members], ["class", "members"])
 
-    sets = cut(texts.select("class", "text").mapInArrow(collect_sets, "class long, members array<long>").dropDuplicates(["class"]))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Sets of the classes in ``pairs``, read anew from one document of each."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        chosen = cut(described.join(named, "class", "left_semi").groupBy("class").agg(F.min(F.struct("content", "doc_id")).alias("one")))
+        if chosen.count() <= BROADCAST_ROWS:
+            chosen = F.broadcast(chosen)
+        same = (F.col("d.content") == F.col("c.one.content")) & F.col("d.doc_id").eqNullSafe(F.col("c.one.doc_id"))
+        texts = keyed.alias("d").join(chosen.alias("c"), same)
+        return cut(texts.select("class", "text").mapInArrow(collect_sets, "class long, members array<long>").dropDuplicates(["class"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets are as alike as asked."""
+        sets = sets_of(pairs)
         near = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a").join(
             sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b"
         )
         both = F.size(F.array_intersect("x", "y"))
-        return near.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+        return cut(near.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    # first to one class of each shared shingle: as many pairs as prefix entries at most
-    hub = prefix.groupBy("token").agg(F.min(F.struct("n", "class")).alias("hub"))
-    rays = (
+    # first to one class of each shared shingle: as many pairs as prefix entries at most, and all of a group of copies meet
+    hub = prefix.groupBy("token").agg(F.min(F.struct("n", "class", "depth")).alias("hub"))
+    rays = cut(
         prefix.join(hub, "token").where((F.col("hub.class") != F.col("class")) & (100 * F.col("hub.n") >= percent * F.col("n")))
-        .select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
+        .groupBy(F.col("hub.class").alias("a"), F.col("class").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("depth", "hub.depth")).alias("depth"))
+        .where(F.col("shared") >= F.col("depth")).select("a", "b")
     )
-    star_links = cut(linked(cut(rays)))
+    star_links = linked(rays)
     labels = components(star_links)
 
     # then every other pair with enough shared prefix shingles, unless it is in one component already
-    labelled = prefix.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = labelled.groupBy("token").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("token")
-    open_ = cut(labelled.join(mixed, "token").select("token", "class", "n", "level", "depth", "component"))
-    x, y = open_.alias("x"), open_.alias("y")
-    depth = F.least("x.depth", "y.depth")
-    pairs = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")))
-        .where((F.col("x.level") <= depth) & (F.col("y.level") <= depth))
-        .where((100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")))
-        .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), depth.alias("depth"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= F.col("depth"))
-        .select("a", "b")
+    labelled = prefix.drop("df").join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "class"))
+    mixed = labelled.groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.min("class").alias("lead"), (F.min("component") != F.max("component")).alias("open")
     )
-    more = cut(linked(cut(pairs.join(rays, ["a", "b"], "left_anti").join(rays.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))))
-    joined = components(star_links.unionByName(more))
+    open_ = cut(labelled.join(mixed.where("open").drop("open"), "token"))
+    more = _few(open_.where(F.col("df") <= FEW), rays, percent)
+    found = linked(cut(more)).unionByName(_many(open_, open_.where(F.col("df") > FEW), sets_of, percent))
+    joined = components(star_links.unionByName(cut(found)))
 
     grouped = described.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     grouped = cut(grouped.select("doc_id", "n_shingles", "component"))
