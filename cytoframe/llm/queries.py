@@ -63,7 +63,7 @@ def learned_toxicity(spark: SparkSession, sf_dir: str) -> dict:
     """The network, trained on labelled documents of the learning part."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     docs = _documents(spark, sf_dir).select("doc_id", "text").where(crc_of("doc_id") % 3 != 1)
-    return toxicity.learn(docs.join(labels, "doc_id"), F.xxhash64("doc_id"))
+    return toxicity.learn(docs, labels, F.xxhash64("doc_id"))
 
 
 @query

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoframe.functions.lineage import cut
 from cytoframe.llm.columns import without
 from cytoframe.llm.words import Words, find_words, mix, runs, slices
 
@@ -275,15 +276,21 @@ def train(texts: list[str], labels: list[int], visits: int = VISITS, seed: int =
     return weights
 
 
-def learn(labelled: DataFrame, order: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, np.ndarray]:
-    """Train on a bounded sample of (text, toxic): for each label, the first ``sample_docs`` in ``order``.
+def learn(docs: DataFrame, labels: DataFrame, order: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, np.ndarray]:
+    """Train on a bounded sample of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic).
 
-    Only texts of at most ``sample_chars`` characters are drawn, so at most twice ``sample_docs`` times
-    ``sample_chars`` characters come to the driver. Null texts and labels aren't drawn.
+    For each label the first ``sample_docs`` ids in ``order`` (an expression on doc_id) are drawn, of texts of at most
+    ``sample_chars`` characters, so at most twice ``sample_docs`` times ``sample_chars`` characters come
+    to the driver. Ids and lengths are drawn first; texts are read for the drawn ids alone. Null ids, texts
+    and labels aren't drawn; rows that repeat an id are one, toxic if one of them is.
     """
-    usable = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1) & (F.length("text") <= sample_chars))
-    parts = [usable.where(F.col("toxic") == k).orderBy(order, "text").limit(sample_docs).select("text", "toxic") for k in (0, 1)]
-    rows = parts[0].unionByName(parts[1]).collect()
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    fitting = docs.where(F.length("text") <= sample_chars)
+    narrow = fitting.select("doc_id").distinct().join(known, "doc_id")
+    parts = [narrow.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample_docs) for k in (0, 1)]
+    drawn = cut(parts[0].unionByName(parts[1]))
+    rows = fitting.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
