@@ -31,7 +31,7 @@ def _splitters(rows: DataFrame, full: DataFrame) -> DataFrame:
     """
     step = F.col("_load") / (F.col("_parts") * PER_RANGE)
     draw = F.pmod(F.xxhash64(*_key("_range")), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.join(full.select("_range", "_load", "_parts"), "_range").where(draw * step < F.col("load"))
+    sample = rows.join(full.select("_range", "_load", "_parts", "_n"), "_range").where((draw * step < F.col("load")) | (F.col("_n") <= FAN * PER_RANGE))
     sample = sample.withColumn("_weight", F.greatest(F.col("load").cast("double"), step))
     order = Window.partitionBy("_range").orderBy(*_key())
     whole = Window.partitionBy("_range")
@@ -51,13 +51,13 @@ def _part_of(cuts: Column) -> Column:
 def range_partition(rows: DataFrame, limit: int) -> DataFrame:
     """Split ``_range``, one stored number for all rows, into numbers in key order.
 
-    Each range is then at most ``limit`` load or a single row.
+    Each range is then at most ``limit`` load beside its largest row.
     """
     ranged = rows
     while True:
-        loads = ranged.groupBy("_range").agg(F.sum("load").alias("_load"), F.count(F.lit(1)).alias("_n"))
+        loads = ranged.groupBy("_range").agg(F.sum("load").alias("_load"), F.count(F.lit(1)).alias("_n"), F.max("load").alias("_most"))
         parts = F.least(F.lit(FAN), F.ceil(F.col("_load") / (limit / 2)))
-        full = cut(loads.where((F.col("_load") > limit) & (F.col("_n") > 1)).withColumn("_parts", parts))
+        full = cut(loads.where(F.col("_load") - F.col("_most") > limit).withColumn("_parts", parts))
         if full.isEmpty():
             return ranged
         cuts = cut(_splitters(ranged, full))
