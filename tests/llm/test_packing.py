@@ -23,6 +23,17 @@ def test_ids_equal_the_tokenizer_on_odd_white_space(tokenizer):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_equal_the_tokenizer_on_added_tokens(tokenizer):
+    encoder, rng = packing._encoder(vocabulary()), random.Random(8)
+    added = "<|endoftext|>"
+    texts = [f"hello {added} world", f"hello{added}world", f"hello {added}world", f"hello{added} world", f"  {added}  x", added, added * 2, f"{added} {added}", f"\n{added}\n"]
+    parts = ["a", " ", "  ", "\n", "é", "1", "'s", "<|", "|>", "endoftext", "<|endoftext|", " The", added, added]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(3000)]
+    assert np.frombuffer(encoder.ids(texts[0]), "<u4").tolist() == [31373, 220, 50256, 995]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds_and_offsets_are_gapless(rule):
     lengths = np.random.default_rng(3).integers(1, 60, 700)
