@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from cytoframe.functions.lineage import cut
 from cytoframe.llm import mixing, ngram_join, packing, pii, toxicity
+from cytoframe.llm.columns import fresh
 from cytoframe.llm.queries import learned_toxicity, vocabulary, word_count
 
 REJECT = 0.7
+NEAR_WIDTH = 5
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,14 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id.
+    """Of each group of near duplicates (``NEAR_WIDTH``-word shingles alike by ``NEAR_PERCENT`` or more) one row.
 
-    Documents without words form no groups, and one without an id can't be told by it: both stay. Rows
-    that repeat an id stand for one document and stay or go together.
+    It is a row with the smallest id, if any has one, and among these that of the smallest digest of all
+    columns. A group of rows that repeat an id or lack one leaves one row as any other, and of rows equal in all
+    columns one stays. Documents without words form no groups: all of their rows stay.
     """
-    groups = ngram_join.link_documents(docs.select("doc_id", "text"))
-    dropped = cut(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    row = fresh(docs, "_row")
+    named = docs.withColumn(row, F.md5(F.to_json(F.struct(*docs.columns))))
+    identity = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("digest"))
+    linked = ngram_join.link_documents(named.select(identity.alias("doc_id"), "text"), NEAR_WIDTH, NEAR_PERCENT)
+    groups = cut(linked.where(F.col("n_shingles") > 0).select(F.col("doc_id.digest").alias(row), (F.col("component_id") == F.col("doc_id")).alias("first")))
+    dropped = groups.where(~F.col("first")).select(row).distinct()
+    repeated = cut(groups.where("first").groupBy(row).count().where(F.col("count") > 1).select(row))
+    once = named.join(dropped.unionByName(repeated), row, "left_anti").select(*docs.columns)
+    return once.unionByName(named.join(repeated, row, "left_semi").select(*docs.columns).distinct())
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,20 @@ def test_stages_over_a_small_corpus(spark, tmp_path):
     assert mixed.columns == stored.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert (packed.groupby("sequence_id")["length"].sum() <= 1024).all() and not set(packed["doc_id"].dropna()) & {200, 201}
+
+
+def test_near_duplicates_by_five_words_leave_one_row_of_a_group(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200))
+    near, repeated, without_id, same, half = (text() for _ in range(5))
+    changed = near.split()
+    for at in (30, 70, 110, 150):
+        changed[at] = "other"  # 176 of 216 shingles of five words, 181 of 213 of four
+    rows = [(1, near, "a"), (2, " ".join(changed), "a"), (3, repeated, "a"), (3, repeated, "b"), (None, without_id, "a"), (None, without_id + " x", "a")]
+    rows += [(4, same, "a")] * 3 + [(None, half, "a"), (9, half, "a"), (8, half, "a"), (5, text(), "a"), (6, "", "a"), (6, "", "a"), (None, None, "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect() if r["text"]]
+    assert sorted(i or 0 for i in ids) == [0, 1, 3, 4, 5, 8]
+    assert kept.where("text is null or text = ''").count() == 4
