@@ -802,20 +802,17 @@ def top_sets_limit(spark, sf_dir):
     return _six(first.select("dataset", "collection", "set_name", "p_adj", "nes"))
 
 
-def _conditional(spark, sf_dir):
-    ranks = cut(fx.gene_ranks(spark, sf_dir).where("dataset = 'ALL'"))
-    return ranks, enrichment.conditional_enrichment(ranks, fx.gene_sets(spark, sf_dir), PERMUTATIONS)
-
-
 @query
 def conditional_enrichment(spark, sf_dir):
-    return _six(_conditional(spark, sf_dir)[1])
+    ranks = cut(fx.gene_ranks(spark, sf_dir).where("dataset = 'ALL'"))
+    return _six(enrichment.conditional_enrichment(ranks, fx.gene_sets(spark, sf_dir), PERMUTATIONS))
 
 
 @query
 def collapse_sets(spark, sf_dir):
-    ranks, pairs = _conditional(spark, sf_dir)
-    table = enrichment.gsea(ranks, fx.gene_sets(spark, sf_dir), PERMUTATIONS)
+    ranks, sets = cut(fx.gene_ranks(spark, sf_dir)), fx.gene_sets(spark, sf_dir)
+    pairs = enrichment.conditional_enrichment(ranks, sets, PERMUTATIONS)
+    table = enrichment.gsea(ranks, sets, PERMUTATIONS)
     return enrichment.collapse_sets(table, cut(pairs), max_p=0.2)
 
 

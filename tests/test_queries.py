@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from cytoframe.sources import fixtures as fx
 
 QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 
@@ -47,6 +48,12 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
 
+def test_collapse_covers_every_dataset(spark, sf_dir):
+    ranked = {r[0] for r in fx.gene_ranks(spark, sf_dir).select("dataset").distinct().collect()}
+    got = QUERIES["collapse_sets"](spark, sf_dir).groupBy("dataset").count().collect()
+    assert len(ranked) > 1 and {r["dataset"] for r in got} == ranked
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
