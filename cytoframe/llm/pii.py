@@ -1,8 +1,9 @@
 """Personal data: fixed forms, and identifiers that contexts of known ones give away.
 
-Spans of fixed forms are the seeds. Words around them are lexical patterns; Spark counts what
+Spans of fixed forms are the seeds. Words before them are lexical patterns; Spark counts what
 else stands in these contexts and scores patterns and instances of their graph in turns.
-Patterns of high confidence then name identifiers that no form describes.
+Patterns of high confidence name identifiers that no form describes. The other contexts of these
+are patterns of the next round, and so on until a round adds none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ SLICE_BYTES = 4 << 20
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
+#: Rounds end where nothing is added and all confidences together rise by less.
+SETTLED = 1e-6
 PATTERNS_PER_PASS = 1_000_000
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -103,7 +105,10 @@ def _word_bounds(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and other words with three digits or more, each with its value and the two words before it."""
+    """Seeds and other words with three digits or more, each with its value and the two words before it.
+
+    A word without one before it has an empty context; seeds without one are left out.
+    """
     taken = sorted((a, b) for _, a, b in spans)
     found = [(kind, a, b) for kind, a, b in spans]
     last = 0
@@ -121,7 +126,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         start, _ = _word_bounds(text, a, b)
         one = _word_before(text, start)
         two = _word_before(text, one[0])
-        if one[0] < one[1]:
+        if one[0] < one[1] or kind is None:
             first, second = text[slice(*one)].lower(), text[slice(*two)].lower()
             out.append({"kind": kind, "start": a, "end": b, "value": text[a:b], "one": first, "two": second})
     return out
@@ -208,36 +213,64 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return cut(out) if out is not None else patterns.withColumn("n", F.lit(0).cast("long")).limit(0)
 
 
-def _score(hits: DataFrame, totals: DataFrame, rounds: int, min_confidence: float) -> DataFrame:
-    """Confidence of each pattern: (one, two, confidence, kind).
+def _bootstrap(docs: DataFrame, hits: DataFrame, min_support: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Sure patterns (one, two, confidence, kind) and the values they give away (value, chance, kind).
 
     ``hits`` are (one, two, value, kind, n). A seed's score is 1. In turns, a pattern's confidence is the
     score in its contexts per word that stands there (plus one), and the score of another value is the chance
-    that one of its confident patterns holds.
+    that one of its confident patterns holds. Patterns are the contexts of ``min_support`` values of which one is
+    a seed or found; those that a round adds are counted in the texts then. Scores only rise, so a round
+    adds to the earlier ones. The last round is one that adds no pattern and no value and after which none
+    can come: full scores for all values found would make no other pattern sure, or scores have settled.
     """
-    same = [F.col("h.one") == F.col("t.one"), F.col("h.two").eqNullSafe(F.col("t.two"))]
-    edges = cut(hits.alias("h").join(totals.alias("t"), same).select("h.one", "h.two", "value", "kind", "h.n", F.col("t.n").alias("total")))
-    scored = edges.withColumn("score", F.col("kind").isNotNull().cast("double"))
-    patterns = None
-    for turn in range(rounds):
+
+    def same(x: str, y: str) -> list:
+        return [F.col(f"{x}.one") == F.col(f"{y}.one"), F.col(f"{x}.two").eqNullSafe(F.col(f"{y}.two"))]
+
+    support = hits.groupBy("one", "two").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= min_support)
+    hits = cut(hits.alias("h").join(support.alias("s"), same("h", "s"), "left_semi"))
+    seed = F.col("kind").isNotNull()
+    scored = hits.withColumn("score", seed.cast("double")).withColumn("seed", seed)
+    totals, before = None, None
+    while True:
+        reached = scored.where("score > 0").select("one", "two").distinct()
+        added = cut(reached if totals is None else reached.alias("r").join(totals.alias("t"), same("r", "t"), "left_anti"))
+        new = added.count()
+        if new or totals is None:
+            counted = _occurrences(docs, added)
+            # a context that isn't met in lower case again counts as met no more
+            counted = added.alias("a").join(counted.alias("c"), same("a", "c"), "left").select("a.one", "a.two", "n")
+            totals = cut(counted if totals is None else totals.unionByName(counted))
+        weight = F.col("n") * F.col("score")
         patterns = cut(
-            scored.groupBy("one", "two").agg(
-                (F.sum(F.col("n") * F.col("score")) / (F.max("total") + 1)).alias("confidence"),
-                F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n"))).alias("kind"),
+            scored.alias("h").join(totals.where("n is not null").withColumnRenamed("n", "total").alias("t"), same("h", "t")).select("h.*", "total")
+            .groupBy("one", "two").agg(
+                (F.sum(weight) / (F.max("total") + 1)).alias("confidence"),
+                (F.sum(F.when(F.col("score") > 0, F.col("n"))) / (F.max("total") + 1)).alias("ceiling"),
+                F.max(F.when(F.col("score") > 0, F.struct("seed", weight.alias("w"), "kind")))["kind"].alias("kind"),
             )
         )
-        if turn == rounds - 1:
-            break
-        sure = patterns.where(F.col("confidence") >= min_confidence).select("one", "two", "confidence")
-        same = [F.col("h.one") == F.col("t.one"), F.col("h.two").eqNullSafe(F.col("t.two"))]
-        chance = (
-            edges.where(F.col("kind").isNull()).alias("h").join(sure.alias("t"), same)
-            .groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(1 - 1e-9)))))).alias("chance"))
+        sure = patterns.where((F.col("confidence") >= min_confidence) & F.col("kind").isNotNull()).select("one", "two", "confidence", "kind")
+        given = cut(
+            hits.where(F.col("kind").isNull()).alias("h").join(sure.alias("t"), same("h", "t"))
+            .groupBy("value").agg(
+                (1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(1 - 1e-9)))))).alias("chance"),
+                F.max(F.struct("confidence", "t.kind"))["kind"].alias("kind"),
+            )
         )
+        within = F.col("confidence") >= min_confidence
+        is_sure, is_open = F.count_if(within), F.count_if(~within & (F.col("ceiling") >= min_confidence))
+        many_sure, open_, level = patterns.agg(is_sure, is_open, F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        after = (many_sure, given.count(), level)
+        if not after[1] or before and not new and after[:2] == before[:2] and (not open_ or level - before[2] < SETTLED):
+            return sure, given
+        before = after
+        found = given.withColumnRenamed("kind", "found")
         scored = cut(
-            edges.join(chance, "value", "left").withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("chance", F.lit(0.0)))).drop("chance")
+            hits.withColumn("seed", seed).join(found, "value", "left")
+            .withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("chance", F.lit(0.0))))
+            .withColumn("kind", F.coalesce("kind", "found")).drop("chance", "found")
         )
-    return patterns
 
 
 def find_pii(
@@ -245,15 +278,15 @@ def find_pii(
     keep_text: bool = False,
     min_support: int = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Rows of ``docs`` (with ``text``) and struct ``pii``: fixed and all, both arrays of (kind, start, end).
 
     ``fixed`` are the forms' spans by kind as listed, then start; ``all`` adds what contexts give away.
     A pattern is the word or the two words before; it needs ``min_support`` different values, and seeds
-    (or values already given away) must be ``min_confidence`` of all words that stand after it in the corpus. An
-    identifier is a word with three digits or more outside the fixed spans; it takes the kind of its
-    surest pattern. A null or empty text has no spans. Patterns are counted before they move, so
+    or values already given away must be ``min_confidence`` of all words that stand after it in the corpus. Values
+    given away make patterns of their other contexts in turn, as far as that leads. An identifier is a word
+    with three digits or more outside the fixed spans; once given away it is one wherever it stands. It takes the kind
+    of the surest pattern before it, or else of its value's surest. A null or empty text has no spans. Patterns are counted before they move, so
     a frequent word is one row. Equal values share a score; repeated rows are found each by itself. A column
     named pii is replaced.
     """
@@ -261,15 +294,15 @@ def find_pii(
     each = found.select("_row", F.explode("_mentions").alias("m")).select("_row", "m.*")
     context = F.explode(F.array(F.struct("one", F.lit(None).cast("string").alias("two")), F.struct("one", F.when(F.col("two") != "", F.col("two")).alias("two"))))
     placed = cut(each.withColumn("p", context).select("_row", "kind", "start", "end", F.sha2("value", 256).alias("value"), "p.*").distinct())
-    hits = placed.groupBy("one", "two", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
-    support = hits.groupBy("one", "two").agg(F.count_distinct("value").alias("values"), F.count("kind").alias("seeds"))
-    induced = cut(support.where((F.col("values") >= min_support) & (F.col("seeds") > 0)).select("one", "two"))
-    patterns = _score(hits, _occurrences(docs, induced), rounds, min_confidence)
-    sure = patterns.where((F.col("confidence") >= min_confidence) & F.col("kind").isNotNull())
+    hits = placed.where("one != ''").groupBy("one", "two", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
+    sure, values = _bootstrap(docs, hits, min_support, min_confidence)
     same = [F.col("h.one") == F.col("t.one"), F.col("h.two").eqNullSafe(F.col("t.two"))]
+    marked = placed.where(F.col("kind").isNull()).drop("kind").join(values.select("value", F.col("kind").alias("_else")), "value")
     given = (
-        placed.where(F.col("kind").isNull()).alias("h").join(sure.alias("t"), same)
-        .groupBy("_row", "start", "end").agg(F.max(F.struct("confidence", "t.kind"))["kind"].alias("kind"))
+        marked.alias("h").join(sure.alias("t"), same, "left")
+        .groupBy("_row", "start", "end").agg(
+            F.coalesce(F.max(F.when(F.col("confidence").isNotNull(), F.struct("confidence", "t.kind")))["kind"], F.max("_else")).alias("kind")
+        )
         .groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_given"))
     )
     listed = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])

@@ -56,6 +56,21 @@ def test_contexts_of_seeds_give_away_other_identifiers(spark):
     assert "text" not in pii.find_pii(docs).columns
 
 
+def test_values_given_away_give_away_their_other_contexts(spark):
+    rows = [f"some words member id a{i}@b.org here" for i in range(200)]
+    rows += [f"more of member id BN-{i} here" for i in range(100, 130)]
+    rows += [f"your badge no. BN-{i} is lost" for i in range(100, 134)]  # four stand after no seed's words
+    rows += [f"door opened by LK{i} today" for i in (1001, 1002)]
+    rows += [f"holder of card tag {v} today" for v in [f"BN-{i}" for i in range(130, 134)] * 8 + ["LK1001", "LK1002"]]  # two hops from a seed
+    last = ["BN-133 stands first", "seen with BN-101 again", "the number 12345 of the day", "LK1001"]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(rows + last)), "doc_id long, text string"), keep_text=True)
+    spans = {r["doc_id"]: [r["text"][x["start"] : x["end"]] for x in r["pii"]["all"]] for r in found.collect()}
+    for i, text in enumerate(rows):
+        value = next(w for w in text.split() if any(c.isdigit() for c in w))
+        assert spans[i] == [value], text
+    assert [spans[len(rows) + i] for i in range(4)] == [["BN-133"], ["BN-101"], [], ["LK1001"]]
+
+
 def test_a_common_context_gives_nothing_away(spark):
     rows = [(i, f"see the a{i}@b.org and the rest of the page") for i in range(30)] + [(99, "this is the 4711x part")]
     found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
