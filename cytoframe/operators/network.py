@@ -24,6 +24,9 @@ from cytoframe.functions.tails import chisq1_upper_p
 
 GENE_BLOCK = 256
 CELL_BLOCK = 8192
+#: Change of a decomposition's fit, as a share of the tensor's norm, that ends its rounds, and rounds after which it is given up.
+FIT_SETTLED = 1e-5
+FIT_ROUNDS = 1000
 
 
 def qc_filter(
@@ -352,9 +355,12 @@ def consensus(edges: DataFrame, replicates: int) -> DataFrame:
     )
 
 
-def tensor_denoise(edges: DataFrame, replicates: Sequence, rank: int = 3, iterations: int = 6) -> DataFrame:
+def tensor_denoise(edges: DataFrame, replicates: Sequence, rank: int = 3, iterations: int | None = None) -> DataFrame:
     """Rank-``rank`` decomposition of the (src, dst, replicate) tensor by alternating least squares.
 
+    Rounds go on until the norm of what is left changes by less than ``FIT_SETTLED`` of the tensor's norm; if it
+    hasn't after ``FIT_ROUNDS``, that is an error. ``iterations`` asks for so many rounds instead.
+
     Returns (src, dst, w) on the stored edges: the decomposition averaged over replicates,
     divided by its largest absolute value. An edge row carries its weights in all
     replicates, so an update is one join with the other gene factor and one aggregation.
@@ -402,9 +408,11 @@ def tensor_denoise(edges: DataFrame, replicates: Sequence, rank: int = 3, iterat
         named_b = b.select("dst", *[F.col(f"f{k}").alias(f"b{k}") for k in range(rank)])
         return wide.join(named_a, "src").join(named_b, "dst")
 
+    squares = wide.agg(sum((F.sum(F.col(f"w{r}") * F.col(f"w{r}")) for r in range(many)), F.lit(0.0))).first()[0] or 0.0
     b = start("dst")
     b_gram = gram(b)
-    for _ in range(iterations):
+    left, turn = np.inf, 0
+    while iterations is None or turn < iterations:
         a = update("src", "dst", b, b_gram)
         a_gram = gram(a)
         norms = np.sqrt(np.maximum(np.diag(a_gram), 1e-300))
@@ -415,7 +423,14 @@ def tensor_denoise(edges: DataFrame, replicates: Sequence, rank: int = 3, iterat
         row = both(a, b).agg(
             *[F.sum(F.col(f"w{r}") * F.col(f"a{k}") * F.col(f"b{k}")) for r in range(many) for k in range(rank)]
         ).first()
-        third = np.array([x or 0.0 for x in row], dtype=float).reshape(many, rank) @ np.linalg.pinv(a_gram * b_gram)
+        met = np.array([x or 0.0 for x in row], dtype=float).reshape(many, rank)
+        third = met @ np.linalg.pinv(a_gram * b_gram)
+        last, turn = left, turn + 1
+        left = np.sqrt(max(0.0, squares - 2 * (met * third).sum() + (a_gram * b_gram * (third.T @ third)).sum()))
+        if iterations is None and abs(last - left) <= FIT_SETTLED * np.sqrt(squares):
+            break
+        if iterations is None and turn == FIT_ROUNDS:
+            raise RuntimeError(f"the decomposition's fit still changes after {turn} rounds")
     mean = third.mean(0)
     value = sum((F.col(f"a{k}") * F.col(f"b{k}") * float(mean[k]) for k in range(rank)), F.lit(0.0))
     rebuilt = cut(both(a, b).select("src", "dst", value.alias("w")))

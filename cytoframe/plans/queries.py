@@ -33,6 +33,7 @@ REGION_PAIRS = {"C1": ("AFRICA", "AMERICA"), "C2": ("ASIA", "EUROPE"), "C3": ("E
 COHORTS = ["B", "B_minus_CD20", "CD20", "T", "T_and_CD69"]
 PERMUTATIONS = 100
 REPLICATES = 3
+STUDY_REPLICATES = 10
 SAMPLE_CELLS = 500
 EDGE_QUANTILE = 0.9
 
@@ -616,9 +617,9 @@ def gene_correlation(spark, sf_dir):
     return _six(network.correlation(_whole_moments(spark, sf_dir)))
 
 
-def _replicate_edges(spark, sf_dir):
+def _replicate_edges(spark, sf_dir, replicates=REPLICATES):
     expr = _stored_expr(spark, sf_dir)
-    samples = cut(network.cell_subsamples(fx.cells(spark, sf_dir), REPLICATES, SAMPLE_CELLS)).select("net", "cell_id")
+    samples = cut(network.cell_subsamples(fx.cells(spark, sf_dir), replicates, SAMPLE_CELLS)).select("net", "cell_id")
     return cut(network.correlation(network.pair_moments(expr.join(samples, "cell_id"), samples)))
 
 
@@ -641,8 +642,8 @@ def pcr_network(spark, sf_dir):
 
 @query
 def tensor_denoise(spark, sf_dir):
-    strong = cut(network.strongest_edges(_replicate_edges(spark, sf_dir), EDGE_QUANTILE))
-    return _six(network.tensor_denoise(strong, range(1, REPLICATES + 1), iterations=4))
+    strong = cut(network.strongest_edges(_replicate_edges(spark, sf_dir, STUDY_REPLICATES), EDGE_QUANTILE))
+    return _six(network.tensor_denoise(strong, range(1, STUDY_REPLICATES + 1)))
 
 
 @query

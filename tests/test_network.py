@@ -81,6 +81,14 @@ def test_tensor_recovers_a_low_rank_network(spark):
         assert w == pytest.approx(want[int(s[1:]), int(d[1:])], abs=1e-6)
 
 
+def test_tensor_rounds_end_by_the_fit_alone(spark, monkeypatch):
+    rows = [(k, f"g{i}", f"g{j}", float((i * 7 + j * 3 + k) % 5)) for i in range(4) for j in range(4) for k in (1, 2)]
+    edges = spark.createDataFrame(rows, "net int, src string, dst string, w double")
+    monkeypatch.setattr(network, "FIT_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        network.tensor_denoise(edges, [1, 2], rank=1)
+
+
 def edges_of(spark, m):
     n = len(m)
     return spark.createDataFrame([(f"g{i}", f"g{j}", float(m[i, j])) for i in range(n) for j in range(n) if m[i, j]], "src string, dst string, w double")
