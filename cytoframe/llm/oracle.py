@@ -59,3 +59,54 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(place - min(place)
   CAST(NULL AS INTEGER) AS grown_shard
 FROM p JOIN c USING (n)
 """
+
+ORACLE["op11_prefix_crc_resampling"] = r"""
+WITH RECURSIVE step AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8
+), d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), m AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), df AS (
+  SELECT n, feature, count(*) AS c FROM (
+    SELECT n, unnest(flatten([w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+      list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])])) AS feature FROM d
+  ) GROUP BY n, feature
+), mf AS (
+  SELECT feature, count(*) AS c FROM (
+    SELECT unnest(flatten([w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+      list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])])) AS feature FROM m
+  ) GROUP BY feature
+), f AS (
+  SELECT feature, string_split(rtrim(regexp_replace(hex(encode(feature)), '(..)', '\1 ', 'g')), ' ') AS h FROM (SELECT feature FROM df UNION SELECT feature FROM mf)
+), b AS (
+  SELECT feature, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(h, lambda x: CAST('0x' || x AS BIGINT))),
+    lambda a, x: xor(t[1 + (xor(a, x) & 255)], a >> 8)), CAST(4294967295 AS BIGINT)) % 10000 AS bucket FROM f, crc
+), s AS (
+  SELECT bucket, sum(c) AS s FROM df JOIN b USING (feature) GROUP BY bucket
+), t AS (
+  SELECT bucket, sum(c) AS t FROM mf JOIN b USING (feature) GROUP BY bucket
+), sums AS (
+  SELECT coalesce((SELECT sum(s) FROM s), 0) AS all_s, coalesce((SELECT sum(t) FROM t), 0) AS all_t
+), g AS (
+  SELECT bucket, CAST(floor(1000.0 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE))
+    / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket), sums
+), w AS (
+  SELECT n, sum(c * gain) AS weight FROM df JOIN b USING (feature) JOIN g USING (bucket) GROUP BY n
+), x AS (
+  SELECT n, doc_id, len(w) AS words, greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features,
+    CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(floor(CAST(-1000.0 AS DOUBLE) * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS noise
+  FROM d LEFT JOIN w USING (n)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + noise DESC, doc_id, n) AS place, count(*) FILTER (words >= 20) OVER () AS fitting FROM x
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, weight + noise AS score,
+  CASE WHEN words >= 20 AND place <= 5 * fitting // 100 THEN place END AS rank
+FROM r
+"""

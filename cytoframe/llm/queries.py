@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import hashing, language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding, toxicity
+from cytoframe.llm import hashing, importance, language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,3 +138,11 @@ def op10_repetition_rates(spark, sf_dir):
     return mixed.select(
         "doc_id", "mixing.size", "mixing.source_size", "mixing.target", (F.col("mixing.size") * F.col("mixing.copies")).alias("taken")
     )
+
+
+@query
+def op11_prefix_crc_resampling(spark, sf_dir):
+    """Documents weighed towards the benchmark's n-grams, the best twentieth ranked."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = importance.resample(_documents(spark, sf_dir).select("doc_id", "text"), benchmark, F.col("doc_id"), keep=["doc_id"])
+    return drawn.select("doc_id", "importance.n_features", "importance.weight", "score", "rank")

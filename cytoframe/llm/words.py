@@ -95,17 +95,35 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return hashes
 
 
-def find_words(column: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; ``lower`` folds A-Z in the hashes."""
+def bytes_outside(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which of the 256 byte values lie outside these ranges of ASCII (ends included)."""
+    outside = np.ones(256, bool)
+    for low, high in ranges:
+        outside[low : high + 1] = False
+    return outside
+
+
+def bounds(column: pa.Array, solid_bytes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last byte of each run of ``solid_bytes``, where each text's runs begin, the bytes and the texts' offsets."""
     data, offsets = text_buffers(column)
-    solid = ~_SPACE[data]
+    solid = solid_bytes[data]
     after, before = np.zeros(len(data), bool), np.zeros(len(data), bool)
     after[1:], before[:-1] = solid[:-1], solid[1:]
     after[offsets[:-1][offsets[:-1] < len(data)]] = False
     before[offsets[1:][offsets[1:] > 0] - 1] = False
     start, end = np.flatnonzero(solid & ~after), np.flatnonzero(solid & ~before) + 1
-    hashes = hash_ranges(data, start, end, lower)
-    return Words(hashes, start, end, np.searchsorted(start, offsets), data, offsets)
+    return start, end, np.searchsorted(start, offsets), data, offsets
+
+
+def find_words(column: pa.Array, lower: bool = False, solid: np.ndarray | None = None) -> Words:
+    """Words of each text; ``lower`` folds A-Z in the hashes; ``solid`` are the bytes of words, if others than non-space."""
+    start, end, ptr, data, offsets = bounds(column, ~_SPACE if solid is None else solid)
+    return Words(hash_ranges(data, start, end, lower), start, end, ptr, data, offsets)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z folded."""
+    return _LOWER[data]
 
 
 def slices(batch: pa.RecordBatch, text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
