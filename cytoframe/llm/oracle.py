@@ -110,3 +110,38 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, weight + noise
   CASE WHEN words >= 20 AND place <= 5 * fitting // 100 THEN place END AS rank
 FROM r
 """
+
+ORACLE["op13_divergence_cube"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS w FROM documents
+), tokens AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), v AS (
+  SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS n FROM kept GROUP BY lang
+), g AS (
+  SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source
+), full_ AS (
+  SELECT g.lang, g.source, k.term, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1) // (g.n + v.v) AS BIGINT) AS p
+  FROM g JOIN kept k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM full_ a JOIN full_ b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), shares AS (
+  SELECT c.lang, c.source, c.term, CAST(1 + CAST(1000000000 AS HUGEINT) * (c.c + 1) // (g.n + v.v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (k.total + 1) // (v.n + v.v) AS BIGINT) AS q
+  FROM c JOIN kept k USING (lang, term) JOIN g ON g.lang = c.lang AND g.source = c.source JOIN v ON v.lang = c.lang
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM every UNION ALL FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import hashing, importance, language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding, toxicity
+from cytoframe.llm import divergence, hashing, importance, language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -146,3 +146,9 @@ def op11_prefix_crc_resampling(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     drawn = importance.resample(_documents(spark, sf_dir).select("doc_id", "text"), benchmark, F.col("doc_id"), keep=["doc_id"])
     return drawn.select("doc_id", "importance.n_features", "importance.weight", "score", "rank")
+
+
+@query
+def op13_divergence_cube(spark, sf_dir):
+    """Divergence of every source from the other sources of its language, and the terms that set it apart."""
+    return divergence.audit(_documents(spark, sf_dir).select("lang", "source", "text"))
