@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm import divergence, hashing, importance, language, mixing, ngram_join, ngram_lm, packing, pii, repetition, sharding, toxicity
+from cytoframe.llm import divergence, hashing, importance, language, mixing, ngram_join, ngram_lm, packing, pii, quality, repetition, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -152,3 +152,14 @@ def op11_prefix_crc_resampling(spark, sf_dir):
 def op13_divergence_cube(spark, sf_dir):
     """Divergence of every source from the other sources of its language, and the terms that set it apart."""
     return divergence.audit(_documents(spark, sf_dir).select("lang", "source", "text"))
+
+
+@query
+def op12_factorisation_machine(spark, sf_dir):
+    """Quality of every document, learned from two thirds of the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    docs = _documents(spark, sf_dir).select("doc_id", (crc_of("doc_id") % 3 == 1).alias("held_out"), "text", "n_chars")
+    learned = quality.learn(docs.where(~F.col("held_out")), labels, F.xxhash64("doc_id"), ["n_chars"])
+    score = F.col("quality_score")
+    scored = quality.score_quality(docs, learned, ["n_chars"])
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

@@ -13,6 +13,9 @@ COLUMNS = {
     "op7_kneser_ney": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op8_compression": {"doc_id", "held_out", "lang_pred", "score"},
     "op9_sampled_splitters": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op11_prefix_crc_resampling": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op12_factorisation_machine": {"doc_id", "held_out", "score", "predicted"},
+    "op13_divergence_cube": {"lang", "source", "part", "item", "value", "rank"},
     "op10_repetition_rates": {"doc_id", "size", "source_size", "target", "taken"},
 }
 
