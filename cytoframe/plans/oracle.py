@@ -4,7 +4,9 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 SEED = "55"
-PERMUTATIONS = 100
+PERMUTATIONS = 1000
+CONDITIONAL_PERMUTATIONS = 200
+REPLICATE_COUNT = 10
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
@@ -336,9 +338,11 @@ ORACLE["marker_prevalence"] = f"""WITH {EXPR}, {CELLS},
 t AS (SELECT cluster, count(*) AS tot_cluster FROM cells GROUP BY 1),
 p AS (SELECT cluster, count(*) AS positive FROM cells WHERE cell_id IN (SELECT cell_id FROM expr WHERE gene = 'Brand#2/LARGE' AND value > 0) GROUP BY 1)
 SELECT cluster, positive, tot_cluster, {six('positive / tot_cluster')} AS prop FROM p LEFT JOIN t USING (cluster)"""
-ORACLE["panel_coexpression"] = f"""WITH {EXPR} SELECT gene, count(*) FILTER (value > 0) AS positive_cells FROM expr
-WHERE regexp_matches(gene, '^Brand#[123]/(LARGE|SMALL|PROMO)$')
-  AND cell_id IN (SELECT cell_id FROM expr WHERE gene = 'Brand#2/LARGE' AND value > 0) GROUP BY gene"""
+ORACLE["panel_coexpression"] = f"""WITH {EXPR},
+panel AS (SELECT 'Brand#' || b || '/' || t AS gene FROM (SELECT unnest([1, 2, 3]) AS b) CROSS JOIN (SELECT unnest(['LARGE', 'SMALL', 'PROMO']) AS t)),
+seen AS (SELECT gene, count(*) FILTER (value > 0) AS n FROM expr
+  WHERE cell_id IN (SELECT cell_id FROM expr WHERE gene = 'Brand#2/LARGE' AND value > 0) GROUP BY gene)
+SELECT gene, coalesce(n, 0) AS positive_cells FROM panel LEFT JOIN seen USING (gene)"""
 ORACLE["depletion_dims"] = f"""WITH {MEMBERS}, present AS (SELECT DISTINCT cell_id FROM expr)
 SELECT cohort, (SELECT count(DISTINCT gene) FROM expr) AS genes, (SELECT count(*) FROM present) AS cells_before,
   (SELECT count(*) FROM present) - (SELECT count(DISTINCT m.cell_id) FROM members m JOIN present USING (cell_id) WHERE m.cohort = listed.cohort) AS cells_after
@@ -385,7 +389,7 @@ def correlations(source: str, name: str) -> str:
 
 def strongest(source: str, name: str) -> str:
     return f"""{name} AS (SELECT net, src, dst, w FROM {source}
-  JOIN (SELECT net, quantile_cont(abs(w), 0.9) AS edge FROM {source} WHERE w IS NOT NULL GROUP BY 1) USING (net) WHERE abs(w) >= edge)"""
+  JOIN (SELECT net, quantile_cont(abs(w), 0.95) AS edge FROM {source} WHERE w IS NOT NULL GROUP BY 1) USING (net) WHERE abs(w) >= edge)"""
 
 
 def difference(x: str, y: str) -> str:
@@ -400,17 +404,18 @@ WHOLE = f"""{EXPR}, {CELLS}, whole_e AS (SELECT 'ALL' AS net, * FROM expr), whol
 ORACLE["gene_covariance"] = f"""WITH {WHOLE}
 SELECT net, g1, g2, {six('(sxy - s1 * s2 / n) / (n - 1)')} AS covariance FROM mom"""
 ORACLE["gene_correlation"] = f"""WITH {WHOLE}, {correlations('mom', 'cor')} SELECT net, src, dst, {six('w')} AS w FROM cor"""
-REPLICATES = f"""{EXPR}, {subsamples(3)}, rep_e AS (SELECT net, gene, cell_id, value FROM expr JOIN samples USING (cell_id)),
+REPLICATES = f"""{EXPR}, {subsamples(REPLICATE_COUNT)}, rep_e AS (SELECT net, gene, cell_id, value FROM expr JOIN samples USING (cell_id)),
 {moments('rep_e', 'samples', 'mom')}, {correlations('mom', 'cor')}, {strongest('cor', 'strong')}"""
 ORACLE["edge_quantile_filter"] = f"WITH {REPLICATES} SELECT net, src, dst, {six('w')} AS w FROM strong"
 ORACLE["consensus_network"] = f"""WITH {REPLICATES}
-SELECT src, dst, {six('sum(w) / 3')} AS w, count(*) AS replicates FROM strong GROUP BY 1, 2"""
+SELECT src, dst, {six(f'sum(w) / {REPLICATE_COUNT}')} AS w, count(*) AS replicates FROM strong GROUP BY 1, 2"""
 ORACLE["virtual_knockout"] = f"""WITH {WHOLE}, {correlations('mom', 'cor')},
 e AS (SELECT src, dst, w FROM cor UNION ALL SELECT dst, src, w FROM cor)
 SELECT src, dst, {six('w')} AS w FROM e WHERE src <> 'Brand#2/LARGE'"""
 ORACLE["edge_difference"] = f"""WITH {REPLICATES},
-one AS (SELECT '1 vs 2' AS net, src, dst, w FROM strong WHERE net = 1),
-two AS (SELECT '1 vs 2' AS net, src, dst, w FROM strong WHERE net = 2)
+duos AS (SELECT a.net AS one, b.net AS two FROM (SELECT DISTINCT net FROM strong) a JOIN (SELECT DISTINCT net FROM strong) b ON a.net < b.net),
+one AS (SELECT one || ' vs ' || two AS net, src, dst, w FROM strong JOIN duos ON net = one),
+two AS (SELECT one || ' vs ' || two AS net, src, dst, w FROM strong JOIN duos ON net = two)
 {difference('one', 'two')}"""
 ORACLE["null_comparison"] = f"""WITH {WHOLE}, {correlations('mom', 'cor')}, {strongest('cor', 'strong')}
 {difference('strong', 'strong')}"""
@@ -478,40 +483,40 @@ ORACLE["top_sets_with_ties"] = f"""WITH {GSEA} SELECT dataset, collection, set_n
 ORACLE["top_sets_limit"] = f"""WITH {GSEA} SELECT dataset, collection, set_name, p_adj, nes FROM placed
 ORDER BY by_p ASC NULLS LAST, by_nes DESC NULLS LAST, collection, set_name, dataset LIMIT 9"""
 ORACLE["conditional_enrichment"] = f"""WITH {RANKS},
-h AS (SELECT set_name, gene, stat, rank, universe, size FROM hits WHERE dataset = 'ALL'),
-a AS (SELECT set_name AS set_a, gene, stat, rank, universe, size AS size_a, row_number() OVER (PARTITION BY set_name ORDER BY rank) AS pos FROM h),
-meet AS (SELECT a.set_a, b.set_name AS set_b, a.pos, a.size_a, b.size AS size_b, b.stat, count(*) OVER (PARTITION BY a.set_a, b.set_name) AS shared
-         FROM a JOIN h b ON b.gene = a.gene WHERE a.set_a <> b.set_name),
-pairs AS (SELECT DISTINCT set_a, set_b, size_a, size_b, shared FROM meet),
-ins AS (SELECT set_a, set_b, stat, pos AS rank, size_a AS universe, shared AS size FROM meet),
-es_in AS (SELECT set_a, set_b, size, round(max(score), 9) AS es FROM {running('ins', 'set_a, set_b')} GROUP BY 1, 2, 3),
+h AS (SELECT dataset, set_name, gene, stat, rank, universe, size FROM hits),
+a AS (SELECT dataset, set_name AS set_a, gene, stat, rank, universe, size AS size_a, row_number() OVER (PARTITION BY dataset, set_name ORDER BY rank) AS pos FROM h),
+meet AS (SELECT a.dataset, a.set_a, b.set_name AS set_b, a.pos, a.size_a, b.size AS size_b, b.stat, count(*) OVER (PARTITION BY a.dataset, a.set_a, b.set_name) AS shared
+         FROM a JOIN h b ON b.dataset = a.dataset AND b.gene = a.gene WHERE a.set_a <> b.set_name),
+pairs AS (SELECT DISTINCT dataset, set_a, set_b, size_a, size_b, shared FROM meet),
+ins AS (SELECT dataset, set_a, set_b, stat, pos AS rank, size_a AS universe, shared AS size FROM meet),
+es_in AS (SELECT dataset, set_a, set_b, size, round(max(score), 9) AS es FROM {running('ins', 'dataset, set_a, set_b')} GROUP BY 1, 2, 3, 4),
 outs AS (
-  SELECT p.set_a, p.set_b, b.stat, b.rank - (SELECT count(*) FROM a x WHERE x.set_a = p.set_a AND x.rank < b.rank) AS rank,
+  SELECT p.dataset, p.set_a, p.set_b, b.stat, b.rank - (SELECT count(*) FROM a x WHERE x.dataset = p.dataset AND x.set_a = p.set_a AND x.rank < b.rank) AS rank,
          b.universe - p.size_a AS universe, p.size_b - p.shared AS size
-  FROM pairs p JOIN h b ON b.set_name = p.set_b
-  WHERE p.size_b > p.shared AND NOT EXISTS (SELECT 1 FROM a x WHERE x.set_a = p.set_a AND x.gene = b.gene)),
-es_out AS (SELECT set_a, set_b, size, round(max(score), 9) AS es FROM {running('outs', 'set_a, set_b')} GROUP BY 1, 2, 3),
-perms AS (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS perm),
-din AS (SELECT set_a, perm, stat, pos AS rank, size_a AS universe,
-          row_number() OVER (PARTITION BY set_a, perm ORDER BY md5('{SEED}/' || CAST(perm AS VARCHAR) || '/' || gene), gene) AS draw FROM a CROSS JOIN perms),
-din2 AS (SELECT d.*, s.size FROM din d JOIN (SELECT DISTINCT set_a, size FROM es_in) s ON s.set_a = d.set_a AND d.draw <= s.size),
-null_in AS (SELECT set_a, perm, size, round(max(score), 9) AS null_es FROM {running('din2', 'set_a, perm, size')} GROUP BY 1, 2, 3),
+  FROM pairs p JOIN h b ON b.dataset = p.dataset AND b.set_name = p.set_b
+  WHERE p.size_b > p.shared AND NOT EXISTS (SELECT 1 FROM a x WHERE x.dataset = p.dataset AND x.set_a = p.set_a AND x.gene = b.gene)),
+es_out AS (SELECT dataset, set_a, set_b, size, round(max(score), 9) AS es FROM {running('outs', 'dataset, set_a, set_b')} GROUP BY 1, 2, 3, 4),
+perms AS (SELECT unnest(range(1, {CONDITIONAL_PERMUTATIONS + 1})) AS perm),
+din AS (SELECT dataset, set_a, perm, stat, pos AS rank, size_a AS universe,
+          row_number() OVER (PARTITION BY dataset, set_a, perm ORDER BY md5('{SEED}/' || CAST(perm AS VARCHAR) || '/' || gene), gene) AS draw FROM a CROSS JOIN perms),
+din2 AS (SELECT d.*, s.size FROM din d JOIN (SELECT DISTINCT dataset, set_a, size FROM es_in) s ON s.dataset = d.dataset AND s.set_a = d.set_a AND d.draw <= s.size),
+null_in AS (SELECT dataset, set_a, perm, size, round(max(score), 9) AS null_es FROM {running('din2', 'dataset, set_a, perm, size')} GROUP BY 1, 2, 3, 4),
 rest AS (
-  SELECT s.set_a, o.gene, o.stat, o.universe - s.size_a AS universe,
-         row_number() OVER (PARTITION BY s.set_a ORDER BY o.rank) AS rank
-  FROM (SELECT DISTINCT set_a, size_a FROM a) s CROSS JOIN (SELECT * FROM ordered WHERE dataset = 'ALL') o
-  WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.set_a = s.set_a AND x.gene = o.gene)),
-dout AS (SELECT set_a, perm, stat, rank, universe,
-           row_number() OVER (PARTITION BY set_a, perm ORDER BY md5('{SEED}/' || CAST(perm AS VARCHAR) || '/' || gene), gene) AS draw FROM rest CROSS JOIN perms),
-dout2 AS (SELECT d.*, s.size FROM dout d JOIN (SELECT DISTINCT set_a, size FROM es_out) s ON s.set_a = d.set_a AND d.draw <= s.size),
-null_out AS (SELECT set_a, perm, size, round(max(score), 9) AS null_es FROM {running('dout2', 'set_a, perm, size')} GROUP BY 1, 2, 3),
-pin AS (SELECT set_a, set_b, es, CASE WHEN es IS NOT NULL THEN (1 + count(*) FILTER (null_es >= es)) / (1 + count(null_es)) END AS p
-        FROM es_in JOIN null_in USING (set_a, size) GROUP BY 1, 2, 3),
-pout AS (SELECT set_a, set_b, es, CASE WHEN es IS NOT NULL THEN (1 + count(*) FILTER (null_es >= es)) / (1 + count(null_es)) END AS p
-         FROM es_out JOIN null_out USING (set_a, size) GROUP BY 1, 2, 3)
-SELECT 'ALL' AS dataset, p.set_a, p.set_b, p.shared, {six('pin.es')} AS es_inside, {six('pin.p')} AS p_inside,
+  SELECT s.dataset, s.set_a, o.gene, o.stat, o.universe - s.size_a AS universe,
+         row_number() OVER (PARTITION BY s.dataset, s.set_a ORDER BY o.rank) AS rank
+  FROM (SELECT DISTINCT dataset, set_a, size_a FROM a) s JOIN ordered o ON o.dataset = s.dataset
+  WHERE NOT EXISTS (SELECT 1 FROM a x WHERE x.dataset = s.dataset AND x.set_a = s.set_a AND x.gene = o.gene)),
+dout AS (SELECT dataset, set_a, perm, stat, rank, universe,
+           row_number() OVER (PARTITION BY dataset, set_a, perm ORDER BY md5('{SEED}/' || CAST(perm AS VARCHAR) || '/' || gene), gene) AS draw FROM rest CROSS JOIN perms),
+dout2 AS (SELECT d.*, s.size FROM dout d JOIN (SELECT DISTINCT dataset, set_a, size FROM es_out) s ON s.dataset = d.dataset AND s.set_a = d.set_a AND d.draw <= s.size),
+null_out AS (SELECT dataset, set_a, perm, size, round(max(score), 9) AS null_es FROM {running('dout2', 'dataset, set_a, perm, size')} GROUP BY 1, 2, 3, 4),
+pin AS (SELECT dataset, set_a, set_b, es, CASE WHEN es IS NOT NULL THEN (1 + count(*) FILTER (null_es >= es)) / (1 + count(null_es)) END AS p
+        FROM es_in JOIN null_in USING (dataset, set_a, size) GROUP BY 1, 2, 3, 4),
+pout AS (SELECT dataset, set_a, set_b, es, CASE WHEN es IS NOT NULL THEN (1 + count(*) FILTER (null_es >= es)) / (1 + count(null_es)) END AS p
+         FROM es_out JOIN null_out USING (dataset, set_a, size) GROUP BY 1, 2, 3, 4)
+SELECT p.dataset, p.set_a, p.set_b, p.shared, {six('pin.es')} AS es_inside, {six('pin.p')} AS p_inside,
   {six('pout.es')} AS es_outside, {six('pout.p')} AS p_outside
-FROM pairs p LEFT JOIN pin USING (set_a, set_b) LEFT JOIN pout USING (set_a, set_b)"""
+FROM pairs p LEFT JOIN pin USING (dataset, set_a, set_b) LEFT JOIN pout USING (dataset, set_a, set_b)"""
 ORA = f"""{RANKS},
 chosen AS (SELECT dataset, gene FROM (SELECT *, avg(stat) OVER (PARTITION BY dataset) AS mean FROM ranks) WHERE stat > mean),
 drawn AS (SELECT dataset, count(*) AS n FROM chosen GROUP BY 1),

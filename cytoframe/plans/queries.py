@@ -31,11 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 REGION_PAIRS = {"C1": ("AFRICA", "AMERICA"), "C2": ("ASIA", "EUROPE"), "C3": ("EUROPE", "MIDDLE EAST")}
 COHORTS = ["B", "B_minus_CD20", "CD20", "T", "T_and_CD69"]
-PERMUTATIONS = 100
-REPLICATES = 3
-STUDY_REPLICATES = 10
+PERMUTATIONS = 1000
+CONDITIONAL_PERMUTATIONS = 200
+REPLICATES = 10
 SAMPLE_CELLS = 500
-EDGE_QUANTILE = 0.9
+EDGE_QUANTILE = 0.95
 
 
 def query(function):
@@ -642,8 +642,8 @@ def pcr_network(spark, sf_dir):
 
 @query
 def tensor_denoise(spark, sf_dir):
-    strong = cut(network.strongest_edges(_replicate_edges(spark, sf_dir, STUDY_REPLICATES), EDGE_QUANTILE))
-    return _six(network.tensor_denoise(strong, range(1, STUDY_REPLICATES + 1)))
+    strong = cut(network.strongest_edges(_replicate_edges(spark, sf_dir, REPLICATES), EDGE_QUANTILE))
+    return _six(network.tensor_denoise(strong, range(1, REPLICATES + 1)))
 
 
 @query
@@ -663,9 +663,10 @@ def _contrast(spark, sf_dir, names):
 @query
 def edge_difference(spark, sf_dir):
     edges = cut(network.strongest_edges(_replicate_edges(spark, sf_dir), EDGE_QUANTILE))
-    one = edges.where("net = 1").withColumn("net", F.lit("1 vs 2"))
-    two = edges.where("net = 2").withColumn("net", F.lit("1 vs 2"))
-    return _six(network.edge_difference(one, two))
+    name = F.concat(F.least("net", "other"), F.lit(" vs "), F.greatest("net", "other"))
+    paired = edges.withColumn("other", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES)))).withColumn("_name", name)
+    first, second = (paired.where(side).drop("net", "other").withColumnRenamed("_name", "net") for side in ("net < other", "net > other"))
+    return _six(network.edge_difference(first, second))
 
 
 @query
@@ -805,14 +806,14 @@ def top_sets_limit(spark, sf_dir):
 
 @query
 def conditional_enrichment(spark, sf_dir):
-    ranks = cut(fx.gene_ranks(spark, sf_dir).where("dataset = 'ALL'"))
-    return _six(enrichment.conditional_enrichment(ranks, fx.gene_sets(spark, sf_dir), PERMUTATIONS))
+    ranks = cut(fx.gene_ranks(spark, sf_dir))
+    return _six(enrichment.conditional_enrichment(ranks, fx.gene_sets(spark, sf_dir), CONDITIONAL_PERMUTATIONS))
 
 
 @query
 def collapse_sets(spark, sf_dir):
     ranks, sets = cut(fx.gene_ranks(spark, sf_dir)), fx.gene_sets(spark, sf_dir)
-    pairs = enrichment.conditional_enrichment(ranks, sets, PERMUTATIONS)
+    pairs = enrichment.conditional_enrichment(ranks, sets, CONDITIONAL_PERMUTATIONS)
     table = enrichment.gsea(ranks, sets, PERMUTATIONS)
     return enrichment.collapse_sets(table, cut(pairs), max_p=0.2)
 
