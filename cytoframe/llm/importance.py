@@ -125,7 +125,7 @@ def bucket_counts(docs: DataFrame, text: Column, buckets: int = BUCKETS, longest
 def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, gain): floor of 1000 times the log ratio of a bucket's smoothed share in the target and in the raw corpus."""
     s, t = raw.withColumnRenamed("n", "s"), target.withColumnRenamed("n", "t")
-    both = raw.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(s, "bucket", "left").join(t, "bucket", "left").fillna(0, ["s", "t"])
+    both = cut(raw.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(s, "bucket", "left").join(t, "bucket", "left").fillna(0, ["s", "t"]))
     all_s, all_t = both.agg(F.sum("s"), F.sum("t")).first()
     one = lambda c: (F.col(c) + 1).cast("double")
     ratio = (one("t") * F.lit(float(all_s + buckets))) / (one("s") * F.lit(float(all_t + buckets)))
