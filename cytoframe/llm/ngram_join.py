@@ -1,19 +1,21 @@
 """Similarity join on word n-grams with adaptive multi-match prefixes.
 
-Shingles have one order over the corpus, rare ones first. Texts with a Jaccard similarity of t
+Shingles have one order over the corpus, that of their hashes. Texts with a Jaccard similarity of t
 share at least l of the first |x| - ceil(t|x|) + l shingles of either (Wang, Li and Feng, "Can we
-beat the prefix filtering?", SIGMOD 2012). Each text takes the l that its prefix's frequencies
-make cheapest. Texts of equal sets are one class from the start; links are first sought to
-one class per shared shingle, and pairs already in one component need no further check.
+beat the prefix filtering?", SIGMOD 2012). First every text is held against the whole corpus at a deep l, in
+proportion to its size: if fewer of its prefix's shingles stand in any other prefix than the smallest partner
+would ask for, it links with nothing, which settles all texts but near copies. The others' sets are stored once;
+each takes the l that its prefix's frequencies make cheapest. Texts of equal sets are one class from the start; links are
+first sought to one class per shared shingle, and pairs already in one component need no further check.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +25,14 @@ from cytoframe.llm.words import find_words, mix, slices
 
 WIDTH = 4
 PERCENT = 85
-DEEPEST = 12
+DEEP_PERCENT = 8
 SLICE_BYTES = 2 << 20
-FLUSH_SHINGLES = 2_000_000
-SEEN_IN_TASK = 4
-FREQUENT = 200_000
-PART_BYTES = 8 << 20
-BROADCAST_ROWS = 500_000
+FLUSH_SHINGLES = 1_000_000
+PART_BYTES = 16 << 20
+CHECK_SHINGLES = 1 << 21
 FEW = 32
-BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
+TOKEN_BITS = 48
 _LOW = np.uint64((1 << 58) - 1)
 
 
@@ -52,66 +53,121 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     return value & _LOW, out_ptr
 
 
-def _frequent(docs: DataFrame, width: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the corpus's most frequent shingles, sorted, and the order class of each.
+def signature(members: np.ndarray) -> int:
+    """One 64-bit number of a set."""
+    spread = mix(members)
+    parts = np.array([spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(spread)) if len(spread) else 0, len(members)], np.uint64)
+    return int(mix(parts[:1] ^ mix(parts[1:2] ^ mix(parts[2:])))[0].view(np.int64))
 
-    Tasks report what they saw ``SEEN_IN_TASK`` times in a flush; sums of all are ranked. It only sets
-    the order of shingles, never which are compared. At most ``keep`` come to the driver.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    values, ptr = shingles(texts, width)
+    for a, b in zip(ptr[:-1], ptr[1:], strict=True):
+        yield np.unique(values[a:b])
 
-        def flush() -> pa.RecordBatch:
-            values, many = np.unique(np.concatenate(held), return_counts=True)
-            often = many >= SEEN_IN_TASK
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(many[often].astype(np.int64))], ["shingle", "n"])
 
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                values, _ = shingles(batch.column("text"), width)
-                held.append(values)
-                size += len(values)
-                if size >= FLUSH_SHINGLES:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+def _needed(n, percent: int):
+    """Shingles that a set of n shares with any set it links with; of a number, an array or a column."""
+    return F.ceil(n * percent / 100) if isinstance(n, Column) else -(-percent * n // 100)
 
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(keep).toArrow()
-    values = top.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(values)
-    level = np.minimum(63, np.floor(np.log2(np.maximum(top.column("n").to_numpy(), 1))).astype(np.uint64) + 1)
-    return values[order], level[order]
 
+def _deepest(n, percent: int):
+    """The greatest l that a set of n takes part with."""
+    if isinstance(n, Column):
+        return F.greatest(F.lit(1), F.least(_needed(n, percent), F.ceil(n * DEEP_PERCENT / 100)))
+    return max(1, min(_needed(n, percent), -(-DEEP_PERCENT * n // 100)))
 
-def _ordered(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Shingles as numbers in corpus order: frequency class in the high bits, hash in the low."""
-    listed, level = frequent
-    if not len(listed):
-        return values
-    at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
-    return values | (np.where(listed[at] == values, level[at], np.uint64(0)) << np.uint64(58))
 
+def _six(tokens: np.ndarray) -> bytes:
+    """The high 48 of the 58 bits of each shingle."""
+    return np.ascontiguousarray((tokens >> np.uint64(58 - TOKEN_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-def _sets(texts: pa.Array, width: int, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
-    values, ptr = shingles(texts, width)
-    values = _ordered(values, frequent)
-    for a, b in zip(ptr[:-1], ptr[1:], strict=True):
-        yield np.unique(values[a:b])
 
+def _unsix(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1).astype(np.uint64)
 
-def signature(members: np.ndarray) -> int:
-    """One 64-bit number of a set."""
-    spread = mix(members)
-    parts = np.array([spread.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(spread)) if len(spread) else 0, len(members)], np.uint64)
-    return int(mix(parts[:1] ^ mix(parts[1:2] ^ mix(parts[2:])))[0].view(np.int64))
 
+def _shared_counts(described: DataFrame, parts: int) -> DataFrame:
+    """(class, shared): at least as many shingles of a class's prefix as other classes' prefixes hold.
+
+    A task counts what its own classes share and sends such a shingle once, marked; the others go, packed, to the part that owns
+    their hash. So a shingle that a third of all classes hold moves once for a flush. Shingles are told apart by 32
+    bits and the part's; a class that stands in several flushes may count a shingle more than once. Both only make more classes stay:
+    a shingle taken for another still counts for itself.
+    """
+    bits = parts.bit_length() - 1
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
-def _needed(n: int, percent: int) -> int:
-    """Shingles that a set of n shares with any set it links with."""
-    return -(-percent * n // 100)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, bytes] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            names = np.fromiter(held, np.int64, len(held))
+            token = _unsix(b"".join(held.values()))
+            owner = np.repeat(names, [len(b) // 6 for b in held.values()])
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            new = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
+            many = np.diff(new, append=len(token))
+            again = np.repeat(many > 1, many)
+            own, times = np.unique(owner[again], return_counts=True)
+            token, owner, marked = token[new], owner[new], many > 1
+            part = (token >> np.uint64(TOKEN_BITS - bits)).astype(np.int64)
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            home = mix(own.view(np.uint64)) % np.uint64(parts)
+            turn = np.argsort(home, kind="stable")
+            own, times = own[turn], times[turn].astype(np.uint32)
+            homes = np.searchsorted(home[turn], np.arange(parts + 1, dtype=np.uint64))
+            rows = []
+            for k in np.flatnonzero(np.diff(edges) + np.diff(homes)):
+                mine, own_part = slice(edges[k], edges[k + 1]), slice(homes[k], homes[k + 1])
+                sizes = np.array([mine.stop - mine.start, own_part.stop - own_part.start], np.uint32).tobytes()
+                blob = sizes + token[mine].astype(np.uint32).tobytes() + owner[mine].tobytes() + np.packbits(marked[mine]).tobytes()
+                rows.append((k, blob + own[own_part].tobytes() + times[own_part].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
+
+        for batch in batches:
+            for name, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("class", "n_shingles", "prefix")), strict=True):
+                if n and name not in held:
+                    held[name] = prefix
+                    size += len(prefix) // 6
+                    if size >= FLUSH_SHINGLES:
+                        yield flush()
+                        held, size = {}, 0
+        if held:
+            yield flush()
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tokens, owners, marks, names, counts = [], [], [], [], []
+        for item in table.column("blob"):
+            data = memoryview(item.as_py())
+            n, m = (int(x) for x in np.frombuffer(data, np.uint32, 2))
+            at = 8 + 12 * n
+            tokens.append(np.frombuffer(data, np.uint32, n, 8))
+            owners.append(np.frombuffer(data, np.int64, n, 8 + 4 * n))
+            marks.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool))
+            at += -(-n // 8)
+            names.append(np.frombuffer(data, np.int64, m, at))
+            counts.append(np.frombuffer(data, np.uint32, m, at + 8 * m).astype(np.int64))
+        token, owner, marked = (np.concatenate(x) for x in (tokens, owners, marks))
+        order = np.lexsort((owner, token))
+        token, owner, marked = token[order], owner[order], marked[order]
+        new = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1) != 0)
+        fresh = np.ones(len(token), np.int64)
+        fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        if len(new):
+            several = (np.add.reduceat(fresh, new) > 1) | (np.add.reduceat(marked.astype(np.int64), new) > 0)
+            kept = np.repeat(several, np.diff(new, append=len(token))) & ~marked
+            names.append(owner[kept])
+            counts.append(np.ones(int(kept.sum()), np.int64))
+        names, which = np.unique(np.concatenate(names), return_inverse=True)
+        return pa.table([names, np.bincount(which, np.concatenate(counts), len(names)).astype(np.int64)], ["class", "shared"])
+
+    sent = described.select("class", "n_shingles", "prefix").mapInArrow(send, schema)
+    return sent.groupBy("part").applyInArrow(count, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
 
 
 def _few(entries: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
@@ -123,9 +179,9 @@ def _few(entries: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
         .where((F.col("x.level") <= depth) & (F.col("y.level") <= depth))
         .where((100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")))
         .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), depth.alias("depth"))
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.first("y.n").alias("n"))
         .where(F.col("shared") >= F.col("depth"))
-        .select("a", "b")
+        .select("a", "b", "n")
     )
     return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
@@ -140,11 +196,44 @@ def _shared(mine: tuple[np.ndarray, np.ndarray], all_: tuple[np.ndarray, np.ndar
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
-    """A column of lists as flat dense numbers, their bounds, and how many numbers there are."""
+    """A column of lists, or of packed ones, as flat dense numbers, their bounds, and how many numbers there are."""
     rows = column.combine_chunks()
-    flat = rows.flatten().to_numpy()
+    if pa.types.is_binary(rows.type) or pa.types.is_large_binary(rows.type):
+        sets = [_unpacked(x) for x in rows]
+        flat, sizes = np.concatenate(sets), [len(x) for x in sets]
+    else:
+        flat, sizes = rows.flatten().to_numpy(), rows.value_lengths().to_numpy()
     known, dense = np.unique(flat, return_inverse=True)
-    return dense, np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())]).astype(np.int64), len(known)
+    return dense, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), len(known)
+
+
+def _unpacked(members: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(members.as_buffer(), np.uint64)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, n), where n is the size of b's set, those (a, b) whose sets are as alike as asked.
+
+    All partners of one ``a`` meet it in one task, or in several of about ``CHECK_SHINGLES`` shingles: the set of ``a`` moves once for each.
+    """
+    load = pairs.groupBy("a").agg(F.ceil(F.sum("n") / CHECK_SHINGLES).alias("chunks"))
+    salted = cut(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")))
+    ours = salted.select("a", "chunk").distinct().join(sets.select(F.col("class").alias("a"), "members"), "a")
+    theirs = salted.join(sets.select(F.col("class").alias("b"), F.col("members").alias("other")), "b")
+    theirs = theirs.select(F.col("a").alias("a"), F.col("chunk").alias("chunk"), "b", "other")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows:
+            x, name = _unpacked(left.column("members")[0]), left.column("a")[0].as_py()
+            for b, other in zip(right.column("b").to_pylist(), right.column("other"), strict=True):
+                y = _unpacked(other)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append((name, b))
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return ours.groupBy("a", "chunk").cogroup(theirs.groupBy("a", "chunk")).applyInArrow(check, "a long, b long")
 
 
 def _meet(table: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -188,40 +277,39 @@ def _meet(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _many(entries: DataFrame, hot: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _many(entries: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among classes that meet in shingles which many classes hold.
 
-    Classes tied by such shingles form families. Small families share blocks; one of more than ``BLOCK`` classes is cut,
+    Classes tied by such shingles form families. Small families share blocks; one of more than ``BLOCK_SHINGLES`` shingles is cut,
     by the leading class of a class's most frequent shingle and then by hash. Blocks that share a frequent shingle, which
     only blocks of one family do, meet in one task, to which a set moves once for a pair of blocks instead of once for a
     pair of classes. All candidates between the two are checked there, and only links that join components leave it.
     """
-    lead = hot.groupBy("class").agg(F.max(F.struct("df", "token", "lead"))["lead"].alias("lead"))
+    lead = hot.groupBy("class").agg(F.max(F.struct("df", "token", "lead"))["lead"].alias("lead"), F.first("n").alias("n"))
     family = components(hot.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct())
     known = lead.join(family.select(F.col("node").alias("class"), F.col("component").alias("family")), "class", "left")
     known = cut(known.withColumn("family", F.coalesce("family", "class")))
-    blocks = max(1, -(-known.count() // BLOCK))
-    size = known.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
-    led = known.groupBy("family", "lead").agg(F.count(F.lit(1)).alias("led"))
-    parts = F.ceil(F.col("many") / BLOCK)
-    own = F.when(F.col("led") > BLOCK, F.xxhash64("family", "lead", F.pmod(F.xxhash64("class"), F.ceil(F.col("led") / BLOCK))))
+    blocks = max(1, -(-(known.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    size = known.groupBy("family").agg(F.sum("n").alias("many"))
+    led = known.groupBy("family", "lead").agg(F.sum("n").alias("led"))
+    parts = F.ceil(F.col("many") / BLOCK_SHINGLES)
+    own = F.when(F.col("led") > BLOCK_SHINGLES, F.xxhash64("family", "lead", F.pmod(F.xxhash64("class"), F.ceil(F.col("led") / BLOCK_SHINGLES))))
     own = own.otherwise(F.xxhash64("family", F.pmod(F.xxhash64("lead"), parts)))
     shared = F.pmod(F.xxhash64("family"), F.lit(blocks))
     placed = known.join(size, "family").join(led, ["family", "lead"])
-    placed = cut(placed.select("class", F.when(F.col("many") > BLOCK, own).otherwise(shared).alias("block")))
+    placed = cut(placed.select("class", F.when(F.col("many") > BLOCK_SHINGLES, own).otherwise(shared).alias("block")))
     at = hot.select("token", "class").join(placed, "class").select("token", "block").distinct()
     pairs = (
         at.alias("x").join(at.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")))
         .select(F.col("x.block").alias("one"), F.col("y.block").alias("two")).distinct()
     )
     pairs = cut(pairs)
-    sets = sets_of(placed.select(F.col("class").alias("a"), F.col("class").alias("b")))
     facts = entries.join(placed, "class", "left_semi").groupBy("class").agg(
         F.first("n").alias("n"), F.first("depth").cast("long").alias("depth"), F.first("component").alias("component"),
         F.collect_list(F.struct("token", "level")).alias("_prefix"),
     )
     rows = cut(
-        facts.join(placed, "class").join(sets, "class")
+        facts.join(placed, "class").join(sets.select("class", "members"), "class")
         .select("block", "class", "n", "depth", "component", F.col("_prefix.token").alias("prefix"), F.col("_prefix.level").alias("levels"), "members")
     )
     first = pairs.select("one", "two", F.col("one").alias("block"), F.lit(0).alias("side"))
@@ -235,147 +323,89 @@ def _many(entries: DataFrame, hot: DataFrame, sets_of: Callable[[DataFrame], Dat
     return met.groupBy("one", "two").applyInArrow(meet, "a long, b long")
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, deepest: int = DEEPEST) -> DataFrame:
+def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
 
     Two texts link when 100 * |x & y| >= percent * |x | y| for their sets of ``width``-word shingles (A-Z
     folded; a shorter text is one shingle, a text without words or a null has none and links with
     nothing). ``component_id`` is the smallest doc_id reachable. Rows that share a doc_id or lack one stay
-    rows; a component of null ids only has a null id. Shingles are compared by 58-bit hashes.
+    rows; a component of null ids only has a null id. Whole texts of any length take part, in slices of ``SLICE_BYTES``, a longer one
+    by itself; an empty table gives an empty result; other columns don't matter. Shingles are compared by 58-bit hashes,
+    equal sets found by 64-bit ones.
     """
     docs = docs.select("doc_id", "text")
     held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 << max(3, (held // PART_BYTES).bit_length())
-    frequent = _frequent(docs, width, FREQUENT)
+    parts = 1 << min(16, max(3, (held // PART_BYTES).bit_length()))
 
-    # every document's size and class
+    # every document's size, class and deepest prefix
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                sets = [(len(s), signature(s)) for s in _sets(batch.column("text"), width, frequent)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("content"), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())],
-                    ["doc_id", "content", "n_shingles", "class"],
-                )
+                rows = [(len(s), signature(s), _six(s[: len(s) - _needed(len(s), percent) + _deepest(len(s), percent)])) for s in _sets(batch.column("text"), width)]
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), *columns], ["doc_id", "content", "n_shingles", "class", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType
-    shape = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(c, T.LongType()) for c in ("content", "n_shingles", "class")]])
+    shape = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(c, T.LongType()) for c in ("content", "n_shingles", "class")], T.StructField("prefix", T.BinaryType())])
     keyed = docs.withColumn("content", F.xxhash64("text"))
     described = cut(keyed.mapInArrow(describe, shape))
 
-    # prefixes of each class, packed, to the part that owns a shingle; only shingles of two classes or more come back
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            token, owner, level, many = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (mix(token) >> np.uint64(40)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            token, owner, level, many, part = token[order], owner[order], level[order], many[order], part[order]
-            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            blobs = [
-                np.uint32(b - a).tobytes() + token[a:b].tobytes() + owner[a:b].tobytes() + many[a:b].astype(np.uint32).tobytes() + level[a:b].astype(np.uint8).tobytes()
-                for a, b in zip(edges[:-1], edges[1:], strict=True)
-                if b > a
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(np.diff(edges)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+    # classes whose prefix shares enough with the rest of the corpus; a partner has at least ``percent`` of a set's shingles
+    shared = _shared_counts(described, parts)
+    n = F.col("n_shingles")
+    asked = _deepest(_needed(n, percent), percent)
+    classes = described.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.min(F.struct("content", "doc_id")).alias("one"))
+    chosen = cut(classes.join(shared, "class").where(F.col("shared") >= asked).select("class", "one"))
 
+    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                for members in _sets(batch.column("text"), width, frequent):
-                    name = signature(members)
-                    if not len(members) or name in done:
-                        continue
-                    done.add(name)
-                    first = len(members) - _needed(len(members), percent) + 1
-                    taken = members[: first + deepest - 1]
-                    level = np.maximum(1, np.arange(len(taken)) - first + 2)
-                    held.append((taken, np.full(len(taken), name, np.int64), level, np.full(len(taken), len(members))))
-                    size += len(taken)
-                if size >= FLUSH_SHINGLES // 2:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+                for name, members in zip(batch.column("class").to_pylist(), _sets(batch.column("text"), width), strict=True):
+                    if name not in done:
+                        done.add(name)
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(members)], pa.int64()), pa.array([members.tobytes()], pa.binary())], ["class", "n", "members"])
 
-    def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tokens, owners, sizes, levels = [], [], [], []
-        for item in table.column("blob"):
-            data = memoryview(item.as_py())
-            n = int(np.frombuffer(data, np.uint32, 1)[0])
-            tokens.append(np.frombuffer(data, np.uint64, n, 4))
-            owners.append(np.frombuffer(data, np.int64, n, 4 + 8 * n))
-            sizes.append(np.frombuffer(data, np.uint32, n, 4 + 16 * n))
-            levels.append(np.frombuffer(data, np.uint8, n, 4 + 20 * n))
-        token, owner, size, level = (np.concatenate(x) for x in (tokens, owners, sizes, levels))
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        new = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
-        many = np.diff(new, append=len(token))
-        keep = np.repeat(many > 1, many)
-        order, token = order[keep], token[keep]
-        again = np.lexsort((owner[order], token))
-        order, token = order[again], token[again]
-        fresh = (np.diff(token, prepend=~token[:1]) != 0) | (np.diff(owner[order], prepend=~owner[order][:1]) != 0)
-        order, token = order[fresh], token[fresh]
-        new = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
-        many = np.repeat(np.diff(new, append=len(token)), np.diff(new, append=len(token)))
-        keep = many > 1
-        order = order[keep]
-        columns = [token[keep].view(np.int64), owner[order], size[order].astype(np.int64), level[order].astype(np.int32), many[keep]]
-        return pa.table(columns, names=["token", "class", "n", "level", "df"])
-
-    blob = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-    entries = cut(
-        docs.select("text").mapInArrow(prefixes, blob).groupBy("part").applyInArrow(shared, "token long, class long, n long, level int, df long")
-    )
+    same = (F.col("d.content") == F.col("c.one.content")) & F.col("d.doc_id").eqNullSafe(F.col("c.one.doc_id"))
+    texts = keyed.alias("d").join(chosen.alias("c"), same).select("class", "text")
+    sets = cut(texts.mapInArrow(collect_sets, "class long, n long, members binary").groupBy("class").agg(F.first("n").alias("n"), F.first("members").alias("members")))
+
+    # their prefixes, and how many of them hold each shingle
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for name, members in zip(batch.column("class").to_pylist(), batch.column("members"), strict=True):
+                every = _unpacked(members)
+                first = len(every) - _needed(len(every), percent) + 1
+                taken = every[: first + _deepest(len(every), percent) - 1].view(np.int64)
+                row = (taken, np.full(len(taken), name, np.int64), np.full(len(taken), len(every)), np.maximum(1, np.arange(len(taken)) - first + 2).astype(np.int32))
+                for column, values in zip(columns, row, strict=True):
+                    column.append(values)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["token", "class", "n", "level"])
+
+    every = cut(sets.select("class", "members").mapInArrow(prefixes, "token long, class long, n long, level int"))
+    held_by = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    entries = cut(every.join(held_by, "token"))
 
     # each class takes the number of matches that costs least: entries read, and candidates that can have so many
-    costs = []
-    for depth in range(1, deepest + 1):
+    costs = [F.struct(F.lit(float("inf")).alias("cost"), F.lit(1).alias("depth"))]
+    for depth in (1 << k for k in range(20)):
         read = F.sum(F.when(F.col("level") <= depth, F.col("df") - 1).otherwise(0))
-        possible = F.lit(depth) <= F.ceil(F.max("n") * percent / 100)
+        possible = F.lit(depth) <= _deepest(F.max("n"), percent)
         costs.append(F.when(possible, F.struct((read + read / depth * F.max("n")).alias("cost"), F.lit(depth).alias("depth"))))
     depth = entries.groupBy("class").agg(F.least(*costs)["depth"].alias("depth"))
     prefix = cut(entries.join(depth, "class").where(F.col("level") <= F.col("depth")))
 
-    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                sets = [s.view(np.int64) for s in _sets(batch.column("text"), width, frequent)]
-                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                members = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column("class"), members], ["class", "members"])
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Sets of the classes in ``pairs``, read anew from one document of each."""
-        named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        chosen = cut(described.join(named, "class", "left_semi").groupBy("class").agg(F.min(F.struct("content", "doc_id")).alias("one")))
-        if chosen.count() <= BROADCAST_ROWS:
-            chosen = F.broadcast(chosen)
-        same = (F.col("d.content") == F.col("c.one.content")) & F.col("d.doc_id").eqNullSafe(F.col("c.one.doc_id"))
-        texts = keyed.alias("d").join(chosen.alias("c"), same)
-        return cut(texts.select("class", "text").mapInArrow(collect_sets, "class long, members array<long>").dropDuplicates(["class"]))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sets are as alike as asked."""
-        sets = sets_of(pairs)
-        near = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("x")), "a").join(
-            sets.select(F.col("class").alias("b"), F.col("members").alias("y")), "b"
-        )
-        both = F.size(F.array_intersect("x", "y"))
-        return cut(near.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
-
     # first to one class of each shared shingle: as many pairs as prefix entries at most, and all of a group of copies meet
     hub = prefix.groupBy("token").agg(F.min(F.struct("n", "class", "depth")).alias("hub"))
     rays = cut(
         prefix.join(hub, "token").where((F.col("hub.class") != F.col("class")) & (100 * F.col("hub.n") >= percent * F.col("n")))
         .groupBy(F.col("hub.class").alias("a"), F.col("class").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("depth", "hub.depth")).alias("depth"))
-        .where(F.col("shared") >= F.col("depth")).select("a", "b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("depth", "hub.depth")).alias("depth"), F.first("n").alias("n"))
+        .where(F.col("shared") >= F.col("depth")).select("a", "b", "n")
     )
-    star_links = linked(rays)
+    star_links = cut(_linked(rays, sets, percent))
     labels = components(star_links)
 
     # then every other pair with enough shared prefix shingles, unless it is in one component already
@@ -385,8 +415,8 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         F.count(F.lit(1)).alias("df"), F.min("class").alias("lead"), (F.min("component") != F.max("component")).alias("open")
     )
     open_ = cut(labelled.join(mixed.where("open").drop("open"), "token"))
-    more = _few(open_.where(F.col("df") <= FEW), rays, percent)
-    found = linked(cut(more)).unionByName(_many(open_, open_.where(F.col("df") > FEW), sets_of, percent))
+    more = cut(_few(open_.where(F.col("df") <= FEW), rays, percent))
+    found = _linked(more, sets, percent).unionByName(_many(open_, open_.where(F.col("df") > FEW), sets, percent))
     joined = components(star_links.unionByName(cut(found)))
 
     grouped = described.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))

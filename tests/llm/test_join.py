@@ -2,10 +2,12 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cytoframe.llm import ngram_join
 from cytoframe.llm.components import components
+from cytoframe.llm.words import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,10 +59,13 @@ def test_groups_equal_all_pairs(spark, seed, percent):
     assert sorted(map(tuple, got)) == sorted(_plain(rows, percent))
 
 
-@pytest.mark.parametrize(("few", "block"), [(1, 4), (3, 2), (6, 1000)])
+@pytest.mark.parametrize(("few", "block"), [(1, 400), (3, 1), (6, 100_000)])
 def test_frequent_shingles_meet_in_blocks(spark, monkeypatch, few, block):
     monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(ngram_join, "CHECK_SHINGLES", 2 * block)
+    monkeypatch.setattr(ngram_join, "FLUSH_SHINGLES", 10 * few)
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 1000)
     rng = random.Random(few)
     base, texts = [f"w{i}" for i in range(90)], []
     for _ in range(60):
@@ -73,6 +78,19 @@ def test_frequent_shingles_meet_in_blocks(spark, monkeypatch, few, block):
     assert sorted(map(tuple, got)) == sorted(_plain(rows, 85))
 
 
+def test_counts_of_shared_shingles_never_fall_short(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FLUSH_SHINGLES", 40)
+    rng = random.Random(8)
+    prefixes = {k: sorted(rng.sample(range(300), 12)) for k in range(60)}
+    rows = [(k, 100, ngram_join._six(mix(np.array(p, np.uint64)) >> np.uint64(6))) for k, p in prefixes.items()] * 2
+    described = spark.createDataFrame(rows, "class long, n_shingles long, prefix binary").repartition(3)
+    held = collections.Counter(t for p in prefixes.values() for t in p)
+    got = dict(map(tuple, ngram_join._shared_counts(described, 8).collect()))
+    for name, prefix in prefixes.items():
+        true = sum(held[t] > 1 for t in prefix)
+        assert true <= got.get(name, 0) <= 4 * true
+
+
 def test_null_and_repeated_ids_and_no_rows(spark):
     same = "one two three four five six"
     docs = spark.createDataFrame([(3, same), (3, same), (None, same), (2, same), (None, None), (None, "alone here we are now")], "doc_id long, text string")
