@@ -1,23 +1,23 @@
-"""Two gene networks placed in one low-dimensional space (manifold alignment).
+"""Pairs of gene networks placed in one low-dimensional space each (manifold alignment).
 
-Both networks and the links between equal genes form one graph; a gene's two positions are
+Both networks of a contrast and the links between equal genes form one graph; a gene's two positions are
 read from the eigenvectors of the graph Laplacian with the smallest non-zero eigenvalues.
 Every weight is shifted by +1 as published. The shift would make the graph dense, so it is
 kept as a rank-one term (one sum per network and product) next to the stored edges.
 
 The eigenvectors come from a block Krylov space: each step is one distributed
 matrix-vector product (edges joined with the current vectors, summed per gene) plus inner
-products, of which only matrices of the size of the space come to the driver.
+products, of which only matrices of the size of the space come to the driver. All contrasts take each step
+together, in tables keyed by ``dataset``; a contrast whose residuals have converged is set aside and leaves the tables.
 """
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,118 +25,80 @@ from cytoframe.functions.columns import array_of_sums
 from cytoframe.functions.lineage import cut
 
 ARRAY = T.ArrayType(T.DoubleType())
+STEPS = 12
+RESTARTS = 200
+ROW = ["dataset", "gene"]
 
 
 def _joined_edges(x: DataFrame, y: DataFrame) -> DataFrame:
     """Both networks in one table, each edge the mean of its directions and listed from both ends.
 
-    (src, dst, wx, wy): one row serves both networks, so a product reads the edges once.
+    (dataset, src, dst, wx, wy): one row serves both networks, so a product reads the edges once.
     """
     def sided(edges: DataFrame, own: str, other: str) -> DataFrame:
-        return edges.where("src <> dst").select("src", "dst", (F.col("w") / 2).alias(own), F.lit(0.0).alias(other))
+        return edges.where("src <> dst").select("dataset", "src", "dst", (F.col("w") / 2).alias(own), F.lit(0.0).alias(other))
 
     both = sided(x, "wx", "wy").unionByName(sided(y, "wy", "wx"))
     return (
-        both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "wx", "wy"))
-        .groupBy("src", "dst")
+        both.unionByName(both.select("dataset", F.col("dst").alias("src"), F.col("src").alias("dst"), "wx", "wy"))
+        .groupBy("dataset", "src", "dst")
         .agg(F.sum("wx").alias("wx"), F.sum("wy").alias("wy"))
     )
 
 
-def _inner_products(vectors: DataFrame, size: int) -> np.ndarray:
-    """vx'vx + vy'vy over all rows; size x size numbers come to the driver."""
-    schema = T.StructType([T.StructField("part", ARRAY)])
+def _inner_products(vectors: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """vx'vx + vy'vy over all rows of each dataset; size x size numbers of each come to the driver."""
+    schema = T.StructType([T.StructField("dataset", T.StringType()), T.StructField("part", ARRAY)])
 
     def partial(batches):
-        total = np.zeros((size, size))
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name in ("vx", "vy"):
-                v = np.stack(batch[name].to_numpy()).astype(float)
-                total += v.T @ v
-        yield pd.DataFrame({"part": [total.ravel()]})
+            for dataset, rows in batch.groupby("dataset"):
+                for name in ("vx", "vy"):
+                    v = np.stack(rows[name].to_numpy()).astype(float)
+                    total[dataset] = total.get(dataset, 0) + v.T @ v
+        yield pd.DataFrame({"dataset": list(total), "part": [m.ravel() for m in total.values()]})
 
     rows = (
-        vectors.select("vx", "vy").mapInPandas(partial, schema)
-        .select(F.posexplode("part").alias("i", "x"))
-        .groupBy("i")
+        vectors.select("dataset", "vx", "vy").mapInPandas(partial, schema)
+        .select("dataset", F.posexplode("part").alias("i", "x"))
+        .groupBy("dataset", "i")
         .agg(F.sum("x").alias("x"))
         .collect()
     )
-    out = np.zeros(size * size)
+    out: dict[str, np.ndarray] = {}
     for row in rows:
-        out[row.i] = row.x
-    return out.reshape(size, size)
+        out.setdefault(row.dataset, np.zeros(size * size))[row.i] = row.x
+    return {dataset: m.reshape(size, size) for dataset, m in out.items()}
 
 
-def _combine(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """Each row's two arrays times a driver-side matrix."""
-    schema = T.StructType([vectors.schema["gene"], T.StructField("vx", ARRAY), T.StructField("vy", ARRAY)])
+def _combine(vectors: DataFrame, matrices: dict[str, np.ndarray]) -> DataFrame:
+    """Each row's two arrays times its dataset's driver-side matrix."""
+    schema = T.StructType([T.StructField("dataset", T.StringType()), vectors.schema["gene"], T.StructField("vx", ARRAY), T.StructField("vy", ARRAY)])
 
     def multiply(batches):
         for batch in batches:
-            done = {n: list(np.stack(batch[n].to_numpy()).astype(float) @ matrix) for n in ("vx", "vy")}
-            yield batch[["gene"]].assign(**done)
+            for dataset, rows in batch.groupby("dataset"):
+                done = {n: list(np.stack(rows[n].to_numpy()).astype(float) @ matrices[dataset]) for n in ("vx", "vy")}
+                yield rows[ROW].assign(**done)
 
-    return vectors.select("gene", "vx", "vy").mapInPandas(multiply, schema)
+    return vectors.select("dataset", "gene", "vx", "vy").mapInPandas(multiply, schema)
 
 
-def manifold_align(
-    x: DataFrame, y: DataFrame, dims: int = 2, steps: int = 12, restarts: int | None = None, tolerance: float = 1e-6
-) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Positions (gene, x, y) of every gene in both networks, eigenvalues, residual norms.
+def _of_dataset(values: dict[str, float]) -> Column:
+    """The value of the row's dataset; datasets are named contrasts, few beside rows."""
+    return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("dataset"))
 
-    ``x`` and ``y`` are edge tables (src, dst, w) over the same genes; a gene missing from
-    one of them takes part there without edges. The space is restarted from its best
-    vectors until the residuals fall below ``tolerance`` times the largest eigenvalue met. A limit of
-    ``restarts`` that is reached before is an error, which names the residuals.
-    """
-    edges = cut(_joined_edges(x, y))
-    degrees = cut(edges.groupBy("src").agg(F.sum("wx").alias("dx"), F.sum("wy").alias("dy")))
-    facts = degrees.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dx") + F.col("dy")).alias("w")).first()
-    count = facts.n
-    link = 0.9 * (facts.w + 2.0 * count * count) / (2.0 * count)
-    nodes = cut(degrees.select(F.col("src").alias("gene"), F.col("dx") + count + link, F.col("dy") + count + link).toDF("gene", "dx", "dy"))
-    width = dims + 2
 
-    def laplacian(basis: DataFrame, size: int) -> DataFrame:
-        """Append to each row the Laplacian times the last ``width`` columns of the basis."""
-        first = size - width + 1
-        last = basis.select(
-            F.col("gene").alias("dst"), F.slice("vx", first, width).alias("_x"), F.slice("vy", first, width).alias("_y")
-        )
-        reached = (
-            edges.join(last, "dst")
-            .groupBy(F.col("src").alias("gene"))
-            .agg(array_of_sums(F.col("_x"), width, F.col("wx")).alias("_wx"), array_of_sums(F.col("_y"), width, F.col("wy")).alias("_wy"))
-        )
-        totals = last.agg(array_of_sums(F.col("_x"), width).alias("_sx"), array_of_sums(F.col("_y"), width).alias("_sy"))
-        sum_x, sum_y = totals.select("_sx").scalar(), totals.select("_sy").scalar()
-        rows = basis.join(nodes, "gene").join(reached, "gene")
-
-        def product(own: str, twin: str, diagonal: str, pulled: str, total):
-            return [
-                F.col(diagonal) * F.element_at(own, i + first)
-                - F.element_at(pulled, i + 1)
-                - F.element_at(total, i + 1)
-                - link * F.element_at(twin, i + first)
-                for i in range(width)
-            ]
-
-        return rows.select(
-            "gene",
-            F.concat("vx", F.array(*product("vx", "vy", "dx", "_wx", sum_x))).alias("vx"),
-            F.concat("vy", F.array(*product("vy", "vx", "dy", "_wy", sum_y))).alias("vy"),
-        )
-
-    def orthonormal(rows: DataFrame, fixed: int) -> tuple[DataFrame, np.ndarray]:
-        """Make the last ``width`` columns orthonormal to the constant vector and the first ``fixed``.
-
-        Returns the rows and the coefficients of the old columns in all new ones.
-        """
-        one = F.array(F.lit(1.0 / np.sqrt(2.0 * count)))
-        rows = cut(rows.select("gene", F.concat(one, "vx").alias("vx"), F.concat(one, "vy").alias("vy")))
-        held, total = fixed + 1, fixed + 1 + width
-        g = _inner_products(rows, total)
+def _orthonormal(rows: DataFrame, fixed: int, width: int, one: Column) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """Make the last ``width`` columns orthonormal to the constant vector and the first ``fixed``.
+
+    Returns the rows and the coefficients of the old columns in all new ones.
+    """
+    rows = cut(rows.select(*ROW, F.concat(F.array(one), "vx").alias("vx"), F.concat(F.array(one), "vy").alias("vy")))
+    held, total = fixed + 1, fixed + 1 + width
+    steps, coefficients = {}, {}
+    for dataset, g in _inner_products(rows, total).items():
         old = np.linalg.pinv(g[:held, :held], rcond=1e-12, hermitian=True) @ g[:held, held:]
         left = g[held:, held:] - g[held:, :held] @ old
         values, rotation = np.linalg.eigh((left + left.T) / 2)
@@ -148,46 +110,118 @@ def manifold_align(
         step[:held, held:] = -old @ (rotation * scale)
         step[held:, held:] = rotation * scale
         back = np.where(usable, np.sqrt(np.where(usable, values, 0)), 0.0)[:, None] * rotation.T
-        return _combine(rows, step[:, 1:]), np.vstack([old[1:], back])
+        steps[dataset], coefficients[dataset] = step[:, 1:], np.vstack([old[1:], back])
+    return _combine(rows, steps), coefficients
+
+
+def _product(edges: DataFrame, nodes: DataFrame, basis: DataFrame, size: int, width: int, link: Column) -> DataFrame:
+    """Append to each row the Laplacian times the last ``width`` columns of the basis."""
+    first = size - width + 1
+    last = basis.select("dataset", F.col("gene").alias("dst"), F.slice("vx", first, width).alias("_x"), F.slice("vy", first, width).alias("_y"))
+    reached = (
+        edges.join(last, ["dataset", "dst"])
+        .groupBy("dataset", F.col("src").alias("gene"))
+        .agg(array_of_sums(F.col("_x"), width, F.col("wx")).alias("_wx"), array_of_sums(F.col("_y"), width, F.col("wy")).alias("_wy"))
+    )
+    totals = last.groupBy("dataset").agg(array_of_sums(F.col("_x"), width).alias("_sx"), array_of_sums(F.col("_y"), width).alias("_sy"))
+    rows = basis.join(nodes, ROW).join(reached, ROW, "left").join(totals, "dataset")
+
+    def applied(own: str, twin: str, diagonal: str, pulled: str, total: str) -> list[Column]:
+        return [
+            F.col(diagonal) * F.element_at(own, i + first)
+            - F.coalesce(F.element_at(pulled, i + 1), F.lit(0.0))
+            - F.element_at(total, i + 1)
+            - link * F.element_at(twin, i + first)
+            for i in range(width)
+        ]
+
+    return rows.select(
+        *ROW,
+        F.concat("vx", F.array(*applied("vx", "vy", "dx", "_wx", "_sx"))).alias("vx"),
+        F.concat("vy", F.array(*applied("vy", "vx", "dy", "_wy", "_sy"))).alias("vy"),
+    )
 
-    def noise(side: int):
-        return F.array(
-            *[F.pmod(F.xxhash64(F.lit(k), F.lit(side), F.col("gene")), F.lit(20011)) / 20011.0 - 0.5 for k in range(width)]
-        )
 
-    block = nodes.select("gene", noise(0).alias("vx"), noise(1).alias("vy"))
-    for turn in itertools.count(1):
-        basis, _ = orthonormal(block, 0)
-        size, image = width, np.zeros((width, 0))
+def _best_vectors(mass: np.ndarray, image: np.ndarray, width: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Smallest Ritz vectors of a space: combination of its columns, values, residual norms and the largest value.
+
+    The Laplacian of the space's columns is the whole basis times ``image``; the basis loses some orthogonality on the way, so its
+    own products ``mass`` enter the problem.
+    """
+    inner = len(mass)
+    roots, turned = np.linalg.eigh((mass + mass.T) / 2)
+    good = roots > 1e-10 * roots.max()
+    white = turned[:, good] / np.sqrt(roots[good])
+    stiff = mass @ image[:inner]
+    values, vectors = np.linalg.eigh(white.T @ ((stiff + stiff.T) / 2) @ white)
+    chosen = white @ vectors[:, :width]
+    missing = width - chosen.shape[1]
+    if missing > 0:
+        chosen = np.hstack([chosen, np.zeros((inner, missing))])
+    return chosen, values[:dims], np.linalg.norm(image[inner:] @ chosen[:, :dims], axis=0), float(abs(values[-1]))
+
+
+def align_networks(
+    x: DataFrame, y: DataFrame, genes: DataFrame | None = None, dims: int = 2, steps: int = STEPS, restarts: int = RESTARTS, tolerance: float = 1e-6
+) -> tuple[DataFrame, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(dataset, gene, x, y, residual) of every gene of every contrast, and by contrast eigenvalues and residual norms.
+
+    ``x`` and ``y`` are edge tables (dataset, src, dst, w) over the same genes; a gene missing from one of them takes
+    part there without edges, one of ``genes`` (dataset, gene) that has none in both is placed by the shift alone. The space of a contrast is
+    restarted from its best vectors until its residuals fall below ``tolerance`` times the largest eigenvalue met; then
+    it is set aside. A contrast that hasn't converged after ``restarts`` is an error, which names the residuals. Contrasts
+    are few: each brings matrices of the size of its space to the driver.
+    """
+    edges = cut(_joined_edges(x, y))
+    degrees = edges.groupBy("dataset", F.col("src").alias("gene")).agg(F.sum("wx").alias("dx"), F.sum("wy").alias("dy"))
+    if genes is not None:
+        degrees = genes.select(*ROW).distinct().join(degrees, ROW, "full").fillna(0.0, ["dx", "dy"])
+    degrees = cut(degrees)
+    facts = degrees.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dx") + F.col("dy")).alias("w")).collect()
+    count = {r.dataset: float(r.n) for r in facts}
+    links = {r.dataset: 0.9 * (r.w + 2.0 * r.n * r.n) / (2.0 * r.n) for r in facts}
+    empty = T.StructType([T.StructField("dataset", T.StringType()), degrees.schema["gene"], *[T.StructField(c, ARRAY) for c in "xy"], T.StructField("residual", T.DoubleType())])
+    if not facts:
+        return degrees.sparkSession.createDataFrame([], empty), {}, {}
+    link, one = _of_dataset(links), _of_dataset({d: 1.0 / np.sqrt(2.0 * n) for d, n in count.items()})
+    shift = _of_dataset({d: count[d] + links[d] for d in count})
+    nodes = cut(degrees.select(*ROW, (F.col("dx") + shift).alias("dx"), (F.col("dy") + shift).alias("dy")))
+    width = dims + 2
+
+    # both positions of a gene start alike, so that equal networks stay at equal positions
+    noise = F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col("gene")), F.lit(20011)) / 20011.0 - 0.5 for k in range(width)])
+    block = nodes.select(*ROW, noise.alias("vx"), noise.alias("vy"))
+    placed: list[DataFrame] = []
+    eigenvalues: dict[str, np.ndarray] = {}
+    residuals: dict[str, np.ndarray] = {}
+    open_ = set(count)
+    for _ in range(restarts):
+        basis, _ = _orthonormal(block, 0, width, one)
+        size, image = width, {d: np.zeros((width, 0)) for d in open_}
         for _ in range(steps):
-            basis, coefficients = orthonormal(laplacian(cut(basis), size), size)
+            basis, coefficients = _orthonormal(_product(edges, nodes, cut(basis), size, width, link), size, width, one)
             size += width
-            image = np.hstack([np.vstack([image, np.zeros((size - image.shape[0], image.shape[1]))]), coefficients])
-        # the Laplacian of the first ``inner`` columns is the whole basis times ``image``; the
-        # basis loses some orthogonality on the way, so its own products enter the problem
+            image = {d: np.hstack([np.vstack([m, np.zeros((size - len(m), m.shape[1]))]), coefficients[d]]) for d, m in image.items()}
         inner = size - width
-        basis = cut(basis.select("gene", F.slice("vx", 1, inner).alias("vx"), F.slice("vy", 1, inner).alias("vy")))
-        mass = _inner_products(basis, inner)
-        roots, turn = np.linalg.eigh((mass + mass.T) / 2)
-        good = roots > 1e-10 * roots.max()
-        white = turn[:, good] / np.sqrt(roots[good])
-        stiff = mass @ image[:inner]
-        values, vectors = np.linalg.eigh(white.T @ ((stiff + stiff.T) / 2) @ white)
-        chosen = white @ vectors[:, :width]
-        eigenvalues = values[:dims]
-        errors = np.linalg.norm(image[inner:] @ chosen[:, :dims], axis=0)
-        block = cut(_combine(basis, np.ascontiguousarray(chosen)))
-        if errors.max() <= tolerance * max(abs(values[-1]), 1.0):
-            break
-        if restarts is not None and turn >= restarts:
-            raise RuntimeError(f"residuals {errors.tolist()} after {restarts} restarts, eigenvalues {eigenvalues.tolist()}")
-    positions = block.select("gene", F.slice("vx", 1, dims).alias("x"), F.slice("vy", 1, dims).alias("y"))
-    return positions, eigenvalues, errors
-
-
-def align_several(pairs: dict[str, tuple[DataFrame, DataFrame]], **options) -> DataFrame:
-    """Aligned positions of several named contrasts: (dataset, gene, x, y)."""
-    placed = [
-        manifold_align(x, y, **options)[0].withColumn("dataset", F.lit(name)) for name, (x, y) in pairs.items()
-    ]
-    return reduce(DataFrame.unionByName, placed).select("dataset", "gene", "x", "y")
+        basis = cut(basis.select(*ROW, F.slice("vx", 1, inner).alias("vx"), F.slice("vy", 1, inner).alias("vy")))
+        chosen, settled = {}, set()
+        for dataset, mass in _inner_products(basis, inner).items():
+            chosen[dataset], eigenvalues[dataset], residuals[dataset], largest = _best_vectors(mass, image[dataset], width, dims)
+            if residuals[dataset].max(initial=0) <= tolerance * max(largest, 1.0):
+                settled.add(dataset)
+        block = cut(_combine(basis, chosen))
+        if settled:
+            worst = _of_dataset({d: float(residuals[d].max(initial=0)) for d in settled})
+            placed.append(block.where(F.col("dataset").isin(*settled)).select(*ROW, F.slice("vx", 1, dims).alias("x"), F.slice("vy", 1, dims).alias("y"), worst.alias("residual")))
+            open_ -= settled
+            if not open_:
+                return reduce(DataFrame.unionByName, placed), eigenvalues, residuals
+            block, edges, nodes = (t.where(F.col("dataset").isin(*open_)) for t in (block, edges, nodes))
+    raise RuntimeError(f"after {restarts} restarts residuals are " + ", ".join(f"{d}: {residuals[d].tolist()}" for d in sorted(open_)))
+
+
+def manifold_align(x: DataFrame, y: DataFrame, **options) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Positions (gene, x, y) of one contrast (src, dst, w), its eigenvalues and residual norms; see ``align_networks``."""
+    name = F.lit("both").alias("dataset")
+    placed, values, residuals = align_networks(x.select(name, "src", "dst", "w"), y.select(name, "src", "dst", "w"), **options)
+    return placed.select("gene", "x", "y"), values["both"], residuals["both"]

@@ -8,12 +8,13 @@ pair and cell.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,14 +275,14 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
 
     def standardise(batches):
         for batch in batches:
-            rows = []
-            for n, pos, value in zip(batch["n"], batch["pos"], batch["value"]):
-                x = np.zeros(n)
-                x[np.asarray(pos)] = value
-                sd = x.std(ddof=1) if n > 1 else 0.0
-                rows.append((x - x.mean()) / sd if sd > 0 else None)
-            out = batch[["net", "gene"]].assign(x=rows)
-            yield out[out["x"].notna()]
+            for n, rows in batch.groupby("n"):
+                x = np.zeros((len(rows), n))
+                sizes = rows["pos"].str.len().to_numpy()
+                x[np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["pos"].to_numpy())] = np.concatenate(rows["value"].to_numpy())
+                x -= x.mean(1, keepdims=True)
+                sd = np.sqrt((x * x).sum(1) / max(n - 1, 1))
+                varies = (sd > 0) & (n > 1)
+                yield rows.loc[varies, ["net", "gene"]].assign(x=list(x[varies] / sd[varies, None]))
 
     genes = cut(
         sparse.mapInPandas(standardise, profile).withColumn("gb", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"))
@@ -356,86 +357,97 @@ def consensus(edges: DataFrame, replicates: int) -> DataFrame:
 
 
 def tensor_denoise(edges: DataFrame, replicates: Sequence, rank: int = 3, iterations: int | None = None) -> DataFrame:
-    """Rank-``rank`` decomposition of the (src, dst, replicate) tensor by alternating least squares.
+    """(src, dst, w): the denoised network of one matrix's replicates (net, src, dst, w); see ``tensor_denoise_each``."""
+    one = edges.select(F.lit("one").alias("dataset"), "net", "src", "dst", "w")
+    return tensor_denoise_each(one, replicates, rank, iterations).drop("dataset")
 
-    Rounds go on until the norm of what is left changes by less than ``FIT_SETTLED`` of the tensor's norm; if it
-    hasn't after ``FIT_ROUNDS``, that is an error. ``iterations`` asks for so many rounds instead.
 
-    Returns (src, dst, w) on the stored edges: the decomposition averaged over replicates,
+def tensor_denoise_each(edges: DataFrame, replicates: Sequence, rank: int = 3, iterations: int | None = None) -> DataFrame:
+    """Rank-``rank`` decomposition of each dataset's (src, dst, replicate) tensor by alternating least squares.
+
+    ``edges`` is (dataset, net, src, dst, w). All datasets take a round together; one leaves the tables when the norm of what is
+    left changes by less than ``FIT_SETTLED`` of its tensor's norm. If one hasn't after ``FIT_ROUNDS``, that is an
+    error. ``iterations`` asks for so many rounds of all instead.
+
+    Returns (dataset, src, dst, w) on the stored edges: the decomposition averaged over replicates,
     divided by its largest absolute value. An edge row carries its weights in all
     replicates, so an update is one join with the other gene factor and one aggregation.
-    Only replicates x rank and rank x rank numbers come to the driver.
+    Only replicates x rank and rank x rank numbers of each dataset, of which there are few, come to the driver.
     """
-    wide = cut(
-        edges.groupBy("src", "dst").agg(
+    spark, many = edges.sparkSession, len(replicates)
+    whole = cut(
+        edges.groupBy("dataset", "src", "dst").agg(
             *[F.coalesce(F.sum(F.when(F.col("net") == r, F.col("w"))), F.lit(0.0)).alias(f"w{i}") for i, r in enumerate(replicates)]
         )
     )
-    many = len(replicates)
-    third = 1.0 + 0.1 * np.cos(np.outer(np.arange(1, many + 1), np.arange(1, rank + 1)))
+    weights = [F.col(f"w{r}") for r in range(many)]
+    ranks = range(rank)
 
-    def start(name: str) -> DataFrame:
-        noise = [
-            (F.pmod(F.xxhash64(F.lit(k), F.col(name)), F.lit(20011)) / 20011.0 - 0.5).alias(f"f{k}") for k in range(rank)
-        ]
-        return wide.select(name).distinct().select(name, *noise)
+    def known(values: dict[str, np.ndarray], name: str) -> DataFrame:
+        """A small matrix per dataset as a table."""
+        return F.broadcast(spark.createDataFrame([(d, [float(x) for x in m.ravel()]) for d, m in values.items()], f"dataset string, {name} array<double>"))
 
-    def gram(factor: DataFrame) -> np.ndarray:
-        row = factor.agg(*[F.sum(F.col(f"f{i}") * F.col(f"f{j}")) for i in range(rank) for j in range(rank)]).first()
-        return np.array(row, dtype=float).reshape(rank, rank)
+    def cell(name: str, row: int, column: int) -> Column:
+        return F.element_at(name, row * rank + column + 1)
 
-    def update(own: str, other: str, factor: DataFrame, factor_gram: np.ndarray) -> DataFrame:
-        """One gene factor from the other one and the replicate factor."""
-        inverse = np.linalg.pinv(factor_gram * (third.T @ third))
-        sums = wide.join(factor, other).groupBy(own).agg(
-            *[
-                F.sum(sum((F.col(f"w{r}") * float(third[r, k]) for r in range(many)), F.lit(0.0)) * F.col(f"f{k}")).alias(f"s{k}")
-                for k in range(rank)
-            ]
-        )
-        return cut(
-            sums.select(
-                own,
-                *[
-                    sum((F.col(f"s{j}") * float(inverse[j, k]) for j in range(rank)), F.lit(0.0)).alias(f"f{k}")
-                    for k in range(rank)
-                ],
-            )
-        )
+    def by_dataset(table: DataFrame, sums: list[Column], shape: tuple[int, int]) -> dict[str, np.ndarray]:
+        rows = table.groupBy("dataset").agg(*[F.sum(c).alias(f"_{i}") for i, c in enumerate(sums)]).collect()
+        return {r.dataset: np.array([x or 0.0 for x in r[1:]], dtype=float).reshape(shape) for r in rows}
 
-    def both(a: DataFrame, b: DataFrame) -> DataFrame:
-        named_a = a.select("src", *[F.col(f"f{k}").alias(f"a{k}") for k in range(rank)])
-        named_b = b.select("dst", *[F.col(f"f{k}").alias(f"b{k}") for k in range(rank)])
-        return wide.join(named_a, "src").join(named_b, "dst")
+    def gram(factor: DataFrame) -> dict[str, np.ndarray]:
+        return by_dataset(factor, [F.col(f"f{i}") * F.col(f"f{j}") for i in ranks for j in ranks], (rank, rank))
 
-    squares = wide.agg(sum((F.sum(F.col(f"w{r}") * F.col(f"w{r}")) for r in range(many)), F.lit(0.0))).first()[0] or 0.0
-    b = start("dst")
+    def update(wide: DataFrame, own: str, other: str, factor: DataFrame, grams: dict[str, np.ndarray]) -> DataFrame:
+        """One gene factor from the other one and the replicate factor."""
+        inverse = {d: np.linalg.pinv(g * (third[d].T @ third[d])) for d, g in grams.items()}
+        pulled = [F.sum(sum((weights[r] * cell("third", r, k) for r in range(many)), F.lit(0.0)) * F.col(f"f{k}")).alias(f"s{k}") for k in ranks]
+        sums = wide.join(factor, ["dataset", other]).join(known(third, "third"), "dataset").groupBy("dataset", own).agg(*pulled)
+        solved = [sum((F.col(f"s{j}") * cell("inverse", j, k) for j in ranks), F.lit(0.0)).alias(f"f{k}") for k in ranks]
+        return cut(sums.join(known(inverse, "inverse"), "dataset").select("dataset", own, *solved))
+
+    def both(wide: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+        named_a = a.select("dataset", "src", *[F.col(f"f{k}").alias(f"a{k}") for k in ranks])
+        named_b = b.select("dataset", "dst", *[F.col(f"f{k}").alias(f"b{k}") for k in ranks])
+        return wide.join(named_a, ["dataset", "src"]).join(named_b, ["dataset", "dst"])
+
+    squares = {d: float(m[0, 0]) for d, m in by_dataset(whole, [sum((w * w for w in weights), F.lit(0.0))], (1, 1)).items()}
+    start = 1.0 + 0.1 * np.cos(np.outer(np.arange(1, many + 1), np.arange(1, rank + 1)))
+    third = {d: start for d in squares}
+    noise = [(F.pmod(F.xxhash64(F.lit(k), F.col("dst")), F.lit(20011)) / 20011.0 - 0.5).alias(f"f{k}") for k in ranks]
+    wide, b = whole, cut(whole.select("dataset", "dst").distinct().select("dataset", "dst", *noise))
     b_gram = gram(b)
-    left, turn = np.inf, 0
-    while iterations is None or turn < iterations:
-        a = update("src", "dst", b, b_gram)
+    left, turn, rebuilt = dict.fromkeys(squares, np.inf), 0, []
+    while squares:
+        a = update(wide, "src", "dst", b, b_gram)
         a_gram = gram(a)
-        norms = np.sqrt(np.maximum(np.diag(a_gram), 1e-300))
-        a = a.select("src", *[(F.col(f"f{k}") / float(norms[k])).alias(f"f{k}") for k in range(rank)])
-        a_gram = a_gram / np.outer(norms, norms)
-        b = update("dst", "src", a, a_gram)
+        norms = {d: np.sqrt(np.maximum(np.diag(g), 1e-300)) for d, g in a_gram.items()}
+        a = a.join(known(norms, "norms"), "dataset").select("dataset", "src", *[(F.col(f"f{k}") / F.element_at("norms", k + 1)).alias(f"f{k}") for k in ranks])
+        a_gram = {d: g / np.outer(norms[d], norms[d]) for d, g in a_gram.items()}
+        b = update(wide, "dst", "src", a, a_gram)
         b_gram = gram(b)
-        row = both(a, b).agg(
-            *[F.sum(F.col(f"w{r}") * F.col(f"a{k}") * F.col(f"b{k}")) for r in range(many) for k in range(rank)]
-        ).first()
-        met = np.array([x or 0.0 for x in row], dtype=float).reshape(many, rank)
-        third = met @ np.linalg.pinv(a_gram * b_gram)
-        last, turn = left, turn + 1
-        left = np.sqrt(max(0.0, squares - 2 * (met * third).sum() + (a_gram * b_gram * (third.T @ third)).sum()))
-        if iterations is None and abs(last - left) <= FIT_SETTLED * np.sqrt(squares):
-            break
-        if iterations is None and turn == FIT_ROUNDS:
-            raise RuntimeError(f"the decomposition's fit still changes after {turn} rounds")
-    mean = third.mean(0)
-    value = sum((F.col(f"a{k}") * F.col(f"b{k}") * float(mean[k]) for k in range(rank)), F.lit(0.0))
-    rebuilt = cut(both(a, b).select("src", "dst", value.alias("w")))
-    largest = rebuilt.select(F.max(F.abs("w"))).scalar()
-    return rebuilt.select("src", "dst", F.when(largest > 0, F.col("w") / largest).otherwise(0.0).alias("w"))
+        met = by_dataset(both(wide, a, b), [weights[r] * F.col(f"a{k}") * F.col(f"b{k}") for r in range(many) for k in ranks], (many, rank))
+        turn, settled = turn + 1, set()
+        for d, m in met.items():
+            third[d] = m @ np.linalg.pinv(a_gram[d] * b_gram[d])
+            last, fit = left[d], squares[d] - 2 * (m * third[d]).sum() + (a_gram[d] * b_gram[d] * (third[d].T @ third[d])).sum()
+            left[d] = np.sqrt(max(0.0, fit))
+            if turn == iterations or (iterations is None and abs(last - left[d]) <= FIT_SETTLED * np.sqrt(squares[d])):
+                settled.add(d)
+        if settled:
+            mean = known({d: third[d].mean(0) for d in settled}, "mean")
+            value = sum((F.col(f"a{k}") * F.col(f"b{k}") * F.element_at("mean", k + 1) for k in ranks), F.lit(0.0))
+            rebuilt.append(cut(both(wide, a, b).join(mean, "dataset").select("dataset", "src", "dst", value.alias("w"))))
+            for d in settled:
+                del squares[d], third[d], b_gram[d]
+            wide, b = (t.where(F.col("dataset").isin(*squares)) if squares else t for t in (wide, b))
+        if squares and iterations is None and turn == FIT_ROUNDS:
+            raise RuntimeError(f"the decomposition's fit still changes after {turn} rounds: {sorted(squares)}")
+    if not rebuilt:
+        return whole.select("dataset", "src", "dst", F.lit(None).cast("double").alias("w"))
+    every = functools.reduce(DataFrame.unionByName, rebuilt)
+    largest = every.groupBy("dataset").agg(F.max(F.abs("w")).alias("_most"))
+    share = F.when(F.col("_most") > 0, F.col("w") / F.col("_most")).otherwise(0.0)
+    return every.join(F.broadcast(largest), "dataset").select("dataset", "src", "dst", share.alias("w"))
 
 
 def virtual_knockout(edges: DataFrame, genes: Sequence[str]) -> DataFrame:

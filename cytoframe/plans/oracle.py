@@ -427,6 +427,7 @@ less_e AS (SELECT e.* FROM full_e e JOIN less_c USING (net, cell_id)),
 {moments('full_e', 'full_c', 'mx')}, {moments('less_e', 'less_c', 'my')},
 {correlations('mx', 'cx')}, {correlations('my', 'cy')}, {strongest('cx', 'sx')}, {strongest('cy', 'sy')}
 {difference('sx', 'sy')}"""
+ORACLE["null_study"] = f"""WITH {EXPR} SELECT DISTINCT 'null' AS dataset, gene, 0.0::DOUBLE AS distance FROM expr"""
 ORACLE["differential_regulation"] = f"""WITH {VECTORS},
 d AS (SELECT 'vectors' AS dataset, CAST(cell_id AS VARCHAR) AS gene, list_distance(v[1:32], v[33:64]) AS distance FROM vectors)
 SELECT dataset, gene, {six('distance')} AS distance, {six("distance * distance / (SELECT avg(distance * distance) FROM d WHERE gene <> '0')")} AS fc FROM d"""

@@ -22,7 +22,7 @@ from cytoframe.operators import (
     residuals,
     transfer,
 )
-from cytoframe.operators.alignment import align_several
+from cytoframe.operators.alignment import align_networks
 from cytoframe.plans import studies
 from cytoframe.sources import fixtures as fx
 from cytoframe.sources import tables
@@ -707,10 +707,29 @@ def differential_regulation_p(spark, sf_dir):
 def manifold_align(spark, sf_dir):
     edges = cut(network.strongest_edges(network.correlation(_whole_moments(spark, sf_dir)), EDGE_QUANTILE))
     changed = network.virtual_knockout(edges, [fx.MARKER])
-    positions = align_several({"knockout": (edges, changed)})
+    name = F.lit("knockout").alias("dataset")
+    genes = fx.expr(spark, sf_dir).select(name, "gene")
+    positions, _, _ = align_networks(*[net.select(name, "src", "dst", "w") for net in (edges, changed)], genes=genes)
     return _six(network.position_distance(positions, [fx.MARKER]))
 
 
+@query
+def depletion_study_aligned(spark, sf_dir):
+    """The whole comparison of all cells against each depleted matrix, three contrasts in one plan."""
+    expr = _stored_expr(spark, sf_dir)
+    members = cut(_members(spark, sf_dir, expr))
+    return _six(studies.comparison_study(expr, fx.cells(spark, sf_dir), members, ["B", "CD20", "T"], size=SAMPLE_CELLS, quantile=EDGE_QUANTILE))
+
+
+@query
+def null_study(spark, sf_dir):
+    """The whole comparison of the matrix against itself: no gene moves."""
+    expr = _stored_expr(spark, sf_dir)
+    nobody = cut(_members(spark, sf_dir, expr).limit(0))
+    found = studies.comparison_study(expr, fx.cells(spark, sf_dir), nobody, [], "null", size=SAMPLE_CELLS, quantile=EDGE_QUANTILE)
+    return _six(found.select("dataset", "gene", "distance"))
+
+
 @query
 def knockout_study(spark, sf_dir):
     expr = _stored_expr(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.functions.lineage import cut
 from cytoframe.operators import composition, labels, network, residuals, transfer
-from cytoframe.operators.alignment import align_several
+from cytoframe.operators.alignment import align_networks
 from cytoframe.operators.cohorts import genes_with_min_cells, keep_genes
 from cytoframe.operators.neighbors import knn, l2_normalised
 
@@ -82,7 +83,8 @@ def knockout_study(
     trimmed = expr if min_cells is None else keep_genes(expr, genes_with_min_cells(expr, min_cells))
     wild = cut(denoised_network(trimmed, cells, replicates, size, quantile))
     changed = network.virtual_knockout(wild, genes)
-    positions = align_several({dataset: (wild, changed)}, dims=dims)
+    name, genes = F.lit(dataset).alias("dataset"), trimmed.select(F.lit(dataset).alias("dataset"), "gene")
+    positions, _, _ = align_networks(*[net.select(name, "src", "dst", "w") for net in (wild, changed)], genes=genes, dims=dims)
     return network.shape_results(network.differential_regulation(network.position_distance(positions, genes)))
 
 
@@ -99,3 +101,51 @@ def depletion_study(
     full = network.strongest_edges(network.correlation(whole), quantile)
     every = full.withColumn("net", F.explode(F.array(*[F.lit(c) for c in cohorts])))
     return network.edge_difference(every, network.strongest_edges(depleted, quantile))
+
+
+def comparison_study(
+    expr: DataFrame,
+    cells: DataFrame,
+    members: DataFrame,
+    cohorts: Sequence[str],
+    null: str | None = None,
+    replicates: int = 10,
+    size: int = 500,
+    quantile: float = 0.95,
+    dims: int = 2,
+) -> DataFrame:
+    """All cells against each depleted matrix, from subsampled networks to differential regulation.
+
+    (dataset, gene, distance, fc, z, p_value, p_adj, log2fc, residual); a dataset is a contrast, named by the cohort that is taken out;
+    ``null`` names one that sets the whole matrix against itself. Every matrix is subsampled, its networks are inferred, cut to
+    the strongest edges and denoised, in tables keyed by matrix, and all contrasts are aligned together. Genes without
+    an edge take part. Cells without any entry are drawn like others.
+    """
+    whole = "*"
+    left = cells.select("cell_id")
+    tables = {whole: left}
+    for cohort in cohorts:
+        gone = members.where(F.col("cohort") == cohort).select("cell_id")
+        tables[cohort] = left.join(gone, "cell_id", "left_anti")
+    drawn = [
+        network.cell_subsamples(table, replicates, size).select(F.lit(name).alias("matrix"), "net", "cell_id", "pos") for name, table in tables.items()
+    ]
+    name = F.concat_ws("/", F.col("net").cast("string"), "matrix")
+    samples = cut(functools.reduce(DataFrame.unionByName, drawn).select(name.alias("net"), "cell_id", "pos"))
+    strong = network.strongest_edges(network.pcr_network(network.cpm_normalize(expr), samples), quantile)
+    parts = F.split("net", "/", 2)
+    keyed = strong.select(parts[1].alias("dataset"), parts[0].cast("int").alias("net"), "src", "dst", "w")
+    nets = cut(network.tensor_denoise_each(keyed, range(1, replicates + 1)))
+    contrasts = [*cohorts, *([null] if null else [])]
+    every = F.explode(F.array(*[F.lit(c) for c in contrasts])).alias("dataset")
+    full = nets.where(F.col("dataset") == whole).drop("dataset")
+    x = full.select(every, "src", "dst", "w")
+    y = nets.where(F.col("dataset") != whole)
+    if null:
+        y = y.unionByName(full.withColumn("dataset", F.lit(null)))
+    genes = expr.select("gene").distinct().select(every, "gene")
+    positions, _, _ = align_networks(x, y, genes=genes, dims=dims)
+    positions = cut(positions)
+    residual = positions.select("dataset", "gene", "residual")
+    found = network.shape_results(network.differential_regulation(network.position_distance(positions)))
+    return found.join(residual, ["dataset", "gene"])

@@ -108,12 +108,69 @@ def test_alignment_against_a_dense_eigensolver(spark):
     full = np.block([[wx, link * np.eye(n)], [link * np.eye(n), wy]])
     np.fill_diagonal(full, 0)
     values, vectors = np.linalg.eigh(np.diag(full.sum(1)) - full)
-    positions, eigenvalues, errors = alignment.manifold_align(edges_of(spark, w), edges_of(spark, v), 2, steps=6, restarts=2)
-    assert eigenvalues == pytest.approx(values[1:3], abs=1e-6) and errors.max() < 1e-2
+    positions, eigenvalues, errors = alignment.manifold_align(edges_of(spark, w), edges_of(spark, v), dims=2, steps=6)
+    assert eigenvalues == pytest.approx(values[1:3], abs=1e-6) and errors.max() < 1e-3
     for row in positions.collect():
         i = int(row.gene[1:])
         want = np.linalg.norm(vectors[i, 1:3] - vectors[n + i, 1:3])
-        assert np.linalg.norm(np.array(row.x) - np.array(row.y)) == pytest.approx(want, abs=1e-4)
+        assert np.linalg.norm(np.array(row.x) - np.array(row.y)) == pytest.approx(want, abs=1e-6)
+
+
+def community(rng, n):
+    w = rng.random((n, n)) * 0.1 + 0.9 * (np.arange(n)[:, None] % 3 == np.arange(n) % 3)
+    np.fill_diagonal(w, 0)
+    return w / abs(w).max()
+
+
+def dense_alignment(w, v, dims):
+    n = len(w)
+    wx, wy = (w + w.T) / 2 + 1, (v + v.T) / 2 + 1
+    link = 0.9 * (wx.sum() + wy.sum()) / (2 * n)
+    full = np.block([[wx, link * np.eye(n)], [link * np.eye(n), wy]])
+    np.fill_diagonal(full, 0)
+    values, vectors = np.linalg.eigh(np.diag(full.sum(1)) - full)
+    away = vectors[:n, 1 : dims + 1] - vectors[n:, 1 : dims + 1]
+    return values[1 : dims + 1], np.linalg.norm(away, axis=1)
+
+
+def test_contrasts_are_aligned_together(spark):
+    rng = np.random.default_rng(8)
+    nets = {}
+    for name, n in (("a", 15), ("b", 18), ("same", 12)):
+        w = community(rng, n)
+        w[n - 1], w[:, n - 1] = 0, 0  # a gene without an edge
+        v = w.copy()
+        if name != "same":
+            v[2] = 0
+        nets[name] = (w, v)
+
+    def table(k):
+        rows = [(name, f"g{i}", f"g{j}", float(m[k][i, j])) for name, m in nets.items() for i, j in zip(*np.nonzero(m[k]), strict=True)]
+        return spark.createDataFrame(rows, "dataset string, src string, dst string, w double")
+
+    genes = spark.createDataFrame([(name, f"g{i}") for name, (w, _) in nets.items() for i in range(len(w))], "dataset string, gene string")
+    placed, eigenvalues, residuals = alignment.align_networks(table(0), table(1), genes, dims=2, steps=6)
+    rows = placed.collect()
+    assert len(rows) == 45 and {r.dataset: r.residual for r in rows} == pytest.approx({d: e.max() for d, e in residuals.items()})
+    for name, (w, v) in nets.items():
+        values, want = dense_alignment(w, v, 2)
+        assert eigenvalues[name] == pytest.approx(values, abs=1e-6)
+        for row in rows:
+            if row.dataset == name:
+                assert np.linalg.norm(np.array(row.x) - np.array(row.y)) == pytest.approx(want[int(row.gene[1:])], abs=1e-6)
+    with pytest.raises(RuntimeError, match="residuals"):
+        alignment.align_networks(table(0), table(1), genes, dims=2, steps=2, restarts=1)
+    assert alignment.align_networks(table(0).limit(0), table(1).limit(0))[0].collect() == []
+
+
+def test_tensors_of_several_matrices_equal_those_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, k, f"g{i}", f"g{j}", float(rng.random() < 0.7) * (1 + i * j + k + len(d))) for d in ("a", "bb") for i in range(5) for j in range(5) for k in (1, 2)]
+    edges = spark.createDataFrame([r for r in rows if r[4]], "dataset string, net int, src string, dst string, w double")
+    together = {(r.dataset, r.src, r.dst): r.w for r in network.tensor_denoise_each(edges, [1, 2], rank=1).collect()}
+    for d in ("a", "bb"):
+        alone = network.tensor_denoise(edges.where(F.col("dataset") == d), [1, 2], rank=1).collect()
+        assert {(d, r.src, r.dst): pytest.approx(r.w, abs=1e-9) for r in alone} == {k: v for k, v in together.items() if k[0] == d}
 
 
 def test_equal_networks_do_not_differ(spark):

@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert ordered(got) == ordered(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"knockout_study", "manifold_align"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"knockout_study", "depletion_study_aligned"}))
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
