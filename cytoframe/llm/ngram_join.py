@@ -4,8 +4,8 @@ Shingles have one order over the corpus, that of their hashes. Texts with a Jacc
 share at least l of the first |x| - ceil(t|x|) + l shingles of either (Wang, Li and Feng, "Can we
 beat the prefix filtering?", SIGMOD 2012). First every text is held against the whole corpus at a deep l, in
 proportion to its size: if fewer of its prefix's shingles stand in any other prefix than the smallest partner
-would ask for, it links with nothing, which settles all texts but near copies. The others' sets are stored once;
-each takes the l that its prefix's frequencies make cheapest. Texts of equal sets are one class from the start; links are
+would ask for, it links with nothing; the others' sets are stored once and held against each other whole, which leaves near
+copies. Each takes the l that its prefix's frequencies make cheapest. Texts of equal sets are one class from the start; links are
 first sought to one class per shared shingle, and pairs already in one component need no further check.
 """
 
@@ -26,6 +26,7 @@ from cytoframe.llm.words import find_words, mix, slices
 WIDTH = 4
 PERCENT = 85
 DEEP_PERCENT = 8
+MATCH_PERCENT = 30
 SLICE_BYTES = 2 << 20
 FLUSH_SHINGLES = 1_000_000
 PART_BYTES = 16 << 20
@@ -33,6 +34,7 @@ CHECK_SHINGLES = 1 << 21
 FEW = 32
 BLOCK_SHINGLES = 1 << 18
 TOKEN_BITS = 48
+FILTER_BITS = 1 << 25
 _LOW = np.uint64((1 << 58) - 1)
 
 
@@ -71,11 +73,15 @@ def _needed(n, percent: int):
     return F.ceil(n * percent / 100) if isinstance(n, Column) else -(-percent * n // 100)
 
 
-def _deepest(n, percent: int):
-    """The greatest l that a set of n takes part with."""
+def _deepest(n, percent: int, share: int):
+    """The greatest l that a set of n takes part with: ``share`` percent of it, as far as a link asks for so many."""
     if isinstance(n, Column):
-        return F.greatest(F.lit(1), F.least(_needed(n, percent), F.ceil(n * DEEP_PERCENT / 100)))
-    return max(1, min(_needed(n, percent), -(-DEEP_PERCENT * n // 100)))
+        return F.greatest(F.lit(1), F.least(_needed(n, percent), F.ceil(n * share / 100)))
+    return max(1, min(_needed(n, percent), -(-share * n // 100)))
+
+
+def _unpacked(members: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(members.as_buffer(), np.uint64)
 
 
 def _six(tokens: np.ndarray) -> bytes:
@@ -116,17 +122,21 @@ def _shared_counts(described: DataFrame, parts: int) -> DataFrame:
             own, times = np.unique(owner[again], return_counts=True)
             token, owner, marked = token[new], owner[new], many > 1
             part = (token >> np.uint64(TOKEN_BITS - bits)).astype(np.int64)
-            edges = np.searchsorted(part, np.arange(parts + 1))
+            order = np.lexsort((owner, marked, part))
+            token, owner, marked, part = token[order].astype(np.uint32), owner[order], marked[order], part[order]
             home = mix(own.view(np.uint64)) % np.uint64(parts)
             turn = np.argsort(home, kind="stable")
             own, times = own[turn], times[turn].astype(np.uint32)
-            homes = np.searchsorted(home[turn], np.arange(parts + 1, dtype=np.uint64))
+            edges, homes = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(home[turn], np.arange(parts + 1, dtype=np.uint64))
             rows = []
             for k in np.flatnonzero(np.diff(edges) + np.diff(homes)):
-                mine, own_part = slice(edges[k], edges[k + 1]), slice(homes[k], homes[k + 1])
-                sizes = np.array([mine.stop - mine.start, own_part.stop - own_part.start], np.uint32).tobytes()
-                blob = sizes + token[mine].astype(np.uint32).tobytes() + owner[mine].tobytes() + np.packbits(marked[mine]).tobytes()
-                rows.append((k, blob + own[own_part].tobytes() + times[own_part].tobytes()))
+                low, high, mine = edges[k], edges[k + 1], slice(homes[k], homes[k + 1])
+                single = low + int((~marked[low:high]).sum())
+                first = np.flatnonzero(np.diff(owner[low:single], prepend=~owner[low:single][:1]) != 0)
+                sizes = np.diff(first, append=single - low)
+                head = np.array([len(first), single - low, high - single, len(own[mine])], np.uint32).tobytes()
+                lists = owner[low:single][first].tobytes() + sizes.astype(np.uint32).tobytes() + token[low:high].tobytes()
+                rows.append((k, head + lists + own[mine].tobytes() + times[mine].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
 
         for batch in batches:
@@ -141,26 +151,26 @@ def _shared_counts(described: DataFrame, parts: int) -> DataFrame:
             yield flush()
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tokens, owners, marks, names, counts = [], [], [], [], []
+        tokens, owners, shared, names, counts = [], [], [], [], []
         for item in table.column("blob"):
             data = memoryview(item.as_py())
-            n, m = (int(x) for x in np.frombuffer(data, np.uint32, 2))
-            at = 8 + 12 * n
-            tokens.append(np.frombuffer(data, np.uint32, n, 8))
-            owners.append(np.frombuffer(data, np.int64, n, 8 + 4 * n))
-            marks.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool))
-            at += -(-n // 8)
+            heads, single, marked, m = (int(x) for x in np.frombuffer(data, np.uint32, 4))
+            owners.append(np.repeat(np.frombuffer(data, np.int64, heads, 16), np.frombuffer(data, np.uint32, heads, 16 + 8 * heads)))
+            at = 16 + 12 * heads
+            tokens.append(np.frombuffer(data, np.uint32, single, at))
+            shared.append(np.frombuffer(data, np.uint32, marked, at + 4 * single))
+            at += 4 * (single + marked)
             names.append(np.frombuffer(data, np.int64, m, at))
             counts.append(np.frombuffer(data, np.uint32, m, at + 8 * m).astype(np.int64))
-        token, owner, marked = (np.concatenate(x) for x in (tokens, owners, marks))
+        token, owner = np.concatenate(tokens), np.concatenate(owners)
         order = np.lexsort((owner, token))
-        token, owner, marked = token[order], owner[order], marked[order]
+        token, owner = token[order], owner[order]
         new = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1) != 0)
-        fresh = np.ones(len(token), np.int64)
-        fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
         if len(new):
-            several = (np.add.reduceat(fresh, new) > 1) | (np.add.reduceat(marked.astype(np.int64), new) > 0)
-            kept = np.repeat(several, np.diff(new, append=len(token))) & ~marked
+            fresh = np.ones(len(token), np.int64)
+            fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+            several = (np.add.reduceat(fresh, new) > 1) | np.isin(token[new], np.concatenate(shared))
+            kept = np.repeat(several, np.diff(new, append=len(token)))
             names.append(owner[kept])
             counts.append(np.ones(int(kept.sum()), np.int64))
         names, which = np.unique(np.concatenate(names), return_inverse=True)
@@ -207,10 +217,6 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
     return dense, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), len(known)
 
 
-def _unpacked(members: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(members.as_buffer(), np.uint64)
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, n), where n is the size of b's set, those (a, b) whose sets are as alike as asked.
 
@@ -323,6 +329,17 @@ def _many(entries: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) ->
     return met.groupBy("one", "two").applyInArrow(meet, "a long, b long")
 
 
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap of ``FILTER_BITS`` with every ``bit`` of the table set; at most that many bits come to the driver."""
+    from_one = places.select((F.col("bit") + 1).alias("bit"))  # Spark's bitmaps hold 1 to 32768, 32769 to 65536 and so on
+    number = F.bitmap_bucket_number("bit").alias("bucket")
+    rows = from_one.groupBy(number).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows:
+        out[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -341,7 +358,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                rows = [(len(s), signature(s), _six(s[: len(s) - _needed(len(s), percent) + _deepest(len(s), percent)])) for s in _sets(batch.column("text"), width)]
+                rows = [(len(s), signature(s), _six(s[: len(s) - _needed(len(s), percent) + _deepest(len(s), percent, DEEP_PERCENT)])) for s in _sets(batch.column("text"), width)]
                 columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), *columns], ["doc_id", "content", "n_shingles", "class", "prefix"])
 
@@ -353,22 +370,38 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # classes whose prefix shares enough with the rest of the corpus; a partner has at least ``percent`` of a set's shingles
     shared = _shared_counts(described, parts)
     n = F.col("n_shingles")
-    asked = _deepest(_needed(n, percent), percent)
+    asked = _deepest(_needed(n, percent), percent, DEEP_PERCENT)
     classes = described.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.min(F.struct("content", "doc_id")).alias("one"))
     chosen = cut(classes.join(shared, "class").where(F.col("shared") >= asked).select("class", "one"))
 
+    # their sets, from one document of each: a bitmap of fixed size tells which texts to read, the join by class is exact
+    place = F.pmod(F.xxhash64("content", "doc_id"), F.lit(FILTER_BITS))
+    bits = _bitmap(chosen.select("one.*").select(place.alias("bit")))
+
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                for name, members in zip(batch.column("class").to_pylist(), _sets(batch.column("text"), width), strict=True):
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            texts = batch.column("text").filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES):
+                for members in _sets(part.column("text"), width):
+                    name = signature(members)
                     if name not in done:
                         done.add(name)
                         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(members)], pa.int64()), pa.array([members.tobytes()], pa.binary())], ["class", "n", "members"])
 
-    same = (F.col("d.content") == F.col("c.one.content")) & F.col("d.doc_id").eqNullSafe(F.col("c.one.doc_id"))
-    texts = keyed.alias("d").join(chosen.alias("c"), same).select("class", "text")
-    sets = cut(texts.mapInArrow(collect_sets, "class long, n long, members binary").groupBy("class").agg(F.first("n").alias("n"), F.first("members").alias("members")))
+    read = keyed.select(place.alias("bit"), "text").mapInArrow(collect_sets, "class long, n long, members binary")
+    sets = cut(read.join(chosen.select("class"), "class", "left_semi"))
+
+    # among these, whole sets: a set that links shares ``percent`` of its shingles with its partner, so with the others together
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = pa.array([_six(_unpacked(m)) for m in batch.column("members")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), every], ["class", "n_shingles", "prefix"])
+
+    whole = _shared_counts(sets.mapInArrow(packed, "class long, n_shingles long, prefix binary"), parts)
+    near = sets.join(whole, "class").where(F.col("shared") >= _needed(F.col("n"), percent))
+    sets = cut(near.groupBy("class").agg(F.first("n").alias("n"), F.first("members").alias("members")))
 
     # their prefixes, and how many of them hold each shingle
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +410,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             for name, members in zip(batch.column("class").to_pylist(), batch.column("members"), strict=True):
                 every = _unpacked(members)
                 first = len(every) - _needed(len(every), percent) + 1
-                taken = every[: first + _deepest(len(every), percent) - 1].view(np.int64)
+                taken = every[: first + _deepest(len(every), percent, MATCH_PERCENT) - 1].view(np.int64)
                 row = (taken, np.full(len(taken), name, np.int64), np.full(len(taken), len(every)), np.maximum(1, np.arange(len(taken)) - first + 2).astype(np.int32))
                 for column, values in zip(columns, row, strict=True):
                     column.append(values)
@@ -392,7 +425,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     costs = [F.struct(F.lit(float("inf")).alias("cost"), F.lit(1).alias("depth"))]
     for depth in (1 << k for k in range(20)):
         read = F.sum(F.when(F.col("level") <= depth, F.col("df") - 1).otherwise(0))
-        possible = F.lit(depth) <= _deepest(F.max("n"), percent)
+        possible = F.lit(depth) <= _deepest(F.max("n"), percent, MATCH_PERCENT)
         costs.append(F.when(possible, F.struct((read + read / depth * F.max("n")).alias("cost"), F.lit(depth).alias("depth"))))
     depth = entries.groupBy("class").agg(F.least(*costs)["depth"].alias("depth"))
     prefix = cut(entries.join(depth, "class").where(F.col("level") <= F.col("depth")))
