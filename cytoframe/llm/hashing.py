@@ -139,17 +139,19 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the ``k`` rows of largest inner product found.
 
-    ``vectors`` is (vec_id, embedding) with unique ids and embeddings of one size; unusable ones take no part.
+    ``vectors`` is (vec_id, embedding) with embeddings of one size; unusable ones take no part. Rows that repeat an id are one,
+    with the least of their vectors.
     Every other usable row is indexed, in blocks of about ``block_rows`` dealt by hash, and every query probes every
     block; a block retrieves all codes within the radius that holds ``least_found`` rows or ``share_found`` of the
     block, so a query gets ``k`` neighbours unless there are fewer. Only the rotations are learned on a sample, the first
     ``sample`` rows in hash order. Queries meet blocks ``query_rows`` at a time. Scores are double
-    inner products of the vectors as they are, ties to the smaller id; rows that repeat an id are one query each.
+    inner products of the vectors as they are, ties to the smaller id; an empty table gives none.
     """
     rows = cut(
         usable(vectors.select("vec_id", "embedding", is_query.alias("asks")), "embedding")
         .where(F.col("vec_id").isNotNull())
         .select("vec_id", "asks", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        .groupBy("vec_id").agg(F.max("asks").alias("asks"), F.min("v").alias("v"))
     )
     out = T.StructType([T.StructField("query_id", rows.schema["vec_id"].dataType), T.StructField("vec_id", rows.schema["vec_id"].dataType), T.StructField("score", T.DoubleType())])
     square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)

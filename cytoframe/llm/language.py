@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytoframe.functions.lineage import cut
+
 DICT_CHARS = 48_000
 SAMPLE_CHARS = 300
 PIECE_CHARS = 1_000
 LEVEL = 6
 MARGIN = 0.02
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normalised(text: str | None) -> str:
@@ -26,32 +28,31 @@ def normalised(text: str | None) -> str:
     return _NOT_LETTERS.sub(" ", text or "").strip().lower()
 
 
-def learn_dictionaries(labelled: DataFrame, order: Column, dict_chars: int = DICT_CHARS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def learn_dictionaries(labelled: DataFrame, dict_chars: int = DICT_CHARS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Raw-content dictionary of each language of ``labelled`` (text, lang), null languages left out.
 
-    The bound: at most ``dict_chars`` characters a language, as the first ``sample_chars`` of texts in
-    ``order`` (ties by text), so languages times ``dict_chars`` come to the driver whatever the
-    input. Texts that repeat count once. A language without letters in its texts is not learned.
+    A text's piece is its first ``sample_chars`` characters from its first letter on. Pieces that repeat in a language count
+    once; in an order fixed by their hash they are taken until ``dict_chars`` characters are reached, so languages
+    times ``dict_chars`` come to the driver whatever the input, and a language whose texts hold so many fills its
+    dictionary. A language without letters in its texts is not learned; an empty table teaches none.
     """
-    wanted = -(-4 * dict_chars // sample_chars)
-    piece = F.substring("text", 1, sample_chars).alias("text")
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", order.alias("turn"), piece)
-    # Spark limits each task's part of a language before it sorts, so no language comes together whole
-    first = usable.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))).where(F.col("nth") <= wanted)
-    texts: dict[str, list[str]] = {}
-    for row in first.sort("lang", "nth").select("lang", "text").toLocalIterator():
-        texts.setdefault(row["lang"], []).append(row["text"])
-    found: dict[str, bytes] = {}
-    for lang, samples in texts.items():
-        content, held = [], 0
-        for text in dict.fromkeys(samples):
-            clean = normalised(text)[: dict_chars - held]
-            if clean and held < dict_chars:
-                content.append(clean)
-                held += len(clean)
-        if content:
-            found[lang] = " ".join(content).encode()
-    return found
+    letters = F.regexp_replace("text", r"^\P{L}+", "")
+    pieces = labelled.where(F.col("lang").isNotNull()).select("lang", F.substring(letters, 1, sample_chars).alias("piece"))
+    distinct = cut(pieces.where(F.length("piece") > 0).distinct().withColumn("draw", F.xxhash64("piece") / F.lit(float(1 << 64)) + 0.5))
+    held = distinct.groupBy("lang").agg(F.sum(F.length("piece")).alias("chars"))
+    # four times what is wanted, in expectation: a language is thinned by hash before its rows are put in order
+    thinned = distinct.join(held, "lang").where(F.col("draw") * F.col("chars") <= 4.0 * dict_chars)
+    order = Window.partitionBy("lang").orderBy("draw", "piece")
+    before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = thinned.withColumn("before", before).where(F.col("before") < 2 * dict_chars).sort("lang", "before").select("lang", "piece")
+    found: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
+    for row in first.toLocalIterator():
+        clean = normalised(row["piece"])[: max(0, dict_chars - sizes.get(row["lang"], 0))]
+        if clean:
+            found.setdefault(row["lang"], []).append(clean)
+            sizes[row["lang"]] = sizes.get(row["lang"], 0) + len(clean)
+    return {lang: " ".join(content).encode() for lang, content in found.items()}
 
 
 class Classifier:
@@ -90,7 +91,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
     Each whole text, in pieces of at most ``PIECE_CHARS`` so that the dictionary weighs more than what a text
     repeats of itself, is encoded with each dictionary. The smallest sum wins, ties by name. A text that is null
     or has no letter is ``und``, as is everything if nothing was learned. ``rejected`` marks margins
-    below ``margin``; the best guess stays in ``lang_pred``. A column named language is replaced.
+    below ``margin``; the best guess stays in ``lang_pred``. A column named language is replaced; repeated rows come out alike; an
+    empty table gives none.
     """
     detail = T.StructType([T.StructField(n, t) for n, t in [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("margin", T.DoubleType()), ("rejected", T.BooleanType())]])
 

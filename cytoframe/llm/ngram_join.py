@@ -1,11 +1,11 @@
 """Similarity join on word n-grams with adaptive multi-match prefixes.
 
-Shingles have one order over the corpus, that of their hashes. Texts with a Jaccard similarity of t
+Shingles have one order over the corpus. Texts with a Jaccard similarity of t
 share at least l of the first |x| - ceil(t|x|) + l shingles of either (Wang, Li and Feng, "Can we
 beat the prefix filtering?", SIGMOD 2012). First every text is held against the whole corpus at a deep l, in
 proportion to its size: if fewer of its prefix's shingles stand in any other prefix than the smallest partner
-would ask for, it links with nothing; the others' sets are stored once and held against each other whole, which leaves near
-copies. Each takes the l that its prefix's frequencies make cheapest. Texts of equal sets are one class from the start; links are
+would ask for, it links with nothing; that order is by hash. The others' sets are stored once and held against each other whole, which leaves near
+copies, whose shingles are put in order of how many sets hold them, rare ones first. Each takes the l that its prefix's frequencies make cheapest. Texts of equal sets are one class from the start; links are
 first sought to one class per shared shingle, and pairs already in one component need no further check.
 """
 
@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.lineage import cut
 from cytoframe.llm.components import components
-from cytoframe.llm.words import find_words, mix, slices
+from cytoframe.llm.words import find_words, mix, runs, slices
 
 WIDTH = 4
 PERCENT = 85
@@ -31,10 +31,10 @@ SLICE_BYTES = 2 << 20
 FLUSH_SHINGLES = 1_000_000
 PART_BYTES = 16 << 20
 CHECK_SHINGLES = 1 << 21
-FEW = 32
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 19
 TOKEN_BITS = 48
 FILTER_BITS = 1 << 25
+HOT = 64
 _LOW = np.uint64((1 << 58) - 1)
 
 
@@ -80,13 +80,13 @@ def _deepest(n, percent: int, share: int):
     return max(1, min(_needed(n, percent), -(-share * n // 100)))
 
 
-def _unpacked(members: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(members.as_buffer(), np.uint64)
+def _pack(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _six(tokens: np.ndarray) -> bytes:
     """The high 48 of the 58 bits of each shingle."""
-    return np.ascontiguousarray((tokens >> np.uint64(58 - TOKEN_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return _pack(tokens >> np.uint64(58 - TOKEN_BITS))
 
 
 def _unsix(data: bytes) -> np.ndarray:
@@ -180,36 +180,11 @@ def _shared_counts(described: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(count, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
 
 
-def _few(entries: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share enough prefix shingles, where few classes hold each of these."""
-    x, y = entries.alias("x"), entries.alias("y")
-    depth = F.least("x.depth", "y.depth")
-    pairs = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")))
-        .where((F.col("x.level") <= depth) & (F.col("y.level") <= depth))
-        .where((100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")))
-        .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), depth.alias("depth"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("y.n").alias("n"))
-        .where(F.col("shared") >= F.col("depth"))
-        .select("a", "b", "n")
-    )
-    return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-
-
-def _shared(mine: tuple[np.ndarray, np.ndarray], all_: tuple[np.ndarray, np.ndarray], row: int, seen: np.ndarray) -> np.ndarray:
-    """How many numbers of list ``row`` each list of ``all_`` holds; lists are flat values and bounds."""
-    values, ptr = mine
-    seen[values[ptr[row] : ptr[row + 1]]] = True
-    hits = np.concatenate([[0], np.cumsum(seen[all_[0]])])
-    seen[values[ptr[row] : ptr[row + 1]]] = False
-    return hits[all_[1][1:]] - hits[all_[1][:-1]]
-
-
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
     """A column of lists, or of packed ones, as flat dense numbers, their bounds, and how many numbers there are."""
     rows = column.combine_chunks()
     if pa.types.is_binary(rows.type) or pa.types.is_large_binary(rows.type):
-        sets = [_unpacked(x) for x in rows]
+        sets = [_unsix(x.as_py()) for x in rows]
         flat, sizes = np.concatenate(sets), [len(x) for x in sets]
     else:
         flat, sizes = rows.flatten().to_numpy(), rows.value_lengths().to_numpy()
@@ -217,6 +192,106 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
     return dense, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), len(known)
 
 
+def _ordered_sets(sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(class, n, members, levels): of sets (class, n, members) the shingles that others hold too, rarest first.
+
+    Only sets that share as many as a link asks for stay. A shingle's level is the logarithm of how many of the sets hold it, ``HOT`` if ``HOT``
+    sets or more of one flush do; such a shingle is announced once, so that what one part gets of it is bounded by
+    the flushes. A level is the shingle's own, the same in every set. Members are packed in 48 bits, levels a byte each.
+    """
+    bits = parts.bit_length() - 1
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+
+    def lists(owner: np.ndarray, n: np.ndarray, token: np.ndarray) -> bytes:
+        """Rows sorted by owner as heads (owner, its size, how many) and tokens."""
+        first = np.flatnonzero(np.diff(owner, prepend=~owner[:1]) != 0)
+        many = np.diff(first, append=len(owner)).astype(np.uint32)
+        return np.uint32(len(first)).tobytes() + owner[first].tobytes() + n[first].astype(np.uint32).tobytes() + many.tobytes() + _pack(token)
+
+    def unlist(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        heads = int(np.frombuffer(data, np.uint32, 1)[0])
+        many = np.frombuffer(data, np.uint32, heads, 4 + 12 * heads)
+        end = 4 + 16 * heads + 6 * int(many.sum())
+        owner, n = np.frombuffer(data, np.int64, heads, 4), np.frombuffer(data, np.uint32, heads, 4 + 8 * heads)
+        return np.repeat(owner, many), np.repeat(n, many), _unsix(bytes(data[4 + 16 * heads : end])), end
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, bytes]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            packed = [b for _, b in held.values()]
+            token, many = _unsix(b"".join(packed)), [len(b) // 6 for b in packed]
+            owner = np.repeat(np.fromiter(held, np.int64, len(held)), many)
+            n = np.repeat(np.array([n for n, _ in held.values()]), many)
+            _, which, times = np.unique(token, return_inverse=True, return_counts=True)
+            hot = times[which] >= HOT
+            announced = np.unique(token[hot])
+            rows = []
+            home = np.where(hot, mix(owner.view(np.uint64)) % np.uint64(parts), token >> np.uint64(TOKEN_BITS - bits)).astype(np.int64)
+            order = np.lexsort((token, owner, hot, home))
+            owner, n, token, hot, home = (x[order] for x in (owner, n, token, hot, home))
+            edges = np.searchsorted(home, np.arange(parts + 1))
+            marks = np.searchsorted(announced >> np.uint64(TOKEN_BITS - bits), np.arange(parts + 1, dtype=np.uint64))
+            for k in np.flatnonzero(np.diff(edges) + np.diff(marks)):
+                low, high, marked = edges[k], edges[k + 1], announced[marks[k] : marks[k + 1]]
+                middle = low + int((~hot[low:high]).sum())
+                cold, own = (lists(owner[a:b], n[a:b], token[a:b]) for a, b in ((low, middle), (middle, high)))
+                rows.append((k, cold + own + _pack(marked)))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
+
+        for batch in batches:
+            for name, n, members in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "members")), strict=True):
+                if name not in held:
+                    held[name] = n, members
+                    size += n
+                    if size >= FLUSH_SHINGLES:
+                        yield flush()
+                        held, size = {}, 0
+        if held:
+            yield flush()
+
+    names = ["class", "n", "members", "levels"]
+
+    def rank(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cold, own, marks = [], [], []
+        for item in table.column("blob"):
+            data = memoryview(item.as_py())
+            *rows, at = unlist(data)
+            cold.append(rows)
+            *rows, end = unlist(data[at:])
+            own.append(rows)
+            marks.append(_unsix(bytes(data[at + end :])))
+        owner, n, token = (np.concatenate(x) for x in zip(*cold, strict=True))
+        order = np.lexsort((owner, token))
+        order = order[(np.diff(token[order].view(np.int64), prepend=-1) != 0) | (np.diff(owner[order], prepend=~owner[order][:1]) != 0)]
+        owner, n, token = owner[order], n[order], token[order]
+        new = np.flatnonzero(np.diff(token.view(np.int64), prepend=-1) != 0)
+        times = np.diff(new, append=len(token))
+        level = np.where(np.isin(token[new], np.concatenate(marks)), HOT, np.minimum(HOT - 1, np.floor(np.log2(np.maximum(times, 1))).astype(np.int64)))
+        level = np.repeat(level, times).astype(np.uint8)
+        shared = level > 0
+        parted = [(owner[shared], n[shared], token[shared], level[shared]), *((o, m, t, np.full(len(o), HOT, np.uint8)) for o, m, t in own)]
+        owner, n, token, level = (np.concatenate(x) for x in zip(*parted, strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner, n, token, level = owner[order], n[order], token[order], level[order]
+        first = np.flatnonzero(np.diff(owner, prepend=~owner[:1]) != 0)
+        ends = np.append(first[1:], len(owner))
+        packed = [(_pack(token[a:b]), level[a:b].tobytes()) for a, b in zip(first, ends, strict=True)]
+        return pa.table([pa.array(owner[first]), pa.array(n[first].astype(np.int64)), pa.array([t for t, _ in packed], pa.binary()), pa.array([v for _, v in packed], pa.binary())], names=names)
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        token, level = _unsix(b"".join(table.column("members").to_pylist())), np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8)
+        token, first = np.unique(token, return_index=True)
+        order = np.lexsort((token, level[first]))
+        return pa.table([table.column("class")[:1], table.column("n")[:1], pa.array([_pack(token[order])], pa.binary()), pa.array([level[first][order].tobytes()], pa.binary())], names=names)
+
+    out = "class long, n long, members binary, levels binary"
+    ranked = sets.select("class", "n", "members").mapInArrow(send, schema).groupBy("part").applyInArrow(rank, out)
+    enough = F.sum(F.octet_length("levels")).over(Window.partitionBy("class")) >= _needed(F.col("n"), percent)
+    return ranked.withColumn("enough", enough).where("enough").drop("enough").groupBy("class").applyInArrow(gather, out)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, n), where n is the size of b's set, those (a, b) whose sets are as alike as asked.
 
@@ -224,31 +299,52 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     load = pairs.groupBy("a").agg(F.ceil(F.sum("n") / CHECK_SHINGLES).alias("chunks"))
     salted = cut(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")))
-    ours = salted.select("a", "chunk").distinct().join(sets.select(F.col("class").alias("a"), "members"), "a")
-    theirs = salted.join(sets.select(F.col("class").alias("b"), F.col("members").alias("other")), "b")
-    theirs = theirs.select(F.col("a").alias("a"), F.col("chunk").alias("chunk"), "b", "other")
+    ours = salted.select("a", "chunk").distinct().join(sets.select(F.col("class").alias("a"), "n", "members"), "a")
+    theirs = salted.join(sets.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("members").alias("other")), "b")
+    theirs = theirs.select(F.col("a").alias("a"), F.col("chunk").alias("chunk"), "b", "m", "other")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if left.num_rows:
-            x, name = _unpacked(left.column("members")[0]), left.column("a")[0].as_py()
-            for b, other in zip(right.column("b").to_pylist(), right.column("other"), strict=True):
-                y = _unpacked(other)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+            name, n, x = (left.column(c)[0].as_py() for c in ("a", "n", "members"))
+            x = _unsix(x)
+            for b, m, other in zip(*(right.column(c).to_pylist() for c in ("b", "m", "other")), strict=True):
+                both = len(np.intersect1d(x, _unsix(other), assume_unique=True))
+                if 100 * both >= percent * (n + m - both):
                     found.append((name, b))
         return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return ours.groupBy("a", "chunk").cogroup(theirs.groupBy("a", "chunk")).applyInArrow(check, "a long, b long")
 
 
+class _Postings:
+    """Which lists hold each number at which level, for counting what one list shares with all others."""
+
+    def __init__(self, values: np.ndarray, bounds: np.ndarray, many: int, level: np.ndarray):
+        self.values, self.bounds = values, bounds
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        order = np.argsort(values, kind="stable")
+        self.owner, self.ptr = owner[order], np.concatenate([[0], np.cumsum(np.bincount(values, minlength=many))])
+        self.level, self.sorted_level = level, level[order]
+
+    def shared(self, row: int, deepest: np.ndarray) -> np.ndarray:
+        """How many numbers of list ``row`` each list holds, counting levels up to the lesser of both lists' ``deepest``."""
+        own = slice(self.bounds[row], self.bounds[row + 1])
+        tokens = self.values[own]
+        sizes = self.ptr[tokens + 1] - self.ptr[tokens]
+        at = runs(self.ptr[tokens], sizes)
+        owner = self.owner[at]
+        both = np.minimum(deepest[owner], deepest[row])
+        within = (self.sorted_level[at] <= both) & (np.repeat(self.level[own], sizes) <= both)
+        return np.bincount(owner[within], minlength=len(self.bounds) - 1)
+
+
 def _meet(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links that join components among the classes of two blocks, no more than there are classes."""
     side, names, n = (table.column(c).to_numpy() for c in ("side", "class", "n"))
     depth, component = table.column("depth").to_numpy(), table.column("component").to_numpy()
-    members, bounds, many = _lists(table.column("members"))
-    prefix, prefix_bounds, tokens = _lists(table.column("prefix"))
-    level = table.column("levels").combine_chunks().flatten().to_numpy()
+    members, member_bounds, _ = _lists(table.column("members"))
+    prefix = _Postings(*_lists(table.column("prefix")), table.column("levels").combine_chunks().flatten().to_numpy())
     parent = {int(c): int(c) for c in component}
 
     def root(c: int) -> int:
@@ -258,41 +354,32 @@ def _meet(table: pa.Table, percent: int) -> list[tuple[int, int]]:
         return c
 
     across = bool((side == 1).any())
-    links, seen, seen_token = [], np.zeros(many, bool), np.zeros(tokens, bool)
-    deepest = np.repeat(depth, np.diff(prefix_bounds))
+    links = []
     for i in np.flatnonzero(side == 0):
-        # counts at the depth of both: the row's own prefix at depth l against the others' at depth l
-        shared = np.zeros(len(names), np.int64)
-        for l in np.unique(np.minimum(depth, depth[i])):
-            own = slice(prefix_bounds[i], prefix_bounds[i + 1])
-            seen_token[prefix[own][level[own] <= l]] = True
-            hits = np.concatenate([[0], np.cumsum(seen_token[prefix] & (level <= np.minimum(deepest, l)))])
-            seen_token[prefix[own]] = False
-            at = np.minimum(depth, depth[i]) == l
-            shared[at] = (hits[prefix_bounds[1:]] - hits[prefix_bounds[:-1]])[at]
-        near = (shared >= np.minimum(depth, depth[i])) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+        near = (prefix.shared(i, depth) >= np.minimum(depth, depth[i])) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
         near &= (component != component[i]) & ((side == 1) if across else (names > names[i]))
-        if near.any():
-            both = _shared((members, bounds), (members, bounds), i, seen)
-            near &= 100 * both >= percent * (n + n[i] - both)
-            for j in np.flatnonzero(near):
-                one, two = root(int(component[i])), root(int(component[j]))
-                if one != two:
-                    parent[max(one, two)] = min(one, two)
-                    links.append((int(names[i]), int(names[j])))
+        for j in np.flatnonzero(near):
+            one, two = root(int(component[i])), root(int(component[j]))
+            if one == two:
+                continue
+            x, y = (members[member_bounds[k] : member_bounds[k + 1]] for k in (i, j))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                parent[max(one, two)] = min(one, two)
+                links.append((int(names[i]), int(names[j])))
     return links
 
 
-def _many(entries: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among classes that meet in shingles which many classes hold.
+def _many(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among classes that meet in the prefix shingles of ``entries``.
 
-    Classes tied by such shingles form families. Small families share blocks; one of more than ``BLOCK_SHINGLES`` shingles is cut,
+    Classes tied by these form families. Small families share blocks; one of more than ``BLOCK_SHINGLES`` shingles is cut,
     by the leading class of a class's most frequent shingle and then by hash. Blocks that share a frequent shingle, which
     only blocks of one family do, meet in one task, to which a set moves once for a pair of blocks instead of once for a
     pair of classes. All candidates between the two are checked there, and only links that join components leave it.
     """
-    lead = hot.groupBy("class").agg(F.max(F.struct("df", "token", "lead"))["lead"].alias("lead"), F.first("n").alias("n"))
-    family = components(hot.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct())
+    lead = entries.groupBy("class").agg(F.max(F.struct("df", "token", "lead"))["lead"].alias("lead"), F.first("n").alias("n"))
+    family = components(entries.select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct())
     known = lead.join(family.select(F.col("node").alias("class"), F.col("component").alias("family")), "class", "left")
     known = cut(known.withColumn("family", F.coalesce("family", "class")))
     blocks = max(1, -(-(known.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
@@ -304,7 +391,7 @@ def _many(entries: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) ->
     shared = F.pmod(F.xxhash64("family"), F.lit(blocks))
     placed = known.join(size, "family").join(led, ["family", "lead"])
     placed = cut(placed.select("class", F.when(F.col("many") > BLOCK_SHINGLES, own).otherwise(shared).alias("block")))
-    at = hot.select("token", "class").join(placed, "class").select("token", "block").distinct()
+    at = entries.select("token", "class").join(placed, "class").select("token", "block").distinct()
     pairs = (
         at.alias("x").join(at.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")))
         .select(F.col("x.block").alias("one"), F.col("y.block").alias("two")).distinct()
@@ -347,8 +434,8 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     folded; a shorter text is one shingle, a text without words or a null has none and links with
     nothing). ``component_id`` is the smallest doc_id reachable. Rows that share a doc_id or lack one stay
     rows; a component of null ids only has a null id. Whole texts of any length take part, in slices of ``SLICE_BYTES``, a longer one
-    by itself; an empty table gives an empty result; other columns don't matter. Shingles are compared by 58-bit hashes,
-    equal sets found by 64-bit ones.
+    by itself; an empty table gives an empty result; other columns don't matter. Shingles are counted by 58-bit hashes and
+    compared by 48 bits of them, equal sets found by 64-bit ones.
     """
     docs = docs.select("doc_id", "text")
     held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -388,36 +475,30 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
                     name = signature(members)
                     if name not in done:
                         done.add(name)
-                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(members)], pa.int64()), pa.array([members.tobytes()], pa.binary())], ["class", "n", "members"])
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(members)], pa.int64()), pa.array([_six(members)], pa.binary())], ["class", "n", "members"])
 
     read = keyed.select(place.alias("bit"), "text").mapInArrow(collect_sets, "class long, n long, members binary")
     sets = cut(read.join(chosen.select("class"), "class", "left_semi"))
 
     # among these, whole sets: a set that links shares ``percent`` of its shingles with its partner, so with the others together
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = pa.array([_six(_unpacked(m)) for m in batch.column("members")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), every], ["class", "n_shingles", "prefix"])
-
-    whole = _shared_counts(sets.mapInArrow(packed, "class long, n_shingles long, prefix binary"), parts)
-    near = sets.join(whole, "class").where(F.col("shared") >= _needed(F.col("n"), percent))
-    sets = cut(near.groupBy("class").agg(F.first("n").alias("n"), F.first("members").alias("members")))
+    sets = cut(_ordered_sets(sets, parts, percent))
 
-    # their prefixes, and how many of them hold each shingle
+    # their prefixes, and how many of them hold each shingle; shingles that no other set holds come first and are left out
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for name, members in zip(batch.column("class").to_pylist(), batch.column("members"), strict=True):
-                every = _unpacked(members)
-                first = len(every) - _needed(len(every), percent) + 1
-                taken = every[: first + _deepest(len(every), percent, MATCH_PERCENT) - 1].view(np.int64)
-                row = (taken, np.full(len(taken), name, np.int64), np.full(len(taken), len(every)), np.maximum(1, np.arange(len(taken)) - first + 2).astype(np.int32))
+            for name, n, members in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "members")), strict=True):
+                every = _unsix(members)
+                first = n - _needed(n, percent) + 1
+                place = n - len(every) + np.arange(len(every))
+                taken = every[place < first + _deepest(n, percent, MATCH_PERCENT) - 1].view(np.int64)
+                row = (taken, np.full(len(taken), name, np.int64), np.full(len(taken), n), np.maximum(1, place[: len(taken)] - first + 2).astype(np.int32))
                 for column, values in zip(columns, row, strict=True):
                     column.append(values)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["token", "class", "n", "level"])
 
-    every = cut(sets.select("class", "members").mapInArrow(prefixes, "token long, class long, n long, level int"))
+    every = cut(sets.select("class", "n", "members").mapInArrow(prefixes, "token long, class long, n long, level int"))
     held_by = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     entries = cut(every.join(held_by, "token"))
 
@@ -448,9 +529,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         F.count(F.lit(1)).alias("df"), F.min("class").alias("lead"), (F.min("component") != F.max("component")).alias("open")
     )
     open_ = cut(labelled.join(mixed.where("open").drop("open"), "token"))
-    more = cut(_few(open_.where(F.col("df") <= FEW), rays, percent))
-    found = _linked(more, sets, percent).unionByName(_many(open_, open_.where(F.col("df") > FEW), sets, percent))
-    joined = components(star_links.unionByName(cut(found)))
+    joined = components(star_links.unionByName(cut(_many(open_, sets, percent))))
 
     grouped = described.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     grouped = cut(grouped.select("doc_id", "n_shingles", "component"))

@@ -8,6 +8,8 @@ files; nothing of the corpus passes the driver but one row of sums per part.
 
 from __future__ import annotations
 
+import functools
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ BITS = 48
 PART_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
 FLUSH_TOKENS = 3_000_000
+OPEN_FILES = 512
 BEGIN, END = np.uint64(0), np.uint64(1)
 _MASK = np.uint64((1 << BITS) - 1)
 WORD_COLUMNS = [("count", np.uint64), ("once", np.uint32), ("twice", np.uint32), ("more", np.uint32), ("before", np.uint32)]
@@ -118,14 +121,16 @@ def _before(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 class HashArray:
-    """A file of sorted 48-bit keys (32 high and 16 low bits apart) and columns, memory-mapped."""
+    """A file of sorted 48-bit keys (32 high and 16 low bits apart) and columns; one memory map, and views of it."""
 
     def __init__(self, path: str, columns: list[tuple[str, type]]):
-        n, m = (int(x) for x in np.fromfile(path, np.uint64, 2))
+        with open(path, "rb") as held:
+            whole = mmap.mmap(held.fileno(), 0, access=mmap.ACCESS_READ)
+        n, m = (int(x) for x in np.frombuffer(whole, np.uint64, 2))
         at = 16
         self.n, self.columns = n, {}
         for name, kind, size in [("high", np.uint32, n), ("low", np.uint16, n), *[(c, k, n) for c, k in columns], ("place", np.uint32, m), ("large", np.uint64, m)]:
-            self.columns[name] = np.memmap(path, kind, "r", at, (size,)) if size else np.zeros(0, kind)
+            self.columns[name] = np.frombuffer(whole, kind, size, at) if size else np.zeros(0, kind)
             at += size * np.dtype(kind).itemsize
 
     @staticmethod
@@ -320,14 +325,13 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.local = model, _mounted(model.folder)
-        self.files: dict[tuple[str, int], HashArray | None] = {}
-
-    def _file(self, kind: str, part: int) -> HashArray | None:
-        if (kind, part) not in self.files:
-            path = f"{self.local}/{kind}-{part}"
-            columns = WORD_COLUMNS if kind == "words" else [("count", np.uint8)]
-            self.files[kind, part] = HashArray(path, columns) if os.path.exists(path) else None
-        return self.files[kind, part]
+        self._file = functools.lru_cache(OPEN_FILES)(self._open)
+
+    def _open(self, kind: str, part: int) -> HashArray | None:
+        """A part's file; the last ``OPEN_FILES`` used stay mapped, each by one handle."""
+        path = f"{self.local}/{kind}-{part}"
+        columns = WORD_COLUMNS if kind == "words" else [("count", np.uint8)]
+        return HashArray(path, columns) if os.path.exists(path) else None
 
     def _words(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
         """Columns of sorted distinct words, zeros where unknown."""

@@ -8,6 +8,8 @@ are patterns of the next round, and so on until a round adds none.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,7 +32,8 @@ SETTLED = 1e-6
 PATTERNS_PER_PASS = 1_000_000
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match that fails at the start of a run of digits fails at its other digits too, so only starts are tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
@@ -110,6 +113,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     A word without one before it has an empty context; seeds without one are left out.
     """
     taken = sorted((a, b) for _, a, b in spans)
+    begins, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
     found = [(kind, a, b) for kind, a, b in spans]
     last = 0
     for run in _DIGITS.finditer(text):
@@ -117,7 +121,10 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
             continue
         start, last = _word_bounds(text, run.start(), run.end())
         core = _CORE.search(text, start, last)
-        if core is None or any(a < core.end() and core.start() < b for a, b in taken):
+        if core is None:
+            continue
+        before = bisect.bisect_left(begins, core.end())
+        if before and reach[before - 1] > core.start():
             continue
         if sum(c.isdigit() for c in core.group()) >= 3:
             found.append((None, core.start(), core.end()))

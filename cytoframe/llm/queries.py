@@ -108,8 +108,7 @@ def op7_kneser_ney(spark, sf_dir):
 def op8_compression(spark, sf_dir):
     """Language of every document, learned from three quarters of them."""
     docs = _documents(spark, sf_dir).withColumn("held_out", crc_of("doc_id") % 4 == 2)
-    labelled = docs.where(~F.col("held_out")).select("text", "lang", "doc_id")
-    dictionaries = language.learn_dictionaries(labelled, F.xxhash64("doc_id"))
+    dictionaries = language.learn_dictionaries(docs.where(~F.col("held_out")).select("text", "lang"))
     found = language.identify(docs.select("doc_id", "held_out", "text"), dictionaries)
     return found.select("doc_id", "held_out", "language.*")
 

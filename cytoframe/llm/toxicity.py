@@ -21,7 +21,7 @@ from cytoframe.functions.lineage import cut
 from cytoframe.llm.columns import without
 from cytoframe.llm.words import Words, find_words, mix, runs, slices
 
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 CHAR_BUCKETS, LEAST_TEXTS = 8192, 3
 WIDTH, HIDDEN = 16, 12
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 6000
@@ -313,8 +313,10 @@ def score_texts(weights: dict[str, np.ndarray], texts: pa.Array) -> tuple[np.nda
 def score_toxicity(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """Rows of ``docs`` (with ``text``) and struct ``toxicity``: score (0 to 1, five places) and window (its first word).
 
-    Every window of ``WINDOW`` words, ``STRIDE`` apart, is scored; the highest counts. A null text or one
-    without words gets what the network gives no evidence. A column named toxicity is replaced. Rows stay where they are.
+    Every window of ``WINDOW`` words, ``STRIDE`` apart, is scored; the highest counts, the first of equal ones. So any run of
+    ``WINDOW - STRIDE + 1`` words lies whole in one. A null text or one without words gets what the network gives no
+    evidence; repeated rows score alike; an empty table gives none. Texts of any length are scored whole, in slices of
+    ``SLICE_BYTES``, a longer one by itself. A column named toxicity is replaced. Rows stay where they are.
     """
     docs = without(docs, "toxicity")
     detail = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("window", T.LongType())])

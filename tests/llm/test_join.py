@@ -59,9 +59,8 @@ def test_groups_equal_all_pairs(spark, seed, percent):
     assert sorted(map(tuple, got)) == sorted(_plain(rows, percent))
 
 
-@pytest.mark.parametrize(("few", "block"), [(1, 400), (3, 1), (6, 100_000)])
-def test_frequent_shingles_meet_in_blocks(spark, monkeypatch, few, block):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+@pytest.mark.parametrize(("few", "block"), [(1, 400), (6, 100_000)])
+def test_classes_meet_in_blocks(spark, monkeypatch, few, block):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(ngram_join, "CHECK_SHINGLES", 2 * block)
     monkeypatch.setattr(ngram_join, "FLUSH_SHINGLES", 10 * few)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from cytoframe.llm import pii
 
@@ -75,3 +76,21 @@ def test_a_common_context_gives_nothing_away(spark):
     rows = [(i, f"see the a{i}@b.org and the rest of the page") for i in range(30)] + [(99, "this is the 4711x part")]
     found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
     assert next(r for r in found.collect() if r["doc_id"] == 99)["pii"]["all"] == []
+
+
+def test_long_digit_runs_and_many_spans_take_linear_time():
+    begun = time.time()
+    assert pii.fixed_spans("1" * 1_000_000) == [] and pii.fixed_spans("9" * 400_000 + "." + "9" * 400_000 + "." + "9" * 200_000) == []
+    text = "mail a1234@b.cd or 1234 then " * 100_000
+    spans = pii.fixed_spans(text)
+    found = pii.mentions(text, spans)
+    assert len(spans) == 100_000 and sum(m["kind"] is None for m in found) == 100_000
+    assert time.time() - begun < 60
+
+
+def test_addresses_are_the_leftmost_matches_of_the_plain_form():
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("0129..a ") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in plain.finditer(text)]

@@ -62,7 +62,7 @@ def test_language_of_held_out_texts(spark):
     make = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
     rows = [(i, make(lang, 60), lang) for i, lang in enumerate("xyz" * 40)] + [(900, "12 34", "q"), (901, None, "x"), (902, "no lang", None)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    found = language.learn_dictionaries(labelled, F.xxhash64("doc_id"), dict_chars=3000)
+    found = language.learn_dictionaries(labelled, dict_chars=3000)
     assert sorted(found) == ["x", "y", "z"] and all(len(d.decode()) <= 3000 + 60 for d in found.values())
     asked = spark.createDataFrame(
         [(i, make(lang, 30), lang) for i, lang in enumerate("xyz" * 10)] + [(90, None, "und"), (91, "", "und"), (92, "1234 !!", "und"), (93, make("y", 30_000), "y")],
@@ -73,4 +73,19 @@ def test_language_of_held_out_texts(spark):
     assert {r["doc_id"]: r["language"]["lang_pred"] for r in out} == truth
     assert all(0 <= r["language"]["score"] <= 1 for r in out)
     assert {r["language"]["lang_pred"] for r in language.identify(asked, {}).collect()} == {"und"}
-    assert language.learn_dictionaries(labelled.limit(0), F.xxhash64("doc_id")) == {}
+    assert language.learn_dictionaries(labelled.limit(0)) == {}
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    found = {"en": b"the and of the and of this", "de": b"der und die das"}
+    texts = ["\u00bd \u00b2 \u2167", "12 _ 3", "", None, "\u2460", "the and of the and of this"]
+    out = language.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), found).orderBy("id").collect()
+    assert [r["language"]["lang_pred"] for r in out] == ["und"] * 5 + ["en"]
+    assert language.identify(spark.createDataFrame([], "id int, text string"), found).collect() == []
+
+
+def test_copies_and_headers_do_not_leave_a_dictionary_short(spark):
+    own = [("en", f"header {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} words of text number") for i in range(400)]
+    labelled = spark.createDataFrame(own + [("en", "one copy of many")] * 3000 + [(None, "x"), ("xx", "1 2 3")], "lang string, text string")
+    found = language.learn_dictionaries(labelled, dict_chars=2000, sample_chars=40)
+    assert set(found) == {"en"} and len(found["en"]) >= 2000 and found["en"].count(b"one copy of many") <= 1
