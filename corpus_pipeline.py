@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.functions.lineage import cut
 from cytoframe.llm import mixing, ngram_join, packing, pii, toxicity
-from cytoframe.llm.columns import fresh
+from cytoframe.llm.columns import fresh, shielded
 from cytoframe.llm.queries import learned_toxicity, vocabulary, word_count
 
 REJECT = 0.7
@@ -16,9 +16,17 @@ NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, trained on the labelled ones, scores below ``REJECT``."""
-    scored = toxicity.score_toxicity(docs, learned_toxicity(spark, sf_dir))
-    return scored.where(F.col("toxicity.score") < REJECT).drop("toxicity")
+    """Documents that the network, trained on the labelled ones, scores below ``REJECT``.
+
+    A null or empty text is scored as what the network gives no evidence; repeated rows go or stay together; an empty table
+    gives none. Columns of any name stay as they are.
+    """
+    learned = learned_toxicity(spark, sf_dir)
+
+    def clean(table: DataFrame) -> DataFrame:
+        return toxicity.score_toxicity(table, learned).where(F.col("toxicity.score") < REJECT)
+
+    return shielded(docs, "toxicity", clean)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +48,38 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with kinds in place of personal data; ``n_chars`` follows."""
-    clean = pii.redact(pii.find_pii(docs, keep_text=True))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts with kinds in place of personal data; ``n_chars`` follows.
+
+    A null text stays null, and so does its ``n_chars``; repeated rows are redacted alike; an empty table gives none.
+    Other columns of any name stay as they are.
+    """
+
+    def redacted(table: DataFrame) -> DataFrame:
+        clean = pii.redact(pii.find_pii(table, keep_text=True))
+        return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+    return shielded(docs, "pii", redacted)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate and its coin say."""
-    mixed = mixing.mix(docs, F.col("source"), word_count(F.col("text")), F.col("doc_id"))
-    return mixing.emit(mixed).select(*docs.columns)
+    """Each document as often as its source's rate and its coin say.
+
+    Documents without a source are a source of their own; a null or empty text has no words and is drawn by the same rule; rows
+    that share an id share the coin; an empty table gives none. Columns of any name stay as they are.
+    """
+
+    def emitted(table: DataFrame) -> DataFrame:
+        return mixing.emit(mixing.mix(table, F.col("source"), word_count(F.col("text")), F.col("doc_id")))
+
+    return shielded(docs, "mixing", emitted)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences of 1024 tokens."""
+    """Token pieces of all documents in sequences of 1024 tokens.
+
+    A null or empty text is its end token; rows that repeat are packed each; an empty table gives none. Only the pieces'
+    own columns come out.
+    """
     return packing.pack_documents(docs, vocabulary())
 
 
