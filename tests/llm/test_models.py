@@ -142,3 +142,22 @@ def test_unusable_vectors_ties_and_few_candidates(spark):
     out = hashing.search(_vectors(spark, vectors), F.col("vec_id") % 4 == 0, k=20).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 8, -1.0), (8, 1, 0, -1.0), (8, 2, 1, -2.0), (8, 3, 2, -2.0)]
     assert hashing.search(_vectors(spark, vectors).limit(0), F.lit(True)).collect() == []
+
+
+def test_a_passage_counts_wherever_it_lies_in_a_long_text():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = "vile grim vile"
+    texts = [" ".join([*(word() for _ in range(20)), passage, *(word() for _ in range(20))]) if i % 2 else " ".join(word() for _ in range(43)) for i in range(200)]
+    learned = toxicity.train(texts, [i % 2 for i in range(200)], visits=4000)
+    clean = [word() for _ in range(400)]
+    planted = [" ".join([*clean[:at], passage, *clean[at:]]) for at in range(0, 400, 3)]
+    scores, _ = toxicity.score_texts(learned, pa.array([" ".join(clean), *planted]))
+    assert scores[0] < 0.7 and (scores[1:] >= 0.7).all()
+
+
+def test_rows_that_repeat_an_id_are_one(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in hashing.search(vectors, F.col("vec_id") == 0, k=5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 2.0), (0, 2, 2, 0.0)]

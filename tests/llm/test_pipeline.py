@@ -56,3 +56,22 @@ def test_near_duplicates_by_five_words_leave_one_row_of_a_group(spark):
     ids = [r["doc_id"] for r in kept.collect() if r["text"]]
     assert sorted(i or 0 for i in ids) == [0, 1, 3, 4, 5, 8]
     assert kept.where("text is null or text = ''").count() == 4
+
+
+def test_columns_of_the_operators_names_pass_through_every_stage(spark, tmp_path):
+    rows = [(1, "some words to keep here", "en", "a", 23, "t", 1, "m"), (2, None, None, None, None, None, None, None), (3, "", "en", "b", 0, "t", 2, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, toxicity string, PII long, mixing string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        got = set(map(tuple, kept.collect()))
+        assert got <= {tuple(r) for r in rows} and (len(got) == 3 or name == "mixing"), name
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
