@@ -57,6 +57,60 @@ def qc_filter(
     return rows.join(genes, "gene", "left_semi")
 
 
+def cell_totals(expr: DataFrame, mito_pattern: str = "^MT-") -> DataFrame:
+    """(cell_id, depth, genes, mito): a cell's counts, genes seen and counts of genes of the pattern."""
+    mito = F.when(F.col("gene").rlike(mito_pattern), F.col("value")).otherwise(0.0)
+    seen = (F.col("value") > 0).cast("long")
+    return expr.groupBy("cell_id").agg(F.sum("value").alias("depth"), F.sum(seen).alias("genes"), F.sum(mito).alias("mito"))
+
+
+def _inside_band(cells: DataFrame, y: str, width: float) -> Column:
+    """Is ``y`` inside the prediction band of its least-squares line on depth? One row of sums of all cells comes to the driver.
+
+    Cells on one depth, or fewer than three, have no band: all are inside.
+    """
+    d, v = F.col("depth"), F.col(y)
+    f = cells.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(d).alias("x"), F.avg(v).alias("y"), (F.var_pop(d) * F.count(F.lit(1))).alias("sxx"),
+        (F.covar_pop(d, v) * F.count(F.lit(1))).alias("sxy"), (F.var_pop(v) * F.count(F.lit(1))).alias("syy"),
+    ).first()
+    if not f.n or f.n < 3 or not f.sxx:
+        return F.lit(True)
+    slope = f.sxy / f.sxx
+    spread = math.sqrt(max(0.0, f.syy - slope * f.sxy) / (f.n - 2))
+    reach = width * spread * F.sqrt(1 + 1 / f.n + F.pow(d - f.x, 2) / f.sxx)
+    return F.abs(v - (f.y + slope * (d - f.x))) <= reach + 1e-9
+
+
+def qc_outliers(
+    expr: DataFrame,
+    min_depth: float | None = 1000.0,
+    mito_pattern: str = "^MT-",
+    max_mito_share: float = 0.1,
+    min_gene_share: float = 0.05,
+    width: float = 1.959964,
+) -> DataFrame:
+    """The study's quality control: (gene, cell_id, value) of cells and genes that pass.
+
+    Cells below ``min_depth`` go (None switches that off), then cells whose depth lies more than one and a half quartile ranges outside the
+    quartiles. Of the others, those stay whose gene count and mitochondrial count lie in the prediction band (``width`` standard errors)
+    of their least-squares lines on depth, and whose mitochondrial share is at most ``max_mito_share``; then genes seen in
+    at least ``min_gene_share`` of these cells. The quartiles and lines come from aggregates over all cells.
+    """
+    cells = cut(cell_totals(expr, mito_pattern))
+    deep = cells if min_depth is None else cells.where(F.col("depth") >= min_depth)
+    quartiles = {r.prob: r.quantile for r in exact_percentiles(deep.withColumn("_all", F.lit(1)), ["_all"], "depth", [0.25, 0.75]).collect()}
+    if not quartiles:
+        return expr.limit(0)
+    reach = 1.5 * (quartiles[0.75] - quartiles[0.25])
+    usual = cut(deep.where(F.col("depth").between(quartiles[0.25] - reach, quartiles[0.75] + reach)))
+    fits = _inside_band(usual, "genes", width) & _inside_band(usual, "mito", width) & (F.col("mito") <= max_mito_share * F.col("depth"))
+    kept = cut(usual.where(fits).select("cell_id"))
+    rows = cut(expr.join(kept, "cell_id", "left_semi"))
+    seen = rows.groupBy("gene").agg(F.sum((F.col("value") > 0).cast("long")).alias("seen"))
+    return rows.join(seen.where(F.col("seen") >= min_gene_share * kept.count()).select("gene"), "gene", "left_semi")
+
+
 def cpm_normalize(expr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Counts per million of each cell's total."""
     totals = expr.groupBy(*keys, "cell_id").agg(F.sum("value").alias("_total"))

@@ -381,6 +381,25 @@ def moments(source: str, cells: str, name: str) -> str:
   LEFT JOIN {name}_x x ON x.net = a.net AND x.g1 = a.gene AND x.g2 = b.gene)"""
 
 
+PASSED = f"""{EXPR},
+tot AS (SELECT cell_id, sum(value) AS depth, count(*) FILTER (value > 0) AS genes, sum(CASE WHEN regexp_matches(gene, 'PROMO$') THEN value ELSE 0 END) AS mito
+        FROM expr GROUP BY 1 HAVING sum(value) >= 400),
+q AS (SELECT quantile_cont(depth, 0.25) AS q1, quantile_cont(depth, 0.75) AS q3 FROM tot),
+usual AS (SELECT tot.* FROM tot, q WHERE depth BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+fit AS (SELECT count(*) AS n, avg(depth) AS x, regr_sxx(genes, depth) AS sxx, regr_slope(genes, depth) AS bg, avg(genes) AS yg,
+               sqrt(greatest(0, regr_syy(genes, depth) - regr_slope(genes, depth) * regr_sxy(genes, depth)) / (count(*) - 2)) AS sg,
+               regr_slope(mito, depth) AS bm, avg(mito) AS ym,
+               sqrt(greatest(0, regr_syy(mito, depth) - regr_slope(mito, depth) * regr_sxy(mito, depth)) / (count(*) - 2)) AS sm FROM usual),
+kept AS (SELECT cell_id FROM usual, fit
+  WHERE abs(genes - (yg + bg * (depth - x))) <= 1.959964 * sg * sqrt(1 + 1 / n + pow(depth - x, 2) / sxx) + 1e-9
+    AND abs(mito - (ym + bm * (depth - x))) <= 1.959964 * sm * sqrt(1 + 1 / n + pow(depth - x, 2) / sxx) + 1e-9
+    AND mito <= 0.25 * depth),
+rows_ AS (SELECT * FROM expr SEMI JOIN kept USING (cell_id)),
+passed AS (SELECT gene, cell_id, value FROM rows_ WHERE gene IN (
+  SELECT gene FROM rows_ GROUP BY 1 HAVING count(*) FILTER (value > 0) >= 0.2 * (SELECT count(*) FROM kept)))"""
+ORACLE["qc_outliers"] = f"WITH {PASSED} SELECT gene, cell_id, value FROM passed"
+
+
 def correlations(source: str, name: str) -> str:
     return f"""{name} AS (SELECT net, g1 AS src, g2 AS dst,
     CASE WHEN n * ss1 - s1 * s1 > 0 AND n * ss2 - s2 * s2 > 0
@@ -427,7 +446,7 @@ less_e AS (SELECT e.* FROM full_e e JOIN less_c USING (net, cell_id)),
 {moments('full_e', 'full_c', 'mx')}, {moments('less_e', 'less_c', 'my')},
 {correlations('mx', 'cx')}, {correlations('my', 'cy')}, {strongest('cx', 'sx')}, {strongest('cy', 'sy')}
 {difference('sx', 'sy')}"""
-ORACLE["null_study"] = f"""WITH {EXPR} SELECT DISTINCT 'null' AS dataset, gene, 0.0::DOUBLE AS distance FROM expr"""
+ORACLE["null_study"] = f"WITH {PASSED} SELECT DISTINCT 'null' AS dataset, gene, 0.0::DOUBLE AS distance FROM passed"
 ORACLE["differential_regulation"] = f"""WITH {VECTORS},
 d AS (SELECT 'vectors' AS dataset, CAST(cell_id AS VARCHAR) AS gene, list_distance(v[1:32], v[33:64]) AS distance FROM vectors)
 SELECT dataset, gene, {six('distance')} AS distance, {six("distance * distance / (SELECT avg(distance * distance) FROM d WHERE gene <> '0')")} AS fc FROM d"""

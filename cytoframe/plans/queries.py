@@ -20,6 +20,7 @@ from cytoframe.operators import (
     network,
     reshape,
     residuals,
+    splitting,
     transfer,
 )
 from cytoframe.operators.alignment import align_networks
@@ -592,6 +593,15 @@ def qc_filter(spark, sf_dir):
     return network.qc_filter(expr, min_depth=600, mito_pattern="PROMO$", max_mito_share=0.25, min_gene_share=0.2)
 
 
+#: Quality control on the test tables: their cells are shallower than the study's, and one part type plays the mitochondrial genes.
+QC = {"min_depth": 400, "mito_pattern": "PROMO$", "max_mito_share": 0.25, "min_gene_share": 0.2}
+
+
+@query
+def qc_outliers(spark, sf_dir):
+    return network.qc_outliers(_stored_expr(spark, sf_dir), **QC)
+
+
 @query
 def cpm_normalize(spark, sf_dir):
     return _six(network.cpm_normalize(fx.expr(spark, sf_dir)))
@@ -718,7 +728,7 @@ def depletion_study_aligned(spark, sf_dir):
     """The whole comparison of all cells against each depleted matrix, three contrasts in one plan."""
     expr = _stored_expr(spark, sf_dir)
     members = cut(_members(spark, sf_dir, expr))
-    return _six(studies.comparison_study(expr, fx.cells(spark, sf_dir), members, ["B", "CD20", "T"], size=SAMPLE_CELLS, quantile=EDGE_QUANTILE))
+    return _six(studies.comparison_study(expr, fx.cells(spark, sf_dir), members, ["B", "CD20", "T"], size=SAMPLE_CELLS, quantile=EDGE_QUANTILE, qc=QC))
 
 
 @query
@@ -726,7 +736,7 @@ def null_study(spark, sf_dir):
     """The whole comparison of the matrix against itself: no gene moves."""
     expr = _stored_expr(spark, sf_dir)
     nobody = cut(_members(spark, sf_dir, expr).limit(0))
-    found = studies.comparison_study(expr, fx.cells(spark, sf_dir), nobody, [], "null", size=SAMPLE_CELLS, quantile=EDGE_QUANTILE)
+    found = studies.comparison_study(expr, fx.cells(spark, sf_dir), nobody, [], "null", size=SAMPLE_CELLS, quantile=EDGE_QUANTILE, qc=QC)
     return _six(found.select("dataset", "gene", "distance"))
 
 
@@ -735,7 +745,7 @@ def knockout_study(spark, sf_dir):
     expr = _stored_expr(spark, sf_dir)
     return _six(
         studies.knockout_study(
-            expr, fx.cells(spark, sf_dir), [fx.MARKER], "knockout", replicates=REPLICATES, size=SAMPLE_CELLS, quantile=EDGE_QUANTILE
+            expr, fx.cells(spark, sf_dir), [fx.MARKER], "knockout", replicates=REPLICATES, size=SAMPLE_CELLS, quantile=EDGE_QUANTILE, qc=QC | {"min_depth": None}
         )
     )
 
@@ -801,6 +811,13 @@ def gsea_permutation(spark, sf_dir):
     return _six(_gsea(spark, sf_dir))
 
 
+@query
+def gsea_multilevel(spark, sf_dir):
+    """Enrichment with p values that permutations can't see; a sampler, so it has no SQL counterpart."""
+    ranks = cut(fx.gene_ranks(spark, sf_dir))
+    return _six(splitting.gsea_multilevel(ranks, fx.gene_sets(spark, sf_dir), PERMUTATIONS))
+
+
 @query
 def gsea_table(spark, sf_dir):
     ranks = cut(fx.gene_ranks(spark, sf_dir))

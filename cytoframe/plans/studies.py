@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,14 @@ def composition_study(cells: DataFrame, keys: Sequence[str] = ("contrast",), mod
     return composition.moderated_two_group_test(props, keys) if moderated else composition.two_group_test(props, keys)
 
 
+def checked(expr: DataFrame, cells: DataFrame, qc: dict | None) -> tuple[DataFrame, DataFrame]:
+    """Entries and cells that pass ``network.qc_outliers`` with these options; None leaves both as they are."""
+    if qc is None:
+        return expr, cells
+    passed = cut(network.qc_outliers(expr, **qc))
+    return passed, cells.join(passed.select("cell_id").distinct(), "cell_id", "left_semi")
+
+
 def denoised_network(
     expr: DataFrame, cells: DataFrame, replicates: int = 10, size: int = 500, quantile: float = 0.95, seed: str = "1", rank: int = 3
 ) -> DataFrame:
@@ -75,11 +84,14 @@ def knockout_study(
     size: int = 500,
     quantile: float = 0.95,
     dims: int = 2,
+    qc: dict | None = MappingProxyType({"min_depth": None}),
 ) -> DataFrame:
     """Wild type against the same network with the genes' outgoing edges removed.
 
+    Cells and genes are those that pass quality control with the options ``qc`` (without a depth floor, as published; None for all).
     Trimming rarely detected genes is off unless ``min_cells`` is given.
     """
+    expr, cells = checked(expr, cells, qc)
     trimmed = expr if min_cells is None else keep_genes(expr, genes_with_min_cells(expr, min_cells))
     wild = cut(denoised_network(trimmed, cells, replicates, size, quantile))
     changed = network.virtual_knockout(wild, genes)
@@ -113,14 +125,16 @@ def comparison_study(
     size: int = 500,
     quantile: float = 0.95,
     dims: int = 2,
+    qc: dict | None = MappingProxyType({}),
 ) -> DataFrame:
     """All cells against each depleted matrix, from subsampled networks to differential regulation.
 
     (dataset, gene, distance, fc, z, p_value, p_adj, log2fc, residual); a dataset is a contrast, named by the cohort that is taken out;
     ``null`` names one that sets the whole matrix against itself. Every matrix is subsampled, its networks are inferred, cut to
     the strongest edges and denoised, in tables keyed by matrix, and all contrasts are aligned together. Genes without
-    an edge take part. Cells without any entry are drawn like others.
+    an edge take part. Cells and genes are those of the whole matrix that pass quality control with the options ``qc`` (None for all).
     """
+    expr, cells = checked(expr, cells, qc)
     whole = "*"
     left = cells.select("cell_id")
     tables = {whole: left}
