@@ -7,6 +7,7 @@ score after the i-th hit at rank r is cum|stat| / total|stat| - (r - i) / (N - k
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -179,9 +180,12 @@ def conditional_enrichment(
     permutations: int = 200,
     seed: str = "55",
     max_size: int = 500,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Is set B still enriched inside set A, or outside it? One row per overlapping ordered pair.
 
+    ``wanted`` (dataset, set_a, set_b) asks for these pairs alone, and draws random sets for their first sets only.
+
     (dataset, set_a, set_b, shared, es_inside, p_inside, es_outside, p_outside). Inside: the
     genes of A are the universe and the shared genes the hits. Outside: all other genes
     are the universe and the rest of B the hits. A side with no hit, or with nothing but
@@ -190,14 +194,18 @@ def conditional_enrichment(
     among A's genes inside. Null sets come from the same hashed order, restricted to the
     universe, and are shared by all B of one size.
     """
-    ordered = ranked(ranks)
+    ordered = ranks if "rank" in ranks.columns else ranked(ranks)
     hits = cut(set_hits(ordered, gene_sets, 1, max_size).select("dataset", "set_name", "gene", "stat", "rank", "universe", "size"))
     a = hits.select(
         "dataset", F.col("set_name").alias("set_a"), "gene", F.col("rank"), F.col("size").alias("size_a")
     ).withColumn("pos", F.row_number().over(Window.partitionBy("dataset", "set_a").orderBy("rank")))
     b = hits.select("dataset", F.col("set_name").alias("set_b"), "gene", "stat", "rank", "universe", F.col("size").alias("size_b"))
     pair = ["dataset", "set_a", "set_b"]
+    if wanted is not None:
+        a = a.join(wanted.select("dataset", "set_a").distinct(), ["dataset", "set_a"], "left_semi")
     meet = a.join(b.drop("rank", "universe"), ["dataset", "gene"]).where("set_a <> set_b")
+    if wanted is not None:
+        meet = meet.join(wanted, pair, "left_semi")
     pairs = meet.groupBy(*pair, "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
 
     inside = meet.join(pairs.select(*pair, "shared"), pair).select(
@@ -320,6 +328,60 @@ def collapse_sets(table: DataFrame, pairs: DataFrame, max_p: float = 0.05) -> Da
     return placed.join(parents, key, "left").select(*key, F.col("parent").isNull().alias("is_main"), "parent")
 
 
+def collapse_by_rounds(
+    ranks: DataFrame, gene_sets: DataFrame, table: DataFrame, permutations: int = 200, max_p: float = 0.05, max_size: int = 500
+) -> DataFrame:
+    """``collapse_sets`` with its tests made as the walk needs them: (dataset, set_name, is_main, parent, tested).
+
+    Each round the sets that no undecided earlier set overlaps walk together, and only they are tested, against
+    overlapping sets that no earlier walker has absorbed. So the work follows the sets that walk, not all overlapping pairs;
+    ``tested`` counts the tests a set made as a walker. Rounds are as many as the longest chain of overlapping undecided sets; each is stored.
+    """
+    key = ["dataset", "set_name"]
+    place = Window.partitionBy("dataset").orderBy(*table_order())
+    placed = cut(table.select(*key, "p_value", F.row_number().over(place).alias("place")))
+    ordered = ranked(ranks)
+    hits = set_hits(ordered, gene_sets, 1, max_size).select("dataset", "set_name", "gene")
+    one = hits.select("dataset", "gene", F.col("set_name").alias("set_a"))
+    two = hits.select("dataset", "gene", F.col("set_name").alias("set_b"))
+    overlap = one.join(two, ["dataset", "gene"]).where("set_a <> set_b").select("dataset", "set_a", "set_b").distinct()
+    rank_a = placed.select("dataset", F.col("set_name").alias("set_a"), F.col("place").alias("place_a"))
+    rank_b = placed.select("dataset", F.col("set_name").alias("set_b"), F.col("place").alias("place_b"))
+    overlap = cut(overlap.join(rank_a, ["dataset", "set_a"]).join(rank_b, ["dataset", "set_b"]))
+
+    first = rank_a.where("place_a = 1")
+    near = overlap.where("place_a = 1").select("dataset", F.col("set_b").alias("set_name"))
+    weak = placed.where((F.coalesce("p_value", F.lit(1.0)) > max_p) & (F.col("place") > 1)).join(near, key, "left_anti")
+    edge = ["dataset", "set_a", "place_a", "set_b"]
+    found = cut(weak.select("dataset", F.col("set_name").alias("set_b")).join(first, "dataset").select(*edge))
+    tried = []
+    undecided = cut(placed.select("dataset", F.col("set_name").alias("set_b"), "place").join(found, ["dataset", "set_b"], "left_anti"))
+    while not undecided.isEmpty():
+        still = undecided.select("dataset", F.col("set_b").alias("set_a"))
+        blocked = overlap.where("place_a < place_b").join(still, ["dataset", "set_a"], "left_semi").select("dataset", "set_b").distinct()
+        walking = cut(undecided.join(blocked, ["dataset", "set_b"], "left_anti").select("dataset", F.col("set_b").alias("set_a")))
+        taken = found.groupBy("dataset", "set_b").agg(F.min("place_a").alias("_by"))
+        tests = overlap.join(walking, ["dataset", "set_a"], "left_semi").join(taken, ["dataset", "set_b"], "left")
+        tests = cut(tests.where(F.col("_by").isNull() | (F.col("_by") > F.col("place_a"))).select("dataset", "set_a", "set_b"))
+        tried.append(tests)
+        result = conditional_enrichment(ordered, gene_sets, permutations, max_size=max_size, wanted=tests)
+        gone = F.least(F.coalesce("p_inside", F.lit(1.0)), F.coalesce("p_outside", F.lit(1.0))) > max_p
+        found = cut(found.unionByName(result.where(gone).select("dataset", "set_a", "set_b").join(rank_a, ["dataset", "set_a"]).select(*edge)))
+        absorbed = found.join(rank_b, ["dataset", "set_b"]).where("place_a < place_b").select("dataset", "set_b").distinct()
+        left = undecided.join(walking.select("dataset", F.col("set_a").alias("set_b")), ["dataset", "set_b"], "left_anti")
+        undecided = cut(left.join(absorbed, ["dataset", "set_b"], "left_anti"))
+    parents = found.groupBy("dataset", F.col("set_b").alias("set_name")).agg(F.min_by("set_a", "place_a").alias("parent"))
+    made = functools.reduce(DataFrame.unionByName, tried).groupBy("dataset", F.col("set_a").alias("set_name")).agg(F.count(F.lit(1)).alias("tested"))
+    out = placed.join(parents, key, "left").join(made, key, "left")
+    return out.select(*key, F.col("parent").isNull().alias("is_main"), "parent", F.coalesce("tested", F.lit(0).cast("long")).alias("tested"))
+
+
+def main_sets(table: DataFrame, collapsed: DataFrame) -> DataFrame:
+    """Rows of an enrichment table whose sets no other set absorbed: the non-redundant table."""
+    mains = collapsed.where("is_main").select("dataset", "set_name")
+    return table.join(mains, ["dataset", "set_name"], "left_semi")
+
+
 def over_representation(selected: DataFrame, gene_sets: DataFrame, universe: DataFrame) -> DataFrame:
     """Overlap of a gene list with each set of a collection, tested against chance.
 

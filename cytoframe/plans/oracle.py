@@ -537,6 +537,36 @@ pout AS (SELECT dataset, set_a, set_b, es, CASE WHEN es IS NOT NULL THEN (1 + co
 SELECT p.dataset, p.set_a, p.set_b, p.shared, {six('pin.es')} AS es_inside, {six('pin.p')} AS p_inside,
   {six('pout.es')} AS es_outside, {six('pout.p')} AS p_outside
 FROM pairs p LEFT JOIN pin USING (dataset, set_a, set_b) LEFT JOIN pout USING (dataset, set_a, set_b)"""
+COLLAPSE = f"""cond AS ({ORACLE["conditional_enrichment"]}),
+table_ AS (WITH {GSEA} SELECT dataset, collection, set_name, size, es, nes, p_value, p_adj,
+  row_number() OVER (PARTITION BY dataset ORDER BY by_p ASC NULLS LAST, by_nes DESC NULLS LAST, collection, set_name) AS place,
+  rank() OVER (PARTITION BY dataset ORDER BY by_p NULLS FIRST) AS tie FROM placed),
+weak AS (SELECT w.dataset, f.set_name AS set_a, w.set_name FROM table_ w JOIN table_ f ON f.dataset = w.dataset AND f.place = 1
+  WHERE w.place > 1 AND coalesce(w.p_value, 1) > 0.2
+    AND NOT EXISTS (SELECT 1 FROM cond c WHERE c.dataset = w.dataset AND c.set_a = f.set_name AND c.set_b = w.set_name)),
+absorbs AS (SELECT dataset, set_a, set_b AS set_name FROM cond WHERE least(coalesce(p_inside, 1), coalesce(p_outside, 1)) > 0.2
+  UNION SELECT * FROM weak),
+edges AS (SELECT e.dataset, e.set_a, a.place AS place_a, e.set_name, b.place FROM absorbs e
+  JOIN table_ a ON a.dataset = e.dataset AND a.set_name = e.set_a JOIN table_ b ON b.dataset = e.dataset AND b.set_name = e.set_name),
+facing AS (SELECT t.dataset, t.place, t.set_name, coalesce(list(e.place_a) FILTER (e.place_a < t.place), []) AS absorbers
+  FROM table_ t LEFT JOIN edges e ON e.dataset = t.dataset AND e.set_name = t.set_name GROUP BY ALL),
+walk AS (
+  SELECT dataset, CAST(1 AS BIGINT) AS place, [CAST(1 AS BIGINT)] AS walkers FROM facing WHERE place = 1
+  UNION ALL
+  SELECT f.dataset, f.place, CASE WHEN list_has_any(f.absorbers, w.walkers) THEN w.walkers ELSE list_append(w.walkers, f.place) END
+  FROM walk w JOIN facing f ON f.dataset = w.dataset AND f.place = w.place + 1),
+walkers AS (SELECT dataset, unnest(arg_max(walkers, place)) AS place_a FROM walk GROUP BY dataset),
+parents AS (SELECT dataset, set_name, arg_min(set_a, place_a) AS parent FROM edges JOIN walkers USING (dataset, place_a) GROUP BY 1, 2),
+collapsed AS (SELECT t.dataset, t.set_name, parent IS NULL AS is_main, parent FROM table_ t LEFT JOIN parents USING (dataset, set_name))"""
+ORACLE["collapse_sets"] = f"WITH RECURSIVE {COLLAPSE} SELECT * FROM collapsed"
+ORACLE["collapse_by_rounds"] = ORACLE["collapse_sets"]
+ORACLE["nonredundant_table"] = f"""WITH RECURSIVE {COLLAPSE}, edge_text AS ({ORACLE["leading_edge"]}),
+mains AS (SELECT t.* EXCLUDE (place, tie), by_place, by_tie FROM (
+  SELECT t.*, row_number() OVER (PARTITION BY t.dataset ORDER BY t.place) AS by_place, rank() OVER (PARTITION BY t.dataset ORDER BY t.tie) AS by_tie
+  FROM table_ t JOIN collapsed c ON c.dataset = t.dataset AND c.set_name = t.set_name WHERE is_main) t)
+SELECT dataset, collection, set_name, size, es, nes, p_value, p_adj, leading_edge_text, CAST(by_place AS INTEGER) AS place,
+  by_tie <= 9 AS tied_top, by_place <= 9 AS first_top
+FROM mains LEFT JOIN edge_text USING (dataset, collection, set_name)"""
 ORA = f"""{RANKS},
 chosen AS (SELECT dataset, gene FROM (SELECT *, avg(stat) OVER (PARTITION BY dataset) AS mean FROM ranks) WHERE stat > mean),
 drawn AS (SELECT dataset, count(*) AS n FROM chosen GROUP BY 1),

@@ -854,6 +854,21 @@ def collapse_sets(spark, sf_dir):
     return enrichment.collapse_sets(table, cut(pairs), max_p=0.2)
 
 
+@query
+def collapse_by_rounds(spark, sf_dir):
+    """Main sets and parents, with tests made only where the walk needs them."""
+    ranks, sets = cut(fx.gene_ranks(spark, sf_dir)), fx.gene_sets(spark, sf_dir)
+    table = enrichment.gsea(ranks, sets, PERMUTATIONS)
+    return enrichment.collapse_by_rounds(ranks, sets, table, CONDITIONAL_PERMUTATIONS, max_p=0.2).drop("tested")
+
+
+@query
+def nonredundant_table(spark, sf_dir):
+    """The enrichment study from ranks to the sets shown: absorbed sets left out, top lists marked."""
+    ranks, sets = fx.gene_ranks(spark, sf_dir), fx.gene_sets(spark, sf_dir)
+    return _six(studies.enrichment_study(ranks, sets, PERMUTATIONS, CONDITIONAL_PERMUTATIONS, max_p=0.2))
+
+
 def _over_represented(spark, sf_dir):
     ranks = cut(fx.gene_ranks(spark, sf_dir))
     means = ranks.groupBy("dataset").agg(F.avg("stat").alias("_mean"))

@@ -6,11 +6,11 @@ import functools
 from collections.abc import Sequence
 from types import MappingProxyType
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.lineage import cut
-from cytoframe.operators import composition, labels, network, residuals, transfer
+from cytoframe.operators import composition, enrichment, labels, network, residuals, transfer
 from cytoframe.operators.alignment import align_networks
 from cytoframe.operators.cohorts import genes_with_min_cells, keep_genes
 from cytoframe.operators.neighbors import knn, l2_normalised
@@ -163,3 +163,28 @@ def comparison_study(
     residual = positions.select("dataset", "gene", "residual")
     found = network.shape_results(network.differential_regulation(network.position_distance(positions)))
     return found.join(residual, ["dataset", "gene"])
+
+
+def enrichment_study(
+    ranks: DataFrame,
+    gene_sets: DataFrame,
+    permutations: int = 1000,
+    conditional_permutations: int = 200,
+    max_p: float = 0.05,
+    top: int = 9,
+) -> DataFrame:
+    """From ranked genes to the sets a figure shows: the non-redundant table with places.
+
+    (dataset, collection, set_name, size, es, nes, p_value, p_adj, leading_edge_text, place, tied_top, first_top): sets that others
+    absorb are left out; ``tied_top`` marks the ``top`` best by adjusted p with ties, ``first_top`` exactly the first ``top``.
+    """
+    ranks = cut(ranks)
+    table = cut(enrichment.gsea(ranks, gene_sets, permutations))
+    pairs = cut(enrichment.conditional_enrichment(ranks, gene_sets, conditional_permutations))
+    mains = enrichment.main_sets(table, enrichment.collapse_sets(table, pairs, max_p))
+    edges = enrichment.leading_edges(enrichment.ranked(ranks), gene_sets).drop("leading_edge")
+    by_dataset = Window.partitionBy("dataset")
+    place = F.row_number().over(by_dataset.orderBy(*enrichment.table_order()))
+    tied = F.rank().over(by_dataset.orderBy(F.asc(F.round("p_adj", 12))))
+    listed = mains.join(edges, ["dataset", *enrichment.SET], "left").withColumns({"place": place, "_tied": tied})
+    return listed.withColumns({"tied_top": F.col("_tied") <= top, "first_top": F.col("place") <= top}).drop("_tied")

@@ -87,6 +87,16 @@ def test_collapse_equals_a_sequential_walk(spark):
     assert all(r.is_main == (r.parent is None) for r in got.values())
 
 
+def test_rounds_of_tests_equal_all_pairs_and_make_fewer(data):
+    _, _, ranks, table = data
+    result = enrichment.gsea(ranks, table, 30)
+    pairs = enrichment.conditional_enrichment(ranks, table, 20)
+    whole = {(r.set_name, r.is_main, r.parent) for r in enrichment.collapse_sets(result, pairs, 0.1).collect()}
+    rounds = enrichment.collapse_by_rounds(ranks, table, result, 20, 0.1).collect()
+    assert {(r.set_name, r.is_main, r.parent) for r in rounds} == whole
+    assert 0 < sum(r.tested for r in rounds) < pairs.count()
+
+
 def test_leading_edge_stops_at_the_peak(data):
     ordered, sets, ranks, table = data
     row = enrichment.leading_edges(enrichment.ranked(ranks), table).where("set_name = 'top'").first()
