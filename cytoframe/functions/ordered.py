@@ -2,7 +2,7 @@
 
 A window over a whole group runs in one task, and Spark's exact percentile keeps every
 distinct value of a group in one aggregation buffer. The helpers here cut each group into
-value ranges first, so a hot group is sorted by many tasks and only one row per range is
+ranges of a bounded number of rows first, so a hot group is sorted by many tasks and only one row per range is
 ever brought together.
 """
 
@@ -16,78 +16,48 @@ from pyspark.sql import functions as F
 from cytoframe.functions.columns import join_null_safe, nan_to_null
 from cytoframe.functions.lineage import cut
 
+#: Rows that one task puts in order, about.
+RANGE_ROWS = 500_000
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    accuracy: int = 10_000,
-) -> DataFrame:
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Add ``_slot``: ranges of about ``RANGE_ROWS`` rows in the order of keys, then ``order``, then the row as stored.
+
+    Boundaries are quantiles that Spark samples from the whole composite order, so an outlier makes no empty ranges and
+    equal values are split by the columns after them, in the end by the row. ``df`` must be stored; the result is.
+    """
+    parts = df.count() // RANGE_ROWS + 1
+    placed = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *[F.col(k) for k in keys], *order, F.col("_row"))
+    return cut(placed.withColumn("_slot", F.spark_partition_id()).drop("_row"))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated percentiles: one row (keys, prob, quantile, n) per prob.
 
-    A bounded-size sketch brackets each target rank; the rows inside the bracket are then
-    counted per distinct value and the exact rank is read off. NULL and NaN values don't count. The sketch's rank error is
-    at most n / accuracy, the bracket is four times that wide, so the target is always
-    inside. Groups of at most ``accuracy`` rows take the bracket (-inf, inf).
+    Values are counted, the counts summed along ranges of values, and the two rows around each wanted position read off. NULL and
+    NaN values don't count.
     """
     keys = list(keys)
-    slack = 4.0 / accuracy
     rows = df.select(*keys, nan_to_null(F.col(value).cast("double")).alias("_value")).where(F.col("_value").isNotNull())
-    lows = [max(p - slack, 0.0) for p in probs]
-    highs = [min(p + slack, 1.0) for p in probs]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_value", lows, accuracy).alias("_lows"),
-        F.percentile_approx("_value", highs, accuracy).alias("_highs"),
-    )
-    small = F.col("n") <= accuracy
-    marks = F.arrays_zip(
-        F.array(*[F.lit(float(p)) for p in probs]).alias("prob"),
-        F.col("_lows").alias("low"),
-        F.col("_highs").alias("high"),
-    )
-    brackets = sketch.select(*keys, "n", F.explode(marks).alias("_mark")).select(
-        *keys,
-        "n",
-        F.col("_mark.prob").alias("prob"),
-        F.when(small, F.lit(float("-inf"))).otherwise(F.col("_mark.low")).alias("_low"),
-        F.when(small, F.lit(float("inf"))).otherwise(F.col("_mark.high")).alias("_high"),
-    )
-    counted = (
-        join_null_safe(rows, brackets, keys)
-        .where(F.col("_value") <= F.col("_high"))
-        .groupBy(*keys, "prob", "n", F.when(F.col("_value") >= F.col("_low"), F.col("_value")).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    upto = (
-        Window.partitionBy(*keys, "prob")
-        .orderBy(F.col("_value").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    counted = cut(rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_rows")))
+    upto = with_running(counted, keys, "_value", sums={"_upto": F.col("_rows")}, stored=True)
+    sizes = counted.groupBy(*keys).agg(F.sum("_rows").alias("n"))
+    wanted = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     position = (F.col("n") - 1) * F.col("prob")
     below, above = F.floor(position), F.ceil(position)
+    holds = lambda at: (F.col("_upto") > at) & (F.col("_upto") - F.col("_rows") <= at)
     return (
-        counted.withColumn("_upto", F.sum("_rows").over(upto))
+        join_null_safe(upto, wanted, keys)
+        .where(holds(below) | holds(above))
         .groupBy(*keys, "prob", "n")
-        .agg(
-            F.min(F.when(F.col("_upto") > below, F.col("_value"))).alias("_at_low"),
-            F.min(F.when(F.col("_upto") > above, F.col("_value"))).alias("_at_high"),
-        )
-        .select(
-            *keys,
-            "prob",
-            (F.col("_at_low") + (F.col("_at_high") - F.col("_at_low")) * (position - below)).alias("quantile"),
-            "n",
-        )
+        .agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+        .select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * (position - below)).alias("quantile"), "n")
     )
 
 
-def percentile_columns(
-    df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], accuracy: int = 10_000
-) -> DataFrame:
+def percentile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
     """``exact_percentiles`` with one column per requested probability."""
-    long = exact_percentiles(df, keys, value, list(dict.fromkeys(named.values())), accuracy)
+    long = exact_percentiles(df, keys, value, list(dict.fromkeys(named.values())))
     return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in named.items()]
     )
@@ -101,29 +71,19 @@ def with_running(
     sums: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None,
     descending: bool = False,
-    spread: Column | None = None,
-    bins: int = 256,
     stored: bool = False,
 ) -> DataFrame:
     """Add running sums / minima in the order of (by, ties) within each key.
 
-    ``by`` (never NULL) is cut into equal-width ranges per key. Ranges are totalled first;
-    their running total, at most ``bins`` rows per key, is the offset each range starts
-    from, so no task sorts more than one range. ``spread`` is an optional monotone
-    transform of ``by`` used only to cut the ranges evenly. The input is read three times,
-    so it is written out first unless it is ``stored`` already.
+    ``by`` is never NULL. Ranges of rows in this order (``in_ranges``) are totalled first; their running total, one row per range, is the
+    offset each range starts from, so no task sorts more than one range. The input is read twice and more, so it is
+    written out first unless it is ``stored`` already.
     """
     keys = list(keys)
     sums, mins = sums or {}, mins or {}
     df = df if stored else cut(df)
-    bin_on = F.col(by).cast("double") if spread is None else spread
-    rows = df.withColumns({**{f"_s_{k}": c for k, c in sums.items()}, **{f"_m_{k}": c for k, c in mins.items()}})
-    rows = rows.withColumn("_on", bin_on)
-    bounds = rows.groupBy(*keys).agg(F.min("_on").alias("_lo"), F.max("_on").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_on") - F.col("_lo")) / width * bins))).otherwise(0)
-    slot = (F.lit(bins - 1) - slot if descending else slot).cast("int")
-    rows = join_null_safe(rows, bounds, keys).withColumn("_slot", slot).drop("_lo", "_hi", "_on")
+    order = [F.col(by).desc() if descending else F.col(by).asc(), *[F.col(t).asc() for t in ties]]
+    rows = in_ranges(df.withColumns({**{f"_s_{k}": c for k, c in sums.items()}, **{f"_m_{k}": c for k, c in mins.items()}}), keys, order)
     totals = rows.groupBy(*keys, "_slot").agg(
         *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums], *[F.min(f"_m_{k}").alias(f"_t_{k}") for k in mins]
     )
@@ -134,7 +94,6 @@ def with_running(
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
         *[F.min(f"_t_{k}").over(before).alias(f"_o_{k}") for k in mins],
     )
-    order = [F.col(by).desc() if descending else F.col(by).asc(), *[F.col(t).asc() for t in ties]]
     inside = (
         Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -146,22 +105,17 @@ def with_running(
     )
 
 
-def bh_adjust(
-    df: DataFrame, keys: Sequence[str], p: str = "p_value", out: str = "p_adj", bins: int = 256
-) -> DataFrame:
+def bh_adjust(df: DataFrame, keys: Sequence[str], p: str = "p_value", out: str = "p_adj") -> DataFrame:
     """Benjamini-Hochberg adjustment within ``keys``; a NULL or NaN p comes out NULL and is not counted.
 
-    Tied p values share one adjusted value, so the work runs on distinct p values. They are
-    cut into ranges of p^(1/4), which spreads small values: a range starts from the rank
-    before it and ends at the least value after it. The input is stored first, so that
-    joining the result back on p meets the very same doubles.
+    Tied p values share one adjusted value: they take the rank of the last of them. Rows lie in ranges of p (``in_ranges``): a
+    range starts from the rank before it and ends at the least value after it, and a p that many rows share lies in
+    several. Values go back to the rows by range and p.
     """
     keys = list(keys)
     df = cut(df.withColumn(p, nan_to_null(p)))
-    slot = F.least(F.lit(bins - 1), F.floor(F.sqrt(F.sqrt(F.greatest(F.col(p), F.lit(0.0)))) * bins)).cast("int")
-    distinct = cut(
-        df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c")).withColumn("_slot", slot)
-    )
+    rows = in_ranges(df.where(F.col(p).isNotNull()), keys, [F.col(p)])
+    distinct = cut(rows.groupBy(*keys, "_slot", p).agg(F.count(F.lit(1)).alias("_c")))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     after = whole.orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)
@@ -171,13 +125,14 @@ def bh_adjust(
     offsets = distinct.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_n")).select(
         *keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_tests")
     )
-    raw = join_null_safe(distinct, offsets, [*keys, "_slot"]).withColumn(
-        "_raw", F.col(p) * F.col("_tests") / (F.col("_before") + F.sum("_c").over(upto))
-    )
+    placed = join_null_safe(distinct, offsets, [*keys, "_slot"]).withColumn("_rank", F.col("_before") + F.sum("_c").over(upto))
+    last = F.max("_rank").over(Window.partitionBy(*keys, p))
+    raw = cut(placed.withColumn("_raw", F.col(p) * F.col("_tests") / last).drop("_rank", "_before"))
     later = raw.groupBy(*keys, "_slot").agg(F.min("_raw").alias("_least")).select(
         *keys, "_slot", F.min("_least").over(after).alias("_after")
     )
     adjusted = join_null_safe(raw, later, [*keys, "_slot"]).select(
-        *keys, p, F.least(F.lit(1.0), F.col("_after"), F.min("_raw").over(onwards)).alias(out)
+        *keys, "_slot", p, F.least(F.lit(1.0), F.col("_after"), F.min("_raw").over(onwards)).alias(out)
     )
-    return join_null_safe(df, adjusted, [*keys, p], "left")
+    found = join_null_safe(rows, adjusted, [*keys, "_slot", p]).select(*df.columns, out)
+    return found.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))

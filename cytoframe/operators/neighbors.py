@@ -23,6 +23,7 @@ from cytoframe.functions.lineage import cut
 
 BLOCK_ROWS = 4096
 QUERIES_PER_TASK = 4096
+PIECE_ROWS = 256
 
 
 def l2_normalised(df: DataFrame, vector: str = "v") -> DataFrame:
@@ -124,8 +125,14 @@ def knn(
         return query.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
     centers = np.unique(np.array([row.v for row in chosen], dtype=float), axis=0)
 
-    def assign(batches):
+    def pieces(batches):
+        """``PIECE_ROWS`` rows at a time: distances to all pivots are held for so many."""
         for batch in batches:
+            for start in range(0, len(batch), PIECE_ROWS):
+                yield batch.iloc[start : start + PIECE_ROWS]
+
+    def assign(batches):
+        for batch in pieces(batches):
             apart = _distances(_stack(batch["v"]), centers)
             cell = apart.argmin(1)
             yield batch.assign(cell=cell.astype("int32"), away=apart[np.arange(len(batch)), cell])
@@ -159,11 +166,11 @@ def knn(
         )
 
     def near_round(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield visit(batch, first_cells(_distances(_stack(batch["v"]), centers)))
 
     def far_round(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             apart = _distances(_stack(batch["v"]), centers)
             own = apart.argmin(1)
             ring = np.maximum(apart - outer[None, :], inner[None, :] - apart)

@@ -25,6 +25,7 @@ from cytoframe.functions.tails import chisq1_upper_p
 
 GENE_BLOCK = 256
 CELL_BLOCK = 8192
+FINER = 8
 #: Change of a decomposition's fit, as a share of the tensor's norm, that ends its rounds, and rounds after which it is given up.
 FIT_SETTLED = 1e-5
 FIT_ROUNDS = 1000
@@ -145,11 +146,10 @@ def cell_subsamples(cells: DataFrame, replicates: int = 10, size: int = 500, see
 def _grid(expr: DataFrame) -> tuple[int, int]:
     """Numbers of gene and cell blocks. Two estimated counts are enough, they only size the tiles.
 
-    Cells of a small table are cut finer, so that every core gets a tile.
+    Cells of a table below ``FINER`` blocks are cut finer, into at most so many. The data alone decide, so sums come out alike on any cluster.
     """
     genes, cells = expr.agg(F.approx_count_distinct("gene"), F.approx_count_distinct("cell_id")).first()
-    cores = expr.sparkSession.sparkContext.defaultParallelism
-    finer = min(cores, math.ceil(16 * cells / CELL_BLOCK))
+    finer = min(FINER, math.ceil(FINER * cells / CELL_BLOCK))
     return max(1, math.ceil(genes / GENE_BLOCK)), max(1, finer, math.ceil(cells / CELL_BLOCK))
 
 

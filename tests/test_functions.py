@@ -4,18 +4,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cytoframe.functions import ordered as ranges
 from cytoframe.functions import tails
 from cytoframe.functions.ordered import bh_adjust, exact_percentiles, with_running
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_percentiles_with_a_hot_group_and_ties(spark, accuracy):
+@pytest.mark.parametrize("rows_in_range", [300, 500_000])
+def test_percentiles_with_a_hot_group_and_ties(spark, monkeypatch, rows_in_range):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", rows_in_range)
     rng = np.random.default_rng(3)
     rows = [("hot", float(v)) for v in rng.normal(size=3000)] + [("hot", 0.5)] * 1500
     rows += [(None, float(v)) for v in rng.integers(0, 4, 101)] + [("one", 7.0), ("two", 1.0), ("two", 2.0), ("gap", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.k, r.prob): r.quantile for r in exact_percentiles(df, ["k"], "v", probs, accuracy).collect()}
+    got = {(r.k, r.prob): r.quantile for r in exact_percentiles(df, ["k"], "v", probs).collect()}
     for key in ("hot", None, "one", "two"):
         values = [v for k, v in rows if k == key and v is not None]
         for p in probs:
@@ -24,11 +26,12 @@ def test_percentiles_with_a_hot_group_and_ties(spark, accuracy):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sums_over_ranges(spark, descending):
+def test_running_sums_over_ranges(spark, monkeypatch, descending):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 40)
     rng = np.random.default_rng(4)
     rows = [(("a" if i % 3 else "b"), i, float(rng.integers(0, 50)), float(i)) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, id int, v double, w double")
-    got = with_running(df, ["k"], "v", ["id"], {"rank": F.lit(1), "cum": F.col("w")}, {"low": F.col("w")}, descending, bins=8)
+    got = with_running(df, ["k"], "v", ["id"], {"rank": F.lit(1), "cum": F.col("w")}, {"low": F.col("w")}, descending)
     found = {r.id: (r["rank"], r.cum, r.low) for r in got.collect()}
     for key in "ab":
         ordered = sorted((r for r in rows if r[0] == key), key=lambda r: ((-r[2] if descending else r[2]), r[1]))
@@ -38,12 +41,13 @@ def test_running_sums_over_ranges(spark, descending):
             assert found[row[1]] == (place, total, low)
 
 
-def test_bh_matches_a_direct_computation(spark):
+def test_bh_matches_a_direct_computation(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 7)
     rng = np.random.default_rng(5)
     rows = [("x", i, float(p)) for i, p in enumerate(np.concatenate([rng.random(200), rng.random(50) * 1e-4, [0.5] * 20]))]
     rows += [("x", 999, None), (None, 1000, 0.04)]
     df = spark.createDataFrame(rows, "k string, id int, p_value double")
-    got = {r.id: r.p_adj for r in bh_adjust(df, ["k"], bins=16).collect()}
+    got = {r.id: r.p_adj for r in bh_adjust(df, ["k"]).collect()}
     tested = sorted((p, i) for k, i, p in rows if k == "x" and p is not None)
     running, expect = 1.0, {}
     for place in range(len(tested), 0, -1):
@@ -66,3 +70,14 @@ def test_tails_against_printed_tables():
     assert tails.trigamma(tails.trigamma_inverse([0.3, 2.0])) == pytest.approx([0.3, 2.0], abs=1e-9)
     assert tails.hypergeometric_upper(0, 5, 4, 20) == pytest.approx(1.0)
     assert tails.hypergeometric_upper(2, 5, 4, 20) == pytest.approx((math.comb(5, 2) * math.comb(15, 2) + math.comb(5, 3) * 15 + 5) / math.comb(20, 4))
+
+
+def test_no_range_is_overfull(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 20_000)
+    many = spark.range(1_000_000).withColumns({"k": F.lit("all"), "equal": F.lit(0.5), "far": F.when(F.col("id") == 7, 1e12).otherwise(F.rand(3))})
+    stored = ranges.cut(many)
+    for column in ("equal", "far"):
+        fullest = ranges.in_ranges(stored, ["k"], [F.col(column)]).groupBy("_slot").count().agg(F.max("count")).first()[0]
+        assert fullest < 3 * 20_000
+    adjusted = bh_adjust(stored.select("id", "k", F.col("equal").alias("p_value")), ["k"])
+    assert adjusted.agg(F.min("p_adj"), F.max("p_adj"), F.count("p_adj")).first() == (0.5, 0.5, 1_000_000)
