@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,10 +198,13 @@ def _ordered_sets(sets: DataFrame, parts: int, percent: int) -> DataFrame:
 
     Only sets that share as many as a link asks for stay. A shingle's level is the logarithm of how many of the sets hold it, ``HOT`` if ``HOT``
     sets or more of one flush do; such a shingle is announced once, so that what one part gets of it is bounded by
-    the flushes. A level is the shingle's own, the same in every set. Members are packed in 48 bits, levels a byte each.
+    the flushes. A level is the shingle's own, the same in every set. Levels return to the flush that asked, one row from each
+    part. Members are packed in 48 bits, levels a byte each.
     """
     bits = parts.bit_length() - 1
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    number, blob = T.StructField("flush", T.LongType()), T.StructField("blob", T.BinaryType())
+    sent = T.StructType([T.StructField("part", T.IntegerType()), number, blob])
+    ranked = T.StructType([number, blob])
 
     def lists(owner: np.ndarray, n: np.ndarray, token: np.ndarray) -> bytes:
         """Rows sorted by owner as heads (owner, its size, how many) and tokens."""
@@ -217,7 +221,7 @@ def _ordered_sets(sets: DataFrame, parts: int, percent: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, bytes]] = {}
-        size = 0
+        size, name_of_flush = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             packed = [b for _, b in held.values()]
@@ -227,18 +231,19 @@ def _ordered_sets(sets: DataFrame, parts: int, percent: int) -> DataFrame:
             _, which, times = np.unique(token, return_inverse=True, return_counts=True)
             hot = times[which] >= HOT
             announced = np.unique(token[hot])
-            rows = []
-            home = np.where(hot, mix(owner.view(np.uint64)) % np.uint64(parts), token >> np.uint64(TOKEN_BITS - bits)).astype(np.int64)
+            home = np.where(hot, name_of_flush % parts, (token >> np.uint64(TOKEN_BITS - bits)).astype(np.int64))
             order = np.lexsort((token, owner, hot, home))
             owner, n, token, hot, home = (x[order] for x in (owner, n, token, hot, home))
             edges = np.searchsorted(home, np.arange(parts + 1))
             marks = np.searchsorted(announced >> np.uint64(TOKEN_BITS - bits), np.arange(parts + 1, dtype=np.uint64))
+            rows = []
             for k in np.flatnonzero(np.diff(edges) + np.diff(marks)):
                 low, high, marked = edges[k], edges[k + 1], announced[marks[k] : marks[k + 1]]
                 middle = low + int((~hot[low:high]).sum())
                 cold, own = (lists(owner[a:b], n[a:b], token[a:b]) for a, b in ((low, middle), (middle, high)))
                 rows.append((k, cold + own + _pack(marked)))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
+            columns = [pa.array([k for k, _ in rows], pa.int32()), pa.array([name_of_flush] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, sent.names)
 
         for batch in batches:
             for name, n, members in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "members")), strict=True):
@@ -247,49 +252,59 @@ def _ordered_sets(sets: DataFrame, parts: int, percent: int) -> DataFrame:
                     size += n
                     if size >= FLUSH_SHINGLES:
                         yield flush()
-                        held, size = {}, 0
+                        held, size, name_of_flush = {}, 0, name_of_flush + 1
         if held:
             yield flush()
 
-    names = ["class", "n", "members", "levels"]
-
     def rank(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        cold, own, marks = [], [], []
+        cold, own, marks, sizes = [], [], [], []
         for item in table.column("blob"):
             data = memoryview(item.as_py())
-            *rows, at = unlist(data)
-            cold.append(rows)
+            owner, n, token, at = unlist(data)
+            cold.append((owner, n, token))
+            sizes.append(len(owner))
             *rows, end = unlist(data[at:])
             own.append(rows)
             marks.append(_unsix(bytes(data[at + end :])))
-        owner, n, token = (np.concatenate(x) for x in zip(*cold, strict=True))
+        owner, token = np.concatenate([c[0] for c in cold]), np.concatenate([c[2] for c in cold])
         order = np.lexsort((owner, token))
-        order = order[(np.diff(token[order].view(np.int64), prepend=-1) != 0) | (np.diff(owner[order], prepend=~owner[order][:1]) != 0)]
-        owner, n, token = owner[order], n[order], token[order]
-        new = np.flatnonzero(np.diff(token.view(np.int64), prepend=-1) != 0)
-        times = np.diff(new, append=len(token))
-        level = np.where(np.isin(token[new], np.concatenate(marks)), HOT, np.minimum(HOT - 1, np.floor(np.log2(np.maximum(times, 1))).astype(np.int64)))
-        level = np.repeat(level, times).astype(np.uint8)
-        shared = level > 0
-        parted = [(owner[shared], n[shared], token[shared], level[shared]), *((o, m, t, np.full(len(o), HOT, np.uint8)) for o, m, t in own)]
-        owner, n, token, level = (np.concatenate(x) for x in zip(*parted, strict=True))
-        order = np.argsort(owner, kind="stable")
+        ordered, whose = token[order].view(np.int64), owner[order]
+        new = np.diff(ordered, prepend=-1) != 0
+        fresh = (new | (np.diff(whose, prepend=~whose[:1]) != 0)).astype(np.int64)
+        first = np.flatnonzero(new)
+        times = np.add.reduceat(fresh, first) if len(first) else fresh
+        hot = np.isin(ordered[first].view(np.uint64), np.concatenate(marks))
+        level = np.where(hot, HOT, np.minimum(HOT - 1, np.floor(np.log2(np.maximum(times, 1))).astype(np.int64)))
+        levels = np.empty(len(order), np.uint8)
+        levels[order] = np.repeat(level, np.diff(first, append=len(order)))
+        out = []
+        for (owner, n, token), (owner_, n_, token_), level in zip(cold, own, np.split(levels, np.cumsum(sizes)[:-1]), strict=True):
+            kept = level > 0
+            marked = np.full(len(owner_), HOT, np.uint8)
+            out.append(lists(owner[kept], n[kept], token[kept]) + lists(owner_, n_, token_) + level[kept].tobytes() + marked.tobytes())
+        return pa.table([table.column("flush"), pa.array(out, pa.binary())], names=ranked.names)
+
+    names = ["class", "n", "members", "levels"]
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = []
+        for item in table.column("blob"):
+            data = memoryview(item.as_py())
+            *one, at = unlist(data)
+            *two, end = unlist(data[at:])
+            level = np.frombuffer(data, np.uint8, len(one[0]) + len(two[0]), at + end)
+            rows += [(*one, level[: len(one[0])]), (*two, level[len(one[0]) :])]
+        owner, n, token, level = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((token, level, owner))
         owner, n, token, level = owner[order], n[order], token[order], level[order]
         first = np.flatnonzero(np.diff(owner, prepend=~owner[:1]) != 0)
-        ends = np.append(first[1:], len(owner))
-        packed = [(_pack(token[a:b]), level[a:b].tobytes()) for a, b in zip(first, ends, strict=True)]
-        return pa.table([pa.array(owner[first]), pa.array(n[first].astype(np.int64)), pa.array([t for t, _ in packed], pa.binary()), pa.array([v for _, v in packed], pa.binary())], names=names)
+        ends = np.append(first[1:], len(owner))[: len(first)]
+        made = [(int(owner[a]), int(n[a]), _pack(token[a:b]), level[a:b].tobytes()) for a, b in zip(first, ends, strict=True) if b - a >= _needed(int(n[a]), percent)]
+        return pa.table([pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
 
-    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        token, level = _unsix(b"".join(table.column("members").to_pylist())), np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8)
-        token, first = np.unique(token, return_index=True)
-        order = np.lexsort((token, level[first]))
-        return pa.table([table.column("class")[:1], table.column("n")[:1], pa.array([_pack(token[order])], pa.binary()), pa.array([level[first][order].tobytes()], pa.binary())], names=names)
-
-    out = "class long, n long, members binary, levels binary"
-    ranked = sets.select("class", "n", "members").mapInArrow(send, schema).groupBy("part").applyInArrow(rank, out)
-    enough = F.sum(F.octet_length("levels")).over(Window.partitionBy("class")) >= _needed(F.col("n"), percent)
-    return ranked.withColumn("enough", enough).where("enough").drop("enough").groupBy("class").applyInArrow(gather, out)
+    asked = sets.select("class", "n", "members").mapInArrow(send, sent)
+    near = asked.groupBy("part").applyInArrow(rank, ranked).groupBy("flush").applyInArrow(gather, "class long, n long, members binary, levels binary")
+    return near.groupBy("class").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
