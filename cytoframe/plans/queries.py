@@ -15,6 +15,7 @@ from cytoframe.operators import (
     cohorts,
     composition,
     enrichment,
+    forest,
     labels,
     neighbors,
     network,
@@ -173,6 +174,12 @@ def knn_partitioned(spark, sf_dir):
     return _six(neighbors.knn(query_side, reference, 20, block_rows=64, pivots=8))
 
 
+@query
+def knn_forest(spark, sf_dir):
+    """About the twenty nearest reference vectors, by twenty trees; approximate, so it has no SQL counterpart."""
+    return _six(forest.knn_forest(fx.query_vectors(spark, sf_dir), fx.reference_vectors(spark, sf_dir), 20))
+
+
 @query
 def remap_neighbors(spark, sf_dir):
     query_side, reference = _query_and_reference(spark, sf_dir)

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from cytoframe.operators import neighbors, transfer
+from cytoframe.operators import forest, neighbors, transfer
+from cytoframe.sources import fixtures
 
 
 def frame(spark, points, name):
@@ -60,3 +61,20 @@ def test_equal_distances_weigh_the_same(spark):
     near = spark.createDataFrame([(0, 1, 2.0), (0, 2, 2.0)], "query_id long, ref_id long, dist double")
     layout = spark.createDataFrame([(1, 0.0, 0.0), (2, 4.0, 2.0)], "ref_id long, x double, y double")
     assert tuple(transfer.project_layout(near, layout).first()) == (0, 2.0, 1.0)
+
+
+def test_forest_recall_on_the_test_vectors(spark):
+    queries, reference = (f(spark, "/root/testdata/sf0.1") for f in (fixtures.query_vectors, fixtures.reference_vectors))
+    exact = {(r.query_id, r.ref_id): r.dist for r in neighbors.knn(queries, reference, 20).collect()}
+    found = {(r.query_id, r.ref_id): r.dist for r in forest.knn_forest(queries, reference, 20).collect()}
+    assert len(found) == len(exact)
+    both = exact.keys() & found.keys()
+    assert len(both) >= 0.9 * len(exact) and all(found[p] == pytest.approx(exact[p]) for p in both)
+
+
+def test_forest_of_equal_vectors_and_none(spark):
+    reference = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)] + [(100, [5.0, 5.0])], "ref_id long, v array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 2.0])], "query_id long, v array<double>")
+    got = forest.knn_forest(queries, reference, 3, trees=2, leaf_rows=4, block_rows=8, exclude_self=True).orderBy("rank").collect()
+    assert [(r.ref_id, r.dist) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert forest.knn_forest(queries, reference.limit(0), 3).collect() == []
