@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cytoframe.functions.lineage import cut
 from cytoframe.functions.ordered import bh_adjust
 from cytoframe.functions.tails import (
     digamma_udf,
+    f_upper,
     f_upper_p,
     t_two_sided_p,
     trigamma_inverse_udf,
@@ -204,6 +208,103 @@ def shrink_variances(tests: DataFrame, keys: Sequence[str] = ("contrast",)) -> D
     )
 
 
+#: Shares of the log variances that are pulled in at either end before the prior is fitted.
+WINSOR_LOW, WINSOR_HIGH = 0.05, 0.10
+NODES = 32
+
+
+def _log_f_quantiles(u: np.ndarray, df1: float, df2: float) -> np.ndarray:
+    """Quantiles of log F by bisection."""
+    low, high = np.full(u.shape, -60.0), np.full(u.shape, 60.0)
+    for _ in range(36):
+        middle = (low + high) / 2
+        below = 1 - f_upper(np.exp(middle), df1, df2) < u
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return (low + high) / 2
+
+
+def winsorised_log_f(df1: float, df2: float) -> tuple[float, float]:
+    """Mean and variance of log F whose lowest and highest shares are pulled in, by the midpoint rule on its quantiles."""
+    inner = 1 - WINSOR_LOW - WINSOR_HIGH
+    u = WINSOR_LOW + inner * (np.arange(NODES) + 0.5) / NODES
+    q = _log_f_quantiles(np.concatenate([[WINSOR_LOW], u, [1 - WINSOR_HIGH]]), df1, df2)
+    weight = np.concatenate([[WINSOR_LOW], np.full(NODES, inner / NODES), [WINSOR_HIGH]])
+    mean = float(weight @ q)
+    return mean, float(weight @ (q - mean) ** 2)
+
+
+def robust_prior(s2: np.ndarray, df: np.ndarray) -> tuple[float, np.ndarray]:
+    """Prior variance, and a prior df for each label, of variances among which some are outliers.
+
+    (Phipson et al., "Robust hyperparameter estimation protects against hypervariable genes", 2016.) The log variances are
+    winsorised and their mean and variance matched to those of a winsorised log F with the labels' mean df, which gives the prior. A
+    label whose variance is larger than its rank lets expect gets a smaller prior df, down to that at which the largest would be the median of its law.
+    """
+    shared = float(df.mean())
+    logs = np.sort(np.log(s2))
+    pulled = np.clip(logs, *np.quantile(logs, [WINSOR_LOW, 1 - WINSOR_HIGH]))
+    spread = pulled.var(ddof=1)
+    low, high = np.log(1e-2), np.log(1e6)
+    if spread <= winsorised_log_f(shared, np.inf)[1]:
+        prior = np.inf
+    else:
+        for _ in range(22):
+            middle = (low + high) / 2
+            wider = winsorised_log_f(shared, float(np.exp(middle)))[1] > spread
+            low, high = (middle, high) if wider else (low, middle)
+        prior = float(np.exp((low + high) / 2))
+    center = float(np.exp(pulled.mean() - winsorised_log_f(shared, prior)[0]))
+    ratio = s2 / center
+    tail = np.maximum(f_upper(ratio, df, prior), 1e-300)
+    rank = ratio.argsort().argsort() + 1
+    usual = np.minimum(1.0, tail / ((len(s2) - rank + 0.5) / len(s2)))
+    if usual.min() >= 1:
+        return center, np.full(len(s2), prior)
+    finite = min(prior, 1e6)
+    worst = ratio.argmax()
+    least = np.log(0.5) / np.log(tail[worst]) * finite
+    again = max(f_upper(ratio[worst], df[worst], least), 1e-300)
+    least = min(finite, np.log(0.5) / np.log(again) * least)
+    own = usual * finite + (1 - usual) * least
+    order = tail.argsort(kind="stable")
+    along = np.cumsum(own[order]) / np.arange(1, len(own) + 1)
+    first = int(along.argmin())
+    fitted = own[order].copy()
+    fitted[: first + 1] = along[first]
+    out = np.empty(len(own))
+    out[order] = np.maximum.accumulate(fitted)
+    return center, out
+
+
+def shrink_variances_robustly(tests: DataFrame, keys: Sequence[str] = ("contrast",)) -> DataFrame:
+    """``shrink_variances`` with ``robust_prior``: ``df_prior`` is a label's own. A task holds one contrast's labels, one row each."""
+    keys = list(keys)
+    fields = [*tests.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("df_prior", "s2_prior", "s2_post", "df_total")]]
+    schema = T.StructType(fields)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows.assign(df_prior=np.nan, s2_prior=np.nan, s2_post=np.nan, df_total=np.nan)
+        good = ((rows["s2"] > 0) & (rows["df_residual"] > 0)).to_numpy()
+        if good.sum() > 1:
+            s2, df = rows["s2"].to_numpy(float), rows["df_residual"].to_numpy(float)
+            center, own = robust_prior(s2[good], df[good])
+            prior = np.full(len(rows), own.max())
+            prior[good] = own
+            with np.errstate(invalid="ignore"):
+                post = np.where(np.isfinite(prior), (prior * center + df * s2) / (prior + df), center)
+            out = out.assign(df_prior=prior, s2_prior=center, s2_post=post, df_total=np.minimum(prior + df, df[good].sum()))
+        return out[[f.name for f in fields]]
+
+    return tests.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def robust_two_group_test(transformed: DataFrame, keys: Sequence[str] = ("contrast",)) -> DataFrame:
+    """``moderated_two_group_test`` with the outlier-robust variance prior."""
+    tests = shrink_variances_robustly(two_group_test(transformed, keys), keys)
+    scored = tests.withColumn("t_moderated", F.col("effect") / (F.sqrt("s2_post") * F.col("_scale")))
+    return bh_adjust(scored.withColumn("p_value", t_two_sided_p("t_moderated", "df_total")), keys, out="fdr")
+
+
 def moderated_two_group_test(transformed: DataFrame, keys: Sequence[str] = ("contrast",)) -> DataFrame:
     tests = shrink_variances(two_group_test(transformed, keys), keys)
     scored = tests.withColumn("t_moderated", F.col("effect") / (F.sqrt("s2_post") * F.col("_scale")))

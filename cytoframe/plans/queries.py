@@ -520,6 +520,14 @@ def composition_anova(spark, sf_dir):
     return _six(composition.many_group_test(props))
 
 
+@query
+def composition_ttest_robust(spark, sf_dir):
+    """The moderated test with the outlier-robust prior, whose fit has no SQL counterpart."""
+    cells = composition_cells(spark, sf_dir)
+    props = composition.transform_proportions(composition.sample_proportions(cells, ["contrast"]), ["contrast"])
+    return _six(composition.robust_two_group_test(props).drop("_scale"))
+
+
 @query
 def composition_anova_moderated(spark, sf_dir):
     props = composition.transform_proportions(composition.sample_proportions(_all_groups(spark, sf_dir)))

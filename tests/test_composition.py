@@ -62,3 +62,36 @@ def test_a_sample_in_two_groups_is_found(spark, cells):
     assert composition.samples_in_several_groups(cells).count() == 0
     odd = cells.union(spark.createDataFrame([("x", "s0", "ms", "a")], cells.schema))
     assert [r["sample"] for r in composition.samples_in_several_groups(odd).collect()] == ["s0"]
+
+
+def test_winsorised_moments_of_log_f():
+    rng = np.random.default_rng(1)
+    for df1, df2 in ((4, 10.0), (8, 3.0)):
+        draws = np.log((rng.chisquare(df1, 400_000) / df1) / (rng.chisquare(df2, 400_000) / df2))
+        draws = np.clip(draws, *np.quantile(draws, [0.05, 0.9]))
+        assert composition.winsorised_log_f(df1, df2) == pytest.approx((draws.mean(), draws.var()), rel=0.03, abs=0.005)
+
+
+def test_an_outlier_leaves_the_prior_alone_and_loses_its_own_df():
+    rng = np.random.default_rng(6)
+    true = 0.5 / (rng.chisquare(12, 80) / 12)
+    s2 = true * rng.chisquare(6, 80) / 6
+    df = np.full(80, 6.0)
+    center, own = composition.robust_prior(s2, df)
+    spoiled = s2.copy()
+    spoiled[3] = 400.0
+    again, shrunk = composition.robust_prior(spoiled, df)
+    assert 0.35 < center < 0.7 and again == pytest.approx(center, rel=0.15)
+    assert shrunk[3] < 1 and shrunk[3] == shrunk.min() and np.median(shrunk) > 4
+    assert (own[np.argsort(s2)] == np.sort(own)[::-1]).all()
+
+
+def test_robust_test_per_contrast(spark, cells):
+    props = composition.transform_proportions(composition.sample_proportions(cells))
+    plain = composition.two_group_test(props)
+    rows = composition.robust_two_group_test(props).collect()
+    assert len(rows) == plain.count()
+    for r in rows:
+        if r.s2_post is not None and np.isfinite(r.df_prior):
+            assert r.s2_post == pytest.approx((r.df_prior * r.s2_prior + r.df_residual * r.s2) / (r.df_prior + r.df_residual))
+        assert 0 <= r.p_value <= 1 and r.fdr >= r.p_value
