@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cytoframe.llm import packing
+from cytoframe.llm.packing import Bins, best_fit
 from cytoframe.llm.queries import vocabulary
 
 
@@ -75,3 +76,46 @@ def test_round_trip_of_whole_documents(spark, tokenizer):
         mine = mine.sort_values("offset")
         assert mine["length"].sum() <= 32 and mine["offset"].tolist() == (mine["length"].cumsum() - mine["length"]).tolist()
     assert packing.pack_documents(docs.limit(0), vocabulary()).collect() == []
+
+
+def _plain_best_fit(lengths, bins):
+    """One piece after the other against every open bin."""
+    caps = (bins.tokens, bins.documents, bins.attention)
+    held, out = [], {}
+    for at in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (lengths[at], 1, lengths[at] ** 2)
+        best = None
+        for number, used in enumerate(held):
+            left = [c - u - x for c, u, x in zip(caps, used, need, strict=True)]
+            if min(left) < 0:
+                continue
+            if bins.rule == "norm":
+                score = sum(w * (x / c) ** 2 for w, x, c in zip(bins.weights, left, caps, strict=True))
+            else:
+                score = -sum(w * (x / c) * ((c - u) / c) for w, x, c, u in zip(bins.weights, need, caps, used, strict=True))
+            if best is None or score < best[0] - 1e-12:
+                best = score, number
+        if best is None:
+            held.append([0, 0, 0])
+            best = 0, len(held) - 1
+        out[at] = best[1]
+        held[best[1]] = [u + x for u, x in zip(held[best[1]], need, strict=True)]
+    return [out[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bins_equal_a_plain_search(rule, seed):
+    lengths = np.random.default_rng(seed).integers(1, 100, 400)
+    bins = Bins(tokens=100, documents=6, attention=6000, weights=(1.0, 0.3, 0.5), rule=rule)
+    got, _ = best_fit(np.minimum(lengths, 77), bins)
+    assert got.tolist() == _plain_best_fit([int(x) for x in np.minimum(lengths, 77)], bins)
+
+
+def test_each_capacity_refuses_a_bin_by_itself():
+    loose = {"tokens": 1000, "documents": 1000, "attention": 10**6}
+    together = lambda lengths, **tight: len(set(best_fit(np.array(lengths), Bins(**(loose | tight)))[0].tolist()))
+    assert together([60, 50]) == together([30, 20, 10]) == together([9, 8]) == 1
+    assert together([60, 50], tokens=100) == 2
+    assert together([30, 20, 10], documents=2) == 2
+    assert together([9, 8], attention=100) == 2
