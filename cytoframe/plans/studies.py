@@ -95,8 +95,9 @@ def knockout_study(
     trimmed = expr if min_cells is None else keep_genes(expr, genes_with_min_cells(expr, min_cells))
     wild = cut(denoised_network(trimmed, cells, replicates, size, quantile))
     changed = network.virtual_knockout(wild, genes)
-    name, genes = F.lit(dataset).alias("dataset"), trimmed.select(F.lit(dataset).alias("dataset"), "gene")
-    positions, _, _ = align_networks(*[net.select(name, "src", "dst", "w") for net in (wild, changed)], genes=genes, dims=dims)
+    name = F.lit(dataset).alias("dataset")
+    every = trimmed.select(name, "gene")
+    positions, _, _ = align_networks(*[net.select(name, "src", "dst", "w") for net in (wild, changed)], genes=every, dims=dims)
     return network.shape_results(network.differential_regulation(network.position_distance(positions, genes)))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytoframe.operators import alignment, cohorts, network, residuals
+from cytoframe.plans import studies
 
 
 def random_expr(spark, genes, cells, seed, density=0.4):
@@ -228,3 +229,14 @@ def test_differential_regulation_p(spark):
 def test_knockout_removes_outgoing_edges_only(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), ("b", "c", 3.0)], "src string, dst string, w double")
     assert {(r.src, r.dst) for r in network.virtual_knockout(edges, ["a"]).collect()} == {("b", "a"), ("b", "c")}
+
+
+def test_a_knockout_study_leaves_the_gene_out_of_the_mean(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    names = [f"g{i:02d}" for i in range(12)]
+    wild = spark.createDataFrame([(a, b, float(rng.normal())) for a in names for b in names if a != b], "src string, dst string, w double")
+    monkeypatch.setattr(studies, "denoised_network", lambda *_: wild)
+    expr = spark.createDataFrame([(g, 1, 1.0) for g in names], "gene string, cell_id long, value double")
+    found = studies.knockout_study(expr, expr.select("cell_id").distinct(), ["g03"], "ko", qc=None).toPandas()
+    assert sorted(found.gene) == names and set(found.dataset) == {"ko"}
+    assert found.fc[found.gene != "g03"].mean() == pytest.approx(1)
