@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.lineage import cut
-from cytoframe.operators.neighbors import BLOCK_ROWS, _nearest, _probe, _stack
+from cytoframe.operators.neighbors import BLOCK_ROWS, QUERIES_PER_TASK, _nearest, _pieces, _probe, _stack
 
 TREES = 20
 LEAF_ROWS = 256
@@ -107,10 +107,9 @@ def knn_forest(
 
     def route(table: DataFrame, name: str, entered: int) -> DataFrame:
         def routed(batches):
-            for batch in batches:
-                if len(batch):
-                    rows, cells = planes.leaves(_stack(batch["v"]), entered)
-                    yield batch.iloc[rows].assign(cell=cells.astype("int32"))[[name, "v", "cell"]]
+            for batch in _pieces(batches):
+                rows, cells = planes.leaves(_stack(batch["v"]), entered)
+                yield batch.iloc[rows].assign(cell=cells.astype("int32"))[[name, "v", "cell"]]
 
         return table.mapInPandas(routed, T.StructType([*table.schema.fields, T.StructField("cell", T.IntegerType())]))
 
@@ -119,5 +118,7 @@ def knn_forest(
     blocks = placed.join(subs, "cell").withColumn("sub", F.pmod(F.xxhash64("ref_id"), F.col("subs")).cast("int")).drop("subs")
     entering = route(query, "query_id", probes).dropDuplicates(["query_id", "cell"])
     visits = cut(entering.join(subs, "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs"))
-    found = _probe(visits, blocks.select("ref_id", "v", "cell", "sub"), k, exclude_self, schema)
+    load = visits.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("copies"))
+    visits = visits.withColumn("reach", F.lit(float("inf")))
+    found = _probe(visits, blocks.select("ref_id", "v", "cell", "sub"), load, k, exclude_self, schema)
     return _nearest(found.dropDuplicates(["query_id", "ref_id"]), k)

@@ -1,11 +1,11 @@
 """Exact k-nearest-neighbour joins between vector tables.
 
-The reference side is cut into blocks of bounded size around pivot vectors (Lu et al.,
-"Efficient processing of k nearest neighbor joins using MapReduce", VLDB 2012). A query
-first visits the blocks nearest to it; the k-th distance found there bounds what any other
-block has to beat, and only blocks whose lower bound passes are visited in a second round.
-Every block keeps k candidates per query, never its distances to all queries, and popular
-blocks are copied so that no task meets more than a bounded number of queries.
+The reference side is cut into cells around pivot vectors (Lu et al., "Efficient processing of
+k nearest neighbor joins using MapReduce", VLDB 2012), and cells that lie together form regions of about
+``TASK_ROWS`` rows. A query first visits the regions of its nearest cells; the k-th distance found there bounds what any
+other cell has to beat, and only regions with a cell whose lower bound passes are visited in a second round.
+A vector moves once for a region, however many of its cells pass. Every region keeps k candidates per query, never its
+distances to all queries, and popular regions are copied so that no task meets more than a bounded number of queries.
 """
 
 from __future__ import annotations
@@ -22,8 +22,14 @@ from cytoframe.functions.columns import cogrouped
 from cytoframe.functions.lineage import cut
 
 BLOCK_ROWS = 4096
-QUERIES_PER_TASK = 4096
+TASK_ROWS = 16_384
+QUERIES_PER_TASK = 16_384
 PIECE_ROWS = 256
+#: Queries measured at once against a block, and pairs that are measured again at once.
+CHUNK_ROWS = 512
+PAIRS = 65_536
+#: Share of the squared lengths that a squared distance from a matrix product may be off.
+SLACK = 1e-12
 
 
 def l2_normalised(df: DataFrame, vector: str = "v") -> DataFrame:
@@ -39,54 +45,99 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
+def _pieces(batches):
+    """``PIECE_ROWS`` rows at a time: distances to all pivots, or copies for all trees, are held for so many."""
+    for batch in batches:
+        for start in range(0, len(batch), PIECE_ROWS):
+            yield batch.iloc[start : start + PIECE_ROWS]
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(squares, 0.0))
 
 
-def _block_candidates(queries: pd.DataFrame, block: pd.DataFrame, k: int, skip_same: bool) -> pd.DataFrame:
-    """k nearest rows of one block for each of its queries, ties by reference id."""
+def _block_candidates(queries: pd.DataFrame, block: pd.DataFrame, k: int, skip_same: bool, block_rows: int = BLOCK_ROWS) -> pd.DataFrame:
+    """k nearest rows within ``reach`` for each query, ties by reference id; ``block_rows`` rows are measured at once."""
     if queries.empty or block.empty:
         return pd.DataFrame({"query_id": [], "ref_id": [], "dist": []})
+    block = block.sort_values("ref_id", kind="stable")  # a row's place stands for its id in ties
     ids, vectors = block["ref_id"].to_numpy(), _stack(block["v"])
+    lengths = (vectors * vectors).sum(1)
+    longest = np.where(np.isfinite(lengths), lengths, 0.0).max()
     out = []
-    for start in range(0, len(queries), 512):
-        part = queries.iloc[start : start + 512]
-        mine, rows = part["query_id"].to_numpy(), _stack(part["v"])
-        rough = _distances(rows, vectors)
-        if skip_same:
-            rough[mine[:, None] == ids[None, :]] = np.inf
-        keep = min(k, rough.shape[1])
-        edge = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-        # matrix products lose the last digits: keep everything near the edge, then re-measure
-        near = (rough <= (edge + 1e-6 * (1.0 + np.where(np.isfinite(edge), edge, 0)))[:, None]) & np.isfinite(rough)
-        q, r = np.nonzero(near)
-        dist = np.sqrt(((rows[q] - vectors[r]) ** 2).sum(1))
-        order = np.lexsort((ids[r], dist, q))
-        q, r, dist = q[order], r[order], dist[order]
-        first = np.searchsorted(q, q, side="left")
-        top = np.arange(len(q)) - first < k
-        out.append(pd.DataFrame({"query_id": mine[q[top]], "ref_id": ids[r[top]], "dist": dist[top]}))
+    for start in range(0, len(queries), CHUNK_ROWS):
+        part = queries.iloc[start : start + CHUNK_ROWS]
+        mine, rows, limit = part["query_id"].to_numpy(), _stack(part["v"]), part["reach"].to_numpy(dtype=float, copy=True)
+        own = (rows * rows).sum(1)
+        slack = SLACK * (own + longest)
+        q, r, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for first in range(0, len(ids), block_rows):
+            piece = slice(first, first + block_rows)
+            rough = own[:, None] + lengths[None, piece] - 2.0 * (rows @ vectors[piece].T)
+            if skip_same:
+                rough[mine[:, None] == ids[None, piece]] = np.inf
+            # matrix products lose the last digits: keep everything near the edge, then re-measure
+            edge = limit * limit * (1 + 1e-9) + slack
+            near = (rough <= edge[:, None]) & np.isfinite(rough)
+            busy = np.flatnonzero(near.sum(1) > k)
+            if len(busy):
+                nearest = np.partition(rough[busy], k - 1, axis=1)[:, k - 1] + 2 * slack[busy]
+                near[busy] &= rough[busy] <= nearest[:, None]
+            new_q, new_r = np.nonzero(near)
+            new_r += first
+            apart = [
+                np.sqrt(((rows[new_q[i : i + PAIRS]] - vectors[new_r[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(new_q), PAIRS)
+            ]
+            if not apart:
+                continue
+            q, r, dist = np.concatenate([q, new_q]), np.concatenate([r, new_r]), np.concatenate([dist, *apart])
+            order = np.lexsort((r, dist, q))
+            q, r, dist = q[order], r[order], dist[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+            full = place == k - 1
+            limit[q[full]] = np.minimum(limit[q[full]], dist[full])
+            q, r, dist = q[place < k], r[place < k], dist[place < k]
+        out.append(pd.DataFrame({"query_id": mine[q], "ref_id": ids[r], "dist": dist}))
     return pd.concat(out, ignore_index=True)
 
 
-def _probe(visits: DataFrame, blocks: DataFrame, k: int, skip_same: bool, schema: T.StructType) -> DataFrame:
-    """Meet queries and reference rows per block; popular blocks are copied to several tasks."""
-    load = visits.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("copies"))
-    salted = visits.join(load, ["cell", "sub"]).withColumn(
-        "salt", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")
-    )
-    copied = blocks.join(load, ["cell", "sub"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+def _probe(
+    visits: DataFrame, blocks: DataFrame, load: DataFrame, k: int, skip_same: bool, schema: T.StructType, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Meet queries and reference rows per block; popular blocks are copied to several tasks.
+
+    ``load`` names the blocks and their ``copies``; visits carry ``reach``, beyond which nothing is wanted.
+    """
+    block_of = [c for c in load.columns if c != "copies"]
+    salted = visits.join(load, block_of).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int"))
+    copied = blocks.join(load, block_of).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 
     def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return _block_candidates(queries, block, k, skip_same)
+        return _block_candidates(queries, block, k, skip_same, block_rows)
 
-    key = ["cell", "sub", "salt"]
-    return cogrouped(salted.select(*key, "query_id", "v"), copied.select(*key, "ref_id", "v"), key).applyInPandas(
+    key = [*block_of, "salt"]
+    return cogrouped(salted.select(*key, "query_id", "v", "reach"), copied.select(*key, "ref_id", "v"), key).applyInPandas(
         meet, schema
     )
 
 
+def _regions(centers: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """The region of every cell: cells are halved by rows along the widest axis of their pivots until ``most`` rows are left."""
+    region, found, left = np.zeros(len(centers), int), 0, [np.arange(len(centers))]
+    while left:
+        cells = left.pop()
+        if len(cells) == 1 or counts[cells].sum() <= most:
+            region[cells], found = found, found + 1
+            continue
+        axis = np.ptp(centers[cells], axis=0).argmax()
+        cells = cells[centers[cells, axis].argsort(kind="stable")]
+        upto = counts[cells].cumsum()
+        at = min(max(1, int(np.searchsorted(upto, upto[-1] / 2))), len(cells) - 1)
+        left += [cells[:at], cells[at:]]
+    return region
+
+
 def _nearest(candidates: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("dist", "ref_id")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -105,9 +156,10 @@ def knn(
     ``query`` is (query_id, v), ``reference`` is (ref_id, v) with ``v`` array<double>; the
     distance is Euclidean, ties go to the smaller id. ``exclude_self`` skips equal ids for
     a table joined with itself. The plan is the same at every size: about the root of the reference's rows
-    serve as pivots, so a cell holds about as many rows, and cells above ``block_rows`` are cut. How many cells a query
+    serve as pivots, so a cell holds about as many rows; a task holds the cells of a region, regions above ``TASK_ROWS`` are
+    cut, and a query's distances to ``block_rows`` rows are held at once. How many regions a query
     visits depends on the data: in clustered or low-dimensional data few, in many dimensions without
-    clusters the bounds rule out little and most cells are visited; the result is exact either way.
+    clusters the bounds rule out little and most regions are visited; the result is exact either way.
     """
     query, reference = query.select("query_id", "v"), reference.select("ref_id", "v")
     schema = T.StructType(
@@ -124,15 +176,11 @@ def knn(
     if not chosen:
         return query.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
     centers = np.unique(np.array([row.v for row in chosen], dtype=float), axis=0)
-
-    def pieces(batches):
-        """``PIECE_ROWS`` rows at a time: distances to all pivots are held for so many."""
-        for batch in batches:
-            for start in range(0, len(batch), PIECE_ROWS):
-                yield batch.iloc[start : start + PIECE_ROWS]
+    usable = np.isfinite(centers).all(1)
+    centers = centers[usable] if usable.any() else np.zeros((1, centers.shape[1]))
 
     def assign(batches):
-        for batch in pieces(batches):
+        for batch in _pieces(batches):
             apart = _distances(_stack(batch["v"]), centers)
             cell = apart.argmin(1)
             yield batch.assign(cell=cell.astype("int32"), away=apart[np.arange(len(batch)), cell])
@@ -142,15 +190,30 @@ def knn(
             assign, T.StructType([*reference.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
         )
     )
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi"))
+    known = F.when(~F.isnan("away"), F.col("away"))
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("lo"), F.max(known).alias("hi"))
     counts, inner, outer = np.zeros(len(centers), int), np.full(len(centers), np.inf), np.full(len(centers), -np.inf)
     for row in stats.collect():
-        counts[row.cell], inner[row.cell], outer[row.cell] = row.n, row.lo, row.hi
-    subs = np.maximum(1, np.ceil(counts / block_rows).astype(int))
-    cells = query.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(subs)], "cell int, subs int")
-    blocks = placed.join(cells, "cell").withColumn("sub", F.pmod(F.xxhash64("ref_id"), F.col("subs")).cast("int")).select("ref_id", "v", "cell", "sub")
+        counts[row.cell] = row.n
+        if row.hi is not None:
+            inner[row.cell], outer[row.cell] = row.lo, row.hi
+    region = _regions(centers, counts, TASK_ROWS)
+    subs = np.maximum(1, np.ceil(np.bincount(region, counts) / TASK_ROWS).astype(int))
+    ends = subs.cumsum()
+    of_task = np.repeat(np.arange(len(subs)), subs)
+    by_region = region.argsort(kind="stable")
+    starts = np.searchsorted(region[by_region], np.arange(len(subs)))
+    cells = query.sparkSession.createDataFrame(
+        [(i, int(ends[g] - subs[g]), int(subs[g])) for i, g in enumerate(region)], "cell int, first int, subs int"
+    )
+    task = (F.col("first") + F.pmod(F.xxhash64("ref_id"), F.col("subs"))).cast("int")
+    blocks = placed.join(F.broadcast(cells), "cell").select("ref_id", "v", task.alias("task"))
     need = k + (1 if exclude_self else 0)
 
+    def regions_of(wanted: np.ndarray) -> np.ndarray:
+        """From a mask of cells to one of regions."""
+        return np.logical_or.reduceat(wanted[:, by_region], starts, axis=1)
+
     def first_cells(apart: np.ndarray) -> np.ndarray:
         """Mask of the nearest pivots that together hold enough rows."""
         order = apart.argsort(1, kind="stable")
@@ -159,43 +222,47 @@ def knn(
         np.put_along_axis(wanted, order, (held - counts[order]) < need, axis=1)
         return wanted & (counts > 0)
 
-    def visit(batch: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
-        row, cell = np.nonzero(wanted)
-        return pd.DataFrame(
-            {"query_id": batch["query_id"].to_numpy()[row], "v": batch["v"].to_numpy()[row], "cell": cell.astype("int32")}
+    def near_regions(batch: pd.DataFrame) -> np.ndarray:
+        return regions_of(first_cells(_distances(_stack(batch["v"]), centers)))
+
+    def far_regions(batch: pd.DataFrame) -> np.ndarray:
+        rows = _stack(batch["v"])
+        apart, noise = _distances(rows, centers), 1e-7 * (1 + np.sqrt((rows * rows).sum(1)))[:, None]
+        own = apart.argmin(1)
+        ring = np.maximum(apart - outer[None, :], inner[None, :] - apart)
+        between = _distances(centers[own], centers)
+        distinct = between > 10 * noise
+        plane = np.where(
+            distinct, (apart**2 - apart[np.arange(len(apart)), own][:, None] ** 2) / np.where(distinct, 2 * between, 1), 0
         )
-
-    def near_round(batches):
-        for batch in pieces(batches):
-            yield visit(batch, first_cells(_distances(_stack(batch["v"]), centers)))
-
-    def far_round(batches):
-        for batch in pieces(batches):
-            apart = _distances(_stack(batch["v"]), centers)
-            own = apart.argmin(1)
-            ring = np.maximum(apart - outer[None, :], inner[None, :] - apart)
-            between = _distances(centers[own], centers)
-            plane = np.where(
-                between > 0, (apart**2 - apart[np.arange(len(apart)), own][:, None] ** 2) / np.where(between > 0, 2 * between, 1), 0
-            )
-            bound = np.maximum(ring, plane)
-            reach = batch["reach"].fillna(np.inf).to_numpy()[:, None]
-            yield visit(batch, (bound <= reach * (1 + 1e-9) + 1e-9) & (counts > 0) & ~first_cells(apart))
-
-    visited = T.StructType([*query.schema.fields, T.StructField("cell", T.IntegerType())])
-
-    def spread(visits: DataFrame) -> DataFrame:
-        parts = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
-        return cut(visits.join(cells, "cell").withColumn("sub", parts).drop("subs"))
-
-    near = cut(_nearest(_probe(spread(query.mapInPandas(near_round, visited)), blocks, k, exclude_self, schema), k))
-    reach = near.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(float("inf")).alias("reach")
-    )
-    far = _probe(
-        spread(query.join(reach, "query_id", "left").mapInPandas(far_round, visited)), blocks, k, exclude_self, schema
-    )
-    return _nearest(near.drop("rank").unionByName(far), k)
+        reach = batch["reach"].to_numpy()[:, None]
+        passed = (np.maximum(ring, plane) <= reach * (1 + 1e-9) + noise) & (counts > 0)
+        return regions_of(passed) & ~regions_of(first_cells(apart))
+
+    def round_of(table: DataFrame, regions) -> DataFrame:
+        """Candidates of the queries (query_id, v, reach) in the regions that each of them wants."""
+        def tally(batches):
+            total = np.zeros(len(of_task), int)
+            for batch in _pieces(batches):
+                total += regions(batch)[:, of_task].sum(0)
+            yield pd.DataFrame({"task": np.arange(len(total), dtype="int32"), "n": total})
+
+        def visit(batches):
+            for batch in _pieces(batches):
+                row, at = np.nonzero(regions(batch)[:, of_task])
+                yield batch.iloc[row].assign(task=at.astype("int32"))
+
+        # one row a task, few beside the reference's rows
+        loads = table.mapInPandas(tally, "task int, n long").groupBy("task").agg(F.sum("n").alias("n")).where("n > 0").collect()
+        load = query.sparkSession.createDataFrame([(r.task, -(-r.n // QUERIES_PER_TASK)) for r in loads], "task int, copies int")
+        visits = table.mapInPandas(visit, T.StructType([*table.schema.fields, T.StructField("task", T.IntegerType())]))
+        return _probe(visits, blocks, F.broadcast(load), k, exclude_self, schema, block_rows)
+
+    everywhere = F.lit(float("inf"))
+    near = cut(_nearest(round_of(query.withColumn("reach", everywhere), near_regions), k))
+    reach = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(everywhere).alias("reach"))
+    reaching = cut(query.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", everywhere)))
+    return _nearest(near.drop("rank").unionByName(round_of(reaching, far_regions)), k)
 
 
 def remap_neighbors(neighbors: DataFrame, metadata: DataFrame, position: str, key: str) -> DataFrame:

@@ -78,3 +78,49 @@ def test_forest_of_equal_vectors_and_none(spark):
     got = forest.knn_forest(queries, reference, 3, trees=2, leaf_rows=4, block_rows=8, exclude_self=True).orderBy("rank").collect()
     assert [(r.ref_id, r.dist) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
     assert forest.knn_forest(queries, reference.limit(0), 3).collect() == []
+
+
+def test_a_vector_moves_once_for_many_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    points = rng.normal(size=(400, 16))
+    moved, probe = [], neighbors._probe
+    monkeypatch.setattr(neighbors, "_probe", lambda visits, *rest: moved.append(visits.count()) or probe(visits, *rest))
+    got = neighbors.knn(frame(spark, points[:60], "query_id"), frame(spark, points, "ref_id"), 5, False, 16, 4)
+    assert {(r.query_id, r["rank"], r.ref_id) for r in got.collect()} == brute(points[:60], points, 5)
+    assert sum(moved) <= 2 * 60
+
+
+def test_regions_hold_all_cells_and_are_bounded():
+    rng = np.random.default_rng(14)
+    centers, counts = rng.normal(size=(50, 3)), rng.integers(0, 40, 50)
+    region = neighbors._regions(centers, counts, 100)
+    held = np.bincount(region, counts)
+    assert sorted(set(region)) == list(range(len(held))) and held.sum() == counts.sum() and held.max() <= 100
+
+
+def test_many_regions_with_ties_and_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "TASK_ROWS", 30)
+    monkeypatch.setattr(neighbors, "QUERIES_PER_TASK", 20)
+    rng = np.random.default_rng(15)
+    # whole numbers far from the origin: many equal distances, and lengths that drown them in matrix products
+    points = rng.integers(0, 4, (300, 3)) + 1e6
+    got = neighbors.knn(frame(spark, points[:80], "query_id"), frame(spark, points, "ref_id"), 6, False, 7)
+    assert {(r.query_id, r["rank"], r.ref_id) for r in got.collect()} == brute(points[:80], points, 6)
+
+
+def test_forest_routes_a_few_rows_at_once(spark, tmp_path, monkeypatch):
+    log, leaves = str(tmp_path / "rows"), forest.Planes.leaves
+
+    class Noting(forest.Planes):
+        def leaves(self, vectors, probes=1):
+            with open(log, "a") as f:
+                f.write(f"{len(vectors)}\n")
+            return leaves(self, vectors, probes)
+
+    monkeypatch.setattr(forest, "Planes", Noting)
+    points = frame(spark, np.random.default_rng(16).normal(size=(1500, 4)), "ref_id").coalesce(1)
+    got = forest.knn_forest(points.withColumnRenamed("ref_id", "query_id"), points, 3, trees=2)
+    assert got.count() == 4500
+    with open(log) as f:
+        seen = [int(line) for line in f]
+    assert sum(seen) >= 3000 and max(seen) <= neighbors.PIECE_ROWS
