@@ -406,9 +406,9 @@ def correlations(source: str, name: str) -> str:
          THEN (n * sxy - s1 * s2) / sqrt((n * ss1 - s1 * s1) * (n * ss2 - s2 * s2)) END AS w FROM {source} WHERE g1 < g2)"""
 
 
-def strongest(source: str, name: str) -> str:
+def strongest(source: str, name: str, quantile: float = 0.95) -> str:
     return f"""{name} AS (SELECT net, src, dst, w FROM {source}
-  JOIN (SELECT net, quantile_cont(abs(w), 0.95) AS edge FROM {source} WHERE w IS NOT NULL GROUP BY 1) USING (net) WHERE abs(w) >= edge)"""
+  JOIN (SELECT net, quantile_cont(abs(w), {quantile}) AS edge FROM {source} WHERE w IS NOT NULL GROUP BY 1) USING (net) WHERE abs(w) >= edge)"""
 
 
 def difference(x: str, y: str) -> str:
@@ -436,7 +436,7 @@ duos AS (SELECT a.net AS one, b.net AS two FROM (SELECT DISTINCT net FROM strong
 one AS (SELECT one || ' vs ' || two AS net, src, dst, w FROM strong JOIN duos ON net = one),
 two AS (SELECT one || ' vs ' || two AS net, src, dst, w FROM strong JOIN duos ON net = two)
 {difference('one', 'two')}"""
-ORACLE["null_comparison"] = f"""WITH {WHOLE}, {correlations('mom', 'cor')}, {strongest('cor', 'strong')}
+ORACLE["null_comparison"] = f"""WITH {WHOLE}, {correlations('mom', 'cor')}, {strongest('cor', 'strong', 0.9)}
 {difference('strong', 'strong')}"""
 ORACLE["depletion_contrasts"] = f"""WITH {MEMBERS},
 nets AS (SELECT unnest(['B', 'CD20', 'T']) AS net),
@@ -444,7 +444,7 @@ full_e AS (SELECT net, gene, cell_id, value FROM nets CROSS JOIN expr), full_c A
 less_c AS (SELECT * FROM full_c f WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.cohort = f.net AND m.cell_id = f.cell_id)),
 less_e AS (SELECT e.* FROM full_e e JOIN less_c USING (net, cell_id)),
 {moments('full_e', 'full_c', 'mx')}, {moments('less_e', 'less_c', 'my')},
-{correlations('mx', 'cx')}, {correlations('my', 'cy')}, {strongest('cx', 'sx')}, {strongest('cy', 'sy')}
+{correlations('mx', 'cx')}, {correlations('my', 'cy')}, {strongest('cx', 'sx', 0.9)}, {strongest('cy', 'sy', 0.9)}
 {difference('sx', 'sy')}"""
 ORACLE["null_study"] = f"WITH {PASSED} SELECT DISTINCT 'null' AS dataset, gene, 0.0::DOUBLE AS distance FROM passed"
 ORACLE["differential_regulation"] = f"""WITH {VECTORS},

@@ -38,6 +38,8 @@ CONDITIONAL_PERMUTATIONS = 200
 REPLICATES = 10
 SAMPLE_CELLS = 500
 EDGE_QUANTILE = 0.95
+#: The correlation networks of all cells are compared on twice as many edges.
+COMPARED_QUANTILE = 0.9
 
 
 def query(function):
@@ -681,7 +683,7 @@ def virtual_knockout(spark, sf_dir):
 def _contrast(spark, sf_dir, names):
     expr = _stored_expr(spark, sf_dir)
     return studies.depletion_study(
-        expr, fx.cells(spark, sf_dir), cut(_members(spark, sf_dir, expr)), names, EDGE_QUANTILE
+        expr, fx.cells(spark, sf_dir), cut(_members(spark, sf_dir, expr)), names, COMPARED_QUANTILE
     )
 
 
@@ -696,7 +698,7 @@ def edge_difference(spark, sf_dir):
 
 @query
 def null_comparison(spark, sf_dir):
-    edges = cut(network.strongest_edges(network.correlation(_whole_moments(spark, sf_dir)), EDGE_QUANTILE))
+    edges = cut(network.strongest_edges(network.correlation(_whole_moments(spark, sf_dir)), COMPARED_QUANTILE))
     return _six(network.edge_difference(edges, edges))
 
 

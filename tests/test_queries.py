@@ -54,6 +54,15 @@ def test_collapse_covers_every_dataset(spark, sf_dir):
     assert len(ranked) > 1 and {r["dataset"] for r in got} == ranked
 
 
+@pytest.mark.parametrize("name", ["null_comparison", "depletion_contrasts"])
+def test_a_tenth_of_all_edges_is_compared(spark, duck, sf_dir, name):
+    genes = fx.expr(spark, sf_dir).select("gene").distinct().count()
+    many = duck.execute(f"SELECT net, sum(edges) / 2 FROM ({ORACLE[name]}) GROUP BY 1").fetchall()
+    assert many and all(n >= 0.09 * genes * (genes - 1) / 2 for _, n in many)
+    got = {r[0]: r[1] / 2 for r in QUERIES[name](spark, sf_dir).groupBy("net").sum("edges").collect()}
+    assert got == dict(many)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
