@@ -118,10 +118,11 @@ def bh_adjust(df: DataFrame, keys: Sequence[str], p: str = "p_value", out: str =
     distinct = cut(rows.groupBy(*keys, "_slot", p).agg(F.count(F.lit(1)).alias("_c")))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    after = whole.orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends at the last row is added up anew for every row: what follows is read backwards
+    after = whole.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_slot")
     upto = inside.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onwards = inside.orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    onwards = inside.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = distinct.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_n")).select(
         *keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_tests")
     )

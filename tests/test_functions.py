@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -81,3 +82,10 @@ def test_no_range_is_overfull(spark, monkeypatch):
         assert fullest < 3 * 20_000
     adjusted = bh_adjust(stored.select("id", "k", F.col("equal").alias("p_value")), ["k"])
     assert adjusted.agg(F.min("p_adj"), F.max("p_adj"), F.count("p_adj")).first() == (0.5, 0.5, 1_000_000)
+
+
+def test_bh_frames_grow_with_the_rows_only(spark):
+    rows = spark.createDataFrame([("a", float(p)) for p in np.random.default_rng(3).random(50)], "g string, p_value double")
+    adjusted = bh_adjust(rows, ["g"])
+    assert not re.search(r"(currentrow\$?\(?\)?|\b1), unboundedfollowing", adjusted._jdf.queryExecution().toString(), re.I)
+    assert adjusted.count() == 50
