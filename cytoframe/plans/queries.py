@@ -95,7 +95,7 @@ def tsv_round_trip(spark, sf_dir):
 @query
 def wide_matrix_to_long(spark, sf_dir):
     path = scratch_path(spark, "wide")
-    tables.write_wide_matrix(fx.expr(spark, sf_dir), path, cells_per_file=400)
+    tables.write_wide_matrix(_stored_expr(spark, sf_dir), path, cells_per_file=400)
     long = tables.read_wide_matrix(spark, path)
     return long.select("gene", F.col("cell_id").cast("long").alias("cell_id"), "value")
 

@@ -32,6 +32,10 @@ DIFFREG = T.StructType(
 )
 
 
+#: Values of a wide matrix, zeros too, that one file holds.
+FILE_VALUES = 50_000_000
+
+
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Tab-delimited table with a header; ``NA`` is missing, a NaN is missing too. A header unlike the schema is an error."""
     df = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="NA", quote='"', escape='"', enforceSchema=False)
@@ -47,9 +51,13 @@ def write_wide_matrix(expr: DataFrame, path: str, cells_per_file: int = 10_000,
     """Write (gene, cell_id, value) as gene rows x cell columns.
 
     Cells are dealt into shards of about ``cells_per_file`` columns, one folder and one
-    header each, so the length of a line never grows with the study.
+    header each, so the length of a line never grows with the study. A shard is one file for every ``FILE_VALUES`` values or
+    so; ``expr`` is read several times and best stored.
     """
-    shards = expr.select(F.greatest(F.ceil(F.approx_count_distinct("cell_id") / cells_per_file), F.lit(1))).scalar()
+    many = F.greatest(F.ceil(F.approx_count_distinct("cell_id") / cells_per_file), F.lit(1)).alias("shards")
+    files = F.greatest(F.ceil(F.approx_count_distinct("gene") * cells_per_file / FILE_VALUES), F.lit(1)).alias("files")
+    sizes = expr.select(F.struct(many, files)).scalar()
+    shards, piece = sizes["shards"], F.pmod(F.xxhash64("value"), sizes["files"])
     placed = expr.withColumn("shard", F.pmod(F.xxhash64(F.col("cell_id").cast("string")), shards).cast("int"))
     columns = placed.groupBy("shard").agg(F.array_sort(F.collect_set(F.col("cell_id").cast("string"))).alias("cells"))
     rows = placed.groupBy("shard", "gene").agg(
@@ -66,7 +74,8 @@ def write_wide_matrix(expr: DataFrame, path: str, cells_per_file: int = 10_000,
         ).alias("value"),
     )
     header = columns.select("shard", F.concat_ws("\t", F.lit("gene"), F.array_join("cells", "\t")).alias("value"))
-    header.unionByName(body).repartition("shard", F.xxhash64("value") % 16).write.mode(mode).partitionBy("shard").text(path)
+    lines = header.unionByName(body).withColumn("_file", piece)
+    lines.repartition("shard", "_file").drop("_file").write.mode(mode).partitionBy("shard").text(path)
 
 
 def read_wide_matrix(spark: SparkSession, path: str) -> DataFrame:
