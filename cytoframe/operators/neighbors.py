@@ -28,6 +28,9 @@ PIECE_ROWS = 256
 #: Queries measured at once against a block, and pairs that are measured again at once.
 CHUNK_ROWS = 512
 PAIRS = 65_536
+#: Vectors below ``FULL_DIMS`` dimensions are light: a task holds more of them, up to ``LIGHTER`` times as many.
+FULL_DIMS = 64
+LIGHTER = 4
 #: Share of the squared lengths that a squared distance from a matrix product may be off.
 SLACK = 1e-12
 
@@ -57,35 +60,57 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
-def _block_candidates(queries: pd.DataFrame, block: pd.DataFrame, k: int, skip_same: bool, block_rows: int = BLOCK_ROWS) -> pd.DataFrame:
-    """k nearest rows within ``reach`` for each query, ties by reference id; ``block_rows`` rows are measured at once."""
+def _block_candidates(
+    queries: pd.DataFrame, block: pd.DataFrame, k: int, skip_same: bool, block_rows: int = BLOCK_ROWS, bounds=None
+) -> pd.DataFrame:
+    """k nearest rows within ``reach`` for each query, ties by reference id; ``block_rows`` rows are measured at once.
+
+    ``bounds(rows)`` gives the least distance from each query to every cell of the reference, what it may be off, and each query's own cell. Rows
+    of a ``block`` with ``cell`` are then measured cell after cell, nearest first, for the queries that the cell is not too far from.
+    """
     if queries.empty or block.empty:
         return pd.DataFrame({"query_id": [], "ref_id": [], "dist": []})
     block = block.sort_values("ref_id", kind="stable")  # a row's place stands for its id in ties
     ids, vectors = block["ref_id"].to_numpy(), _stack(block["v"])
     lengths = (vectors * vectors).sum(1)
     longest = np.where(np.isfinite(lengths), lengths, 0.0).max()
-    out = []
+    out, every = [], [(-1, np.arange(i, min(i + block_rows, len(ids)))) for i in range(0, len(ids), block_rows)]
+    if bounds is not None:
+        cell = block["cell"].to_numpy()
+        by_cell = cell.argsort(kind="stable")
+        held = np.split(by_cell, np.flatnonzero(np.diff(cell[by_cell])) + 1)
+        every = [(cell[rows[0]], rows[i : i + block_rows]) for rows in held for i in range(0, len(rows), block_rows)]
+        # queries of one cell are measured together
+        own = [bounds(_stack(queries["v"].iloc[i : i + PIECE_ROWS]))[2] for i in range(0, len(queries), PIECE_ROWS)]
+        queries = queries.iloc[np.concatenate(own).argsort(kind="stable")]
     for start in range(0, len(queries), CHUNK_ROWS):
         part = queries.iloc[start : start + CHUNK_ROWS]
         mine, rows, limit = part["query_id"].to_numpy(), _stack(part["v"]), part["reach"].to_numpy(dtype=float, copy=True)
         own = (rows * rows).sum(1)
         slack = SLACK * (own + longest)
         q, r, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        for first in range(0, len(ids), block_rows):
-            piece = slice(first, first + block_rows)
-            rough = own[:, None] + lengths[None, piece] - 2.0 * (rows @ vectors[piece].T)
+        pieces, at_least = every, None
+        if bounds is not None:
+            at_least, noise, _ = bounds(rows)
+            pieces = sorted(every, key=lambda p: at_least[:, p[0]].min())
+        for which, piece in pieces:
+            active = np.arange(len(part))
+            if at_least is not None:
+                active = np.flatnonzero(at_least[:, which] <= limit * (1 + 1e-9) + noise[:, 0])
+                if not len(active):
+                    continue
+            rough = own[active, None] + lengths[None, piece] - 2.0 * (rows[active] @ vectors[piece].T)
             if skip_same:
-                rough[mine[:, None] == ids[None, piece]] = np.inf
+                rough[mine[active, None] == ids[None, piece]] = np.inf
             # matrix products lose the last digits: keep everything near the edge, then re-measure
-            edge = limit * limit * (1 + 1e-9) + slack
+            edge = (limit * limit * (1 + 1e-9) + slack)[active]
             near = (rough <= edge[:, None]) & np.isfinite(rough)
             busy = np.flatnonzero(near.sum(1) > k)
             if len(busy):
-                nearest = np.partition(rough[busy], k - 1, axis=1)[:, k - 1] + 2 * slack[busy]
+                nearest = np.partition(rough[busy], k - 1, axis=1)[:, k - 1] + 2 * slack[active[busy]]
                 near[busy] &= rough[busy] <= nearest[:, None]
             new_q, new_r = np.nonzero(near)
-            new_r += first
+            new_q, new_r = active[new_q], piece[new_r]
             apart = [
                 np.sqrt(((rows[new_q[i : i + PAIRS]] - vectors[new_r[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(new_q), PAIRS)
             ]
@@ -103,21 +128,30 @@ def _block_candidates(queries: pd.DataFrame, block: pd.DataFrame, k: int, skip_s
 
 
 def _probe(
-    visits: DataFrame, blocks: DataFrame, load: DataFrame, k: int, skip_same: bool, schema: T.StructType, block_rows: int = BLOCK_ROWS
+    visits: DataFrame,
+    blocks: DataFrame,
+    load: DataFrame,
+    k: int,
+    skip_same: bool,
+    schema: T.StructType,
+    block_rows: int = BLOCK_ROWS,
+    bounds=None,
 ) -> DataFrame:
     """Meet queries and reference rows per block; popular blocks are copied to several tasks.
 
-    ``load`` names the blocks and their ``copies``; visits carry ``reach``, beyond which nothing is wanted.
+    ``load`` names the blocks and their ``copies``; visits carry ``reach``, beyond which nothing is wanted. ``bounds`` is that
+    of ``_block_candidates``.
     """
     block_of = [c for c in load.columns if c != "copies"]
     salted = visits.join(load, block_of).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int"))
     copied = blocks.join(load, block_of).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 
     def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return _block_candidates(queries, block, k, skip_same, block_rows)
+        return _block_candidates(queries, block, k, skip_same, block_rows, bounds)
 
     key = [*block_of, "salt"]
-    return cogrouped(salted.select(*key, "query_id", "v", "reach"), copied.select(*key, "ref_id", "v"), key).applyInPandas(
+    rows = copied.select(*key, "ref_id", "v", *(["cell"] if bounds is not None else []))
+    return cogrouped(salted.select(*key, "query_id", "v", "reach"), rows, key).applyInPandas(
         meet, schema
     )
 
@@ -197,8 +231,10 @@ def knn(
         counts[row.cell] = row.n
         if row.hi is not None:
             inner[row.cell], outer[row.cell] = row.lo, row.hi
-    region = _regions(centers, counts, TASK_ROWS)
-    subs = np.maximum(1, np.ceil(np.bincount(region, counts) / TASK_ROWS).astype(int))
+    # regions of light vectors are larger: a query meets fewer of them, and few cells of each
+    lighter = min(LIGHTER, max(1, FULL_DIMS // max(1, centers.shape[1])))
+    region = _regions(centers, counts, TASK_ROWS * lighter)
+    subs = np.maximum(1, np.ceil(np.bincount(region, counts) / (TASK_ROWS * lighter)).astype(int))
     ends = subs.cumsum()
     of_task = np.repeat(np.arange(len(subs)), subs)
     by_region = region.argsort(kind="stable")
@@ -207,7 +243,7 @@ def knn(
         [(i, int(ends[g] - subs[g]), int(subs[g])) for i, g in enumerate(region)], "cell int, first int, subs int"
     )
     task = (F.col("first") + F.pmod(F.xxhash64("ref_id"), F.col("subs"))).cast("int")
-    blocks = placed.join(F.broadcast(cells), "cell").select("ref_id", "v", task.alias("task"))
+    blocks = placed.join(F.broadcast(cells), "cell").select("ref_id", "v", "cell", task.alias("task"))
     need = k + (1 if exclude_self else 0)
 
     def regions_of(wanted: np.ndarray) -> np.ndarray:
@@ -225,8 +261,8 @@ def knn(
     def near_regions(batch: pd.DataFrame) -> np.ndarray:
         return regions_of(first_cells(_distances(_stack(batch["v"]), centers)))
 
-    def far_regions(batch: pd.DataFrame) -> np.ndarray:
-        rows = _stack(batch["v"])
+    def bounds_of(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Least distances to the rows of every cell, what they may be off, the own cell, and the distances to pivots."""
         apart, noise = _distances(rows, centers), 1e-7 * (1 + np.sqrt((rows * rows).sum(1)))[:, None]
         own = apart.argmin(1)
         ring = np.maximum(apart - outer[None, :], inner[None, :] - apart)
@@ -235,8 +271,12 @@ def knn(
         plane = np.where(
             distinct, (apart**2 - apart[np.arange(len(apart)), own][:, None] ** 2) / np.where(distinct, 2 * between, 1), 0
         )
+        return np.maximum(ring, plane), noise, own, apart
+
+    def far_regions(batch: pd.DataFrame) -> np.ndarray:
+        at_least, noise, _, apart = bounds_of(_stack(batch["v"]))
         reach = batch["reach"].to_numpy()[:, None]
-        passed = (np.maximum(ring, plane) <= reach * (1 + 1e-9) + noise) & (counts > 0)
+        passed = (at_least <= reach * (1 + 1e-9) + noise) & (counts > 0)
         return regions_of(passed) & ~regions_of(first_cells(apart))
 
     def round_of(table: DataFrame, regions) -> DataFrame:
@@ -254,9 +294,9 @@ def knn(
 
         # one row a task, few beside the reference's rows
         loads = table.mapInPandas(tally, "task int, n long").groupBy("task").agg(F.sum("n").alias("n")).where("n > 0").collect()
-        load = query.sparkSession.createDataFrame([(r.task, -(-r.n // QUERIES_PER_TASK)) for r in loads], "task int, copies int")
+        load = query.sparkSession.createDataFrame([(r.task, -(-r.n // (QUERIES_PER_TASK * lighter))) for r in loads], "task int, copies int")
         visits = table.mapInPandas(visit, T.StructType([*table.schema.fields, T.StructField("task", T.IntegerType())]))
-        return _probe(visits, blocks, F.broadcast(load), k, exclude_self, schema, block_rows)
+        return _probe(visits, blocks, F.broadcast(load), k, exclude_self, schema, block_rows, lambda rows: bounds_of(rows)[:3])
 
     everywhere = F.lit(float("inf"))
     near = cut(_nearest(round_of(query.withColumn("reach", everywhere), near_regions), k))

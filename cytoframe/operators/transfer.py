@@ -30,10 +30,11 @@ def mutual_neighbors(query: DataFrame, reference: DataFrame, k: int = 5) -> Data
     return forth.join(back, ["query_id", "ref_id"])
 
 
-def _neighborhoods(cells: DataFrame, others: DataFrame, k: int) -> DataFrame:
-    """(id, side, neighbor): k nearest cells of the own table and k of the other one."""
-    own = knn(cells, _as_reference(cells), k, exclude_self=True).withColumn("own", F.lit(True))
-    cross = knn(cells, others, k).withColumn("own", F.lit(False))
+def _neighborhoods(cells: DataFrame, others: DataFrame, k: int, ends: DataFrame) -> DataFrame:
+    """(id, side, neighbor): k nearest cells of the own table and k of the other one, of the cells in ``ends``."""
+    wanted = cut(cells.join(ends, "query_id", "left_semi"))
+    own = knn(wanted, _as_reference(cells), k, exclude_self=True).withColumn("own", F.lit(True))
+    cross = knn(wanted, others, k).withColumn("own", F.lit(False))
     return own.unionByName(cross).select("query_id", "own", "ref_id")
 
 
@@ -43,12 +44,13 @@ def score_anchors(
     """Add ``shared`` and ``score``: overlap of both ends' neighbourhoods, rescaled to 0..1.
 
     The neighbourhood of a cell is its k nearest query cells plus its k nearest reference
-    cells. The overlap is rescaled by its ``low`` and ``high`` quantiles over all anchors.
+    cells; only the ends of anchors need theirs. The overlap is rescaled by its ``low`` and ``high`` quantiles over all anchors.
     """
-    around_query = _neighborhoods(query, reference, k).select(
+    around_query = _neighborhoods(query, reference, k, anchors.select("query_id").distinct()).select(
         "query_id", F.when(F.col("own"), "q").otherwise("r").alias("side"), F.col("ref_id").alias("neighbor")
     )
-    around_reference = _neighborhoods(_as_query(reference), _as_reference(query), k).select(
+    ends = anchors.select(F.col("ref_id").alias("query_id")).distinct()
+    around_reference = _neighborhoods(_as_query(reference), _as_reference(query), k, ends).select(
         F.col("query_id").alias("ref_id"),
         F.when(F.col("own"), "r").otherwise("q").alias("side"),
         F.col("ref_id").alias("neighbor"),
@@ -108,13 +110,12 @@ def anchor_weights(query: DataFrame, anchors: DataFrame, k: int = 50, sd: float
 
 def transfer_labels(weights: DataFrame, labels: DataFrame, levels: Sequence[str] = ("l1", "l2", "l3")) -> DataFrame:
     """Predicted label and its score for every level at once: (query_id, level, label, score)."""
-    long = labels.select(
-        "ref_id",
-        F.explode(
-            F.array(*[F.struct(F.lit(lv).alias("level"), F.col(f"label_{lv}").alias("label")) for lv in levels])
-        ).alias("_l"),
-    ).select("ref_id", "_l.level", "_l.label")
-    votes = weights.join(long, "ref_id").groupBy("query_id", "level", "label").agg(F.sum("w").alias("score"))
+    # a weight moves once for all levels: labels that go together are summed first
+    named = [f"label_{lv}" for lv in levels]
+    together = weights.select("query_id", "ref_id", "w").join(labels.select("ref_id", *named), "ref_id")
+    every = F.array(*[F.struct(F.lit(lv).alias("level"), F.col(f"label_{lv}").alias("label")) for lv in levels])
+    long = together.groupBy("query_id", *named).agg(F.sum("w").alias("w")).select("query_id", "w", F.explode(every).alias("_l"))
+    votes = long.groupBy("query_id", "_l.level", "_l.label").agg(F.sum("w").alias("score"))
     # the greatest score wins; equal scores go to the first label by name
     first = F.struct((-F.round("score", 12)).alias("_s"), F.col("label"), F.col("score"))
     return votes.groupBy("query_id", "level").agg(F.min(first).alias("_b")).select(

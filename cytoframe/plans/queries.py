@@ -448,8 +448,8 @@ def reference_mapping(spark, sf_dir):
     # the cells of one region are mapped onto the cells of all others
     is_query = F.col("disease") == "ASIA"
     side = cells.select("cell_id", is_query.alias("q"))
-    query_expr = reshape.keep_cells(expr, side.where("q"))
-    reference_expr = reshape.keep_cells(expr, side.where("NOT q"))
+    query_expr = cut(reshape.keep_cells(expr, side.where("q")))
+    reference_expr = cut(reshape.keep_cells(expr, side.where("NOT q")))
     known = cells.where(~is_query).select(
         F.col("cell_id").alias("ref_id"),
         F.col("disease").alias("label_l1"),
@@ -463,7 +463,7 @@ def reference_mapping(spark, sf_dir):
         studies.map_to_reference(
             query_expr,
             reference_expr,
-            residuals.analytic_model(reference_expr),
+            cut(residuals.analytic_model(reference_expr)),
             _loadings(spark, sf_dir),
             len(fx.TYPES),
             known,
