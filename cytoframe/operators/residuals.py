@@ -14,11 +14,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cytoframe.functions.columns import array_of_sums
+from cytoframe.functions.columns import array_of_sums, cogrouped, nan_to_null
 from cytoframe.functions.lineage import cut
 
 GENE_BLOCK = 256
@@ -43,7 +43,8 @@ def _tiles(expr: DataFrame, depths: DataFrame, model: DataFrame, reduce_tile, sc
 
     ``genes`` are the tile's model rows, ``cells`` its (cell_id, depth) rows; ``residuals``
     is the dense genes x cells array, clipped at the square root of the number of cells.
-    ``depths`` and ``model`` are read several times and should be stored tables.
+    ``depths`` and ``model`` are read several times and should be stored tables. A cell's entries reach its tile as one row of
+    two arrays, places of genes and values, so Python meets a row per cell and not one per entry.
     """
     cells, genes = depths.count(), model.count()
     gene_blocks, cell_blocks = max(1, math.ceil(genes / GENE_BLOCK)), max(1, math.ceil(cells / CELL_BLOCK))
@@ -52,30 +53,33 @@ def _tiles(expr: DataFrame, depths: DataFrame, model: DataFrame, reduce_tile, sc
     every_gb = F.explode(F.sequence(F.lit(0), F.lit(gene_blocks - 1)))
     every_cb = F.explode(F.sequence(F.lit(0), F.lit(cell_blocks - 1)))
     extra = [c for c in model.columns if c not in ("gene", "b0", "b1", "theta")]
-    entries = expr.join(model.select("gene"), "gene", "left_semi").select(
-        gb.alias("gb"), cb.alias("cb"), "gene", "cell_id", "value"
+    place = F.row_number().over(Window.partitionBy("gb").orderBy("gene")) - 1
+    placed = model.where(nan_to_null("b0").isNotNull()).withColumn("gb", gb).withColumn("place", place)
+    entries = expr.select("gene", "cell_id", nan_to_null(F.col("value").cast("double")).alias("value")).where("value IS NOT NULL")
+    entries = entries.join(placed.select("gene", "gb", "place"), "gene").select("gb", cb.alias("cb"), "cell_id", "place", "value")
+    model_rows = placed.select(
+        "gb", every_cb.alias("cb"), "place", "gene", "b0", "b1", "theta", F.lit(math.sqrt(cells)).alias("clip"), *extra
     )
-    model_rows = model.select(
-        gb.alias("gb"), every_cb.alias("cb"), "gene", "b0", "b1", "theta", F.lit(math.sqrt(cells)).alias("clip"), *extra
+    cell_rows = depths.select(every_gb.alias("gb"), cb.alias("cb"), "cell_id", nan_to_null(F.col("depth").cast("double")).alias("depth"))
+    # rows move once, by tile; both lists of a cell leave out the row of its depth and keep one order
+    rows = entries.unionByName(cell_rows, allowMissingColumns=True).repartition("gb", "cb").groupBy("gb", "cb", "cell_id").agg(
+        F.max("depth").alias("depth"), F.collect_list("place").alias("places"), F.collect_list("value").alias("counts")
     )
-    cell_rows = depths.select(every_gb.alias("gb"), cb.alias("cb"), "cell_id", "depth")
-    tagged = entries.unionByName(cell_rows, allowMissingColumns=True).unionByName(model_rows, allowMissingColumns=True)
 
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        g = tile[tile["b0"].notna()].sort_values("gene", ignore_index=True)
-        c = tile[tile["depth"].notna()].sort_values("cell_id", ignore_index=True)
+    def run(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if g.empty or c.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        e = tile[tile["value"].notna()]
+        g, c = g.sort_values("place", ignore_index=True), c.sort_values("cell_id", ignore_index=True)
         counts = np.zeros((len(g), len(c)))
-        counts[pd.Index(g["gene"]).get_indexer(e["gene"]), pd.Index(c["cell_id"]).get_indexer(e["cell_id"])] = e["value"]
+        of_cell = np.repeat(np.arange(len(c)), c["places"].str.len().to_numpy())
+        counts[np.concatenate(c["places"].to_numpy()).astype(int), of_cell] = np.concatenate(c["counts"].to_numpy())
         log_depth = np.log10(c["depth"].to_numpy(float))
         mu = np.exp(g["b0"].to_numpy(float)[:, None] + g["b1"].to_numpy(float)[:, None] * log_depth[None, :])
         residuals = (counts - mu) / np.sqrt(mu + mu * mu / g["theta"].to_numpy(float)[:, None])
         limit = g["clip"].to_numpy(float)[:, None]
         return reduce_tile(g, c, np.clip(residuals, -limit, limit))
 
-    return tagged.groupBy("gb", "cb").applyInPandas(run, schema)
+    return cogrouped(rows.where("depth IS NOT NULL"), model_rows, ["gb", "cb"]).applyInPandas(run, schema)
 
 
 def gene_residual_moments(expr: DataFrame, model: DataFrame, depths: DataFrame | None = None) -> DataFrame:
