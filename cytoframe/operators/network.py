@@ -154,50 +154,62 @@ def _grid(expr: DataFrame) -> tuple[int, int]:
 
 
 def gene_products(expr: DataFrame) -> DataFrame:
-    """(net, g1, g2, sxy) with sxy = sum over cells of value1 * value2, every pair g1 <= g2 of a net."""
+    """(net, g1, g2, sxy) with sxy = sum over cells of value1 * value2, every pair g1 <= g2 of a net.
+
+    A cell's entries in a gene block reach a tile as one row of two arrays, places of genes and values; a block paired with itself
+    is moved once. Genes get their names back after the tiles are summed.
+    """
     gene_blocks, cell_blocks = _grid(expr)
     gb = F.pmod(F.xxhash64("gene"), F.lit(gene_blocks)).cast("int")
-    entries = expr.select("net", "gene", "cell_id", "value").withColumns(
-        {"gb": gb, "cb": F.pmod(F.xxhash64("cell_id"), F.lit(cell_blocks)).cast("int")}
-    )
-    # every gene shows up in the first cell block, so pairs that never meet are kept with sum 0
-    present = expr.select("net", "gene").distinct().withColumns({"gb": gb, "cb": F.lit(0)})
-    rows = entries.unionByName(present, allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("net", "gb").orderBy("gene")) - 1
+    genes = cut(expr.select("net", "gene").distinct().withColumn("gb", gb).withColumn("place", place))
+    value = F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
+    cb = F.pmod(F.xxhash64("cell_id"), F.lit(cell_blocks)).cast("int")
+    entries = expr.where("cell_id IS NOT NULL").select("net", "gene", "cell_id", value.alias("value")).join(genes, ["net", "gene"])
+    rows = entries.select("net", "gb", cb.alias("cb"), "cell_id", "place", "value").repartition("net", "gb", "cb")
+    rows = rows.groupBy("net", "gb", "cb", "cell_id").agg(F.collect_list("place").alias("places"), F.collect_list("value").alias("counts"))
+    if gene_blocks > 1:
+        rows = cut(rows)
     left = rows.withColumn("b2", F.explode(F.sequence(F.col("gb"), F.lit(gene_blocks - 1)))).withColumnRenamed("gb", "b1")
-    right = rows.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("gb")))).withColumnRenamed("gb", "b2")
+    right = rows.where("gb > 0").withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("gb") - 1))).withColumnRenamed("gb", "b2")
     schema = T.StructType(
         [
             expr.schema["net"],
-            T.StructField("g1", T.StringType()),
-            T.StructField("g2", T.StringType()),
+            *[T.StructField(c, T.IntegerType()) for c in ("b1", "b2", "cb", "p1", "p2")],
             T.StructField("_part", T.DoubleType()),
         ]
     )
 
-    def dense(rows: pd.DataFrame, cells: pd.Index) -> tuple[np.ndarray, np.ndarray]:
-        genes = np.sort(rows["gene"].unique())
-        filled = rows[rows["cell_id"].notna()]
-        out = np.zeros((len(genes), len(cells)))
-        out[np.searchsorted(genes, filled["gene"]), cells.get_indexer(filled["cell_id"])] = filled["value"]
-        return genes, out
+    def dense(rows: pd.DataFrame, cells: pd.Index) -> np.ndarray:
+        places = np.concatenate(rows["places"].to_numpy()).astype(int)
+        out = np.zeros((places.max() + 1, len(cells)))
+        out[places, np.repeat(cells.get_indexer(rows["cell_id"]), rows["places"].str.len())] = np.concatenate(rows["counts"].to_numpy())
+        return out
 
     def multiply(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        net, b1, b2, _ = key
+        net, b1, b2, cb = key
+        cells = pd.Index(a["cell_id"])
+        b = a if b1 == b2 else b[b["cell_id"].isin(cells)]
         if a.empty or b.empty:
-            return pd.DataFrame({"net": [], "g1": [], "g2": [], "_part": []})
-        cells = pd.Index(a["cell_id"].dropna().unique())
-        (rows_a, values_a), (rows_b, values_b) = dense(a, cells), dense(b[b["cell_id"].isin(cells) | b["cell_id"].isna()], cells)
-        product = values_a @ values_b.T
-        i, j = np.triu_indices(len(rows_a)) if b1 == b2 else np.indices(product.shape).reshape(2, -1)
-        one, two = rows_a[i], rows_b[j]
-        swap = one > two
-        return pd.DataFrame(
-            {"net": net, "g1": np.where(swap, two, one), "g2": np.where(swap, one, two), "_part": product[i, j]}
-        )
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        values = dense(a, cells)
+        product = values @ (values if b1 == b2 else dense(b, cells)).T
+        i, j = np.triu_indices(len(product)) if b1 == b2 else np.indices(product.shape).reshape(2, -1)
+        at = {"net": net, "b1": b1, "b2": b2, "cb": cb, "p1": i.astype("int32"), "p2": j.astype("int32")}
+        return pd.DataFrame(at | {"_part": product[i, j]})
 
     key = ["net", "b1", "b2", "cb"]
+    one = genes.select("net", F.col("gb").alias("b1"), F.col("place").alias("p1"), F.col("gene").alias("_g1"))
+    two = genes.select("net", F.col("gb").alias("b2"), F.col("place").alias("p2"), F.col("gene").alias("_g2"))
+    at = ["net", "b1", "b2", "p1", "p2"]
     parts = cogrouped(left, right, key).applyInPandas(multiply, schema)
-    return parts.groupBy("net", "g1", "g2").agg(F.sum("_part").alias("sxy"))
+    sums = parts.groupBy(*at).agg(F.sum("_part").alias("_sum"), F.max(F.col("cb") == 0).alias("_first"))
+    # pairs that never meet are kept with sum 0; a missing value in the first cell block leaves a pair without a sum
+    lost = F.col("_sum").isNull() & F.coalesce("_first", F.lit(False))
+    pairs = one.join(two, "net").where("b1 < b2 OR (b1 = b2 AND p1 <= p2)")
+    return pairs.join(sums, at, "left").select(
+        "net", F.least("_g1", "_g2").alias("g1"), F.greatest("_g1", "_g2").alias("g2"), F.when(~lost, F.coalesce("_sum", F.lit(0.0))).alias("sxy")
+    )
 
 
 def pair_moments(expr: DataFrame, cells: DataFrame) -> DataFrame:

@@ -629,9 +629,10 @@ def cell_subsamples(spark, sf_dir):
     return network.cell_subsamples(fx.cells(spark, sf_dir), 5, SAMPLE_CELLS)
 
 
-def _whole_moments(spark, sf_dir):
-    expr = cut(fx.expr(spark, sf_dir).withColumn("net", F.lit("ALL")))
-    return network.pair_moments(expr, cut(fx.cells(spark, sf_dir).select(F.lit("ALL").alias("net"), "cell_id")))
+def _whole_moments(spark, sf_dir, expr: DataFrame | None = None):
+    """The moments of all cells, stored: most queries read them twice."""
+    expr = (_stored_expr(spark, sf_dir) if expr is None else expr).withColumn("net", F.lit("ALL"))
+    return cut(network.pair_moments(expr, fx.cells(spark, sf_dir).select(F.lit("ALL").alias("net"), "cell_id")))
 
 
 @query
@@ -732,10 +733,11 @@ def differential_regulation_p(spark, sf_dir):
 
 @query
 def manifold_align(spark, sf_dir):
-    edges = cut(network.strongest_edges(network.correlation(_whole_moments(spark, sf_dir)), EDGE_QUANTILE))
+    expr = _stored_expr(spark, sf_dir)
+    edges = cut(network.strongest_edges(network.correlation(_whole_moments(spark, sf_dir, expr)), EDGE_QUANTILE))
     changed = network.virtual_knockout(edges, [fx.MARKER])
     name = F.lit("knockout").alias("dataset")
-    genes = fx.expr(spark, sf_dir).select(name, "gene")
+    genes = expr.select(name, "gene")
     positions, _, _ = align_networks(*[net.select(name, "src", "dst", "w") for net in (edges, changed)], genes=genes)
     return _six(network.position_distance(positions, [fx.MARKER]))
 
