@@ -65,12 +65,18 @@ def checked(expr: DataFrame, cells: DataFrame, qc: dict | None) -> tuple[DataFra
     return passed, cells.join(passed.select("cell_id").distinct(), "cell_id", "left_semi")
 
 
+def _sampled(expr: DataFrame, samples: DataFrame) -> DataFrame:
+    """Counts per million of the sampled cells alone; a cell's total needs no other cell."""
+    drawn = samples.select("cell_id").distinct()
+    return cut(network.cpm_normalize(cut(expr.join(drawn, "cell_id", "left_semi"))))
+
+
 def denoised_network(
     expr: DataFrame, cells: DataFrame, replicates: int = 10, size: int = 500, quantile: float = 0.95, seed: str = "1", rank: int = 3
 ) -> DataFrame:
     """Subsample cells, infer one network per subsample, keep strong edges, denoise over replicates."""
     samples = cut(network.cell_subsamples(cells, replicates, size, seed))
-    edges = network.strongest_edges(network.pcr_network(network.cpm_normalize(expr), samples), quantile)
+    edges = network.strongest_edges(cut(network.pcr_network(_sampled(expr, samples), samples)), quantile)
     return network.tensor_denoise(edges, range(1, replicates + 1), rank)
 
 
@@ -147,7 +153,7 @@ def comparison_study(
     ]
     name = F.concat_ws("/", F.col("net").cast("string"), "matrix")
     samples = cut(functools.reduce(DataFrame.unionByName, drawn).select(name.alias("net"), "cell_id", "pos"))
-    strong = network.strongest_edges(network.pcr_network(network.cpm_normalize(expr), samples), quantile)
+    strong = network.strongest_edges(cut(network.pcr_network(_sampled(expr, samples), samples)), quantile)
     parts = F.split("net", "/", 2)
     keyed = strong.select(parts[1].alias("dataset"), parts[0].cast("int").alias("net"), "src", "dst", "w")
     nets = cut(network.tensor_denoise_each(keyed, range(1, replicates + 1)))
