@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoframe.functions.columns import rounded
+from cytoframe.functions.lineage import cut
 from cytoframe.functions.ordered import with_running
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -114,7 +115,7 @@ def reference_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gene_sets(collection, set_name, gene): genes by brand and genes by type."""
+    """gene_sets(collection, set_name, gene): genes by brand and genes by type; stored, as one query reads them many times."""
     kinds = table(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
     both = F.explode(
         F.array(
@@ -122,17 +123,17 @@ def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("TYPE").alias("collection"), F.concat(F.lit("HALLMARK_"), F.col("p_type")).alias("set_name")),
         )
     )
-    return kinds.select(both.alias("s"), gene_name().alias("gene")).select("s.collection", "s.set_name", "gene")
+    return cut(kinds.select(both.alias("s"), gene_name().alias("gene")).select("s.collection", "s.set_name", "gene"))
 
 
 def gene_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ranks(dataset, gene, stat): mean value per gene, over all cells and per condition."""
     entries = expr(spark, sf_dir).join(cells(spark, sf_dir).select("cell_id", "condition"), "cell_id")
-    return (
-        entries.withColumn("dataset", F.explode(F.array(F.lit("ALL"), F.col("condition"))))
-        .groupBy("dataset", "gene")
-        .agg(F.round(F.avg("value"), 9).alias("stat"))
-    )
+    # entries are added up once, by condition; all cells are the sum of the conditions
+    sums = entries.groupBy("condition", "gene").agg(F.sum("value").alias("_sum"), F.count("value").alias("_n"))
+    both = F.explode(F.array(F.lit("ALL"), F.col("condition"))).alias("dataset")
+    totals = sums.select(both, "gene", "_sum", "_n").groupBy("dataset", "gene").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    return totals.select("dataset", "gene", F.round(F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")), 9).alias("stat"))
 
 
 def diffreg(spark: SparkSession, sf_dir: str) -> DataFrame:
