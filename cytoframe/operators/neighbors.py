@@ -6,6 +6,9 @@ k nearest neighbor joins using MapReduce", VLDB 2012), and cells that lie togeth
 other cell has to beat, and only regions with a cell whose lower bound passes are visited in a second round.
 A vector moves once for a region, however many of its cells pass. Every region keeps k candidates per query, never its
 distances to all queries, and popular regions are copied so that no task meets more than a bounded number of queries.
+
+Vectors of at most ``BOX_DIMS`` dimensions are cut into boxes instead (``boxes.py``), one a task: a query visits its nearest box, and
+then those that are not further than the k-th distance found. Its candidates stay one row, a list, until they are asked for.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytoframe.functions.columns import cogrouped
 from cytoframe.functions.lineage import cut
+from cytoframe.operators import boxes
 
 BLOCK_ROWS = 4096
 TASK_ROWS = 16_384
@@ -31,6 +37,13 @@ PAIRS = 65_536
 #: Vectors below ``FULL_DIMS`` dimensions are light: a task holds more of them, up to ``LIGHTER`` times as many.
 FULL_DIMS = 64
 LIGHTER = 4
+#: Up to so many dimensions a box rules out enough of a task; sample rows that a box is learned from.
+BOX_DIMS = 8
+BOX_SAMPLE = 128
+#: Queries that meet a box in one task; they weigh more than its rows.
+BOX_QUERIES = 8192
+#: Distances from queries to boxes held at once.
+HELD = 1 << 20
 #: Share of the squared lengths that a squared distance from a matrix product may be off.
 SLACK = 1e-12
 
@@ -177,6 +190,137 @@ def _nearest(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _as_lists(rows: DataFrame) -> DataFrame:
+    """(query_id, near) of ranked neighbours."""
+    near = F.sort_array(F.collect_list(F.struct("rank", "dist", "ref_id")))
+    return rows.groupBy("query_id").agg(F.transform(near, lambda n: F.struct(n["dist"].alias("dist"), n["ref_id"].alias("ref_id"))).alias("near"))
+
+
+def _as_rows(lists: DataFrame) -> DataFrame:
+    """Ranked neighbours of (query_id, near)."""
+    one = lists.select("query_id", F.posexplode("near").alias("_at", "_n"))
+    return one.select("query_id", F.col("_n.ref_id").alias("ref_id"), F.col("_n.dist").alias("dist"), (F.col("_at") + 1).alias("rank"))
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors as one matrix, missing parts NaN; vectors of other lengths, or none at all, are an error."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    if len(sizes) and not (sizes == sizes[0]).all():
+        raise ValueError("all vectors must have the same length")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(sizes), -1) if len(sizes) else np.zeros((0, 1))
+
+
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array, also where it has no chunk or several."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _in_box(queries: pa.Table, block: pa.Table, k: int, skip_same: bool, block_rows: int) -> tuple[np.ndarray, pa.Array]:
+    """How many neighbours every query finds in a block, and these as (dist, ref_id), query after query, nearest first."""
+    block = block.take(pc.sort_indices(block["ref_id"], null_placement="at_start"))  # a row's place stands for its id in ties
+    ids, same, own = _one_array(block["ref_id"]), None, None
+    if skip_same:
+        both = pa.concat_arrays([_one_array(queries["query_id"]).cast(ids.type), ids]).dictionary_encode().indices
+        codes = both.fill_null(-1).to_numpy(zero_copy_only=False)
+        same, own = np.where(codes[: len(queries)] < 0, -2, codes[: len(queries)]), codes[len(queries) :]
+    reach = queries["reach"].to_numpy()
+    q, r, dist = boxes.nearest_rows(_vectors(queries["v"]), reach, _vectors(block["v"]), k, same, own, block_rows)
+    order = np.lexsort((r, dist, q))
+    near = pa.StructArray.from_arrays([pa.array(dist[order]), ids.take(pa.array(r[order]))], names=["dist", "ref_id"])
+    return np.bincount(q, minlength=len(queries)), near
+
+
+def _knn_in_boxes(
+    query: DataFrame, reference: DataFrame, k: int, exclude_self: bool, block_rows: int, splits: boxes.Splits, dims: int
+) -> DataFrame:
+    """(query_id, near): the k nearest rows of every query, one sorted list of (dist, ref_id); queries that find none are left out."""
+    most, width = TASK_ROWS * LIGHTER, range(1, dims + 1)
+
+    def place(batches):
+        for batch in batches:
+            rows = _vectors(batch.column("v"))
+            box = np.where(np.isfinite(rows).all(1), splits.box_of(rows), -1) if len(rows) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(box.astype("int32"))], [*batch.schema.names, "box"])
+
+    # rows with a missing or infinite part are near nothing
+    in_box = T.StructType([*reference.schema.fields, T.StructField("box", T.IntegerType())])
+    placed = cut(reference.mapInArrow(place, in_box).where("box >= 0"))
+    sides = [side(F.element_at("v", d)).alias(f"{name}{d}") for name, side in (("low", F.min), ("high", F.max)) for d in width]
+    counts = np.zeros(splits.boxes, int)
+    low, high = np.full((splits.boxes, dims), np.inf), np.full((splits.boxes, dims), -np.inf)
+    for row in placed.groupBy("box").agg(F.count(F.lit(1)).alias("n"), *sides).collect():
+        counts[row.box], low[row.box], high[row.box] = row.n, [row[f"low{d}"] for d in width], [row[f"high{d}"] for d in width]
+    # a box of more rows than a task holds, as of equal ones, is several tasks
+    subs = np.maximum(1, -(-counts // most))
+    first = subs.cumsum() - subs
+    of_task = np.repeat(np.arange(len(subs)), subs)
+    tasks = query.sparkSession.createDataFrame([(i, int(first[i]), int(n)) for i, n in enumerate(subs)], "box int, first int, subs int")
+    task = (F.col("first") + F.pmod(F.xxhash64("ref_id"), F.col("subs"))).cast("int")
+    blocks = placed.join(F.broadcast(tasks), "box").select("ref_id", "v", task.alias("task"))
+    thin = counts < min(k + (1 if exclude_self else 0), counts.max())
+
+    def nearest_task(rows: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        apart = boxes.distances(rows, low, high)
+        apart[:, thin] = np.inf
+        return np.arange(len(rows)), first[apart.argmin(1)]
+
+    def other_tasks(rows: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        reach, seen = part.column("reach").to_numpy(), part.column("seen").to_numpy()
+        passed = (boxes.distances(rows, low, high) <= reach[:, None] * boxes.MARGIN) & (counts > 0)
+        passed = passed[:, of_task]
+        passed[np.arange(len(rows)), seen] = False
+        return np.nonzero(passed)
+
+    ids, near_type = query.schema["query_id"], T.StructType([T.StructField("dist", T.DoubleType()), reference.schema["ref_id"]])
+    found = [ids, T.StructField("near", T.ArrayType(near_type))]
+    kept = [query.schema["v"], T.StructField("reach", T.DoubleType())]
+
+    def round_of(table: DataFrame, tasks_of, schema: T.StructType) -> DataFrame:
+        """What the queries (query_id, v, reach) find in the tasks that each of them wants."""
+        step = max(1, HELD // len(of_task))
+
+        def parts(batches):
+            for batch in batches:
+                for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                    yield part, *tasks_of(_vectors(part.column("v")), part)
+
+        def tally(batches):
+            total = sum((np.bincount(at, minlength=len(of_task)) for _, _, at in parts(batches)), np.zeros(len(of_task), int))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype="int32")), pa.array(total)], ["task", "n"])
+
+        def visit(batches):
+            for part, rows, at in parts(batches):
+                columns = [part.column(c).take(pa.array(rows)) for c in ("query_id", "v", "reach")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(at.astype("int32"))], ["query_id", "v", "reach", "task"])
+
+        def meet(queries: pa.Table, block: pa.Table) -> pa.Table:
+            many, near = _in_box(queries, block, k, exclude_self, block_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], many.cumsum()]).astype("int32")), near)
+            at = np.minimum(many.cumsum() - 1, len(near) - 1)
+            furthest = np.full(len(many), np.inf)
+            furthest[many >= k] = near.field("dist").to_numpy()[at[many >= k]]
+            every = {"query_id": queries["query_id"], "near": lists, "v": queries["v"], "reach": pa.array(furthest), "seen": queries["task"]}
+            return pa.table({f.name: every[f.name] for f in schema.fields})
+
+        loads = table.mapInArrow(tally, "task int, n long").groupBy("task").agg(F.sum("n").alias("n")).where("n > 0").collect()
+        load = F.broadcast(query.sparkSession.createDataFrame([(r.task, -(-r.n // BOX_QUERIES)) for r in loads], "task int, copies int"))
+        visits = table.mapInArrow(visit, T.StructType([ids, *kept, T.StructField("task", T.IntegerType())]))
+        salted = visits.join(load, "task").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int"))
+        copied = blocks.join(load, "task").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        key = ["task", "salt"]
+        return cogrouped(salted.select(*key, "query_id", "v", "reach"), copied.select(*key, "ref_id", "v"), key).applyInArrow(meet, schema)
+
+    everywhere = query.withColumn("reach", F.lit(float("inf")))
+    near = cut(round_of(everywhere, nearest_task, T.StructType([*found, *kept, T.StructField("seen", T.IntegerType())])))
+    lists = near.select("query_id", "near")
+    if len(of_task) > 1:
+        lists = lists.unionByName(round_of(near.select("query_id", "v", "reach", "seen"), other_tasks, T.StructType(found)))
+    pooled = lists.where(F.size("near") > 0).groupBy("query_id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    return pooled.select("query_id", F.slice(F.sort_array("near"), 1, k).alias("near"))
+
+
 def knn(
     query: DataFrame,
     reference: DataFrame,
@@ -184,12 +328,15 @@ def knn(
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
     pivots: int | None = None,
+    lists: bool = False,
 ) -> DataFrame:
-    """Exact k nearest reference rows per query: (query_id, rank, ref_id, dist).
+    """Exact k nearest reference rows per query: (query_id, rank, ref_id, dist), or with ``lists`` one row (query_id, near) of them all.
+
+    ``near`` holds (dist, ref_id), nearest first; a query that finds nothing has no row.
 
     ``query`` is (query_id, v), ``reference`` is (ref_id, v) with ``v`` array<double>; the
     distance is Euclidean, ties go to the smaller id. ``exclude_self`` skips equal ids for
-    a table joined with itself. The plan is the same at every size: about the root of the reference's rows
+    a table joined with itself. Of at most ``BOX_DIMS`` dimensions, boxes of up to ``TASK_ROWS`` x ``LIGHTER`` rows are the tasks; beyond: The plan is the same at every size: about the root of the reference's rows
     serve as pivots, so a cell holds about as many rows; a task holds the cells of a region, regions above ``TASK_ROWS`` are
     cut, and a query's distances to ``block_rows`` rows are held at once. How many regions a query
     visits depends on the data: in clustered or low-dimensional data few, in many dimensions without
@@ -203,13 +350,27 @@ def knn(
             T.StructField("dist", T.DoubleType()),
         ]
     )
-    many = pivots or max(1, math.isqrt(reference.count()))
+    held = reference.count()
+    many = pivots or max(1, math.isqrt(held))
 
     # pivots, as many as the root of the reference's rows, and one statistics row of each come to the driver
-    chosen = reference.orderBy(F.md5(F.col("ref_id").cast("string")), "ref_id").limit(many).select("v").collect()
+    by_hash = reference.orderBy(F.md5(F.col("ref_id").cast("string")), "ref_id").select("v")
+    chosen = by_hash.limit(many).collect()
     if not chosen:
-        return query.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
-    centers = np.unique(np.array([row.v for row in chosen], dtype=float), axis=0)
+        none = query.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+        return _as_lists(none) if lists else none
+    points = np.array([row.v for row in chosen], dtype=float)
+    if 0 < points.shape[1] <= BOX_DIMS:
+        # a box is learned from half of ``BOX_SAMPLE`` rows at least, which makes a task three quarters full at most
+        drawn = BOX_SAMPLE * -(-held // (TASK_ROWS * LIGHTER))
+        if drawn > many:
+            points = np.array([row.v for row in by_hash.limit(drawn).collect()], dtype=float)
+        usable = points[np.isfinite(points).all(1)]
+        share = 0.75 * TASK_ROWS * LIGHTER * len(points) / held if pivots is None else len(points) / pivots
+        splits = boxes.Splits(usable if len(usable) else np.zeros((1, points.shape[1])), int(share))
+        near = _knn_in_boxes(query, reference, k, exclude_self, block_rows, splits, points.shape[1])
+        return near if lists else _as_rows(near)
+    centers = np.unique(points, axis=0)
     usable = np.isfinite(centers).all(1)
     centers = centers[usable] if usable.any() else np.zeros((1, centers.shape[1]))
 
@@ -302,7 +463,8 @@ def knn(
     near = cut(_nearest(round_of(query.withColumn("reach", everywhere), near_regions), k))
     reach = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(everywhere).alias("reach"))
     reaching = cut(query.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", everywhere)))
-    return _nearest(near.drop("rank").unionByName(round_of(reaching, far_regions)), k)
+    rows = _nearest(near.drop("rank").unionByName(round_of(reaching, far_regions)), k)
+    return _as_lists(rows) if lists else rows
 
 
 def remap_neighbors(neighbors: DataFrame, metadata: DataFrame, position: str, key: str) -> DataFrame:

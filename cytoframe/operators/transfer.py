@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cytoframe.functions.columns import array_of_sums
 from cytoframe.functions.lineage import cut
@@ -22,20 +24,48 @@ def _as_query(reference: DataFrame) -> DataFrame:
 
 
 def mutual_neighbors(query: DataFrame, reference: DataFrame, k: int = 5) -> DataFrame:
-    """Anchors: pairs that are among each other's k nearest, (query_id, ref_id, dist)."""
-    forth = knn(query, reference, k).select("query_id", "ref_id", "dist")
-    back = knn(_as_query(reference), _as_reference(query), k).select(
+    """Anchors: pairs that are among each other's k nearest, (query_id, ref_id, dist); only rows that a query found are asked back."""
+    forth = cut(knn(query, reference, k).select("query_id", "ref_id", "dist"))
+    found = cut(reference.join(forth.select("ref_id").distinct(), "ref_id", "left_semi"))
+    back = knn(_as_query(found), _as_reference(query), k).select(
         F.col("ref_id").alias("query_id"), F.col("query_id").alias("ref_id")
     )
     return forth.join(back, ["query_id", "ref_id"])
 
 
-def _neighborhoods(cells: DataFrame, others: DataFrame, k: int, ends: DataFrame) -> DataFrame:
-    """(id, side, neighbor): k nearest cells of the own table and k of the other one, of the cells in ``ends``."""
+def _with_matches(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Lists replaced by ``met``, how many pairs of equal items two lists have (summed over ``pairs``), and ``alone``, items of the first
+    lists that meet none. A missing list is empty, and a missing item meets nothing.
+    """
+    lists = {name for pair in pairs for name in pair}
+    kept = [f for f in rows.schema.fields if f.name not in lists]
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+    def matched(batches):
+        for batch in batches:
+            met, alone = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for one, other in pairs:
+                (row, items), (other_row, others) = flat(batch.column(one)), flat(batch.column(other))
+                codes = pa.concat_arrays([items, others.cast(items.type)]).dictionary_encode().indices.fill_null(-1).to_numpy()
+                known, codes = codes >= 0, codes + (np.concatenate([row, other_row]) * (len(codes) + 1))
+                there = np.sort(codes[len(row) :][known[len(row) :]])
+                here = codes[: len(row)]
+                times = np.searchsorted(there, here, "right") - np.searchsorted(there, here, "left")
+                times[~known[: len(row)]] = 0
+                met += np.bincount(row, times, batch.num_rows).astype(np.int64)
+                alone += np.bincount(row[times == 0], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(met), pa.array(alone)], [*[f.name for f in kept], "met", "alone"])
+
+    return rows.mapInArrow(matched, T.StructType([*kept, T.StructField("met", T.LongType()), T.StructField("alone", T.LongType())]))
+
+
+def _neighborhoods(cells: DataFrame, others: DataFrame, k: int, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the cells in ``ends``: (query_id, near) k nearest cells of the own table, and of the other one; a list each."""
     wanted = cut(cells.join(ends, "query_id", "left_semi"))
-    own = knn(wanted, _as_reference(cells), k, exclude_self=True).withColumn("own", F.lit(True))
-    cross = knn(wanted, others, k).withColumn("own", F.lit(False))
-    return own.unionByName(cross).select("query_id", "own", "ref_id")
+    return knn(wanted, _as_reference(cells), k, exclude_self=True, lists=True), knn(wanted, others, k, lists=True)
 
 
 def score_anchors(
@@ -46,27 +76,20 @@ def score_anchors(
     The neighbourhood of a cell is its k nearest query cells plus its k nearest reference
     cells; only the ends of anchors need theirs. The overlap is rescaled by its ``low`` and ``high`` quantiles over all anchors.
     """
-    around_query = _neighborhoods(query, reference, k, anchors.select("query_id").distinct()).select(
-        "query_id", F.when(F.col("own"), "q").otherwise("r").alias("side"), F.col("ref_id").alias("neighbor")
-    )
+    own, cross = _neighborhoods(query, reference, k, anchors.select("query_id").distinct())
     ends = anchors.select(F.col("ref_id").alias("query_id")).distinct()
-    around_reference = _neighborhoods(_as_query(reference), _as_reference(query), k, ends).select(
-        F.col("query_id").alias("ref_id"),
-        F.when(F.col("own"), "r").otherwise("q").alias("side"),
-        F.col("ref_id").alias("neighbor"),
-    )
-    overlap = (
-        anchors.select("query_id", "ref_id")
-        .join(around_query, "query_id")
-        .join(around_reference, ["ref_id", "side", "neighbor"])
-        .groupBy("query_id", "ref_id")
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    # at most 2 * k + 1 different overlaps: their counts, in one row each, hold both quantiles
+    own_back, cross_back = _neighborhoods(_as_query(reference), _as_reference(query), k, ends)
+    # each end's neighbours stay lists: an anchor moves once and not once a neighbour
+    pairs = anchors.groupBy("query_id", "ref_id").agg(F.count(F.lit(1)).alias("_n"))
+    for name, side, end in (("_qq", own, "query_id"), ("_qr", cross, "query_id"), ("_rr", own_back, "ref_id"), ("_rq", cross_back, "ref_id")):
+        pairs = pairs.join(side.select(F.col("query_id").alias(end), F.col("near.ref_id").alias(name)), end, "left")
+    matched = _with_matches(pairs, [("_qq", "_rq"), ("_qr", "_rr")])
+    # an anchor that stands several times counts the matches of all; at most 2 * k + 1 different overlaps otherwise:
+    # their counts, in one row each, hold both quantiles
     counted = cut(
-        anchors.select("query_id", "ref_id")
-        .join(overlap, ["query_id", "ref_id"], "left")
-        .withColumn("shared", F.coalesce("shared", F.lit(0)))
+        matched.select(
+            "query_id", "ref_id", (F.col("met") * F.col("_n")).alias("shared"), F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))
+        ).drop("col")
     )
     tally = counted.groupBy("shared").agg(F.count(F.lit(1)).alias("n")).orderBy("shared").collect()
     held = np.array([(row.shared, row.n) for row in tally], dtype=np.int64).reshape(-1, 2)
@@ -94,10 +117,9 @@ def anchor_weights(query: DataFrame, anchors: DataFrame, k: int = 50, sd: float
     d = (1 - dist / dist_k) * score, w = 1 - exp(-d / (2 / sd)^2), divided by the cell's sum.
     """
     ends = anchors.select("query_id").distinct().join(query, "query_id").select(F.col("query_id").alias("ref_id"), "v")
-    near = knn(query, ends, k).select("query_id", F.col("ref_id").alias("anchor_id"), "dist")
+    near = knn(query, ends, k, lists=True).select("query_id", F.element_at("near", -1)["dist"].alias("_far"), F.explode("near").alias("_n"))
     mine = Window.partitionBy("query_id")
-    furthest = F.max("dist").over(mine)
-    scored = near.withColumn("_far", furthest).join(
+    scored = near.select("query_id", F.col("_n.ref_id").alias("anchor_id"), F.col("_n.dist").alias("dist"), "_far").join(
         anchors.select(F.col("query_id").alias("anchor_id"), "ref_id", "score"), "anchor_id"
     )
     closeness = F.when(F.col("_far") > 0, 1 - F.col("dist") / F.col("_far")).otherwise(1.0) * F.col("score")
@@ -110,9 +132,9 @@ def anchor_weights(query: DataFrame, anchors: DataFrame, k: int = 50, sd: float
 
 def transfer_labels(weights: DataFrame, labels: DataFrame, levels: Sequence[str] = ("l1", "l2", "l3")) -> DataFrame:
     """Predicted label and its score for every level at once: (query_id, level, label, score)."""
-    # a weight moves once for all levels: labels that go together are summed first
+    # a weight moves once for all levels, to its query, where all sums are taken: labels that go together are summed first
     named = [f"label_{lv}" for lv in levels]
-    together = weights.select("query_id", "ref_id", "w").join(labels.select("ref_id", *named), "ref_id")
+    together = weights.select("query_id", "ref_id", "w").join(labels.select("ref_id", *named), "ref_id").repartition("query_id")
     every = F.array(*[F.struct(F.lit(lv).alias("level"), F.col(f"label_{lv}").alias("label")) for lv in levels])
     long = together.groupBy("query_id", *named).agg(F.sum("w").alias("w")).select("query_id", "w", F.explode(every).alias("_l"))
     votes = long.groupBy("query_id", "_l.level", "_l.label").agg(F.sum("w").alias("score"))
@@ -177,12 +199,11 @@ def project_layout(neighbors: DataFrame, layout: DataFrame) -> DataFrame:
 
 def mapping_score(before: DataFrame, after: DataFrame, k: int = 100) -> DataFrame:
     """Share of a cell's k nearest query cells that stay among its k nearest after integration."""
-    def around(cells: DataFrame) -> DataFrame:
-        return knn(cells, _as_reference(cells), k, exclude_self=True).select("query_id", "ref_id")
+    def around(cells: DataFrame, name: str) -> DataFrame:
+        near = knn(cells, _as_reference(cells), k, exclude_self=True, lists=True)
+        return near.select("query_id", F.col("near.ref_id").alias(name))
 
-    old, new = around(before), around(after).withColumn("_kept", F.lit(1))
-    return (
-        old.join(new, ["query_id", "ref_id"], "left")
-        .groupBy("query_id")
-        .agg((F.sum(F.coalesce("_kept", F.lit(0))) / F.count(F.lit(1))).alias("mapping_score"))
+    both = around(before, "_old").join(around(after, "_new"), "query_id", "left")
+    return _with_matches(both, [("_old", "_new")]).select(
+        "query_id", (F.col("met") / (F.col("met") + F.col("alone"))).alias("mapping_score")
     )
