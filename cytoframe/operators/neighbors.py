@@ -82,7 +82,7 @@ def _block_candidates(
     of a ``block`` with ``cell`` are then measured cell after cell, nearest first, for the queries that the cell is not too far from.
     """
     if queries.empty or block.empty:
-        return pd.DataFrame({"query_id": [], "ref_id": [], "dist": []})
+        return pd.DataFrame({"query_id": [], "ref_id": [], "dist": []}, dtype=object)
     block = block.sort_values("ref_id", kind="stable")  # a row's place stands for its id in ties
     ids, vectors = block["ref_id"].to_numpy(), _stack(block["v"])
     lengths = (vectors * vectors).sum(1)

@@ -191,7 +191,7 @@ def gene_products(expr: DataFrame) -> DataFrame:
         cells = pd.Index(a["cell_id"])
         b = a if b1 == b2 else b[b["cell_id"].isin(cells)]
         if a.empty or b.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame({f.name: [] for f in schema.fields}, dtype=object)
         values = dense(a, cells)
         product = values @ (values if b1 == b2 else dense(b, cells)).T
         i, j = np.triu_indices(len(product)) if b1 == b2 else np.indices(product.shape).reshape(2, -1)
@@ -374,7 +374,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
 
     def solve(key: tuple, block: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
         if block.empty:
-            return pd.DataFrame({"net": [], "gene": [], "z": []})
+            return pd.DataFrame({"net": [], "gene": [], "z": []}, dtype=object)
         g = np.stack(matrix.sort_values("i")["row"].to_numpy())
         z = _leading_without(g, np.stack(block["x"].to_numpy()), components)
         return pd.DataFrame({"net": key[0], "gene": block["gene"].to_numpy(), "z": list(z)})
@@ -391,7 +391,7 @@ def pcr_network(expr: DataFrame, samples: DataFrame, components: int = 3) -> Dat
 
     def products(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"net": [], "src": [], "dst": [], "w": []})
+            return pd.DataFrame({"net": [], "src": [], "dst": [], "w": []}, dtype=object)
         w = np.stack(a["x"].to_numpy()) @ np.stack(b["z"].to_numpy()).T
         src, dst = np.repeat(a["gene"].to_numpy(), len(b)), np.tile(b["gene"].to_numpy(), len(a))
         other = src != dst

@@ -68,7 +68,7 @@ def _tiles(expr: DataFrame, depths: DataFrame, model: DataFrame, reduce_tile, sc
 
     def run(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if g.empty or c.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame({f.name: [] for f in schema.fields}, dtype=object)
         g, c = g.sort_values("place", ignore_index=True), c.sort_values("cell_id", ignore_index=True)
         counts = np.zeros((len(g), len(c)))
         of_cell = np.repeat(np.arange(len(c)), c["places"].str.len().to_numpy())
